@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import mixing, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_source_mixing": mixing.query,
         "op6_url_filter": url_filter.query,
+        "op7_secret_scan": secret_scan.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": url_filter.SQL,
+        "op7_secret_scan": secret_scan.SQL,
     }
