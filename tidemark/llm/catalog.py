@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secret_scan, url_filter
+from . import language_id, mixing, packing, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": mixing.query,
         "op6_url_filter": url_filter.query,
         "op7_secret_scan": secret_scan.query,
+        "op9_language_id": language_id.query,
+        "op10_packing": packing.query,
     }
 
 
