@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, packing, secret_scan, url_filter
+from . import ann, html_extract, language_id, mixing, packing, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_source_mixing": mixing.query,
+        "op4_prefix_forest": ann.query,
         "op6_url_filter": url_filter.query,
         "op7_secret_scan": secret_scan.query,
+        "op8_html_text": html_extract.query,
         "op9_language_id": language_id.query,
         "op10_packing": packing.query,
     }
