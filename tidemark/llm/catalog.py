@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, language_id, mixing, packing, secret_scan, url_filter
+from . import ann, html_extract, jaccard_join, language_id, mixing, packing, secret_scan, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_join": jaccard_join.query,
         "op3_source_mixing": mixing.query,
         "op4_prefix_forest": ann.query,
         "op6_url_filter": url_filter.query,
