@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, language_id, mixing, packing, secret_scan, url_filter
+from . import ann, html_extract, jaccard_join, language_id, mixing, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_jaccard_join": jaccard_join.query,
         "op3_source_mixing": mixing.query,
         "op4_prefix_forest": ann.query,
+        "op5_substring_dedup": substring_dedup.query,
         "op6_url_filter": url_filter.query,
         "op7_secret_scan": secret_scan.query,
         "op8_html_text": html_extract.query,
