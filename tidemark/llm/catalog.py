@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, html_extract, jaccard_join, language_id, mixing, packing, secret_scan, substring_dedup, url_filter
+from . import ann, bm25, html_extract, jaccard_join, language_id, mixing, packing, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bm25_topk": bm25.query,
         "op2_jaccard_join": jaccard_join.query,
         "op3_source_mixing": mixing.query,
         "op4_prefix_forest": ann.query,

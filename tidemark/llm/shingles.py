@@ -38,6 +38,14 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def _runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows differ from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (A-Z lower-cased) of the texts data[at[i]:at[i+1]], and each text's first word's index."""
     n = len(data)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, stage, utf8
 from .shingles import _BYTE, _power, mix
+from .shingles import _runs_of as _runs
 
 LENGTH, GRAM = 100, 40
 #: Suffixes of a bucket, keys that the splitters are chosen from, and bytes of a bucket of documents.
@@ -151,14 +152,6 @@ def bucket_of(splitters: list[tuple[int, ...]], s: dict[str, np.ndarray]) -> np.
     return high
 
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where rows differ from the one before."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return new
-
-
 def doc_bucket(d: np.ndarray, t: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(d.astype(np.int64).view(np.uint64) ^ mix(t.astype(np.int64).view(np.uint64))) % np.uint64(buckets)).astype(np.int64)
 
