@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import clock_queries, evidence_queries, join_queries, kernel_queries, signal_queries  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
