@@ -23,6 +23,8 @@ SPARE = 0.18
 SEEDS = 8
 #: Nodes that a task remembers so that copies' sketches aren't sent again.
 REMEMBERED = 200_000
+#: Nodes up to which a cluster of candidates is compared block by block, and shingles of a block's nodes.
+CLUSTER_NODES, BLOCK_SHINGLES = 32_768, 1_000_000
 #: Candidate documents up to which their ids are broadcast to pick their texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -142,6 +144,73 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    """Each token flips one of ``bits`` bits: the Hamming distance is at most the symmetric difference."""
+    out = np.zeros((len(sets), bits // 64), np.uint64)
+    for row, tokens in zip(out, sets, strict=True):
+        place = (mix(tokens + np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
+        row[:] = np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).view(np.uint64)
+    return out
+
+
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], other: np.ndarray) -> list[tuple[int, int]]:
+    """Links between nodes that join all that are linked within the block, or between its two sides.
+
+    ``other`` tells the sides of a pair of blocks apart; with one side alone, all its pairs count. A pair is verified
+    on its sets if its sizes allow a link, its sketches differ in no more bits than a link can, and other
+    links haven't joined it yet; so a group of copies yields a link per member, not per pair.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.lexsort((nodes, size))
+    nodes, size, other, sets = nodes[order], size[order], other[order], [sets[i] for i in order]
+    bits = 1 << int(np.clip(np.ceil(np.log2(4 * np.median(size))), 8, 16))
+    sketch, parent, out = bit_sketches(sets, bits), np.arange(len(sets)), []
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    mixed = other.any() and not other.all()
+    for i in range(len(sets)):
+        end = int(np.searchsorted(size, size[i] * OF // LINK, "right"))
+        if end <= i + 1:
+            continue
+        apart = np.bitwise_count(sketch[i + 1 : end] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= (OF - LINK) * (size[i + 1 : end] + size[i]) // (OF + LINK)
+        if mixed:
+            near &= other[i + 1 : end] != other[i]
+        found = near.nonzero()[0]
+        for j in (found[np.argsort(apart[found], kind="stable")] + i + 1).tolist():
+            a, b = root(i), root(j)
+            if a != b and linked(sets[i], sets[j]):
+                parent[max(a, b)] = min(a, b)
+                out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each pair of blocks; rows come sorted by cluster and pair, so that one pair at a time is held."""
+    key, held = None, ([], [], [])
+
+    def done() -> pa.RecordBatch:
+        found = block_links(np.array(held[0], np.int64), held[1], np.array(held[2], bool)) if len(held[0]) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch, sets in _sets(batches):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y", "node", "side")), sets, strict=True)
+        for cluster, x, y, node, side, tokens in rows:
+            if (cluster, x, y) != key:
+                if held[0]:
+                    yield done()
+                key, held = (cluster, x, y), ([], [], [])
+            for part, value in zip(held, (node, tokens, side), strict=True):
+                part.append(value)
+    if held[0]:
+        yield done()
+
+
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (node, label) after the links (a, b) between nodes; labels are nodes, the smallest of a component.
 
@@ -169,15 +238,16 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cluster_nodes: int = CLUSTER_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included).
 
-    Documents with equal shingle sets are one node. Nodes send the keys of their sketches (see ``sketch_keys``), and a
-    key's nodes are candidates of each other. They aren't expanded into pairs: each node is verified against one
-    hub (the smallest node of a key), then against its other hubs as long as they are in other components; only for
-    keys whose nodes still lie in several components are the pairs across these verified. Pairs in one
-    component can't change it. So every link between components is found, and a group of near copies costs
-    about a verification per member. Sets, links and labels stay in tables; only emptiness tests come to the driver.
+    Documents with equal shingle sets are one node. Nodes send the keys of their sketches (see ``sketch_keys``); nodes
+    with a key in common are candidates of each other, and candidates of candidates a cluster, so that all links lie
+    inside clusters. A cluster is cut into blocks of about ``block_shingles`` shingles by size of set, and each pair of
+    blocks is compared by bit sketches and verified on the sets (see ``block_links``), a bounded task of its own.
+    Clusters of more than ``cluster_nodes`` nodes, where such pairs would become many, go key by key instead (see
+    ``_by_key``). No pair is left out on either way. Sets, links and labels stay in tables; only
+    counts come to the driver.
 
     Null and empty texts and those without words have n_shingles 0 and are linked with nothing. Repeated rows are
     equal sets; a null id joins its component but names it only if all ids there are null. Other columns are dropped.
@@ -186,7 +256,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ship(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = stage(rows.mapInArrow(_nodes, "doc_id long, n_shingles long, node long"))
-    smallest = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    smallest = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
 
     in_key = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
     keys = rows.select("text").mapInArrow(_keys, "key long, node long").withColumn("hub", F.first("node").over(in_key)).where("hub != node")
@@ -196,7 +266,37 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     picked = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     chosen = rows.withColumnRenamed("doc_id", "_d").join(picked, F.col("_d").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = stage(chosen.mapInArrow(_rebuilt, "node long, text string").dropDuplicates(["node"]))
-    labels = involved.select("node", F.col("node").alias("label"))
+
+    alone = involved.select("node", F.col("node").alias("label"))
+    clusters = merge_labels(alone, stars.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    large = stage(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cluster_nodes).select("label"))
+    by_size = Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
+    placed = clusters.join(large, "label", "left_anti").withColumnRenamed("label", "cluster").join(involved.select("node", "n"), "node")
+    placed = placed.withColumn("block", F.floor((F.sum("n").over(by_size) - F.col("n")) / block_shingles))
+    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
+    dealt = placed.join(last, "cluster").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    pairs = dealt.select("cluster", "node", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).alias("side")).join(texts, "node")
+    links = pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_blocks, "a long, b long")
+    labels = merge_labels(alone, stage(links))
+    if large.limit(1).count():
+        inside = clusters.join(large, "label").select("node")
+        labels = _by_key(shared.join(inside, "node", "left_semi"), texts, labels)
+
+    named = smallest.select("node", F.col("doc_id").alias("_low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    lowest = named.groupBy("label").agg(F.min("_low").alias("component_id"))
+    names = named.join(lowest, "label").select(F.col("node").alias("_n"), "component_id")
+    empty = table.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return table.where("node is not null").join(names, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+def _by_key(shared: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """``labels`` after all links between nodes of a key; ``shared`` has (key, hub, node), the hub a key's smallest node.
+
+    Each node is verified against one hub, then against its other hubs as long as they are in other components; for
+    keys whose nodes still lie in several components the pairs across these are verified. Pairs in one component
+    can't change it.
+    """
+    stars = stage(shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("n")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) the links."""
@@ -219,12 +319,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     ]
     for pairs in steps:
         labels = merge_labels(labels, verified(pairs()))
-
-    named = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_low")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = named.groupBy("label").agg(F.min("_low").alias("component_id"))
-    names = named.join(lowest, "label").select(F.col("node").alias("_n"), "component_id")
-    empty = table.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return table.where("node is not null").join(names, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    return labels
 
 
 def _cross(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
