@@ -160,7 +160,7 @@ def fixed_grid(spark, sf):
 
 
 #: Knots of a monotone map: index to seconds, shrunk so that speeds lie near 1.
-KNOTS = "knots AS (SELECT series, idx, idx::DOUBLE AS x, idx * 1.0::DOUBLE + (strength / 1000.0::DOUBLE) AS y FROM clock WHERE idx < 24)"
+KNOTS = "knots AS (SELECT series, idx, idx::DOUBLE AS x, idx * 1.0::DOUBLE + (strength / 1000.0::DOUBLE) AS y FROM clock)"
 SLOPES = (
     "ks AS (SELECT *, (y - lag(y) OVER w) / (x - lag(x) OVER w) AS l, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS r FROM knots WINDOW w AS (PARTITION BY series ORDER BY idx)), "
     "kt AS (SELECT *, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l WHEN l > 0 AND r > 0 THEN 2.0 / (1.0 / l + 1.0 / r) ELSE 0.0 END AS slope FROM ks), "
@@ -169,7 +169,7 @@ SLOPES = (
 
 
 def _knots(spark, sf):
-    return T.clock(spark, sf).where("idx < 24").select("series", "idx", F.col("idx").cast("double").alias("x"), (F.col("idx") * 1.0 + F.col("strength") / 1000.0).alias("y"))
+    return T.clock(spark, sf).select("series", "idx", F.col("idx").cast("double").alias("x"), (F.col("idx") * 1.0 + F.col("strength") / 1000.0).alias("y"))
 
 
 @register("knot_slopes", "SELECT series, idx, round(slope, 6) AS slope FROM kt", T.CLOCK_SQL, KNOTS, SLOPES)

@@ -1 +1,75 @@
-"""Queries."""
+"""Queries over sequential and dense kernels; SQL can't state them, the tests hold them against analytic cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import kernel_ops as K
+from ..operators import signal as S
+from ..sources import tables as T
+from .clock_queries import _knots
+from .registry import register
+
+
+def _waves(spark, sf, rate: int):
+    """All embeddings of a label end to end, as one signal."""
+    found = T.table(spark, sf, "embeddings").groupBy(F.col("label").cast("string").alias("series"))
+    listed = found.agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("_l"))
+    return listed.select("series", F.lit(rate).alias("rate"), F.flatten(F.transform("_l", lambda x: F.transform(x["embedding"], lambda v: v.cast("double")))).alias("samples"))
+
+
+@register("dp_beat_track")
+def dp_beat_track(spark, sf):
+    return K.beat_track(T.signal(spark, sf), 24.0, 0.05)
+
+
+@register("hmm_bars")
+def hmm_bars(spark, sf):
+    clock = T.clock(spark, sf)
+    return K.track_bars(clock.select("series", "idx", ((F.col("strength") - 50.0) / 20.0).alias("logit")))
+
+
+@register("meter_regions")
+def meter_regions(spark, sf):
+    return K.meter_regions(hmm_bars(spark, sf))
+
+
+@register("greedy_dedupe")
+def greedy_dedupe(spark, sf):
+    return K.remove_duplicates(T.clock(spark, sf), T.clock(spark, sf, "view"))
+
+
+@register("clock_fit")
+def clock_fit(spark, sf):
+    paired = T.clock(spark, sf).select("series", "idx", (F.col("idx") * 0.4 + 0.02 * (F.col("strength") % 1.0)).alias("raw_s"), (F.col("idx") * 0.4).alias("output_s"))
+    return K.regularise(paired)
+
+
+@register("adaptive_anchors")
+def adaptive_anchors(spark, sf):
+    return K.anchors(_knots(spark, sf))
+
+
+@register("yin_pitch")
+def yin_pitch(spark, sf):
+    return K.yin_pitch(_waves(spark, sf, 10000))
+
+
+@register("logmel")
+def logmel(spark, sf):
+    return K.log_mel(_waves(spark, sf, 22050))
+
+
+@register("stft_features")
+def stft_features(spark, sf):
+    return K.stft_features(_waves(spark, sf, 4000))
+
+
+@register("model_stitch")
+def model_stitch(spark, sf):
+    """Log mel frames in overlapping chunks through the stand-in model, stitched keeping the first chunk of a frame."""
+    mel = logmel(spark, sf)
+    sizes = mel.groupBy("series").agg((F.max("frame") + 1).alias("n"))
+    placed = S.chunks(sizes, 64, 6).join(mel, "series").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + 64))
+    packed = placed.groupBy("series", "chunk", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "bins"))), lambda x: x["bins"]).alias("bins"))
+    return K.infer(packed, K.energy_backend).join(S.stitch(S.chunks(sizes, 64, 6), 64, 6), ["series", "chunk", "frame"])

@@ -148,9 +148,9 @@ def band_share(spark, sf):
     return _rounded(S.band_share(T.frames(spark, sf)), 6, "b0", "b1", "b2", "b3")
 
 
-@register("dft_power", "SELECT series, h, round((power(sum(x * cos(2 * pi() * h * k / 128)), 2) + power(sum(x * sin(2 * pi() * h * k / 128)), 2)) / 1e6, 4) AS power FROM signal CROSS JOIN (SELECT unnest(range(0, 32)) AS h) WHERE k < 128 GROUP BY series, h", T.SIGNAL_SQL)
+@register("dft_power", "SELECT series, h, round((power(sum(x * cos(2 * pi() * h * k / 720)), 2) + power(sum(x * sin(2 * pi() * h * k / 720)), 2)) / 1e6, 4) AS power FROM signal CROSS JOIN (SELECT unnest(range(0, 32)) AS h) GROUP BY series, h", T.SIGNAL_SQL)
 def dft_power(spark, sf):
-    return S.dft_power(T.signal(spark, sf), 128, 32).withColumn("power", F.round(F.col("power") / 1e6, 4))
+    return S.dft_power(T.signal(spark, sf), 720, 32).withColumn("power", F.round(F.col("power") / 1e6, 4))
 
 
 CHROMA = "chroma AS (SELECT series, (bin % 12)::INT AS tone, sum(m) AS v FROM bins GROUP BY ALL)"
@@ -224,9 +224,9 @@ def midi_notes(spark, sf):
     return T.table(spark, sf, "events").select("event_id", found["midi"].alias("midi"), found["note"].alias("note"), F.round(found["cents"], 4).alias("cents"))
 
 
-@register("yin_difference", "SELECT a.series, b.k - a.k AS lag, round(sum(power(a.x - b.x, 2)) / count(*), 4) AS d FROM signal a JOIN signal b ON a.series = b.series AND b.k - a.k BETWEEN 0 AND 48 WHERE a.k < 240 AND b.k < 240 GROUP BY a.series, b.k - a.k", T.SIGNAL_SQL)
+@register("yin_difference", "SELECT a.series, b.k - a.k AS lag, round(sum(power(a.x - b.x, 2)) / count(*), 4) AS d FROM signal a JOIN signal b ON a.series = b.series AND b.k - a.k BETWEEN 0 AND 48 GROUP BY a.series, b.k - a.k", T.SIGNAL_SQL)
 def yin_difference(spark, sf):
-    return _rounded(S.yin_difference(T.signal(spark, sf), 240, 48), 4, "d")
+    return _rounded(S.yin_difference(T.signal(spark, sf), 720, 48), 4, "d")
 
 
 @register(
@@ -251,9 +251,9 @@ def peak_plateau(spark, sf):
 
 @register(
     "chunk_stitch",
-    "SELECT series, chunk, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame FROM (SELECT series, frame, min(chunk) AS chunk FROM (SELECT series, n, chunk, unnest(range(CASE WHEN chunk = 0 THEN 0 ELSE start + 6 END, least(n - 1, start + 1499 - CASE WHEN start + 1500 >= n THEN 0 ELSE 6 END) + 1)) AS frame FROM (SELECT series, n, chunk, CASE WHEN chunk = c - 1 AND n > 1500 THEN n - 1500 ELSE chunk * 1488 END AS start FROM (SELECT *, unnest(range(0, c)) AS chunk FROM (SELECT series, n, greatest(1, ceil((n - 12) / 1488.0))::BIGINT AS c FROM (SELECT o_orderkey AS series, floor(o_totalprice / 50)::BIGINT AS n FROM orders WHERE o_orderkey % 50 = 0)) )))  GROUP BY series, frame) GROUP BY series, chunk",
+    "SELECT series, chunk, count(*) AS frames, min(frame) AS first_frame, max(frame) AS last_frame FROM (SELECT series, frame, min(chunk) AS chunk FROM (SELECT series, n, chunk, unnest(range(CASE WHEN chunk = 0 THEN 0 ELSE start + 6 END, least(n - 1, start + 63 - CASE WHEN start + 64 >= n THEN 0 ELSE 6 END) + 1)) AS frame FROM (SELECT series, n, chunk, CASE WHEN chunk = c - 1 AND n > 64 THEN n - 64 ELSE chunk * 52 END AS start FROM (SELECT *, unnest(range(0, c)) AS chunk FROM (SELECT series, n, greatest(1, ceil((n - 12) / 52.0))::BIGINT AS c FROM (SELECT o_orderkey AS series, floor(o_totalprice / 2000)::BIGINT + 1 AS n FROM orders)) )))  GROUP BY series, frame) GROUP BY series, chunk",
 )
 def chunk_stitch(spark, sf):
-    sizes = T.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("series"), F.floor(F.col("o_totalprice") / 50).alias("n"))
-    frames = S.stitch(S.chunks(sizes))
+    sizes = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("series"), (F.floor(F.col("o_totalprice") / 2000) + 1).alias("n"))
+    frames = S.stitch(S.chunks(sizes, 64, 6), 64, 6)
     return frames.groupBy("series", "chunk").agg(F.count(F.lit(1)).alias("frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
