@@ -111,15 +111,13 @@ class _Tree:
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = end.end() if end else len(page)
-                self.flow.append((top, None))
-            elif tag in VOID or rest.endswith("/") and tag not in CLOSES_P:
-                self.flow.append((top, None))
-            else:
+            elif tag not in VOID and not (rest.endswith("/") and tag not in CLOSES_P):
                 stack.append(k)
 
     def _pop(self, stack: list[int], depth: int) -> None:
+        closed = stack[depth:]
         del stack[depth:]
-        self.flow.append((stack[-1], None))
+        self.flow.append((next((k for k in closed if self.tag[k] not in INLINE), closed[0]), None))
 
     def _close(self, stack: list[int], tag: str) -> None:
         for depth in range(len(stack) - 1, 0, -1):

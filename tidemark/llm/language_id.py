@@ -89,7 +89,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT
         counts[got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(), got["bucket"].to_numpy()] += got["n"].to_numpy()
     shaped = counts.reshape(len(languages), len(ORDERS), 1 << BITS)
     logs = np.log(shaped / shaped.sum(axis=2, keepdims=True))
-    return Model(languages, logs.reshape(len(languages), -1).astype(np.float32))
+    return Model(languages, logs.reshape(len(languages), len(ORDERS) << BITS).astype(np.float32))
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
