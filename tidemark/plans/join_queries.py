@@ -157,7 +157,7 @@ def weighted_median(spark, sf):
 
 @register(
     "cue_change",
-    "SELECT series, t, round(CASE WHEN cb < 14 OR ca < 14 THEN 0.0 ELSE greatest(-1.0, least(1.0, (aa / ca - ab / cb) / 6171.0)) END, 6) AS change FROM (SELECT p.series, p.t, "
+    "SELECT series, t, round(CASE WHEN cb < 14 OR ca < 14 THEN 0.0 ELSE greatest(-1.0, least(1.0, (aa / ca - ab / cb) / 6171.0)) END, 4) AS change FROM (SELECT p.series, p.t, "
     + ", ".join(
         f'coalesce(sum(greatest(0.0::DOUBLE, least("end"::DOUBLE, {hi}) - greatest(start::DOUBLE, {lo})) * {w}), 0.0) AS {n}'
         for n, lo, hi, w in (("cb", "t - 28", "t", "1"), ("ca", "t", "t + 28", "1"), ("ab", "t - 28", "t", "level"), ("aa", "t", "t + 28", "level"))
@@ -168,7 +168,7 @@ def weighted_median(spark, sf):
 def cue_change(spark, sf):
     blocks = T.blocks(spark, sf)
     probes = blocks.select("series").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(299)))).select("series", (F.col("i") * 10 + 3).cast("double").alias("t"))
-    return P.cue_change(blocks, probes, 28.0, 6171.0).withColumn("change", F.round("change", 6))
+    return P.cue_change(blocks, probes, 28.0, 6171.0).withColumn("change", F.round("change", 4))
 
 
 SPANS = "spans AS (SELECT series, bar, bar * 4 AS s, bar * 4 + 4 AS e FROM (SELECT series, unnest(range(0, last // 4)) AS bar FROM (SELECT series, max(idx) AS last FROM clock GROUP BY series) WHERE last >= 4))"
