@@ -129,9 +129,9 @@ def _holds(query: tuple, found: Column) -> Column:
 
 def postings(docs: DataFrame, row: str, text: str, grams: list[str]) -> DataFrame:
     """The inverted index over the trigrams that queries can ask for: a row (gram, row) for each text that holds it."""
-    low = F.lower(F.col(text))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams])) if grams else F.array().cast("array<string>")
-    return docs.select(F.explode(held).alias("gram"), F.col(row))
+    low = docs.select(F.col(row), F.lower(F.col(text)).alias("_low"))
+    held = F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains(F.col("_low"), g))
+    return low.select(F.explode(held).alias("gram"), F.col(row))
 
 
 def spans_of(text: Column, kind: str, rule: Rule, order: int) -> Column:
