@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernel_ops as K
 from ..operators import signal as S
+from ..operators import transitions as TR
 from ..sources import tables as T
 from .clock_queries import _knots
 from .registry import register
@@ -73,3 +74,14 @@ def model_stitch(spark, sf):
     placed = S.chunks(sizes, 64, 6).join(mel, "series").where((F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + 64))
     packed = placed.groupBy("series", "chunk", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "bins"))), lambda x: x["bins"]).alias("bins"))
     return K.infer(packed, K.energy_backend).join(S.stitch(S.chunks(sizes, 64, 6), 64, 6), ["series", "chunk", "frame"])
+
+
+@register("transition_plans")
+def transition_plans(spark, sf):
+    """Transitions from each customer to the next: orders are bars, their lines the pulses of a near-regular clock."""
+    bars = T.bars(spark, sf)
+    marked = bars.select("series", "bar", "pulses", (F.col("score") > 30_000).alias("usable"), (F.col("score") / 1e6).alias("score"))
+    ends = bars.groupBy("series").agg(F.sum("pulses").alias("n"))
+    clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
+    pairs = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"))
+    return TR.plan(pairs, marked, clocks, (2, 4))
