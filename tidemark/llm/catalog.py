@@ -26,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.SQL,
+        "op5_substring_dedup": substring_dedup.SQL,
         "op6_url_filter": url_filter.SQL,
         "op7_secret_scan": secret_scan.SQL,
     }

@@ -427,3 +427,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     done = remove_repeats(read_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), q AS (SELECT doc_id, n, o, substr(x, 2 * o + 1, 1222) AS y FROM (SELECT *, unnest(range(0, n - 99, 512)) AS o FROM d WHERE n >= 100)
+), p AS (SELECT doc_id, o + i AS s, md5_number(substr(y, 2 * i - 1, 200)) AS h FROM (SELECT *, unnest(range(1, least(512, n - 99 - o) + 1)) AS i FROM q)
+), g AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM p) WHERE k > 1
+), r AS (SELECT *, sum(CASE WHEN s <= e + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s), -1000) AS e FROM g)
+), c AS (SELECT doc_id, min(s) AS a, max(s) + 99 AS b FROM r GROUP BY doc_id, run
+), k AS (SELECT doc_id, sum(b - a + 1)::BIGINT AS cut, count(*) AS spans FROM c GROUP BY doc_id
+), gaps AS (
+  SELECT doc_id, lag(b, 1, 0) OVER w + 1 AS a, a - 1 AS b FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0) + 1, any_value(n) FROM d LEFT JOIN c USING (doc_id) GROUP BY d.doc_id
+), t AS (SELECT gaps.doc_id, string_agg(substr(x, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a) AS y FROM gaps JOIN d USING (doc_id) WHERE b >= a GROUP BY gaps.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(cut, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(y, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
