@@ -174,3 +174,16 @@ def test_upper_median():
     jittered[4] += 0.08
     spans = np.sort((jittered[8:] - jittered[:-8]) / 8)
     assert beats.robust_interval(jittered) == spans[len(spans) // 2]
+
+
+def test_stable_ranges_find_the_steady_part():
+    rng = np.random.default_rng(4)
+    phase = np.concatenate([rng.random(40), 0.3 + rng.normal(0, 0.01, 60), rng.random(40)])
+    reach, segment = np.full(140, 0.1), np.zeros(140, int)
+    (found,) = beats.stable_ranges(phase, reach, segment)
+    assert 34 <= found["first"] <= 42 and 97 <= found["last"] <= 106 and abs(found["center"] - 0.3) < 0.02
+    split = beats.stable_ranges(phase, reach, (np.arange(140) >= 70).astype(int))
+    assert split and all((r["last"] < 70) == (r["first"] < 70) for r in split)
+    assert beats.stable_ranges(rng.random(100), reach[:100], segment[:100]) == []
+    drifting = np.linspace(0, 1.0, 100)
+    assert beats.stable_ranges(drifting, np.full(100, 0.05), segment[:100]) == []
