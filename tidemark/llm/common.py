@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 #: Bytes of text that one numpy pass works on; it bounds a worker's memory whatever Arrow's batch size.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _shipped: set[str] = set()
 
