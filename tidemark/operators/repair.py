@@ -228,3 +228,105 @@ def validate_chunks(chunks: DataFrame, size: int) -> DataFrame:
     return chunks.withColumn("fault", F.when(wrong, "WRONG_SIZE").when(odd, "NOT_FINITE")).select("series", "start_frame", "fault")
 
 
+
+
+def with_halo(chunks: DataFrame, before: int, after: int) -> DataFrame:
+    """Chunks (series, start_frame, samples) with the last samples of the chunk before and the first of the next.
+
+    ``lead_in`` says how many samples come from before. A halo longer than a chunk is cut to it.
+    """
+    w = Window.partitionBy("series").orderBy("start_frame")
+    ahead, behind = F.coalesce(F.lead("samples").over(w), F.array().cast("array<double>")), F.coalesce(F.lag("samples").over(w), F.array().cast("array<double>"))
+    held = chunks.withColumn("samples", F.transform("samples", lambda x: x.cast("double")))
+    both = held.withColumn("_a", ahead).withColumn("_b", behind)
+    tail = F.slice("_b", F.greatest(F.lit(1), F.size("_b") - before + 1), F.lit(max(before, 0)))
+    return both.select("series", "start_frame", F.concat(tail, "samples", F.slice("_a", F.lit(1), F.lit(after))).alias("samples"), F.least(F.size("_b"), F.lit(before)).alias("lead_in"))
+
+
+def local_support(phases: DataFrame, ranges: DataFrame, distance) -> DataFrame:
+    """Events (series, idx, us, phase, tolerance) near the phase of a range (series, from_us, to_us, center) that holds them."""
+    met = range_join(phases, ranges, "us", "from_us", "to_us", ["series"], 24 * 3_600_000_000)
+    return met.where(distance(F.col("phase"), F.col("center")) <= F.col("tolerance")).select("series", "idx").distinct()
+
+
+def bars_with_support(bars: DataFrame, assessed: DataFrame) -> DataFrame:
+    """Usable bars (series, bar, start_idx, end_idx, usable) that recurrence evidence of their own range supports too."""
+    known = assessed.select("series", F.col("start").alias("start_idx"), (F.col("end") - 1).alias("end_idx"), "supported")
+    return bars.join(known, ["series", "start_idx", "end_idx"], "left").withColumn("usable", F.col("usable") & F.coalesce("supported", F.lit(False))).drop("supported")
+
+
+def observations(clock: DataFrame, activations: DataFrame, hop_us: int, most_us: int) -> DataFrame:
+    """Largest activation (series, k, x) near each beat, at most a quarter of the way to its neighbours."""
+    w = Window.partitionBy("series").orderBy("idx")
+    gap = F.least(F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(1 << 62)), F.coalesce(F.lead("us").over(w) - F.col("us"), F.lit(1 << 62)))
+    reach = clock.withColumn("_r", F.least(F.lit(most_us), F.floor(gap / 4))).select("series", "idx", (F.col("us") - F.col("_r")).alias("_from"), (F.col("us") + F.col("_r")).alias("_to"))
+    at = activations.select("series", (F.col("k") * hop_us).alias("_us"), "x")
+    met = range_join(at, reach, "_us", "_from", "_to", ["series"], max(1, 4 * most_us))
+    found = met.groupBy("series", "idx").agg(F.max("x").alias("x"))
+    return clock.select("series", "idx").join(found, ["series", "idx"], "left").select("series", "idx", F.coalesce("x", F.lit(-1000.0)).alias("logit"))
+
+
+def phase_cost(a: Column, b: Column) -> Column:
+    """How far two neighbouring distances are from whole periods, one at least."""
+    off = lambda x: F.abs(x - F.greatest(F.lit(1.0), F.rint(x)))
+    return off(a) + off(b)
+
+
+def relocations(clock: DataFrame, reference: DataFrame, candidates: DataFrame, strong: float = 0.65, lead: float = 0.08) -> DataFrame:
+    """Weak beats with a candidate that makes their neighbours' distances far more whole: series, idx, us, moved_us.
+
+    candidates: series, idx, at_us, the attack found for a beat. A beat is weak under ``strong`` and clearly under its
+    neighbours' mean; the new place must cost at most 0.24 periods, under half of the old one and 0.15 less, and lie
+    0.02 to 0.4 periods away between the neighbours.
+    """
+    w = Window.partitionBy("series").orderBy("idx")
+    around = clock.withColumn("_l", F.lag("us").over(w)).withColumn("_r", F.lead("us").over(w)).withColumn("_m", (F.lag("strength").over(w) + F.lead("strength").over(w)) / 2)
+    weak = around.where((F.col("strength") < strong) & (F.col("strength") + lead < F.col("_m")))
+    periods = against_reference(clock, reference).select("series", "idx", F.col("ref_us").alias("_p")).where("_p is not null")
+    met = weak.join(periods, ["series", "idx"]).join(candidates, ["series", "idx"])
+    total = (F.col("_r") - F.col("_l")) / F.col("_p")
+    cost = lambda t: phase_cost((t - F.col("_l")) / F.col("_p"), (F.col("_r") - t) / F.col("_p"))
+    old, new, move = cost(F.col("us")), cost(F.col("at_us")), F.abs(F.col("at_us") - F.col("us")) / F.col("_p")
+    good = F.rint(total).between(2, 5) & (F.abs(total - F.rint(total)) <= 0.24) & move.between(0.02, 0.4) & (F.col("at_us") > F.col("_l")) & (F.col("at_us") < F.col("_r")) & (new <= 0.24) & (new < old * 0.5) & (old - new >= 0.15)
+    return met.where(good).select("series", "idx", "us", F.col("at_us").alias("moved_us"))
+
+
+def part_scores(parts: DataFrame) -> DataFrame:
+    """Scores of a part as an exit and as an entry. parts: part, from_s, to_s, window_s, duration_s, entry, exit, quiet, build."""
+    held = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    own = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("to_s") - F.col("from_s")) / (2.0 * F.col("window_s"))))
+    place = F.col("from_s") / F.col("duration_s")
+    falls, rises = lambda c: F.greatest(F.lit(0.0), -F.col(c)), lambda c: F.greatest(F.lit(0.0), F.col(c))
+    out = own * (1.2 * falls("entry") + 0.45 * falls("exit")) + 1.1 * held((place - 0.70) / 0.20) + 0.15 * F.col("quiet")
+    into = own * (2.0 * rises("exit") + 0.65 * rises("entry")) + 0.45 * F.col("build") + 0.25 * F.col("quiet") + 0.25 * held((0.45 - place) / 0.4)
+    return parts.select("part", out.alias("outgoing"), into.alias("incoming"))
+
+
+def longest_constant(starts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` longest matches of every pair (pair, incoming, outgoing, length): longer, then earlier in, then earlier out."""
+    order = Window.partitionBy("pair").orderBy(F.desc("length"), "incoming", "outgoing")
+    return starts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def translation_only(anchors: DataFrame, tolerance: int = 0) -> DataFrame:
+    """Plans whose anchors (plan_id, source_frame, output_frame) only shift the source, and by how much: these need no resampling."""
+    shift = F.col("output_frame") - F.col("source_frame")
+    found = anchors.groupBy("plan_id").agg(F.min(shift).alias("shift"), F.max(shift).alias("_high"))
+    return found.select("plan_id", "shift", (F.col("_high") - F.col("shift") <= tolerance).alias("translation"))
+
+
+def yin_layout(signals: DataFrame, low: float = 50.0, hop_s: float = 0.02, window_s: float = 0.08) -> DataFrame:
+    """Window, hop and number of complete windows of signals (series, rate, n)."""
+    lag = F.ceil(F.col("rate") / low)
+    made = signals.withColumn("window", F.greatest(F.ceil(F.col("rate") * window_s), 4 * lag + 1)).withColumn("hop", F.greatest(F.lit(1).cast("long"), F.floor(F.col("rate") * hop_s + 0.5)))
+    return made.select("series", "window", "hop", F.when(F.col("n") >= F.col("window"), 1 + F.floor((F.col("n") - F.col("window")) / F.col("hop"))).otherwise(0).alias("frames"))
+
+
+def steady_choice(energies: DataFrame, margin_db: float = 1.0) -> DataFrame:
+    """Which of two channels to use per frame (series, frame, e0, e1): a lead of ``margin_db`` makes the choice change."""
+    w = Window.partitionBy("series").orderBy("frame")
+    floor = F.lit(1e-16)
+    lead_db = 10 * F.log10(F.greatest(floor, F.col("e1")) / F.greatest(floor, F.col("e0")))
+    says = F.when(lead_db > margin_db, 1).when(lead_db < -margin_db, 0)
+    first = F.when(F.row_number().over(w) == 1, F.when(lead_db > 0, 1).otherwise(0)).otherwise(says)
+    return energies.withColumn("_s", first).select("series", "frame", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("channel"))

@@ -257,3 +257,118 @@ def global_pair_order(spark, sf):
     b = into.groupBy("signature", F.col("series").alias("in_series")).agg(F.max("score").alias("b"))
     order = Window.partitionBy("signature").orderBy(F.desc(F.col("a") + F.col("b")), "in_series", F.desc("out_series"))
     return a.join(b, "signature").withColumn("position", F.row_number().over(order)).where("position <= 3").select("signature", "out_series", "in_series", "position")
+
+
+@register(
+    "chunk_halo",
+    "SELECT c.series, c.s AS start_frame, count(*) AS n, round(sum(x), 4) AS total, least(c.s, 3)::INT AS lead_in FROM (SELECT DISTINCT series, k // 48 * 48 AS s FROM signal) c JOIN signal g ON g.series = c.series AND g.k BETWEEN c.s - 3 AND c.s + 52 GROUP BY c.series, c.s",
+    T.SIGNAL_SQL,
+)
+def chunk_halo(spark, sf):
+    chunks = T.signal(spark, sf).groupBy("series", (F.floor(F.col("k") / 48) * 48).alias("start_frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("samples"))
+    found = R.with_halo(chunks, 3, 5)
+    return found.select("series", "start_frame", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "lead_in")
+
+
+@register("event_support", f"SELECT DISTINCT ph.series, ph.idx FROM ph JOIN ps USING (series) JOIN sessions s ON s.series = ph.series AND ph.us BETWEEN s.start AND s.\"end\" WHERE {EQ._dist('phase', 'center')} <= tolerance", *EQ.BASE, JQ.SESSIONS)
+def event_support(spark, sf):
+    from ..operators import evidence as E
+
+    found = EQ._phases(spark, sf)
+    clicks = T.clock(spark, sf, "click")
+    gap = F.col("us") - F.lag("us").over(Window.partitionBy("series").orderBy("idx")) > 6 * HOUR
+    runs = JQ.Q.islands(clicks, ["series"], "idx", gap).groupBy("series", "island").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"))
+    ranges = runs.join(E.circular_stats(found, ["series"]).select("series", "center"), "series").drop("island")
+    return R.local_support(found, ranges, E.circular_distance)
+
+
+@register(
+    "supported_bars",
+    "SELECT p.series, p.bar, coalesce(NOT (low OR conflict OR short) AND ok, false) AS usable FROM spans p JOIN usable u ON u.series = p.series AND u.bar = p.bar JOIN (SELECT p.series, p.bar, NOT (bool_or(missing) OR bool_or(nonrecurring) OR bool_or(q AND i > s) OR avg(active::INT::DOUBLE) < 0.5) AS ok FROM spans p JOIN (SELECT *, NOT active AND NOT coalesce(lag(active) OVER (PARTITION BY series ORDER BY i), true) AS q FROM fl) f ON f.series = p.series AND f.i BETWEEN s AND e - 1 GROUP BY p.series, p.bar) k ON k.series = p.series AND k.bar = p.bar",
+    T.CLOCK_SQL,
+    JQ.SPANS,
+    JQ.USABLE,
+    EQ._FLAGS,
+)
+def supported_bars(spark, sf):
+    from ..operators import evidence as E
+
+    clock = T.clock(spark, sf)
+    spans = P.bar_spans(clock, 4)
+    assessed = E.assess_ranges(E.prefix_index(EQ._flags(spark, sf)), spans.select("series", F.col("start_idx").alias("start"), (F.col("end_idx") + 1).alias("end")))
+    bars = spans.join(P.bar_usability(clock, 4, 1.5, 200.0).select("series", "bar", "usable"), ["series", "bar"])
+    return R.bars_with_support(bars, assessed).select("series", "bar", "usable")
+
+
+@register(
+    "beat_observations",
+    f"SELECT c.series, c.idx, coalesce(max(s.x), -1000.0::DOUBLE) AS logit FROM (SELECT *, least({6 * HOUR}, floor(least(coalesce(us - lag(us) OVER w, 4611686018427387904), coalesce(lead(us) OVER w - us, 4611686018427387904)) / 4)::BIGINT) AS r FROM clicks WINDOW w AS (PARTITION BY series ORDER BY idx)) c LEFT JOIN (SELECT k * {HOUR} AS at_us, x FROM signal WHERE series = 'click') s ON s.at_us BETWEEN c.us - r AND c.us + r GROUP BY c.series, c.idx",
+    CLICKS,
+    T.SIGNAL_SQL,
+)
+def beat_observations(spark, sf):
+    clock = T.clock(spark, sf, "click")
+    shape = T.signal(spark, sf).where("series = 'click'").select("k", "x")
+    each = clock.select("series").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(719).cast("long")))).join(shape, "k")
+    return R.observations(clock, each, HOUR, 6 * HOUR)
+
+
+_COST = "abs({a} - greatest(1.0::DOUBLE, round_even({a}, 0)::DOUBLE)) + abs({b} - greatest(1.0::DOUBLE, round_even({b}, 0)::DOUBLE))"
+_OLD = _COST.format(a="((us - l) / p)", b="((r - us) / p)")
+_NEW = _COST.format(a="((v - l) / p)", b="((r - v) / p)")
+
+
+@register(
+    "weak_relocations",
+    f"SELECT series, idx, us, v AS moved_us FROM (SELECT c.*, ag.ref_us::DOUBLE AS p, (l + r) // 2 AS v FROM (SELECT *, lag(us) OVER w AS l, lead(us) OVER w AS r, (lag(strength) OVER w + lead(strength) OVER w) / 2 AS m FROM clock WINDOW w AS (PARTITION BY series ORDER BY idx)) c JOIN ag ON ag.series = c.series AND ag.idx = c.idx WHERE strength < 65 AND strength + 8 < m AND ag.ref_us IS NOT NULL) WHERE round_even((r - l) / p, 0) BETWEEN 2 AND 5 AND abs((r - l) / p - round_even((r - l) / p, 0)) <= 0.24 AND abs(v - us) / p BETWEEN 0.02 AND 0.4 AND {_NEW} <= 0.24 AND {_NEW} < ({_OLD}) * 0.5 AND ({_OLD}) - ({_NEW}) >= 0.15",
+    *CQ.REFERENCE,
+)
+def weak_relocations(spark, sf):
+    clock = T.clock(spark, sf)
+    w = Window.partitionBy("series").orderBy("idx")
+    middle = clock.withColumn("at_us", F.floor((F.lag("us").over(w) + F.lead("us").over(w)) / 2)).where("at_us is not null").select("series", "idx", "at_us")
+    return R.relocations(clock, T.clock(spark, sf, "view"), middle, 65.0, 8.0)
+
+
+_OWN = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (t - f) / 16.0))"
+
+
+@register(
+    "part_scores",
+    f"SELECT part, round({_OWN} * (1.2 * greatest(0.0::DOUBLE, -en) + 0.45 * greatest(0.0::DOUBLE, -ex)) + 1.1 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (f / 200.0 - 0.70) / 0.20)) + 0.15 * q, 8) AS outgoing, round({_OWN} * (2.0 * greatest(0.0::DOUBLE, ex) + 0.65 * greatest(0.0::DOUBLE, en)) + 0.45 * b + 0.25 * q + 0.25 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (0.45 - f / 200.0) / 0.4)), 8) AS incoming FROM (SELECT o_orderkey AS part, (o_custkey % 180)::DOUBLE AS f, (o_custkey % 180 + 5 + o_orderkey % 20)::DOUBLE AS t, (o_orderkey % 21 - 10) / 10.0::DOUBLE AS en, (o_custkey % 21 - 10) / 10.0::DOUBLE AS ex, (o_orderkey % 11 - 5) / 5.0::DOUBLE AS q, (o_custkey % 11 - 5) / 5.0::DOUBLE AS b FROM orders)",
+)
+def part_scores(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    parts = T.table(spark, sf, "orders").select(
+        k.alias("part"), (c % 180).cast("double").alias("from_s"), (c % 180 + 5 + k % 20).cast("double").alias("to_s"), F.lit(8.0).alias("window_s"), F.lit(200.0).alias("duration_s"),
+        ((k % 21 - 10) / 10.0).alias("entry"), ((c % 21 - 10) / 10.0).alias("exit"), ((k % 11 - 5) / 5.0).alias("quiet"), ((c % 11 - 5) / 5.0).alias("build"),
+    )
+    return R.part_scores(parts).select("part", F.round("outgoing", 8).alias("outgoing"), F.round("incoming", 8).alias("incoming"))
+
+
+@register("longest_constant", "SELECT pair, incoming, outgoing, length, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY length DESC, incoming, outgoing) AS rank FROM (SELECT pair, min(j) AS incoming, min(i) AS outgoing, count(*) AS length FROM (SELECT a.series AS pair, a.bar AS i, b.bar AS j, a.bar - row_number() OVER (PARTITION BY a.series, a.bar - b.bar, a.pulses ORDER BY a.bar) AS g, a.pulses AS p FROM bars a JOIN bars b ON b.series = a.series + 1 AND a.pulses = b.pulses) GROUP BY pair, i - j, p, g)) WHERE rank <= 3", T.BARS_SQL)
+def longest_constant(spark, sf):
+    bars = T.bars(spark, sf)
+    a = bars.select(F.col("series").alias("pair"), F.col("bar").alias("i"), "pulses")
+    b = bars.select((F.col("series") - 1).alias("pair"), F.col("bar").alias("j"), "pulses")
+    met = a.join(b, ["pair", "pulses"]).withColumn("d", F.col("i") - F.col("j"))
+    runs = met.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("pair", "d", "pulses").orderBy("i")))
+    found = runs.groupBy("pair", "d", "pulses", "g").agg(F.min("j").alias("incoming"), F.min("i").alias("outgoing"), F.count(F.lit(1)).alias("length"))
+    return R.longest_constant(found, 3).select("pair", "incoming", "outgoing", "length", "rank")
+
+
+@register("translation_only", "SELECT plan_id, min(output_frame - source_frame) AS shift, max(output_frame - source_frame) = min(output_frame - source_frame) AS translation FROM an GROUP BY plan_id", ANCHORS.replace("floor(value * 100)::BIGINT", "CASE WHEN user_id % 2 = 0 THEN 77 ELSE floor(value * 100)::BIGINT END"))
+def translation_only(spark, sf):
+    frame = F.floor(F.col("us") / 1000)
+    moved = F.when(F.col("series") % 2 == 0, F.lit(77).cast("long")).otherwise(F.floor(F.col("strength") * 100))
+    return R.translation_only(T.clock(spark, sf).select(F.col("series").alias("plan_id"), frame.alias("source_frame"), (frame + moved).alias("output_frame")))
+
+
+@register("yin_layout", "SELECT series, w AS \"window\", h AS hop, CASE WHEN n >= w THEN 1 + (n - w) // h ELSE 0 END AS frames FROM (SELECT series, n, greatest(ceil(rate * 0.08)::BIGINT, 4 * ceil(rate / 50.0)::BIGINT + 1) AS w, greatest(1, floor(rate * 0.02 + 0.5)::BIGINT) AS h FROM (SELECT o_orderkey AS series, 4000 + o_custkey % 40000 AS rate, floor(o_totalprice)::BIGINT AS n FROM orders))")
+def yin_layout(spark, sf):
+    return R.yin_layout(T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("series"), (4000 + F.col("o_custkey") % 40000).alias("rate"), F.floor("o_totalprice").alias("n")))
+
+
+@register("channel_choice", "SELECT series, idx AS frame, last_value(s IGNORE NULLS) OVER (PARTITION BY series ORDER BY idx ROWS UNBOUNDED PRECEDING) AS channel FROM (SELECT series, idx, CASE WHEN idx = 0 THEN (d > 0)::INT WHEN d > 1 THEN 1 WHEN d < -1 THEN 0 END AS s FROM (SELECT series, idx, 10 * log10((strength + 1) / (20 + us % 30)) AS d FROM clock))", T.CLOCK_SQL)
+def channel_choice(spark, sf):
+    return R.steady_choice(T.clock(spark, sf).select("series", F.col("idx").alias("frame"), (20 + F.col("us") % 30).cast("double").alias("e0"), (F.col("strength") + 1).alias("e1")))
