@@ -335,7 +335,7 @@ _OWN = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (t - f) / 16.0))"
 
 @register(
     "part_scores",
-    f"SELECT part, round({_OWN} * (1.2 * greatest(0.0::DOUBLE, -en) + 0.45 * greatest(0.0::DOUBLE, -ex)) + 1.1 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (f / 200.0 - 0.70) / 0.20)) + 0.15 * q, 8) AS outgoing, round({_OWN} * (2.0 * greatest(0.0::DOUBLE, ex) + 0.65 * greatest(0.0::DOUBLE, en)) + 0.45 * b + 0.25 * q + 0.25 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (0.45 - f / 200.0) / 0.4)), 8) AS incoming FROM (SELECT o_orderkey AS part, (o_custkey % 180)::DOUBLE AS f, (o_custkey % 180 + 5 + o_orderkey % 20)::DOUBLE AS t, (o_orderkey % 21 - 10) / 10.0::DOUBLE AS en, (o_custkey % 21 - 10) / 10.0::DOUBLE AS ex, (o_orderkey % 11 - 5) / 5.0::DOUBLE AS q, (o_custkey % 11 - 5) / 5.0::DOUBLE AS b FROM orders)",
+    f"SELECT part, round({_OWN} * (1.2 * greatest(0.0::DOUBLE, -en) + 0.45 * greatest(0.0::DOUBLE, -ex)) + 1.1 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (f / 200.0 - 0.70) / 0.20)) + 0.15 * q, 8) + 0.0::DOUBLE AS outgoing, round({_OWN} * (2.0 * greatest(0.0::DOUBLE, ex) + 0.65 * greatest(0.0::DOUBLE, en)) + 0.45 * b + 0.25 * q + 0.25 * greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (0.45 - f / 200.0) / 0.4)), 8) + 0.0::DOUBLE AS incoming FROM (SELECT o_orderkey AS part, (o_custkey % 180)::DOUBLE AS f, (o_custkey % 180 + 5 + o_orderkey % 20)::DOUBLE AS t, (o_orderkey % 21 - 10) / 10.0::DOUBLE AS en, (o_custkey % 21 - 10) / 10.0::DOUBLE AS ex, (o_orderkey % 11 - 5) / 5.0::DOUBLE AS q, (o_custkey % 11 - 5) / 5.0::DOUBLE AS b FROM orders)",
 )
 def part_scores(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -343,7 +343,7 @@ def part_scores(spark, sf):
         k.alias("part"), (c % 180).cast("double").alias("from_s"), (c % 180 + 5 + k % 20).cast("double").alias("to_s"), F.lit(8.0).alias("window_s"), F.lit(200.0).alias("duration_s"),
         ((k % 21 - 10) / 10.0).alias("entry"), ((c % 21 - 10) / 10.0).alias("exit"), ((k % 11 - 5) / 5.0).alias("quiet"), ((c % 11 - 5) / 5.0).alias("build"),
     )
-    return R.part_scores(parts).select("part", F.round("outgoing", 8).alias("outgoing"), F.round("incoming", 8).alias("incoming"))
+    return R.part_scores(parts).select("part", (F.round("outgoing", 8) + 0.0).alias("outgoing"), (F.round("incoming", 8) + 0.0).alias("incoming"))
 
 
 @register("longest_constant", "SELECT pair, incoming, outgoing, length, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY length DESC, incoming, outgoing) AS rank FROM (SELECT pair, min(j) AS incoming, min(i) AS outgoing, count(*) AS length FROM (SELECT a.series AS pair, a.bar AS i, b.bar AS j, a.bar - row_number() OVER (PARTITION BY a.series, a.bar - b.bar, a.pulses ORDER BY a.bar) AS g, a.pulses AS p FROM bars a JOIN bars b ON b.series = a.series + 1 AND a.pulses = b.pulses) GROUP BY pair, i - j, p, g)) WHERE rank <= 3", T.BARS_SQL)
