@@ -7,6 +7,7 @@ import re
 import awkward
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from tidemark.llm import ann, bm25
 from tidemark.llm.common import utf8
@@ -49,6 +50,7 @@ def found(df):
 
 def test_bm25_of_whole_texts_over_many_shards(spark, documents, texts, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 30_000)
+    monkeypatch.setattr(bm25, "OUTRIGHT", 50)
     asked = [(i, t) for i, t in texts if i % 10 == 0]
     got = found(bm25.search(bm25.build(documents), spark.createDataFrame(asked, "query_id long, text string"), k=7))
     assert got == brute(texts, asked, 7)
@@ -70,7 +72,9 @@ def test_bm25_awkward(spark):
     assert bm25.search(empty, asked, k=3).count() == 0
 
 
-def test_pruning_skips_and_stays_exact():
+@pytest.mark.parametrize("outright", [0, 4096])
+def test_pruning_skips_and_stays_exact(monkeypatch, outright):
+    monkeypatch.setattr(bm25, "OUTRIGHT", outright)
     rng = np.random.default_rng(0)
     docs = [" ".join(rng.choice([f"w{i}" for i in range(60)], size=rng.integers(1, 40), p=np.r_[np.full(10, 0.09), np.full(50, 0.002)])) for _ in range(3000)]
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000), pa.int64()), "text": pa.array(docs)})

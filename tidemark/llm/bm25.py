@@ -17,6 +17,8 @@ from .substring_dedup import packed, unpacked
 K1, B = 1.2, 0.75
 #: Bytes of text that a shard indexes, postings of a block, and queries that are broadcast at a time.
 SHARD_BYTES, BLOCK, QUERY_BLOCK = 32 << 20, 64, 4096
+#: Postings of a query in a shard up to which they are all scored.
+OUTRIGHT = 4096
 #: Terms of a query that is a whole document: those of the largest tf * idf among its whole text's.
 QUERY_TERMS = 32
 
@@ -108,9 +110,12 @@ class Shard:
 
         The blocks' bounds cut the documents into intervals; an interval's ceiling is the sum of the largest impacts
         of the blocks over it. Intervals are scored by falling ceiling, and those whose ceiling doesn't reach the
-        k-th best score so far are skipped with all their postings, as in block-max WAND.
+        k-th best score so far are skipped with all their postings, as in block-max WAND. Where all the postings are
+        fewer than OUTRIGHT, skipping would cost more than scoring them.
         """
         n = len(self.ids)
+        if int((self.start[terms + 1] - self.start[terms]).sum()) <= OUTRIGHT:
+            return self._all(terms, idf, k)
         cut, top = [], []
         for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
             b, e = self.block_of[t], self.block_of[t + 1]
@@ -146,6 +151,15 @@ class Shard:
         return found, score[found]
 
 
+    def _all(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(first + n - np.cumsum(n), n) + np.arange(n.sum())
+        found, place = np.unique(self.doc[at], return_inverse=True)
+        score = np.bincount(place, np.repeat(idf, n) * self.impact[at], len(found))  # term by term, as below
+        best = np.lexsort((self.ids[found], self.no_id[found], -score))[:k]
+        return found[best], score[best]
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a table: a row per shard of about SHARD_BYTES of text."""
     ship(docs.sparkSession)
