@@ -26,7 +26,7 @@ REMEMBERED = 200_000
 #: Nodes up to which a cluster of candidates is compared block by block, and shingles of a block's nodes.
 CLUSTER_NODES, BLOCK_SHINGLES = 32_768, 1_000_000
 #: Candidate documents up to which their ids are broadcast to pick their texts; beyond it the texts are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 @lru_cache(maxsize=1)
@@ -263,7 +263,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     shared = stage(keys)
     stars = stage(shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("n")))
     involved = stage(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct().join(smallest, "node"))
-    picked = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    picked = involved.select("node", "doc_id")
+    picked = F.broadcast(picked) if involved.count() <= BROADCAST_IDS else picked
     chosen = rows.withColumnRenamed("doc_id", "_d").join(picked, F.col("_d").eqNullSafe(F.col("doc_id"))).select("node", "text")
     texts = stage(chosen.mapInArrow(_rebuilt, "node long, text string").dropDuplicates(["node"]))
 
