@@ -187,3 +187,13 @@ def test_stable_ranges_find_the_steady_part():
     assert beats.stable_ranges(rng.random(100), reach[:100], segment[:100]) == []
     drifting = np.linspace(0, 1.0, 100)
     assert beats.stable_ranges(drifting, np.full(100, 0.05), segment[:100]) == []
+
+
+def test_many_series_at_once_are_each_one_alone():
+    rng = np.random.default_rng(6)
+    m = bars.model()
+    series = [rng.normal(size=k) * 4 for k in (1, 2, 5, 40, 41, 97)]
+    together = bars.decode_many(series, m)
+    for x, found in zip(series, together, strict=True):
+        alone = bars.decode(x, m)
+        assert all(np.allclose(alone[k], found[k]) for k in alone)

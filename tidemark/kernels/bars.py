@@ -58,24 +58,61 @@ def observations(times: np.ndarray, logits: np.ndarray, hop: float = 0.02, reach
 
 def decode(observed: np.ndarray, m: Model) -> dict[str, np.ndarray]:
     """Best path (first state on ties) with the posterior of its states, and the posterior of a bar's beginning."""
-    n, begins = len(observed), np.isin(np.arange(len(m.meter)), m.begins)
-    emit = np.where(begins[None, :], -_softplus(-observed)[:, None], -_softplus(observed)[:, None])
-    start = -np.log(len(np.unique(m.meter))) - np.log(m.meter) + emit[0]
-    best, alpha, back = start, np.empty(emit.shape), np.zeros(emit.shape, int)
-    alpha[0] = start
+    return decode_many([observed], m)[0]
+
+
+def decode_many(series: list[np.ndarray], m: Model) -> list[dict[str, np.ndarray]]:
+    """As ``decode`` for several series at once, a step of all of them per numpy call.
+
+    Shorter series are padded at their end; a padded step is the identity, so that it changes nothing.
+    """
+    size = np.array([len(x) for x in series])
+    n, many, states = int(size.max(initial=0)), len(series), len(m.meter)
+    if not n:
+        return [{k: np.zeros(0) for k in ("meter", "phase", "state_posterior", "downbeat_posterior")} for _ in series]
+    logit = np.zeros((n, many))
+    for k, x in enumerate(series):
+        logit[: len(x), k] = x
+    begins = np.isin(np.arange(states), m.begins)
+    yes, no = -_softplus(-logit), -_softplus(logit)
+
+    def emit(t: int) -> np.ndarray:
+        return np.where(begins[None, :], yes[t][:, None], no[t][:, None])
+
+    # Besides the bar ends, each state is reached from one state alone; a bar's beginning from the ends.
+    ends = (m.phase == m.meter - 1).nonzero()[0]
+    inside = (~begins).nonzero()[0]
+    jump = m.move[np.ix_(ends, m.begins)]
+    best = np.broadcast_to(-np.log(len(np.unique(m.meter))) - np.log(m.meter), (many, states)) + emit(0)
+    alpha, back = np.empty((n, many, states)), np.zeros((n, many, states), np.int16)
+    alpha[0] = best
     for t in range(1, n):
-        step = best[:, None] + m.move
-        back[t] = step.argmax(axis=0)
-        best = step.max(axis=0) + emit[t]
-        alpha[t] = _logsum(alpha[t - 1][:, None] + m.move, 0) + emit[t]
-    path = np.empty(n, int)
-    path[-1] = best.argmax()
+        live = (t < size)[:, None]
+        over = best[:, ends][:, :, None] + jump
+        step, reach = np.empty_like(best), np.empty_like(best)
+        step[:, inside], reach[:, inside] = best[:, inside - 1], alpha[t - 1][:, inside - 1]
+        step[:, m.begins] = over.max(axis=1)
+        reach[:, m.begins] = _logsum(alpha[t - 1][:, ends][:, :, None] + jump, 1)
+        back[t][:, inside], back[t][:, m.begins] = inside - 1, ends[over.argmax(axis=1)]
+        now = emit(t)
+        best = np.where(live, step + now, best)
+        alpha[t] = np.where(live, reach + now, alpha[t - 1])
+    path = np.empty((n, many), int)
+    rows = np.arange(many)
+    path[-1] = best.argmax(axis=1)
     for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t][path[t]]
-    beta, whole = np.zeros(len(m.meter)), _logsum(alpha[-1], 0)
-    state, downbeat = np.empty(n), np.empty(n)
+        path[t - 1] = np.where(t < size, back[t][rows, path[t]], path[t])
+    beta, whole = np.zeros((many, states)), _logsum(alpha[-1], 1)
+    state, downbeat = np.empty((n, many)), np.empty((n, many))
     for t in range(n - 1, -1, -1):
-        posterior = np.exp(alpha[t] + beta - whole)
-        state[t], downbeat[t] = posterior[path[t]], posterior[m.begins].sum()
-        beta = _logsum(m.move + (emit[t] + beta)[None, :], 1)
-    return {"meter": m.meter[path], "phase": m.phase[path], "state_posterior": np.clip(state, 0, 1), "downbeat_posterior": np.clip(downbeat, 0, 1)}
+        posterior = np.exp(alpha[t] + beta - whole[:, None])
+        state[t], downbeat[t] = posterior[rows, path[t]], posterior[:, m.begins].sum(axis=1)
+        ahead = emit(t) + beta
+        before = np.empty_like(beta)
+        before[:, inside - 1] = ahead[:, inside]
+        before[:, ends] = _logsum(jump[None, :, :] + ahead[:, m.begins][:, None, :], 2)
+        beta = np.where((t < size)[:, None], before, beta)
+    return [
+        {"meter": m.meter[path[:k, i]], "phase": m.phase[path[:k, i]], "state_posterior": np.clip(state[:k, i], 0, 1), "downbeat_posterior": np.clip(downbeat[:k, i], 0, 1)}
+        for i, k in enumerate(size.tolist())
+    ]

@@ -128,17 +128,44 @@ def beat_track(onsets: DataFrame, period: float, step: float) -> DataFrame:
     return onsets.groupBy("series").applyInPandas(run, "series string, idx long, frame long")
 
 
+#: Beats that are decoded at once.
+BEATS_AT_ONCE = 100_000
+
+
 def track_bars(beats: DataFrame, meters: tuple[int, ...] = bar_kernels.METERS, change: float = bar_kernels.CHANGE) -> DataFrame:
-    """Meter and place of every beat (series, idx, logit): with the posteriors of the state and of a bar's beginning."""
+    """Meter and place of every beat (series, idx, logit): with the posteriors of the state and of a bar's beginning.
+
+    Rows are dealt by series and stream through in order; series of about BEATS_AT_ONCE beats together are one batch.
+    """
     ship(beats.sparkSession)
     model = bar_kernels.model(meters, change)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        found = bar_kernels.decode(pdf["logit"].to_numpy(float), model)
-        return pd.DataFrame({"series": pdf["series"].to_numpy(), "idx": pdf["idx"].to_numpy(), **found})
+    def done(held: list[pd.DataFrame]) -> pd.DataFrame:
+        held = sorted(held, key=len)
+        found = bar_kernels.decode_many([h["logit"].to_numpy(float) for h in held], model)
+        return pd.concat([pd.DataFrame({"series": h["series"].to_numpy(), "idx": h["idx"].to_numpy(), **f}) for h, f in zip(held, found, strict=True)])
 
-    return beats.select("series", "idx", "logit").groupBy("series").applyInPandas(run, "series long, idx long, meter int, phase int, state_posterior double, downbeat_posterior double")
+    def run(batches):
+        part, held, longest = None, [], 0
+        for pdf in batches:
+            part = pdf if part is None else pd.concat([part, pdf])
+            ends = (part["series"].to_numpy()[1:] != part["series"].to_numpy()[:-1]).nonzero()[0] + 1
+            if not len(ends):
+                continue
+            whole, part = part.iloc[: ends[-1]], part.iloc[ends[-1] :]
+            for _, one in whole.groupby("series", sort=False):
+                if held and max(longest, len(one)) * (len(held) + 1) > BEATS_AT_ONCE:
+                    yield done(held)
+                    held, longest = [], 0
+                held.append(one)
+                longest = max(longest, len(one))
+        if part is not None and len(part):
+            held.append(part)
+        if held:
+            yield done(held)
+
+    dealt = beats.select("series", "idx", F.col("logit").cast("double").alias("logit")).repartition("series").sortWithinPartitions("series", "idx")
+    return dealt.mapInPandas(run, "series long, idx long, meter int, phase int, state_posterior double, downbeat_posterior double")
 
 
 def meter_regions(tracked: DataFrame, min_posterior: float = 0.9, min_bars: int = 3) -> DataFrame:
