@@ -21,6 +21,7 @@ WORDS = "[^\\x20\\x09-\\x0D]+"
 SLICE_BYTES = 1 << 20
 
 _shipped: set[str] = set()
+_staged: list[tuple[str, str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +57,21 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append((spark.sparkContext.applicationId, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Delete the tables that ``stage`` wrote in this application, when no result that reads them is needed any more."""
+    own = [path for app, path in _staged if app == spark.sparkContext.applicationId]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in own:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    _staged[:] = [x for x in _staged if x[1] not in own]
+    return len(own)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy of the bytes; nulls are empty."""
     if pa.types.is_large_string(column.type):
