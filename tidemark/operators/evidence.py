@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clock import measured_period
+from .kernel_ops import ship
 from .sequence import asof
 
 # Limits of the recurrence and the phase audits.
@@ -90,26 +92,43 @@ def shift_table() -> np.ndarray:
     return np.random.default_rng(12499).integers(0, BINS, (PERMUTATIONS, WINDOW))
 
 
+def permutation_test(windows: np.ndarray, shifts: np.ndarray) -> dict[str, np.ndarray]:
+    """Statistics of windows (n, WINDOW, bands, BINS) against random shifts of their intervals.
+
+    The sum over all pairs of intervals is the squared norm of the sum of their shifted profiles.
+    """
+    at = (np.arange(BINS)[None, None, :] - shifts[:, :, None]) % BINS
+    moved = sum(windows[:, o][:, :, at[:, o]] for o in range(WINDOW))
+    null = (moved**2).sum(axis=(1, 3)) / WINDOW**2
+    observed = (windows.sum(axis=1) ** 2).sum(axis=(1, 2)) / WINDOW**2
+    spread = np.sqrt(np.maximum(0, (null**2).mean(axis=1) - null.mean(axis=1) ** 2))
+    return {"statistic": observed, "null_mean": null.mean(axis=1), "null_std": spread, "p_value": ((null >= observed[:, None] - 1e-12).sum(axis=1) + 1) / (len(shifts) + 1)}
+
+
 def recurrence(found: DataFrame, stride: int = WINDOW) -> DataFrame:
     """Windows of eight profiles, every ``stride``: mean correlation of all pairs against that under random shifts.
 
-    The sum over all pairs is the squared norm of the shifted profiles' sum, so that a permutation costs one pass over
-    the bins. Columns: series, first, active, statistic, null_mean, null_std, p_value, supported.
+    A window is gathered as one bounded array and tested in a batched function. Columns: series, first, active,
+    statistic, null_mean, null_std, p_value, supported.
     """
-    spark = found.sparkSession
-    table = shift_table()
-    rows = [(p, o, int(s)) for p, shifts in enumerate(table) for o, s in enumerate(shifts)] + [(-1, o, 0) for o in range(WINDOW)]
-    shifts = F.broadcast(spark.createDataFrame(rows, "p int, o int, shift int"))
     starts = found.groupBy("series").agg(F.max("i").alias("_last"))
-    placed = found.join(starts, "series").withColumn("first", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - WINDOW + 1) / stride) * stride).cast("long"), F.floor(F.col("i") / stride) * stride, F.lit(stride).cast("long")))).where((F.col("first") + WINDOW - 1 <= F.col("_last")) & (F.col("i") < F.col("first") + WINDOW)).withColumn("o", (F.col("i") - F.col("first")).cast("int"))
-    active = placed.select("series", "first", "o", "contrast").distinct().groupBy("series", "first").agg(F.avg(F.when(F.col("contrast") >= MIN_CONTRAST, 1.0).otherwise(0.0)).alias("active"))
-    moved = placed.where("v > 0").join(shifts, "o").groupBy("series", "first", "p", "band", F.pmod(F.col("bin") + F.col("shift"), F.lit(BINS)).alias("b")).agg(F.sum("v").alias("s"))
-    stats = moved.groupBy("series", "first", "p").agg((F.sum(F.col("s") * F.col("s")) / (WINDOW * WINDOW)).alias("q"))
-    observed = stats.where("p = -1").select("series", "first", F.col("q").alias("statistic"))
-    null = stats.where("p >= 0").join(observed, ["series", "first"]).groupBy("series", "first", "statistic")
-    summary = null.agg(F.count_if(F.col("q") >= F.col("statistic") - 1e-12).alias("_ge"), F.avg("q").alias("null_mean"), F.sqrt(F.greatest(F.lit(0.0), F.avg(F.col("q") * F.col("q")) - F.avg("q") ** 2)).alias("null_std"))
-    tested = summary.join(active, ["series", "first"]).withColumn("p_value", (F.col("_ge") + 1) / (PERMUTATIONS + 1.0))
-    return tested.withColumn("supported", (F.col("active") >= 0.5) & (F.col("p_value") <= MAX_P)).drop("_ge")
+    placed = found.join(starts, "series").withColumn("first", F.explode(F.sequence(F.greatest(F.lit(0), F.ceil((F.col("i") - WINDOW + 1) / stride) * stride).cast("long"), F.floor(F.col("i") / stride) * stride, F.lit(stride).cast("long")))).where((F.col("first") + WINDOW - 1 <= F.col("_last")) & (F.col("i") < F.col("first") + WINDOW))
+    each = F.array_sort(F.collect_list(F.struct("i", "band", "bin", "v")))
+    active = F.avg(F.when(F.col("contrast") >= MIN_CONTRAST, 1.0).otherwise(0.0))
+    windows = placed.groupBy("series", "first").agg(active.alias("active"), F.transform(each, lambda x: x["v"]).alias("_v"))
+    shifts = shift_table()
+
+    @F.pandas_udf("statistic double, null_mean double, null_std double, p_value double")
+    def test(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for k in range(0, len(values), 64):
+            part = np.stack(values.iloc[k : k + 64])
+            out.append(pd.DataFrame(permutation_test(part.reshape(len(part), WINDOW, -1, BINS), shifts)))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=float) for c in ("statistic", "null_mean", "null_std", "p_value")})
+
+    ship(found.sparkSession)
+    tested = windows.withColumn("_t", test("_v")).select("series", "first", "active", "_t.*")
+    return tested.withColumn("supported", (F.col("active") >= 0.5) & (F.col("p_value") <= MAX_P))
 
 
 def prefix_index(intervals: DataFrame) -> DataFrame:
