@@ -111,6 +111,8 @@ def test_main_text():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p></p>") == ""
     assert html_extract.extract("plain text, no markup") == "plain text, no markup"
     assert html_extract.extract("<article><p>One</p><section><p>Two</p></section></article><div class=sidebar><p>x, y, z</p></div>") == "One Two"
+    assert html_extract.extract('<div class="content with-sidebar has-comments"><p>Text</p></div><div class="left-sidebar"><p>x</p></div>') == "Text"
+    assert html_extract.extract('<div class="widget"><p>All there is</p></div>') == "All there is"
     deep = "<div>" * 5000 + "<p>deep down</p>"
     assert html_extract.extract(deep) == "deep down"
     assert html_extract.extract("<p>a < b and <b c='>'>d</b> <unclosed") != ""

@@ -46,6 +46,8 @@ TOKEN = re.compile(
     r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)>",
     re.S,
 )
+#: A name that says what else is there, as has-sidebar, says nothing of the element itself.
+BESIDE = re.compile(r"(?:^|[-_])(?:has|with|without|no)[-_]")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""")
 #: Shares of a block's points that its ancestors get, nearest first.
 SHARES = (1.0, 0.5, 1 / 3, 0.25, 0.2)
@@ -55,15 +57,16 @@ SIBLING = 0.2
 MENU = 0.8
 
 
-def _boilerplate(tag: str, rest: str, article: bool) -> bool:
+def _boilerplate(tag: str, rest: str, article: bool, names: bool) -> bool:
     if tag in BOILER or (tag == "header" and not article):
         return True
-    if not rest or rest.isspace() or tag in SAFE:
+    if not names or not rest or rest.isspace() or tag in SAFE:
         return False
     for m in ATTRIBUTE.finditer(rest):
         name = (m[1] or "hidden").lower()
         value = (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
+            value = " ".join(x for x in value.split() if not BESIDE.search(x))
             if tag not in INLINE and not NAMED.isdisjoint(re.split(r"[^a-z]+", value)):
                 return True
             if tag not in INLINE and any(x in value for x in NAMED_IN):
@@ -78,7 +81,7 @@ def _boilerplate(tag: str, rest: str, article: bool) -> bool:
 class _Tree:
     """Elements in page order: tag, parent and whether it is dropped; ``flow`` has texts and element bounds in page order."""
 
-    def __init__(self, page: str):
+    def __init__(self, page: str, names: bool = True):
         self.tag, self.parent, self.drop, self.inside = ["body"], [-1], [False], [False]
         self.flow: list[tuple[int, str | None]] = [(0, None)]
         stack, at = [0], 0
@@ -106,7 +109,7 @@ class _Tree:
             self.tag.append(tag)
             self.parent.append(top)
             self.inside.append(article)
-            self.drop.append(self.drop[top] or _boilerplate(tag, rest, article))
+            self.drop.append(self.drop[top] or _boilerplate(tag, rest, article, names))
             self.flow.append((k, None))
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -155,11 +158,15 @@ def extract(page: str | None) -> str:
     role and the words of class and id. Each block of running text then gives its ancestors points: one, one per
     comma, and one per 100 characters up to three. A container's points are discounted by its share of link text; the
     best one is taken, or the ``article`` or ``main`` around it, and with it the siblings that are headings or running
-    text or have SIBLING of its score. Lists and divisions of links inside are menus and go. An empty page is empty.
+    text or have SIBLING of its score. Lists and divisions of links inside are menus and go. If nothing is left, the words
+    of class and id don't count. An empty page is empty.
     """
     if not page:
         return ""
-    t = _Tree(page)
+    return _article(_Tree(page)) or _article(_Tree(page, names=False))
+
+
+def _article(t: _Tree) -> str:
     n = len(t.tag)
     inline = [x in INLINE for x in t.tag]
     block, linked = [0] * n, [False] * n
