@@ -271,9 +271,12 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     alone = involved.select("node", F.col("node").alias("label"))
     clusters = merge_labels(alone, stars.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     large = stage(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cluster_nodes).select("label"))
-    by_size = Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)
     placed = clusters.join(large, "label", "left_anti").withColumnRenamed("label", "cluster").join(involved.select("node", "n"), "node")
-    placed = placed.withColumn("block", F.floor((F.sum("n").over(by_size) - F.col("n")) / block_shingles))
+    # Blocks by size of set from a histogram of sizes; many sets of one size are dealt over blocks by hash.
+    smaller = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("cluster", "n").agg(F.sum("n").alias("_w")).withColumn("_low", F.floor(F.coalesce(F.sum("_w").over(smaller), F.lit(0)) / block_shingles))
+    own = F.col("_low") + F.pmod(F.xxhash64("node"), F.ceil(F.col("_w") / block_shingles))
+    placed = placed.join(sizes, ["cluster", "n"]).select("cluster", "node", "n", own.alias("block"))
     last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
     dealt = placed.join(last, "cluster").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
     pairs = dealt.select("cluster", "node", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).alias("side")).join(texts, "node")
