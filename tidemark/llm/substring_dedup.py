@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, stage, utf8
+from .common import SLICE_BYTES, ship, slices, stage, utf8
 from .shingles import _BYTE, _power, mix
 from .shingles import _runs_of as _runs
 
@@ -220,18 +220,31 @@ def _goes_on(edges: list[dict], k: int, row: list[int]) -> bool:
     return False
 
 
-def _texts_of(blobs) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
-    """Ids, text hashes and texts of a bucket of documents, some texts at a time."""
+def _texts_of(blobs, asked) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
+    """Ids, text hashes and texts of a bucket's documents in ``asked`` (pairs of id and hash), some texts at a time."""
     for blob in blobs:
         p = unpacked(blob)
-        ends = np.concatenate(([0], np.cumsum(p["n"])))
+        at = np.cumsum(p["n"]) - p["n"]
+        own = np.array([k for k, key in enumerate(zip(p["d"].tolist(), p["t"].tolist(), strict=True)) if key in asked], int)
+        ends = np.concatenate(([0], np.cumsum(p["n"][own])))
         begin = 0
-        while begin < len(p["d"]):
-            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + (2 << 20), "right")) - 1)
-            yield p["d"][begin:end], p["t"][begin:end], Slice(p["x"][ends[begin] : ends[end]], ends[begin : end + 1] - ends[begin])
+        while begin < len(own):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1)
+            part = own[begin:end]
+            yield p["d"][part], p["t"][part], Slice(np.concatenate([p["x"][at[k] : at[k] + p["n"][k]] for k in part]), ends[begin : end + 1] - ends[begin])
             begin = end
 
 
+def _other_texts(blobs, asked) -> Iterator[tuple[int, np.ndarray]]:
+    """Ids and texts of a bucket's documents that are not in ``asked``."""
+    for blob in blobs:
+        p = unpacked(blob)
+        at = np.cumsum(p["n"]) - p["n"]
+        for k, key in enumerate(zip(p["d"].tolist(), p["t"].tolist(), strict=True)):
+            if key not in asked:
+                yield key[0], p["x"][at[k] : at[k] + p["n"][k]]
+
+
 def _verdicts(blobs) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """Per document its judged anchors, in order, and their flags."""
     parts = [unpacked(b) for b in blobs]
@@ -267,7 +280,7 @@ def _strings(s: Slice, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
 def _mixed_strings(texts, verdicts: dict) -> tuple[np.ndarray, ...]:
     """Hash, document and place of all strings of the mixed cells of a bucket of documents."""
     found = []
-    for ids, own, s in _texts_of(texts):
+    for ids, own, s in _texts_of(texts, {k for k, (_, flag) in verdicts.items() if (flag == MIXED).any()}):
         text, begin, last, flag = _judged(s, ids, own, verdicts)
         m = flag == MIXED
         at = _strings(s, begin[m], last[m])
@@ -304,14 +317,18 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     suffixes = size // 25 + 1
     buckets, doc_buckets = suffixes // bucket_suffixes + 1, size // doc_bucket_bytes + 1
 
+    # Some documents' suffixes are looked at, ten times as many as are kept, and of these a share drawn by hash.
+    looked = min(1.0, 10 * SAMPLE_KEYS / suffixes)
+    kept = min(1.0, SAMPLE_KEYS / suffixes / looked)
+
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _suffixes(batches):
-            pick = mix(s["c"] ^ mix(s["d"].view(np.uint64) ^ mix(s["a"].view(np.uint64)))) < np.uint64(min(1.0, SAMPLE_KEYS / suffixes) * (2**64 - 2**12))
+            pick = mix(s["c"] ^ mix(s["d"].view(np.uint64) ^ mix(s["a"].view(np.uint64)))) < np.uint64(kept * (2**64 - 2**12))
             yield pa.RecordBatch.from_arrays([pa.array(s[k][pick].view(np.int64)) for k in TOKENS], list(TOKENS))
 
     splitters: list[tuple[int, ...]] = []
     if buckets > 1:
-        keys = sorted((r.h % (1 << 64), r.c % (1 << 64), r.d, r.t, r.a) for r in rows.mapInArrow(sample, ", ".join(f"{k} long" for k in TOKENS)).collect())
+        keys = sorted((r.h % (1 << 64), r.c % (1 << 64), r.d, r.t, r.a) for r in (rows if looked == 1 else rows.sample(looked, 11)).mapInArrow(sample, ", ".join(f"{k} long" for k in TOKENS)).collect())
         splitters = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
 
     def deal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +417,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             d, t, a = d[order], t[order], a[order]
             for i, j in pairwise([*_runs(d, t).nonzero()[0].tolist(), len(d)]):
                 firsts[int(d[i]), int(t[i])] = a[i:j]
-            for ids, own, s in _texts_of(left["blob"]):
+            out += [(d, len(x), 0, 0, x.tobytes()) for d, x in _other_texts(left["blob"], known)]
+            for ids, own, s in _texts_of(left["blob"], known):
                 text, begin, last, flag = _judged(s, ids, own, known)
                 covered = np.zeros(len(s.data) + 1, np.int64)
                 starts = _strings(s, begin[flag > 0], last[flag > 0])
