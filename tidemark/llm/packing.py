@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,14 +22,15 @@ END_ID = 0
 #: Pieces that one packer places; many more add little to how full its sequences are.
 PIECES_PER_PACKER = 20_000
 MARK = "<|endoftext|>"
+OTHER = re.compile("[^\t\n\r\x20-\x7E¡-ſ]")
 
 
 class Encoder:
     """Ids of the byte-level tokenizer in ``path`` (a tokenizers file).
 
     Where the folder has the same vocabulary as ranks (``.tiktoken``), texts are encoded by that, about four times
-    as fast and with the same ids; texts with the special token's string, or with characters on whose class the
-    two libraries' Unicode tables might differ, go to tokenizers.
+    as fast and with the same ids; texts with the special token's string, with characters on whose class the two
+    libraries' Unicode tables might differ, or with very long words go to tokenizers.
     """
 
     def __init__(self, path: str):
@@ -39,21 +41,24 @@ class Encoder:
         self.fast = None
         ranks = Path(path).with_suffix(".tiktoken")
         if ranks.exists():
-            import regex
             import tiktoken
 
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.open("rb"))}
             # Fixed value: the tokenizer's pattern of words.
             pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-            self.other = regex.compile(r"[^\t\n\r\x20-\x7E¡-ſ]|\S{2000}")
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or MARK in text or self.other.search(text):
+        if self.fast is None or MARK in text or OTHER.search(text) or _long_run(text):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+def _long_run(text: str, size: int = 1000) -> bool:
+    """Whether a stretch of ``size`` characters, from a multiple of it, isn't broken by white space inside."""
+    return any(len(text[p : p + size].split(None, 1)) < 2 for p in range(0, len(text) - size + 1, size))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
