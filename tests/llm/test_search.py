@@ -56,6 +56,37 @@ def test_bm25_of_whole_texts_over_many_shards(spark, documents, texts, monkeypat
     assert got == brute(texts, asked, 7)
 
 
+def test_bm25_query_scores_every_word_of_the_whole_texts(spark, sf, texts):
+    asked = [(i, t) for i, t in texts if i % 100 == 0]
+    assert max(len(set(words(t))) for _, t in asked) > 100
+    assert found(bm25.query(spark, sf)) == brute(texts, asked, 10)
+
+
+def test_bm25_query_of_own_words_finds_itself(spark, tmp_path):
+    rows = [(100, "alpha beta"), (1, "gamma delta"), (2, "gamma")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert found(bm25.query(spark, str(tmp_path))) == brute(rows, rows[:1], 10) != {}
+
+
+@pytest.mark.parametrize("many", [1, 10_000])
+def test_bm25_of_many_terms_with_and_without_pruning(spark, documents, texts, monkeypatch, many):
+    monkeypatch.setattr(bm25, "OUTRIGHT", 0)
+    monkeypatch.setattr(bm25, "MANY", many)
+    (row,) = bm25._index(iter(documents.select("doc_id", "text").toArrow().combine_chunks().to_batches()[:1]))
+    shard = bm25.Shard(row.column("terms")[0].values.to_numpy(), row.column("blob")[0].as_py(), 300.0)
+    rng = np.random.default_rng(1)
+    for k in (1, 10, len(shard.ids), len(shard.ids) + 5):
+        terms = np.sort(rng.choice(len(shard.terms), size=200, replace=False))
+        idf = rng.random(200) * 3
+        score = np.zeros(len(shard.ids))
+        for t, w in zip(terms, idf, strict=True):
+            part = slice(shard.start[t], shard.start[t + 1])
+            score[shard.doc[part]] += w * shard.impact[part]
+        best = np.lexsort((shard.ids, -score))[:k]
+        got, s = shard.best(terms, idf, k)
+        assert got.tolist() == best[score[best] > 0].tolist() and np.array_equal(s, score[best][score[best] > 0])
+
+
 def test_bm25_of_salient_terms(spark, documents, texts):
     asked = [(i, t) for i, t in texts if i % 10 == 0]
     got = found(bm25.search(bm25.build(documents), spark.createDataFrame(asked, "query_id long, text string"), k=10, terms=8))

@@ -17,10 +17,8 @@ from .substring_dedup import packed, unpacked
 K1, B = 1.2, 0.75
 #: Bytes of text that a shard indexes, postings of a block, and queries that are broadcast at a time.
 SHARD_BYTES, BLOCK, QUERY_BLOCK = 32 << 20, 64, 4096
-#: Postings of a query in a shard up to which they are all scored.
-OUTRIGHT = 4096
-#: Terms of a query that is a whole document: those of the largest tf * idf among its whole text's.
-QUERY_TERMS = 32
+#: Postings of a query in a shard up to which they are all scored, and terms of a query from which they are.
+OUTRIGHT, MANY = 4096, 8
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +109,17 @@ class Shard:
         The blocks' bounds cut the documents into intervals; an interval's ceiling is the sum of the largest impacts
         of the blocks over it. Intervals are scored by falling ceiling, and those whose ceiling doesn't reach the
         k-th best score so far are skipped with all their postings, as in block-max WAND. Where all the postings are
-        fewer than OUTRIGHT, skipping would cost more than scoring them.
+        fewer than OUTRIGHT, or the terms as many as MANY, skipping would cost more than scoring them.
         """
         n = len(self.ids)
         if int((self.start[terms + 1] - self.start[terms]).sum()) <= OUTRIGHT:
             return self._all(terms, idf, k)
+        if len(terms) >= MANY:
+            score = np.zeros(n)
+            for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
+                part = slice(self.start[t], self.start[t + 1])
+                score[self.doc[part]] += w * self.impact[part]
+            return self._top(score, k, np.partition(score, n - k)[n - k] if n > k else 0.0)
         cut, top = [], []
         for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
             b, e = self.block_of[t], self.block_of[t + 1]
@@ -146,11 +150,13 @@ class Shard:
                 score[doc[inside]] += w * self.impact[part][inside]
             if np.count_nonzero(score) >= k:
                 floor = np.partition(score, n - k)[n - k]
+        return self._top(score, k, floor)
+
+    def _top(self, score: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         (found,) = (score >= max(floor, np.finfo(float).tiny)).nonzero()
         found = found[np.lexsort((self.ids[found], self.no_id[found], -score[found]))[:k]]
         return found, score[found]
 
-
     def _all(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
         at = np.repeat(first + n - np.cumsum(n), n) + np.arange(n.sum())
@@ -216,9 +222,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None
 
     parts = []
     for b in sorted(r.block for r in ready.select("block").distinct().collect()):
-        got = ready.where(F.col("block") == b).orderBy("query").toPandas()
-        at = np.concatenate(([0], np.cumsum(got["terms"].map(len))))
-        block = Queries(got["query"].to_numpy(), at, np.array([t["term"] for x in got["terms"] for t in x], np.int64), np.array([t["idf"] for x in got["terms"] for t in x]))
+        got = ready.where(F.col("block") == b).orderBy("query").select("query", "terms").toArrow().combine_chunks()
+        listed = got.column("terms").combine_chunks()
+        at, flat = np.append(0, np.cumsum(listed.value_lengths().to_numpy())), listed.flatten()
+        block = Queries(got.column("query").to_numpy(), at, flat.field("term").to_numpy(), flat.field("idf").to_numpy())
         parts.append(index.select("terms", "blob").mapInArrow(searcher(block), "query long, doc_id long, score double"))
     found = parts[0] if parts else spark.createDataFrame([], "query long, doc_id long, score double")
     for p in parts[1:]:
@@ -233,4 +240,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     asked = docs.where(F.pmod("doc_id", F.lit(100)) == 0)
-    return search(build(docs), asked, terms=QUERY_TERMS, query_id="doc_id")
+    return search(build(docs), asked, query_id="doc_id")
