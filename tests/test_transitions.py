@@ -1,10 +1,14 @@
 """Transitions: accepted as they are, after a fit, or declined by code."""
 
+import inspect
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark import api
 from tidemark.kernels import fit
+from tidemark.operators import transitions
+from tidemark.plans import catalog
 
 
 def song(series, meters, period, jitter=0.0, usable=True, seed=0):
@@ -39,6 +43,24 @@ def test_plans_and_codes(spark):
     assert got[5].declined in ("CLOCK_REJECTED", "SEARCH_LIMIT_REACHED")
 
 
+def test_all_of_the_reference_lengths_are_candidates(spark):
+    songs = [song(1, [4] * 40, 0.4), song(2, [4] * 40, 0.41)]
+    bars = spark.createDataFrame([b for s in songs for b in s[0]], "series long, bar long, pulses long, usable boolean, score double")
+    clocks = spark.createDataFrame([c for s in songs for c in s[1]], "series long, idx long, us long")
+    (got,) = api.plan_transitions(spark.createDataFrame([(1, 1, 2)], "pair long, a long, b long"), bars.withColumn("score", F.lit(0.0)), clocks).collect()
+    assert got.declined is None and got.n_bars == 8
+    wanted = {n: 2 * (40 - n + 1) for n in (2, 4, 8, 16, 32)}
+    assert {r.n_bars: r["count"] for r in transitions.starts(bars, inspect.signature(transitions.plan).parameters["lengths"].default).groupBy("n_bars").count().collect()} == wanted
+
+
+def test_the_query_prefers_eight_bars_of_a_steady_meter(spark, tmp_path):
+    orders = [(100 * c + i, c, f"2024-01-{i + 1:02d}", 50_000.0) for c in (1, 2) for i in range(12)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(o[0],) for o in orders for _ in range(4)], "l_orderkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.pair: r for r in catalog.queries()["transition_plans"](spark, str(tmp_path)).collect()}
+    assert got[1].declined is None and got[1].n_bars == 8
+
+
 def test_rates_of_a_known_map():
     x = np.arange(0, 40, 0.4)
     y = x + 0.06 * np.sin(x / 2)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import fit
 from .kernel_ops import ship
-from .planning import boundaries
+from .planning import BAR_COUNTS, boundaries
 from .repair import length_preference
 
 # Search budgets and acceptance limits.
@@ -98,7 +98,7 @@ def fit_candidates(found: DataFrame, clocks: DataFrame) -> DataFrame:
     return cut.select("pair", "position", "found", "a", "b", "n_bars", "a_bar", "b_bar", "ta", "tb").mapInPandas(run, FITTED)
 
 
-def plan(pairs: DataFrame, bars: DataFrame, clocks: DataFrame, lengths: tuple[int, ...] = (2, 4, 8, 16), budget: int = MAX_FITS) -> DataFrame:
+def plan(pairs: DataFrame, bars: DataFrame, clocks: DataFrame, lengths: tuple[int, ...] = BAR_COUNTS, budget: int = MAX_FITS) -> DataFrame:
     """One row per pair: the first accepted candidate, or the code that declines the pair."""
     tried = fit_candidates(candidates(pairs, starts(bars, lengths), budget), clocks)
     first = Window.partitionBy("pair").orderBy("position")

@@ -84,4 +84,4 @@ def transition_plans(spark, sf):
     ends = bars.groupBy("series").agg(F.sum("pulses").alias("n"))
     clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
     pairs = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"))
-    return TR.plan(pairs, marked, clocks, (2, 4))
+    return TR.plan(pairs, marked, clocks)
