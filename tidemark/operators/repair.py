@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,6 +222,64 @@ def affinity(key_fits: Column, tempo_a: Column, tempo_b: Column, level_a: Column
     return 0.4 * F.when(key_fits, 1.0).otherwise(0.0) + 0.4 * tempo + 0.2 * level
 
 
+def finite(x: Column) -> Column:
+    """Whether a number is there and finite."""
+    return F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+
+
+def harmonic_keys(a: Column, b: Column) -> Column:
+    """Whether two keys ("F# minor") are the same, a fifth apart in one mode, or relative; false for any that isn't a key."""
+
+    def part(key: Column, group: int) -> Column:
+        return F.regexp_extract(key, r"^\s*([A-Ga-g])([#♯b♭]?)\s+((?i:major|minor))\s*$", group)
+
+    def pitch(key: Column) -> Column:
+        sharp = F.when(part(key, 2).isin("#", "♯"), 1).when(part(key, 2).isin("b", "♭"), -1).otherwise(0)
+        return F.instr(F.lit("C-D-EF-G-A-B"), F.upper(part(key, 1))) - 1 + sharp
+
+    minor_a, minor_b = F.lower(part(a, 3)) == "minor", F.lower(part(b, 3)) == "minor"
+    apart = F.pmod(pitch(a) - pitch(b), F.lit(12))
+    related = F.when(minor_a == minor_b, apart.isin(0, 5, 7)).otherwise(F.when(minor_a, apart == 9).otherwise(apart == 3))
+    return F.coalesce((part(a, 1) != "") & (part(b, 1) != "") & related, F.lit(False))
+
+
+def song_affinity(a: Column, b: Column, available: Column | None = None) -> Column:
+    """How well two songs (structs of key, key_confidence, bpm, centroid_hz, rms_db) bear a long blend, from 0 to 1.
+
+    0 unless the keys are related and confident, and tempo, timbre and loudness each agree; ``available`` says whether
+    both songs have level evidence at all.
+    """
+    sure = F.least(a["key_confidence"], b["key_confidence"])
+    known = F.lit(True) if available is None else available
+    for side in (a, b):
+        known = known & finite(side["key_confidence"]) & finite(side["rms_db"])
+        for c in ("bpm", "centroid_hz"):
+            known = known & finite(side[c]) & (side[c] > 0)
+    ratio = lambda c, most: F.greatest(F.lit(0.0), 1 - F.abs(F.ln(a[c] / b[c])) / math.log(most))
+    tempo, timbre = ratio("bpm", 1.04), ratio("centroid_hz", 1.25)
+    loudness = F.greatest(F.lit(0.0), 1 - F.abs(a["rms_db"] - b["rms_db"]) / 6.0)
+    agreed = known & harmonic_keys(a["key"], b["key"]) & (sure >= 0.12) & (tempo >= 0.8) & (timbre >= 0.5) & (loudness >= 0.5)
+    return F.when(agreed, 0.30 * F.least(F.lit(1.0), sure / 0.16) + 0.25 * tempo + 0.25 * timbre + 0.20 * loudness).otherwise(0.0)
+
+
+def cue_evidence(parts: DataFrame, levels: DataFrame, points: int = 8) -> DataFrame:
+    """Evidence of a pair of ranges: parts with balance, long_bonus, length, penalty and score.
+
+    parts: pair, n_bars, out_score, in_score, in_end_change, in_build, affinity. levels: pair, out_db, in_db at
+    ``points`` places of the overlap; with a level missing the mismatch counts as 6 dB and the balance as 0. The bonus
+    of a long blend goes only to incoming ranges that hold their level.
+    """
+    both = finite(F.col("out_db")) & finite(F.col("in_db"))
+    measured = levels.groupBy("pair").agg(F.when((F.count(F.lit(1)) == points) & F.bool_and(both), F.avg(F.abs(F.col("out_db") - F.col("in_db")))).alias("mismatch_db"))
+    found = parts.join(measured, "pair", "left").withColumn("mismatch_db", F.coalesce("mismatch_db", F.lit(6.0)))
+    found = found.withColumn("balance", F.greatest(F.lit(0.0), 1 - F.col("mismatch_db") / 6.0))
+    gain = F.when(F.col("n_bars") == 8, 1.0).when(F.col("n_bars") == 16, 5.5).when(F.col("n_bars") == 32, 3.0).otherwise(0.0)
+    holds = (F.col("in_end_change") >= -0.02) & (F.col("in_build") >= -0.20)
+    found = found.withColumn("long_bonus", F.when(holds, gain * F.col("affinity") * F.col("balance")).otherwise(0.0))
+    found = found.withColumn("length", length_preference(F.col("n_bars")) + F.col("long_bonus")).withColumn("penalty", 0.5 * F.greatest(F.lit(0.0), F.col("mismatch_db") - 2.0))
+    return found.withColumn("score", F.col("out_score") + F.col("in_score") + F.col("length") - F.col("penalty"))
+
+
 def validate_chunks(chunks: DataFrame, size: int) -> DataFrame:
     """Chunks (series, start_frame, samples) of the wrong size or with samples that aren't finite."""
     last = F.max("start_frame").over(Window.partitionBy("series"))

@@ -244,6 +244,37 @@ def track_affinity(spark, sf):
     return T.table(spark, sf, "orders").select("o_orderkey", F.round(R.affinity(c % 5 == k % 5, 90.0 + c % 40, 90.0 + k % 40, (c % 17).cast("double"), (k % 13).cast("double")), 6).alias("affinity"))
 
 
+_KEYS = ("C major", "G major", "A minor", "F# minor", "D major", "Bb minor", "unknown")
+#: Pairs of the keys above that are related.
+_RELATED = {(x, x) for x in _KEYS[:6]} | {(x, y) for p in (("C major", "G major"), ("G major", "D major"), ("C major", "A minor"), ("D major", "B minor")) for x, y in (p, p[::-1]) if x in _KEYS and y in _KEYS}
+_SONGS = "songs AS (SELECT o_orderkey, {keys}[1 + o_custkey % 7] AS ka, {keys}[1 + o_orderkey % 7] AS kb, 0.1::DOUBLE + (o_custkey % 9) / 100 AS ca, 0.1::DOUBLE + (o_orderkey % 9) / 100 AS cb, 120.0::DOUBLE + o_custkey % 3 AS ta, 120.0::DOUBLE + o_orderkey % 3 AS tb, 2000.0::DOUBLE + 37 * (o_custkey % 11) AS ha, 2000.0::DOUBLE + 37 * (o_orderkey % 11) AS hb, -10.0::DOUBLE - o_custkey % 5 AS ra, -10.0::DOUBLE - o_orderkey % 5 AS rb FROM orders)".format(keys=list(_KEYS))
+
+
+@register(
+    "song_affinity",
+    f"SELECT o_orderkey, round(CASE WHEN (ka, kb) IN ({', '.join(map(str, sorted(_RELATED)))}) AND least(ca, cb) >= 0.12 AND t >= 0.8 AND h >= 0.5 AND r >= 0.5 THEN 0.3 * least(1.0::DOUBLE, least(ca, cb) / 0.16) + 0.25 * t + 0.25 * h + 0.2 * r ELSE 0 END, 6)::DOUBLE AS affinity FROM (SELECT *, greatest(0.0::DOUBLE, 1 - abs(ln(ta / tb)) / ln(1.04::DOUBLE)) AS t, greatest(0.0::DOUBLE, 1 - abs(ln(ha / hb)) / ln(1.25::DOUBLE)) AS h, greatest(0.0::DOUBLE, 1 - abs(ra - rb) / 6.0::DOUBLE) AS r FROM songs)",
+    _SONGS,
+)
+def song_affinity(spark, sf):
+    def song(k):
+        key = F.element_at(F.array(*map(F.lit, _KEYS)), (1 + k % 7).cast("int"))
+        return F.struct(key.alias("key"), (0.1 + (k % 9) / 100).alias("key_confidence"), (120.0 + k % 3).alias("bpm"), (2000.0 + 37 * (k % 11)).alias("centroid_hz"), (-10.0 - k % 5).alias("rms_db"))
+
+    both = T.table(spark, sf, "orders").select("o_orderkey", song(F.col("o_custkey")).alias("a"), song(F.col("o_orderkey")).alias("b"))
+    return both.select("o_orderkey", F.round(R.song_affinity(F.col("a"), F.col("b")), 6).alias("affinity"))
+
+
+@register(
+    "cue_evidence",
+    "SELECT o_orderkey AS pair, round(balance, 6) AS balance, round(bonus, 6) AS long_bonus, round(p + 0.5 + CASE n WHEN 8 THEN 0.65 WHEN 4 THEN 0.42 WHEN 16 THEN 0.15 WHEN 2 THEN -0.4 ELSE -0.25 END + bonus - 0.5 * greatest(0.0::DOUBLE, m - 2), 6) AS score FROM (SELECT *, CASE WHEN e >= -0.02 AND f >= -0.2 THEN CASE n WHEN 8 THEN 1.0 WHEN 16 THEN 5.5 WHEN 32 THEN 3.0 ELSE 0.0 END * p * balance ELSE 0.0 END::DOUBLE AS bonus FROM (SELECT *, greatest(0.0::DOUBLE, 1 - m / 6) AS balance FROM (SELECT o_orderkey, 2 << (o_custkey % 5)::INT AS n, (o_custkey % 7)::DOUBLE / 10 AS p, (o_custkey % 4)::DOUBLE / 50 - 0.03 AS e, (o_orderkey % 3)::DOUBLE / 5 - 0.25 AS f, coalesce(m, 6.0::DOUBLE) AS m FROM orders LEFT JOIN (SELECT l_orderkey, avg(abs(l_quantity - l_tax * 100))::DOUBLE / 5 AS m FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4) ON l_orderkey = o_orderkey)))",
+)
+def cue_evidence(spark, sf):
+    c = F.col("o_custkey")
+    parts = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair"), F.pow(F.lit(2.0), 1 + c % 5).cast("int").alias("n_bars"), F.lit(0.5).alias("out_score"), ((c % 7) / 10).alias("in_score"), ((c % 4) / 50 - 0.03).alias("in_end_change"), ((F.col("o_orderkey") % 3) / 5 - 0.25).alias("in_build"), ((c % 7) / 10).alias("affinity"))
+    levels = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair"), (F.col("l_quantity") / 5).cast("double").alias("out_db"), (F.col("l_tax") * 20).cast("double").alias("in_db"))
+    return R.cue_evidence(parts, levels, 4).select("pair", *[F.round(x, 6).alias(x) for x in ("balance", "long_bonus", "score")])
+
+
 @register("chunk_faults", "SELECT series, start AS start_frame, CASE WHEN n > 50 OR n < 50 AND start < max(start) OVER (PARTITION BY series) THEN 'WRONG_SIZE' END AS fault FROM (SELECT series, k // 50 * 50 AS start, count(*) AS n FROM signal GROUP BY ALL)", T.SIGNAL_SQL)
 def chunk_faults(spark, sf):
     chunks = T.signal(spark, sf).groupBy("series", (F.floor(F.col("k") / 50) * 50).alias("start_frame")).agg(F.collect_list("x").alias("samples"))
