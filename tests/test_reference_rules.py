@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import api
+from tidemark.operators import planning
 
 SONG = "struct<key:string,key_confidence:double,bpm:double,centroid_hz:double,rms_db:double>"
 BASE = {"key": "C major", "key_confidence": 0.2, "bpm": 120.0, "centroid_hz": 2000.0, "rms_db": -10.0}
@@ -41,3 +42,45 @@ def test_cue_evidence(spark):
     assert [rows[i].balance for i in range(7)] == pytest.approx([0.5] * 5 + [0, 0])
     assert [rows[i].penalty for i in range(7)] == pytest.approx([0.5] * 5 + [2, 2])
     assert rows[0].score == pytest.approx(3 + 0.15 + 5.5 * 0.25 - 0.5) and rows[5].score == pytest.approx(3 + 0.65 - 2)
+
+
+ATTACKS, CONTEXT = "INSUFFICIENT_LOCAL_ATTACKS", "INSUFFICIENT_CONTEXT"
+
+
+def test_tails_are_inherited_only_from_a_sound_bar_of_the_same_pulse(spark):
+    steady = ["", "", *[ATTACKS] * 3]
+    cases = {  # acoustic issues of each bar, codes by bar, beats by bar, period by bar, first bar, wanted
+        "steady": (steady, {}, {}, {}, 0, (3, 1, True)),
+        "own code": (steady, {3: "UNSUPPORTED_ACOUSTIC_PULSE"}, {}, {}, 0, (3, 1, True)),
+        "conflict": (steady, {3: "CONFLICTING_DOWNBEAT_EVIDENCE"}, {}, {}, 0, (3, None, False)),
+        "anchor fault": (steady, {1: "WEAK_BOUNDARY_EVIDENCE"}, {}, {}, 0, (3, None, False)),
+        "within drift": (steady, {}, {}, {3: 0.43}, 0, (3, 1, True)),
+        "drift": (steady, {}, {}, {3: 0.45}, 0, (3, None, False)),
+        "faster": (steady, {}, {}, {4: 0.35}, 0, (3, None, False)),
+        "beats": (steady, {}, {3: 3}, {}, 0, (3, None, False)),
+        "context": (["", CONTEXT], {}, {}, {}, 0, (1, 0, True)),
+        "context and more": (["", f"{CONTEXT},NONRECURRING_ATTACKS"], {}, {}, {}, 0, (1, None, False)),
+        "attacks and more": (["", f"{CONTEXT},{ATTACKS}"], {}, {}, {}, 0, (1, 0, True)),
+        "gap": (["", ATTACKS, "", ATTACKS], {}, {}, {}, 0, (3, None, False)),
+        "no anchor": ([ATTACKS, ATTACKS], {}, {}, {}, 0, (2, None, False)),
+        "anchor before": (["", ATTACKS], {}, {}, {}, 1, (1, 0, True)),
+        "eight": (["", *[ATTACKS] * 8], {}, {}, {}, 0, (8, 0, True)),
+        "nine": (["", *[ATTACKS] * 9], {}, {}, {}, 0, (9, None, False)),
+        "none weak": (["", ""], {}, {}, {}, 0, (0, None, False)),
+    }
+    bars, clock, chosen = [], [], []
+    for name, (acoustic, codes, beats, periods, first, _) in cases.items():
+        idx, us = 0, 0
+        for bar, a in enumerate(acoustic):
+            bars.append((name, bar, idx, idx + beats.get(bar, 4), codes.get(bar, ""), a))
+            for _ in range(beats.get(bar, 4)):
+                clock.append((name, idx, us))
+                idx, us = idx + 1, us + round(periods.get(bar, 0.4) * 1e6)
+        clock.append((name, idx, us))
+        chosen.append((name, first, len(acoustic)))
+    got = planning.inherited_tail(
+        spark.createDataFrame(clock, "series string, idx long, us long"),
+        spark.createDataFrame(bars, "series string, bar long, start_idx long, end_idx long, codes string, acoustic string"),
+        spark.createDataFrame(chosen, "series string, from_bar long, to_bar long"),
+    )
+    assert {r.series: (r.tail, r.anchor_bar, r.inherits) for r in got.collect()} == {k: v[-1] for k, v in cases.items()}

@@ -151,6 +151,33 @@ def sparse_tail(usable: DataFrame, most: int = 8) -> DataFrame:
     return tail.withColumn("inherits", F.col("anchor_bar").isNotNull() & F.col("tail").between(1, most))
 
 
+def inherited_tail(clock: DataFrame, bars: DataFrame, selections: DataFrame, most: int = 8, drift: float = 0.1) -> DataFrame:
+    """Whether the bar before a selection's weak tail may speak for it: series, from_bar, to_bar, tail, anchor_bar, inherits.
+
+    bars: series, bar, start_idx, end_idx, codes (of ``bar_issues``) and acoustic (issues of ``assess_ranges``; empty
+    where supported). selections: series, from_bar, to_bar (one past the last). The tail begins at the first bar without
+    acoustic support. It is inherited if it has at most ``most`` bars, the bar before it has no fault at all, and all its
+    bars lack only local attacks or context, have as many beats, and beat periods within ``drift`` of that bar's.
+    """
+    order = Window.partitionBy("series").orderBy("idx")
+    periods = clock.withColumn("_p", F.lead("us").over(order) - F.col("us")).where("_p is not null").select("series", "idx", "_p")
+    beats = bars.select("series", "bar", "start_idx", (F.col("end_idx") - 1).alias("_last"))
+    timed = range_join(periods, beats, "idx", "start_idx", "_last", ["series"], 16).groupBy("series", "bar").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"), F.avg("_p").alias("_mean"))
+    known = bars.join(timed, ["series", "bar"], "left").withColumn("_beats", F.col("end_idx") - F.col("start_idx"))
+    met = known.join(selections, "series").where((F.col("bar") >= F.col("from_bar") - 1) & (F.col("bar") < F.col("to_bar")))
+    own = Window.partitionBy("series", "from_bar", "to_bar")
+    met = met.withColumn("_weak", F.min(F.when((F.col("bar") >= F.col("from_bar")) & (F.col("acoustic") != ""), F.col("bar"))).over(own))
+    anchor = lambda c: F.max(F.when(F.col("bar") == F.col("_weak") - 1, c)).over(own)
+    met = met.withColumn("_sound", anchor((F.col("codes") == "") & (F.col("acoustic") == ""))).withColumn("_a", anchor(F.col("_mean"))).withColumn("_n", anchor(F.col("_beats")))
+    sparse = F.array_contains(F.split("acoustic", ","), "INSUFFICIENT_LOCAL_ATTACKS") | (F.col("acoustic") == "INSUFFICIENT_CONTEXT")
+    steady = (F.col("_beats") == F.col("_n")) & (1 - F.col("_low") / F.col("_a") <= drift) & (F.col("_high") / F.col("_a") - 1 <= drift)
+    fine = F.coalesce(sparse & F.col("codes").isin("", "UNSUPPORTED_ACOUSTIC_PULSE") & steady, F.lit(False))
+    weak = F.coalesce(F.col("bar") >= F.col("_weak"), F.lit(False))
+    found = met.groupBy("series", "from_bar", "to_bar").agg((F.col("to_bar") - F.min("_weak")).alias("_t"), (F.min("_weak") - 1).alias("_anchor"), F.count_if(weak & fine).alias("_fine"), F.coalesce(F.bool_or("_sound"), F.lit(False)).alias("_ok"))
+    inherits = F.coalesce(F.col("_ok") & F.col("_t").between(1, most) & (F.col("_fine") == F.col("_t")), F.lit(False))
+    return found.select("series", "from_bar", "to_bar", F.coalesce("_t", F.lit(0)).alias("tail"), F.when(inherits, F.col("_anchor")).alias("anchor_bar"), inherits.alias("inherits"))
+
+
 def edits(boundaries: DataFrame, raw: DataFrame) -> DataFrame:
     """Boundaries without a raw event are INFERRED, raw events that are no boundary REMOVED. Both: series, idx."""
     inferred = boundaries.join(raw, ["series", "idx"], "left_anti").select("series", "idx", F.lit("INFERRED").alias("edit"))

@@ -208,6 +208,26 @@ def sparse_tail(spark, sf):
     return P.sparse_tail(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
 
 
+@register(
+    "inherited_tail",
+    "SELECT series, from_bar, to_bar, CASE WHEN weak IS NULL THEN 0 ELSE to_bar - weak END AS tail, CASE WHEN inherits THEN weak - 1 END AS anchor_bar, inherits FROM (SELECT s.*, coalesce(weak >= 1 AND to_bar - weak <= 8 AND a.acoustic = '' AND a.codes = '' AND (SELECT bool_and(t.acoustic <> '' AND t.codes = '' AND (SELECT bool_and(p.period / a.mean <= 1.1 AND p.period / a.mean >= 0.9) FROM beat p WHERE p.series = t.series AND p.idx BETWEEN t.s AND t.e - 1)) FROM b t WHERE t.series = s.series AND t.bar >= weak), false) AS inherits FROM sel s LEFT JOIN b a ON a.series = s.series AND a.bar = weak - 1)",
+    T.CLOCK_SQL,
+    SPANS,
+    "beat AS (SELECT series, idx, lead(us) OVER (PARTITION BY series ORDER BY idx) - us AS period FROM (SELECT series, idx, idx * 400000 + (idx * 7919 + series) % 50000 AS us FROM clock))",
+    "b AS (SELECT p.series, p.bar, s, e, CASE WHEN count(*) FILTER (strength < 50) >= 4 THEN 'INSUFFICIENT_LOCAL_ATTACKS' ELSE '' END AS acoustic, CASE WHEN min(strength) < 1.5 THEN 'UNCERTAIN_METER_PHASE' ELSE '' END AS codes, (SELECT avg(period) FROM beat q WHERE q.series = p.series AND q.idx BETWEEN s AND e - 1) AS mean FROM spans p JOIN clock c ON c.series = p.series AND c.idx BETWEEN s AND e GROUP BY p.series, p.bar, s, e)",
+    "sel AS (SELECT series, greatest(max(bar) - 3, 0) AS from_bar, max(bar) + 1 AS to_bar, (SELECT min(bar) FROM b x WHERE x.series = b.series AND x.acoustic <> '' AND x.bar >= (SELECT greatest(max(bar) - 3, 0) FROM b y WHERE y.series = b.series)) AS weak FROM b GROUP BY series)",
+)
+def inherited_tail(spark, sf):
+    """The last four bars of a near-regular clock; a bar is weak with four faint beats and uncertain with a very faint one."""
+    clock = T.clock(spark, sf)
+    steady = clock.select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * 7919 + F.col("series")) % 50_000).alias("us"))
+    spans = P.bar_spans(clock, 4)
+    met = Q.range_join(clock.select("series", "idx", "strength"), spans, "idx", "start_idx", "end_idx", ["series"], 16)
+    bars = met.groupBy("series", "bar", "start_idx", "end_idx").agg(F.when(F.count_if(F.col("strength") < 50) >= 4, "INSUFFICIENT_LOCAL_ATTACKS").otherwise("").alias("acoustic"), F.when(F.min("strength") < 1.5, "UNCERTAIN_METER_PHASE").otherwise("").alias("codes"))
+    last = spans.groupBy("series").agg(F.greatest(F.max("bar") - 3, F.lit(0)).alias("from_bar"), (F.max("bar") + 1).alias("to_bar"))
+    return P.inherited_tail(steady, bars, last)
+
+
 @register("removed_anti", "SELECT series, idx, 'INFERRED' AS edit FROM bd WHERE (series, idx) NOT IN (SELECT (series, idx) FROM raw) UNION ALL SELECT series, idx, 'REMOVED' FROM raw WHERE (series, idx) NOT IN (SELECT (series, idx) FROM bd)", T.CLOCK_SQL, "bd AS (SELECT series, idx FROM clock WHERE idx % 4 = 0)", "raw AS (SELECT series, idx FROM clock WHERE strength >= 50)")
 def removed_anti(spark, sf):
     clock = T.clock(spark, sf)
