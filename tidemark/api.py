@@ -9,12 +9,13 @@ from .operators.planning import bar_usability, coverage_runs, crossfade, cue_cha
 from .operators.repair import annotated_bars, beat_overlap, cue_evidence, match_events, octave_ratio, pair_evidence, regions, song_affinity
 from .operators.sequence import asof, complement, islands, longest_common_run, merge_intervals, nearest, range_join, upper_median, weighted_upper_median
 from .operators.transitions import plan as plan_transitions
+from .operators.transitions import plan_pulses
 from .sources.audio import as_wav, checked_content, grid, raw_samples, whole_signals, write_audit
 
 __all__ = [
     "analyze", "analyze_with_beats", "anchors", "annotated_bars", "as_wav", "asof", "assess_ranges", "at_index", "bar_usability", "beat_overlap", "beat_track", "checked_content", "complement", "coverage_runs",
     "crossfade", "cue_change", "cue_evidence", "default_cue", "grid", "hermite", "index_at", "infer", "inverse", "islands", "issues", "log_mel", "longest_common_run", "match_events", "merge_intervals", "meter_regions", "nearest",
-    "octave_ratio", "overlap", "pair_evidence", "phase_summary", "phases", "plan_transitions", "prefix_index", "profiles", "range_join", "raw_samples", "read_range", "recurrence", "regions", "regularise",
+    "octave_ratio", "overlap", "pair_evidence", "phase_summary", "phases", "plan_pulses", "plan_transitions", "prefix_index", "profiles", "range_join", "raw_samples", "read_range", "recurrence", "regions", "regularise",
     "remove_duplicates", "resample", "robust_bpm", "smooth", "song_affinity", "stft_features", "timeline_bounds", "track_bars", "upper_median", "usable", "valid_signals", "warp_quality", "weighted_upper_median", "whole_signals",
     "window_stability", "write_audit", "yin_pitch",
 ]

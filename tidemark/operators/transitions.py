@@ -115,3 +115,101 @@ def plan(pairs: DataFrame, bars: DataFrame, clocks: DataFrame, lengths: tuple[in
         .otherwise(F.lit("CLOCK_REJECTED"))
     )
     return all_of.select("pair", "a", "b", "n_bars", "a_bar", "b_bar", "position", "fitted", "min_speed", "max_speed", "max_rate", "p95_s", "max_s", F.coalesce("tried", F.lit(0)).alias("tried"), code.alias("declined"))
+
+
+# How far from an octave two beat periods may be to be mapped 2:1 or 1:2, and the longest fade.
+OCTAVE, MOST_PULSES = 1.15, 512
+
+
+def _fit(x: np.ndarray, y: np.ndarray, end: tuple[float, float] | None, pins: tuple[int, ...]) -> tuple[bool, bool, tuple[float, float, float], float, float]:
+    """(accepted, fitted, rates, 95th percentile and largest output residual) of source beats y at output times x.
+
+    ``end`` is the fade's end as (output, source) where no beat falls on it. Beats in ``pins`` stay.
+    """
+    nan = (np.nan, np.nan, np.nan)
+    whole = lambda z: (np.append(x, end[0]), np.append(z, end[1])) if end else (x, z)
+    if len(x) < 2 or any((np.diff(c) <= 0).any() for c in whole(y)):
+        return False, False, nan, 0.0, 0.0
+    fine = lambda r: r[0] >= MIN_SPEED - 1e-6 and r[1] <= MAX_SPEED + 1e-6 and r[2] <= MAX_RATE + 1e-6
+    rates = fit.warp_rates(*whole(y))
+    if fine(rates):
+        return True, False, rates, 0.0, 0.0
+    if len(x) < 3:
+        return False, False, rates, 0.0, 0.0
+    moved, done, _ = fit.bounded_clock(y, x, fit.displacement_bounds(y, pins=pins))
+    rates, off = fit.warp_rates(*whole(y + moved)), np.abs(np.interp(y, y + moved, x) - x)
+    p95, most = float(np.quantile(off, 0.95)), float(off.max())
+    return bool(done and fine(rates) and p95 <= P95_S + 1e-9 and most <= MOST_S + 1e-9), True, rates, p95, most
+
+
+def _pulses(ta: np.ndarray, a: np.ndarray, a_ok: np.ndarray, tb: np.ndarray, b: np.ndarray, b_ok: np.ndarray, out: int, into: int, n: int) -> dict:
+    """The plan of one selection over the clocks ta and tb, whose bars lie between the beats a and b."""
+    none = {"a_pulses": None, "b_pulses": None, "end_position": None, "fitted": None, "rates": (None, None, None), "p95_s": None, "max_s": None, "tried": 0}
+    if not (0 <= out and n > 0 and out + n < len(a) and 0 <= into and into + 1 < len(b)) or a[-1] >= len(ta) or b[-1] >= len(tb):
+        return none | {"declined": "NO_BAR_RANGE"}
+    first, last, begin = int(a[out]), int(a[out + n]), int(b[into])
+    count = last - first
+    if count > MOST_PULSES:
+        return none | {"declined": "FADE_TOO_LONG"}
+    if not a_ok[out : out + n].all():
+        return none | {"declined": "UNUSABLE_BARS"}
+    ta = ta[first : last + 1]
+    cycles = [(1, 1)]
+    if not np.array_equal(np.diff(a[out : out + n + 1]), np.diff(b[into : into + n + 1])):
+        ratio = np.median(np.diff(tb[begin : b[into + 1] + 1])) / np.median(np.diff(ta))
+        for cycle, octave in (((2, 1), ratio / 2), ((1, 2), ratio * 2)):
+            if octave > 0 and abs(np.log(octave)) <= np.log(OCTAVE):
+                cycles.insert(0, cycle)
+    said = ""
+    for tried, (p, q) in enumerate(cycles, 1):
+        position = begin + count * q / p
+        end = int(np.ceil(position))
+        touched = int(np.searchsorted(b, end))
+        if end > b[-1] or not b_ok[into:touched].all():
+            said = "NO_BAR_RANGE" if end > b[-1] else "UNUSABLE_BARS"
+            continue
+        beat = np.arange(begin, int(position) + 1)
+        x = np.interp((beat - begin) * p / q, np.arange(count + 1), ta)
+        tail = (float(ta[-1]), float((tb[end - 1] + tb[end]) / 2)) if position < end else None
+        pins = tuple(int(k) - begin for k in b if begin <= k <= beat[-1])
+        ok, fitted, rates, p95, most = _fit(x, tb[beat], tail, pins)
+        if ok:
+            return {"a_pulses": p, "b_pulses": q, "end_position": position, "fitted": fitted, "rates": rates, "p95_s": p95, "max_s": most, "tried": tried, "declined": None}
+        said = "CLOCK_REJECTED"
+    return none | {"tried": len(cycles), "declined": said}
+
+
+PULSES = "pair long, a long, b long, a_bar long, b_bar long, n_bars int, a_pulses int, b_pulses int, end_position double, fitted boolean, min_speed double, max_speed double, max_rate double, p95_s double, max_s double, tried int, declined string"
+
+
+def plan_pulses(selections: DataFrame, bars: DataFrame, clocks: DataFrame) -> DataFrame:
+    """A plan per selection (pair, a, b, a_bar, b_bar, n_bars) whose sides may differ in pulses, or the code that declines it.
+
+    Bars of equal meter pair beat by beat. Else a_pulses of a meet b_pulses of b: 2:1 or 1:2 first where the median
+    periods are within 15 % of an octave, then 1:1; each is fitted with b's downbeats held, and the first accepted one
+    stays. end_position is the beat of b at the fade's end, half a beat where it falls between two. bars are numbered
+    from 0 without a gap.
+    """
+    ship(selections.sparkSession)
+    listed = boundaries(bars).groupBy("series").agg(F.array_sort(F.collect_list(F.struct("bar", "start_idx", "end_idx", "usable"))).alias("_g"))
+    edges = listed.select("series", F.concat(F.transform("_g", lambda x: x["start_idx"]), F.array(F.element_at("_g", -1)["end_idx"])).alias("edges"), F.transform("_g", lambda x: x["usable"]).alias("ok"))
+    timed = clocks.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "us"))), lambda x: x["us"] / 1e6).alias("t"))
+    songs = edges.join(timed, "series")
+    side = lambda s: songs.select(F.col("series").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("edges", "ok", "t")])
+    columns = ["pair", "a", "b", "a_bar", "b_bar", "n_bars"]
+    both = selections.select(*columns).join(side("a"), "a", "left").join(side("b"), "b", "left")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                if row.a_t is None or row.b_t is None:
+                    got = _pulses(np.zeros(0), np.zeros(1, int), np.zeros(0, bool), np.zeros(0), np.zeros(1, int), np.zeros(0, bool), 0, 0, 1)
+                else:
+                    one = [np.asarray(x, kind) for s in "ab" for x, kind in ((getattr(row, f"{s}_t"), float), (getattr(row, f"{s}_edges"), int), (getattr(row, f"{s}_ok"), bool))]
+                    got = _pulses(*one, int(row.a_bar), int(row.b_bar), int(row.n_bars))
+                out.append((*[getattr(row, c) for c in columns], got["a_pulses"], got["b_pulses"], got["end_position"], got["fitted"], *got["rates"], got["p95_s"], got["max_s"], got["tried"], got["declined"]))
+            found = pd.DataFrame(out, columns=[c.split()[0] for c in PULSES.split(", ")], dtype=object)
+            yield found.astype({"a_pulses": "Int32", "b_pulses": "Int32"})
+
+    return both.mapInPandas(run, PULSES)

@@ -85,3 +85,15 @@ def transition_plans(spark, sf):
     clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
     pairs = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"))
     return TR.plan(pairs, marked, clocks)
+
+
+@register("pulse_plans")
+def pulse_plans(spark, sf):
+    """Two bars from each customer to the next, whose clocks are now an octave apart and now not."""
+    bars = T.bars(spark, sf)
+    marked = bars.select("series", "bar", "pulses", (F.col("score") > 1_000).alias("usable"), "score")
+    ends = bars.groupBy("series").agg(F.sum("pulses").alias("n"))
+    period = F.when(F.col("series") % 3 == 0, 800_000).otherwise(400_000)
+    clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * period + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
+    chosen = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"), F.lit(1).cast("long").alias("a_bar"), F.lit(0).cast("long").alias("b_bar"), F.lit(2).alias("n_bars"))
+    return TR.plan_pulses(chosen, marked, clocks)
