@@ -84,3 +84,43 @@ def test_tails_are_inherited_only_from_a_sound_bar_of_the_same_pulse(spark):
         spark.createDataFrame(chosen, "series string, from_bar long, to_bar long"),
     )
     assert {r.series: (r.tail, r.anchor_bar, r.inherits) for r in got.collect()} == {k: v[-1] for k, v in cases.items()}
+
+
+CODES = ["UNSUPPORTED_PULSE", "UNSUPPORTED_ACOUSTIC_PULSE", "INCOMPLETE_OBSERVATION_WINDOW", "WEAK_BOUNDARY_EVIDENCE", "CONFLICTING_DOWNBEAT_EVIDENCE", "INSUFFICIENT_METER_EVIDENCE", "UNCERTAIN_METER_PHASE"]
+
+
+def issues(spark, weak=(), clipped=(), posterior={}, thin=(), removed=(), pulse=((0, 25),), acoustic={}, audited=True):
+    """The codes of six bars of four beats of 0.4 s."""
+    bounds = [("s", i, 4 * i, 1_600_000 * i, 0.49 if i in weak else 0.5, i not in clipped) for i in range(7)]
+    got = api.bar_issues(
+        spark.createDataFrame(bounds, "series string, boundary long, idx long, us long, score double, complete boolean"),
+        spark.createDataFrame([("s", i, posterior.get(i, 0.9), i not in thin) for i in range(6)], "series string, bar long, posterior double, region boolean"),
+        spark.createDataFrame([("s", *r) for r in removed], "series string, idx long, us long, score double"),
+        spark.createDataFrame([("s", *r) for r in pulse], "series string, from long, to long") if audited else None,
+        spark.createDataFrame([("s", 4 * i, 4 * i + 5, acoustic.get(i, True)) for i in range(6) if acoustic.get(i, True) is not None], "series string, start long, end long, supported boolean") if audited else None,
+    )
+    rows = sorted(got.collect(), key=lambda r: r.bar)
+    assert [r.bar for r in rows] == list(range(6)) and all(r.usable == (r.codes == "") for r in rows)
+    return {r.bar: r.codes for r in rows if r.codes}
+
+
+def test_all_seven_codes(spark):
+    assert issues(spark) == {}
+    assert issues(spark, pulse=[(0, 20), (16, 25)]) == {}
+    assert issues(spark, pulse=[(0, 12), (12, 25)]) == {2: CODES[0]}  # the end beat must lie in the same region
+    assert issues(spark, pulse=[]) == dict.fromkeys(range(6), CODES[0])
+    assert issues(spark, acoustic={1: False, 4: None}) == {1: CODES[1], 4: CODES[1]}
+    assert issues(spark, clipped=[0, 6]) == {0: CODES[2], 5: CODES[2]}
+    assert issues(spark, weak=[3]) == {2: CODES[3], 3: CODES[3]}
+    assert issues(spark, thin=[1], posterior={4: 0.89}) == {1: CODES[5], 4: CODES[6]}
+    assert issues(spark, pulse=[], acoustic={0: False}, audited=False) == {}
+
+
+def test_conflicts_are_strictly_inside_and_strong(spark):
+    inside, faint, at_bound, before = (6, 2_400_000, 0.5), (10, 4_000_000, 0.49), (12, 4_900_000, 0.9), (17, 6_400_000, 0.9)
+    assert issues(spark, removed=[inside, inside, faint, at_bound, before]) == {1: CODES[4]}
+
+
+def test_all_codes_of_one_bar(spark):
+    got = issues(spark, weak=[0], clipped=[0], posterior={0: 0.0}, thin=[0], removed=[(2, 800_000, 1.0)], pulse=[(4, 25)], acoustic={0: False})
+    assert got == {0: ",".join(CODES)}

@@ -136,6 +136,41 @@ def bar_usability(clock: DataFrame, pulses: int, least: float, conflict: float)
     return found.select("series", "bar", F.array_join(codes, ",").alias("codes"), (F.size(codes) == 0).alias("usable"))
 
 
+def bar_issues(boundaries: DataFrame, bars: DataFrame, removed: DataFrame, pulse: DataFrame | None = None, acoustic: DataFrame | None = None, least: float = 0.9, weak: float = 0.5) -> DataFrame:
+    """Per bar all of the seven codes that speak against it, and whether there are none.
+
+    boundaries: series, boundary (from 0), idx, us, score, complete (its observation window); bar i lies between i and
+    i + 1. bars: series, bar, posterior, region (whether its meter region has enough evidence). removed: raw downbeats
+    that are no boundary, as series, idx (nearest beat), us, score. pulse: accepted regions of beats (series, from, to one
+    past the last). acoustic: ``assess_ranges`` of the bars with both end beats (series, start, end, supported). Without
+    pulse or acoustic that code isn't given; a bar that they don't cover has it.
+    """
+    order = Window.partitionBy("series").orderBy("boundary")
+    ahead = {c: F.lead(c).over(order).alias(f"_{c}") for c in ("idx", "us", "score", "complete")}
+    spans = boundaries.select("series", F.col("boundary").alias("bar"), "idx", "us", "score", "complete", *ahead.values()).where("_idx is not null")
+    placed = spans.select("series", "bar", F.col("idx").alias("start"), (F.col("_idx") + 1).alias("end"))
+    strong = removed.where(F.col("score") >= weak).select("series", F.col("idx").alias("_at"), F.col("us").alias("_at_us"))
+    met = range_join(strong, spans.select("series", "bar", "idx", "us", "_idx", "_us"), "_at", "idx", "_idx", ["series"], 16)
+    inside = (F.col("_at") > F.col("idx")) & (F.col("_at") < F.col("_idx")) & (F.col("_at_us") > F.col("us")) & (F.col("_at_us") < F.col("_us"))
+    found = spans.join(met.where(inside).select("series", "bar", F.lit(True).alias("_conflict")).distinct(), ["series", "bar"], "left")
+    found = found.join(bars.select("series", "bar", "posterior", "region"), ["series", "bar"], "left")
+    held = placed.join(contained(placed, pulse, 64).select("series", "bar", F.lit(True).alias("_pulse")), ["series", "bar"], "left") if pulse is not None else placed.withColumn("_pulse", F.lit(True))
+    heard = held.join(acoustic.select("series", "start", "end", F.col("supported").alias("_acoustic")), ["series", "start", "end"], "left") if acoustic is not None else held.withColumn("_acoustic", F.lit(True))
+    found = found.join(heard.select("series", "bar", "_pulse", "_acoustic"), ["series", "bar"])
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    faults = {
+        "UNSUPPORTED_PULSE": no(F.col("_pulse")),
+        "UNSUPPORTED_ACOUSTIC_PULSE": no(F.col("_acoustic")),
+        "INCOMPLETE_OBSERVATION_WINDOW": no(F.col("complete") & F.col("_complete")),
+        "WEAK_BOUNDARY_EVIDENCE": no((F.col("score") >= weak) & (F.col("_score") >= weak)),
+        "CONFLICTING_DOWNBEAT_EVIDENCE": F.coalesce("_conflict", F.lit(False)),
+        "INSUFFICIENT_METER_EVIDENCE": no(F.col("region")),
+        "UNCERTAIN_METER_PHASE": no(F.col("posterior") >= least),
+    }
+    codes = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in faults.items()]))
+    return found.select("series", "bar", F.array_join(codes, ",").alias("codes"), (F.size(codes) == 0).alias("usable"))
+
+
 def coverage_runs(usable: DataFrame) -> DataFrame:
     """Longest runs of usable bars: series, first_bar, end_bar (one past the last)."""
     order = Window.partitionBy("series").orderBy("bar")

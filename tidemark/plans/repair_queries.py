@@ -145,6 +145,29 @@ def first_failure(spark, sf):
     return R.first_failure(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
 
 
+@register(
+    "bar_issues",
+    "SELECT series, bar, concat_ws(',', CASE WHEN NOT pulse THEN 'UNSUPPORTED_PULSE' END, CASE WHEN NOT acoustic THEN 'UNSUPPORTED_ACOUSTIC_PULSE' END, CASE WHEN edge THEN 'INCOMPLETE_OBSERVATION_WINDOW' END, CASE WHEN faint THEN 'WEAK_BOUNDARY_EVIDENCE' END, CASE WHEN conflict THEN 'CONFLICTING_DOWNBEAT_EVIDENCE' END, CASE WHEN bar % 7 = 3 THEN 'INSUFFICIENT_METER_EVIDENCE' END, CASE WHEN unsure THEN 'UNCERTAIN_METER_PHASE' END) AS codes, pulse AND acoustic AND NOT (edge OR faint OR conflict OR bar % 7 = 3 OR unsure) AS usable FROM "
+    "(SELECT p.series, p.bar, s >= 8 AND e < 60 OR s >= 72 AND e < 400 AS pulse, NOT bool_or(c.idx < e AND (c.idx < 4 OR c.strength > 480 OR c.idx > s AND c.strength < 10 AND c.before < 10)) AND avg(CASE WHEN c.idx < e THEN (c.strength >= 10)::INT END) >= 0.5 AS acoustic, "
+    "s < 2 OR e > last - 2 AS edge, bool_or(c.idx IN (s, e) AND c.strength < 6) AS faint, bool_or(c.idx > s AND c.idx < e AND c.idx % 4 = 1 AND c.strength >= 60 AND c.us > x.us AND c.us < y.us) AS conflict, bool_or(c.idx = s AND c.strength < 9) AS unsure FROM spans p "
+    "JOIN (SELECT *, lag(strength) OVER (PARTITION BY series ORDER BY idx) AS before, max(idx) OVER (PARTITION BY series) AS last FROM clock) c ON c.series = p.series AND c.idx BETWEEN s AND e JOIN clock x ON x.series = p.series AND x.idx = s JOIN clock y ON y.series = p.series AND y.idx = e GROUP BY p.series, p.bar, s, e, last)",
+    T.CLOCK_SQL,
+    JQ.SPANS,
+)
+def bar_issues(spark, sf):
+    """Every fourth beat as a boundary, the beats after them as removed downbeats, and two accepted regions of beats."""
+    from ..operators import evidence as E
+
+    clock = T.clock(spark, sf)
+    last = F.max("idx").over(Window.partitionBy("series"))
+    bounds = clock.withColumn("_last", last).where("idx % 4 = 0").select("series", F.floor(F.col("idx") / 4).alias("boundary"), "idx", "us", (F.col("strength") / 12).alias("score"), F.col("idx").between(2, F.col("_last") - 2).alias("complete"))
+    bars = clock.where("idx % 4 = 0").select("series", F.floor(F.col("idx") / 4).alias("bar"), (F.col("strength") / 10).alias("posterior")).withColumn("region", F.col("bar") % 7 != 3)
+    removed = clock.where("idx % 4 <= 1").select("series", "idx", "us", (F.col("strength") / 120).alias("score"))
+    pulse = clock.select("series").distinct().select("series", F.explode(F.array(*[F.struct(F.lit(a).alias("from"), F.lit(b).alias("to")) for a, b in ((8, 60), (72, 400))])).alias("r")).select("series", "r.*")
+    spans = P.bar_spans(clock, 4).select("series", F.col("start_idx").alias("start"), (F.col("end_idx") + 1).alias("end"))
+    return P.bar_issues(bounds, bars, removed, pulse, E.assess_ranges(E.prefix_index(EQ._flags(spark, sf)), spans))
+
+
 @register("supported_runs", "SELECT series, bar, max(bar) OVER (PARTITION BY series, g) + 1 AS end_bar FROM (SELECT *, bar - row_number() OVER (PARTITION BY series ORDER BY bar) AS g FROM usable WHERE NOT (low OR conflict OR short))", T.CLOCK_SQL, JQ.SPANS, JQ.USABLE)
 def supported_runs(spark, sf):
     return R.supported_runs(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
