@@ -142,6 +142,26 @@ def test_forest_recall_and_scores(spark, sf):
     assert hits / total >= 0.9
 
 
+def test_forest_among_copies_finds_as_many_as_asked(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((40, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    vectors[:5] = vectors[0]
+    ids = [*range(20), *range(21, 40), 41]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    got = sorted(r.rank for r in ann.nearest(table).collect())
+    assert got == list(range(1, 21))
+
+
+@pytest.mark.parametrize("copies", [5, 50, 150])
+def test_forest_candidates_are_counted(copies):
+    rng = np.random.default_rng(copies)
+    vectors = rng.standard_normal((200, 16))
+    vectors[:copies] = vectors[0]
+    for least in (21, 130, 200, 250):
+        assert min(len(set(c)) for c in ann.Forest(vectors).candidates(vectors[::7], least)) >= min(least, 200)
+
+
 def test_forest_awkward(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, []), (2, [1.0, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score")

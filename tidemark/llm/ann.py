@@ -45,15 +45,16 @@ class Forest:
         self.sorted = np.take_along_axis(found, self.order, axis=1)
 
     def candidates(self, queries: np.ndarray, least: int) -> Iterator[np.ndarray]:
-        """Per query the vectors that share the longest prefix at which the trees together reach ``least``.
+        """Per query the vectors that share the longest prefix found at which the trees together hold ``least`` vectors.
 
         The descent finds each tree's longest match by binary search; the ascent shortens the prefix in all trees in
-        step, so a query among many alike stops at a long prefix and a lone one goes up further.
+        step, so a query among many alike stops at a long prefix and a lone one goes up further. Where the sizes of the
+        ranges make ``least`` likely, the vectors in them are counted: ranges that hold the same copies don't stop it.
         """
         keys = hashes(np.hstack([queries, np.zeros((len(queries), 1))]))
         trees, n = self.sorted.shape
         low, high = np.zeros((trees, len(queries)), np.int64), np.full((trees, len(queries)), n)
-        open_ = np.ones(len(queries), bool)
+        open_, hit = np.ones(len(queries), bool), np.zeros((len(queries), n), bool)
         for level in range(BITS, 0, -1):
             if not open_.any():
                 break
@@ -64,17 +65,14 @@ class Forest:
                 low[t, open_] = np.searchsorted(self.sorted[t], at, "left")
                 high[t, open_] = np.searchsorted(self.sorted[t], at | rest, "right")
             # A vector is expected in the union of independent ranges unless it is outside each.
-            reached = n * (1 - np.prod(1 - (high - low) / max(1, n), axis=0)) >= least
-            open_ &= ~reached
-        low[:, open_], high[:, open_] = 0, n
-        for q in range(len(queries)):
-            if open_[q]:
-                yield np.arange(n)
-            else:
-                hit = np.zeros(n, bool)
+            likely = n * (1 - np.prod(1 - (high - low) / max(1, n), axis=0)) >= least
+            for q in (open_ & likely).nonzero()[0].tolist():
                 for t in range(trees):
-                    hit[self.order[t, low[t, q] : high[t, q]]] = True
-                yield hit.nonzero()[0]
+                    hit[q, self.order[t, low[t, q] : high[t, q]]] = True
+                open_[q] = np.count_nonzero(hit[q]) < least
+        hit[open_] = True
+        for row in hit:
+            yield row.nonzero()[0]
 
 
 def search_shard(ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, qrows: np.ndarray, queries: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
