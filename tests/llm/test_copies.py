@@ -63,6 +63,21 @@ def test_components_are_the_brute_force_ones(spark, options):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("options", [{}, {"block_shingles": 300}, {"cluster_nodes": 2}])
+def test_all_links_of_a_component_are_counted(spark, options):
+    texts = near_copies()
+    texts += [(1000 + i, texts[i % 7][1]) for i in range(20)] + [(2000, ""), (2001, None), (2002, "alone")]
+    sets, of = {i: shingles(t) for i, t in texts}, brute_components(texts)
+    wanted = collections.Counter()
+    for x, a in enumerate(sorted(sets)):
+        for b in sorted(sets)[x + 1 :]:
+            both = len(sets[a] & sets[b])
+            wanted[of[a][1]] += bool(both) and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both)
+    got = J.components(spark.createDataFrame(texts, "doc_id long, text string"), count_links=True, **options).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == {i: (*of[i], wanted[of[i][1]]) for i in sets}
+    assert max(wanted.values()) > max(collections.Counter(c for _, c in of.values()).values())
+
+
 def test_components_of_documents(spark, documents, texts):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(documents).collect()}
     assert got == brute_components(texts)

@@ -190,6 +190,47 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], other: np.ndarray) ->
     return out
 
 
+def block_counts(copies: np.ndarray, sets: list[np.ndarray], other: np.ndarray, within: bool) -> np.ndarray:
+    """Per node the links between its copies and those of the larger nodes that it is linked with, all pairs verified.
+
+    With ``within`` all pairs count, else those between the two sides that ``other`` tells apart.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size, weight, side, sorted_sets = size[order], copies[order], other[order], [sets[i] for i in order]
+    sketch = bit_sketches(sorted_sets, 1 << int(np.clip(np.ceil(np.log2(4 * np.median(size))), 8, 16)))
+    out = np.zeros(len(sets), np.int64)
+    for i in range(len(sets)):
+        end = int(np.searchsorted(size, size[i] * OF // LINK, "right"))
+        apart = np.bitwise_count(sketch[i + 1 : end] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        near = apart <= (OF - LINK) * (size[i + 1 : end] + size[i]) // (OF + LINK)
+        if not within:
+            near &= side[i + 1 : end] != side[i]
+        out[order[i]] = weight[i] * sum(int(weight[j]) for j in (near.nonzero()[0] + i + 1).tolist() if linked(sorted_sets[i], sorted_sets[j]))
+    return out
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair of blocks' nodes with their numbers of links in it; rows come sorted as for ``_blocks``."""
+    key, held = None, ([], [], [], [])
+
+    def done() -> pa.RecordBatch:
+        found = block_counts(np.array(held[2], np.int64), held[1], np.array(held[3], bool), key[1] == key[2])
+        return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(found)], ["node", "n_links"])
+
+    for batch, sets in _sets(batches):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y", "node", "copies", "side")), sets, strict=True)
+        for cluster, x, y, node, copies, side, tokens in rows:
+            if (cluster, x, y) != key:
+                if held[0]:
+                    yield done()
+                key, held = (cluster, x, y), ([], [], [], [])
+            for part, value in zip(held, (node, tokens, copies, side), strict=True):
+                part.append(value)
+    if held[0]:
+        yield done()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each pair of blocks; rows come sorted by cluster and pair, so that one pair at a time is held."""
     key, held = None, ([], [], [])
@@ -238,7 +279,22 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cluster_nodes: int = CLUSTER_NODES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def _dealt(placed: DataFrame, texts: DataFrame, block_shingles: int, *more: str) -> DataFrame:
+    """The nodes (cluster, node, n and ``more``) with their texts for each pair of blocks of their cluster, sorted by these.
+
+    Blocks by size of set from a histogram of sizes; many sets of one size are dealt over blocks by hash.
+    """
+    smaller = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("cluster", "n").agg(F.sum("n").alias("_w")).withColumn("_low", F.floor(F.coalesce(F.sum("_w").over(smaller), F.lit(0)) / block_shingles))
+    own = F.col("_low") + F.pmod(F.xxhash64("node"), F.ceil(F.col("_w") / block_shingles))
+    placed = placed.join(sizes, ["cluster", "n"]).select("cluster", "node", "n", own.alias("block"), *more)
+    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
+    dealt = placed.join(last, "cluster").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+    pairs = dealt.select("cluster", "node", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).alias("side"), *more).join(texts, "node")
+    return pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cluster_nodes: int = CLUSTER_NODES, block_shingles: int = BLOCK_SHINGLES, count_links: bool = False) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included).
 
     Documents with equal shingle sets are one node. Nodes send the keys of their sketches (see ``sketch_keys``); nodes
@@ -249,6 +305,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     ``_by_key``). No pair is left out on either way. Sets, links and labels stay in tables; only
     counts come to the driver.
 
+    With ``count_links`` the column n_links tells how many pairs of rows of the component are linked, copies included;
+    every pair that the sketches allow is then verified, block by block in clusters of any size.
+
     Null and empty texts and those without words have n_shingles 0 and are linked with nothing. Repeated rows are
     equal sets; a null id joins its component but names it only if all ids there are null. Other columns are dropped.
     """
@@ -272,15 +331,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     clusters = merge_labels(alone, stars.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     large = stage(clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cluster_nodes).select("label"))
     placed = clusters.join(large, "label", "left_anti").withColumnRenamed("label", "cluster").join(involved.select("node", "n"), "node")
-    # Blocks by size of set from a histogram of sizes; many sets of one size are dealt over blocks by hash.
-    smaller = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("cluster", "n").agg(F.sum("n").alias("_w")).withColumn("_low", F.floor(F.coalesce(F.sum("_w").over(smaller), F.lit(0)) / block_shingles))
-    own = F.col("_low") + F.pmod(F.xxhash64("node"), F.ceil(F.col("_w") / block_shingles))
-    placed = placed.join(sizes, ["cluster", "n"]).select("cluster", "node", "n", own.alias("block"))
-    last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
-    dealt = placed.join(last, "cluster").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-    pairs = dealt.select("cluster", "node", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), (F.col("block") > F.col("with")).alias("side")).join(texts, "node")
-    links = pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(_blocks, "a long, b long")
+    links = _dealt(placed, texts, block_shingles).mapInArrow(_blocks, "a long, b long")
     labels = merge_labels(alone, stage(links))
     if large.limit(1).count():
         inside = clusters.join(large, "label").select("node")
@@ -290,7 +341,17 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     lowest = named.groupBy("label").agg(F.min("_low").alias("component_id"))
     names = named.join(lowest, "label").select(F.col("node").alias("_n"), "component_id")
     empty = table.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return table.where("node is not null").join(names, F.col("node") == F.col("_n"), "left").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    found = table.where("node is not null").join(names, F.col("node") == F.col("_n"), "left")
+    if not count_links:
+        return found.select("doc_id", "n_shingles", "component_id").unionByName(empty)
+    copies = table.where("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    members = clusters.withColumnRenamed("label", "cluster").join(involved.select("node", "n"), "node").join(copies, "node")
+    between = _dealt(members, texts, block_shingles, "copies").mapInArrow(_counts, "node long, n_links long")
+    alike = copies.select("node", F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("n_links"))
+    sums = stage(alike.unionByName(between).join(named.select("node", "label"), "node").groupBy("label").agg(F.sum("n_links").alias("n_links")))
+    counted = named.select("node", "label").join(sums, "label").select(F.col("node").alias("_c"), "n_links")
+    whole = found.join(counted, F.col("node") == F.col("_c")).select("doc_id", "n_shingles", "component_id", "n_links")
+    return whole.unionByName(empty.withColumn("n_links", F.lit(0).cast("long")))
 
 
 def _by_key(shared: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
