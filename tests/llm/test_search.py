@@ -50,7 +50,8 @@ def found(df):
 
 def test_bm25_of_whole_texts_over_many_shards(spark, documents, texts, monkeypatch):
     monkeypatch.setattr(bm25, "SHARD_BYTES", 30_000)
-    monkeypatch.setattr(bm25, "OUTRIGHT", 50)
+    monkeypatch.setattr(bm25, "SHARDS_PER_CELL", 3)
+    monkeypatch.setattr(bm25, "WINDOW", 8)
     asked = [(i, t) for i, t in texts if i % 10 == 0]
     got = found(bm25.search(bm25.build(documents), spark.createDataFrame(asked, "query_id long, text string"), k=7))
     assert got == brute(texts, asked, 7)
@@ -68,23 +69,38 @@ def test_bm25_query_of_own_words_finds_itself(spark, tmp_path):
     assert found(bm25.query(spark, str(tmp_path))) == brute(rows, rows[:1], 10) != {}
 
 
-@pytest.mark.parametrize("many", [1, 10_000])
-def test_bm25_of_many_terms_with_and_without_pruning(spark, documents, texts, monkeypatch, many):
-    monkeypatch.setattr(bm25, "OUTRIGHT", 0)
-    monkeypatch.setattr(bm25, "MANY", many)
-    (row,) = bm25._index(iter(documents.select("doc_id", "text").toArrow().combine_chunks().to_batches()[:1]))
-    shard = bm25.Shard(row.column("terms")[0].values.to_numpy(), row.column("blob")[0].as_py(), 300.0)
-    rng = np.random.default_rng(1)
+def one_shard(docs):
+    (row,) = bm25._index(iter(docs))
+    return bm25.Shard(row.column("terms")[0].values.to_numpy(), row.column("blob")[0].as_py(), 300.0)
+
+
+def plain(postings, n, terms, idf, k):
+    """Every posting of every term, scored in order."""
+    score = np.zeros(n)
+    for t, w in zip(terms, idf, strict=True):
+        doc, impact = postings[t]
+        score[doc] += w * impact
+    best = np.lexsort((np.arange(n), -score))[:k]
+    best = best[score[best] > 0]
+    return best.tolist(), score[best]
+
+
+def postings_of(shard):
+    bounds, doc = shard.block_at[shard.block_of], shard.key & ((1 << shard.bits) - 1)
+    return [(doc[a:b], shard.impact[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+@pytest.mark.parametrize("window", [1, 16, 64, 100_000])
+def test_bm25_of_many_terms_is_exact(documents, monkeypatch, window):
+    monkeypatch.setattr(bm25, "WINDOW", window)
+    shard = one_shard(documents.select("doc_id", "text").orderBy("doc_id").toArrow().combine_chunks().to_batches()[:1])
+    rng, postings = np.random.default_rng(1), postings_of(shard)
     for k in (1, 10, len(shard.ids), len(shard.ids) + 5):
         terms = np.sort(rng.choice(len(shard.terms), size=200, replace=False))
         idf = rng.random(200) * 3
-        score = np.zeros(len(shard.ids))
-        for t, w in zip(terms, idf, strict=True):
-            part = slice(shard.start[t], shard.start[t + 1])
-            score[shard.doc[part]] += w * shard.impact[part]
-        best = np.lexsort((shard.ids, -score))[:k]
+        want, best = plain(postings, len(shard.ids), terms, idf, k)
         got, s = shard.best(terms, idf, k)
-        assert got.tolist() == best[score[best] > 0].tolist() and np.array_equal(s, score[best][score[best] > 0])
+        assert got.tolist() == want and np.array_equal(s, best)
 
 
 def test_bm25_of_salient_terms(spark, documents, texts):
@@ -99,28 +115,37 @@ def test_bm25_awkward(spark):
     got = bm25.search(index, asked, k=3).collect()
     assert {r.query_id for r in got} == {4} and len(got) == 6
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank)][:2] == [5, 5] and None in {r.doc_id for r in got}
+    clash = asked.selectExpr("*", "1 AS query", "'x' AS doc_id", "2 AS score", "3 AS rank", "'t' AS terms", "4 AS cell", "5 AS n")
+    assert sorted(map(str, bm25.search(index, clash, k=3).collect())) == sorted(map(str, got))
+    long = spark.createDataFrame([(7, awkward.LONG * 4)], "query_id long, text string")
+    assert [r.doc_id for r in sorted(bm25.search(index, long, k=3).collect(), key=lambda r: r.rank)][:2] == [7, 8]
     empty = bm25.build(awkward.table(spark, []))
     assert bm25.search(empty, asked, k=3).count() == 0
 
 
-@pytest.mark.parametrize("outright", [0, 4096])
-def test_pruning_skips_and_stays_exact(monkeypatch, outright):
-    monkeypatch.setattr(bm25, "OUTRIGHT", outright)
+def test_pruning_skips_and_stays_exact(monkeypatch):
+    monkeypatch.setattr(bm25, "FIRST", 64)
+    monkeypatch.setattr(bm25, "WINDOW", 64)
     rng = np.random.default_rng(0)
-    docs = [" ".join(rng.choice([f"w{i}" for i in range(60)], size=rng.integers(1, 40), p=np.r_[np.full(10, 0.09), np.full(50, 0.002)])) for _ in range(3000)]
-    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000), pa.int64()), "text": pa.array(docs)})
-    (row,) = bm25._index(iter([batch]))
-    shard = bm25.Shard(row.column("terms")[0].values.to_numpy(), row.column("blob")[0].as_py(), 20.0)
-    for _ in range(50):
-        terms = rng.choice(len(shard.terms), size=rng.integers(1, 6), replace=False)
-        idf = rng.random(len(terms)) * 3
-        score = np.zeros(3000)
-        for t, w in zip(terms, idf, strict=True):
-            part = slice(shard.start[t], shard.start[t + 1])
-            score[shard.doc[part]] += w * shard.impact[part]
-        best = np.lexsort((np.arange(3000), -score))[:10]
+    p = 1 / np.arange(1, 2001)
+    docs = [" ".join(rng.choice([f"w{i}" for i in range(2000)], size=rng.integers(1, 200), p=p / p.sum())) for _ in range(3000)]
+    shard = one_shard([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(3000), pa.int64()), "text": pa.array(docs)})])
+    postings, every, few, few_read = postings_of(shard), 0, 0, 0
+    df = np.array([len(d) for d, _ in postings])
+    for j in range(60):
+        if j % 2:  # a rare word and frequent ones
+            terms = np.unique([(df > 40).nonzero()[0][j], *np.argsort(-df)[rng.integers(0, 20, 3)]])
+        else:  # a document's own words
+            terms = np.array([t for t, (d, _) in enumerate(postings) if j * 40 in d])
+        idf = np.log(1 + (3000 - df[terms] + 0.5) / (df[terms] + 0.5))
+        want, best = plain(postings, 3000, terms, idf, 10)
+        before = shard.read
         got, s = shard.best(terms, idf, 10)
-        assert got.tolist() == best[score[best] > 0].tolist() and np.array_equal(s, score[best][score[best] > 0])
+        assert got.tolist() == want and np.array_equal(s, best)
+        every += df[terms].sum()
+        if j % 2:
+            few, few_read = few + df[terms].sum(), few_read + shard.read - before
+    assert shard.read < every and few_read < 0.5 * few
 
 
 def test_forest_recall_and_scores(spark, sf):

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +15,12 @@ from .shingles import _runs_of, word_hashes
 from .substring_dedup import packed, unpacked
 
 K1, B = 1.2, 0.75
-#: Bytes of text that a shard indexes, postings of a block, and queries that are broadcast at a time.
-SHARD_BYTES, BLOCK, QUERY_BLOCK = 32 << 20, 64, 4096
-#: Postings of a query in a shard up to which they are all scored, and terms of a query from which they are.
-OUTRIGHT, MANY = 4096, 8
+#: Bytes of text that a shard indexes, and shards that a task holds at most.
+SHARD_BYTES, SHARDS_PER_CELL = 32 << 20, 4
+#: Documents of a window, and postings that are read before there is a floor.
+WINDOW, FIRST = 512, 4096
+#: Postings that can be read in the time in which a cursor seeks a document, and seeks of a query at a time.
+SEEK, MOST_SEEKS = 8, 1 << 20
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +56,7 @@ def _shard(held: list) -> pa.RecordBatch:
     terms = pa.array(words[begin].view(np.int64))
     return pa.RecordBatch.from_pydict(
         {
+            "shard": pa.array([uuid.uuid4().hex]),
             "n_docs": pa.array([len(lengths)], pa.int64()),
             "n_words": pa.array([int(lengths.sum())], pa.int64()),
             "terms": pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms),
@@ -74,103 +77,144 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(query[first]), pa.array(words[first].view(np.int64)), pa.array(np.diff(np.append(first, len(words))))], ["query", "term", "tf"])
 
 
-@dataclass(frozen=True)
-class Queries:
-    """Queries laid end to end: terms of query i are term[at[i]:at[i + 1]], in order, with their idf."""
-
-    query: np.ndarray
-    at: np.ndarray
-    term: np.ndarray
-    idf: np.ndarray
-
-
 class Shard:
-    """A shard's postings with their impacts under the corpus's mean length, and each block's largest impact."""
+    """A shard's postings with their impacts under the corpus's mean length, in blocks with their largest impact.
+
+    A block holds a term's postings in one window of WINDOW documents, so that the blocks of all terms end at the same
+    documents, and the largest impacts of a window's blocks together bound what its documents can score.
+    """
 
     def __init__(self, terms: np.ndarray, blob: bytes, mean: float):
         p = unpacked(blob)
         self.order = np.argsort(terms)  # terms are sorted as unsigned, asked for as signed numbers
         self.terms = terms[self.order]
-        self.ids, self.no_id, self.start = p["i"], p["o"], p["s"]
-        self.doc = p["d"].astype(np.int64)
-        tf = p["f"].astype(np.float64)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * p["n"][self.doc] / mean)) if len(tf) else tf
-        # Blocks start anew with every term.
-        n = np.diff(self.start)
-        per = -(-n // BLOCK)
-        self.block_of = np.concatenate(([0], np.cumsum(per)))
-        at = np.repeat(self.start[:-1] - self.block_of[:-1] * BLOCK, per) + np.arange(per.sum()) * BLOCK
+        self.ids, self.no_id, start = p["i"], p["o"], p["s"]
+        self.bits = max(1, int(len(self.ids)).bit_length())
+        tf, doc = p["f"].astype(np.float64), p["d"].astype(np.int64)
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * p["n"][doc] / mean)) if len(tf) else tf
+        window = doc // WINDOW
+        new = _runs_of(window)
+        new[start[:-1]] = True
+        (at,) = new.nonzero()
         self.block_at = np.append(at, len(tf))
+        self.block_of = np.searchsorted(at, start)  # blocks of term t: block_of[t] to block_of[t + 1]
+        self.block_window = window[at]
         self.block_top = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.windows = -(-len(self.ids) // WINDOW)
+        self.key = (np.repeat(np.arange(len(terms)), np.diff(start)) << self.bits) | doc
+        self.read = 0
+
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms this shard has, and their positions in it."""
+        at = np.searchsorted(self.terms, terms)
+        held = at < len(self.terms)
+        held[held] = self.terms[at[held]] == terms[held]
+        return held, self.order[at[held]]
+
+    def _sums(self, blocks: np.ndarray, weight: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        """Per document the weighed impacts of some blocks' postings, added up in their order."""
+        n = self.block_at[blocks + 1] - self.block_at[blocks]
+        at = spread(self.block_at[blocks], n)
+        self.read += len(at)
+        doc, part = self.key[at] & ((1 << self.bits) - 1), self.impact[at] * np.repeat(weight, n)
+        if only is not None:
+            doc, part = doc[only[doc]], part[only[doc]]
+        return np.bincount(doc, part, len(self.ids))
+
+    def _scores(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Scores of some documents, added up in the terms' order: cursors seek these documents in the terms' postings."""
+        asked = ((terms[:, None] << self.bits) | docs).ravel()
+        at = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
+        self.read += len(asked)
+        part = np.where(self.key[at] == asked, np.repeat(idf, len(docs)) * self.impact[at], 0.0)
+        return np.bincount(np.tile(np.arange(len(docs)), len(terms)), part, len(docs))
 
     def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the ``k`` best documents for terms (positions in this shard), ties to smaller ids.
 
-        The blocks' bounds cut the documents into intervals; an interval's ceiling is the sum of the largest impacts
-        of the blocks over it. Intervals are scored by falling ceiling, and those whose ceiling doesn't reach the
-        k-th best score so far are skipped with all their postings, as in block-max WAND. Where all the postings are
-        fewer than OUTRIGHT, or the terms as many as MANY, skipping would cost more than scoring them.
+        Block-max WAND for many documents at a time. The floor is the k-th largest sum of what has been read. As long
+        as a window's unread blocks could together lift a document over the floor that none of its read blocks holds,
+        they are read by falling maximum: these are the pivot blocks. Then documents are left that a read block
+        holds and whose sum and unread maxima reach the floor; as they grow fewer, their windows' other blocks are
+        read, or, where that is less, cursors seek the documents themselves. All other blocks are skipped. The
+        scores of the documents left are added up in the terms' order, whatever was skipped.
         """
-        n = len(self.ids)
-        if int((self.start[terms + 1] - self.start[terms]).sum()) <= OUTRIGHT:
-            return self._all(terms, idf, k)
-        if len(terms) >= MANY:
-            score = np.zeros(n)
-            for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
-                part = slice(self.start[t], self.start[t + 1])
-                score[self.doc[part]] += w * self.impact[part]
-            return self._top(score, k, np.partition(score, n - k)[n - k] if n > k else 0.0)
-        cut, top = [], []
-        for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
-            b, e = self.block_of[t], self.block_of[t + 1]
-            first = self.doc[self.block_at[b:e]]
-            last = self.doc[np.append(self.block_at[b + 1 : e], self.start[t + 1]) - 1] + 1
-            cut.append((first, last))
-            top.append(w * self.block_top[b:e])
-        bounds = np.unique(np.concatenate([x for pair in cut for x in pair]))
-        ceiling = np.zeros(len(bounds))
-        for (first, last), w in zip(cut, top, strict=True):
-            np.add.at(ceiling, np.searchsorted(bounds, first), w)
-            np.add.at(ceiling, np.searchsorted(bounds, last), -w)
-        ceiling = np.cumsum(ceiling)[:-1] * (1 + 1e-9)
-        order = np.argsort(-ceiling, kind="stable")
-        score, open_, done, floor, step = np.zeros(n), np.zeros(n + 1, bool), 0, 0.0, 4 * k
-        while done < len(order) and ceiling[order[done]] >= floor and ceiling[order[done]] > 0:
-            chosen = order[done : done + step]
-            chosen = chosen[(ceiling[chosen] >= floor) & (ceiling[chosen] > 0)]
-            done, step = done + step, step * 4
-            mark = np.zeros(n + 1, np.int64)
-            np.add.at(mark, bounds[chosen], 1)
-            np.add.at(mark, bounds[chosen + 1], -1)
-            open_ = np.cumsum(mark) > 0
-            for t, w in zip(terms.tolist(), idf.tolist(), strict=True):
-                part = slice(self.start[t], self.start[t + 1])
-                doc = self.doc[part]
-                inside = open_[doc]
-                score[doc[inside]] += w * self.impact[part][inside]
-            if np.count_nonzero(score) >= k:
-                floor = np.partition(score, n - k)[n - k]
-        return self._top(score, k, floor)
-
-    def _top(self, score: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        (found,) = (score >= max(floor, np.finfo(float).tiny)).nonzero()
-        found = found[np.lexsort((self.ids[found], self.no_id[found], -score[found]))[:k]]
-        return found, score[found]
-
-    def _all(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        first, n = self.start[terms], self.start[terms + 1] - self.start[terms]
-        at = np.repeat(first + n - np.cumsum(n), n) + np.arange(n.sum())
-        found, place = np.unique(self.doc[at], return_inverse=True)
-        score = np.bincount(place, np.repeat(idf, n) * self.impact[at], len(found))  # term by term, as below
+        docs = len(self.ids)
+        n = self.block_of[terms + 1] - self.block_of[terms]
+        block, weight = spread(self.block_of[terms], n), np.repeat(idf, n)
+        top = weight * self.block_top[block]
+        order = np.argsort(-top, kind="stable")
+        block, weight, top = block[order], weight[order], top[order] * (1 + 1e-9)
+        window, size = self.block_window[block], self.block_at[block + 1] - self.block_at[block]
+        unread, left = np.ones(len(block), bool), np.bincount(window, top, self.windows)
+        sums, floor, step = np.zeros(docs), 0.0, FIRST
+
+        def advance(due: np.ndarray) -> None:
+            nonlocal sums, floor, left, step
+            taken = due[: int(np.searchsorted(np.cumsum(size[due]), step)) + 1]
+            sums = sums + self._sums(block[taken], weight[taken])
+            unread[taken] = False
+            left = np.bincount(window[unread], top[unread], self.windows)
+            if docs > k:
+                floor = np.partition(sums, docs - k)[docs - k] * (1 - 1e-9)
+            step *= 2
+
+        while len(due := (unread & (left >= floor)[window]).nonzero()[0]):
+            advance(due)
+        while True:
+            (found,) = ((sums > 0) & (sums * (1 + 1e-9) + np.repeat(left, WINDOW)[:docs] >= floor)).nonzero()
+            asked = np.zeros(self.windows, bool)
+            asked[found // WINDOW] = True
+            (due,) = (unread & asked[window]).nonzero()
+            if len(found) * len(terms) <= size[due].sum() // SEEK or not len(due):
+                break
+            advance(due)
+        if len(found) * len(terms) <= MOST_SEEKS:
+            score = self._scores(found, terms, idf)
+        else:
+            inside = np.zeros(docs, bool)
+            inside[found] = True
+            whole = spread(self.block_of[terms], n)
+            score = self._sums(whole, np.repeat(idf, n), inside)[found]
         best = np.lexsort((self.ids[found], self.no_id[found], -score))[:k]
         return found[best], score[best]
 
 
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to start[i] + n[i] - 1, for all i end to end."""
+    return np.repeat(start + n - np.cumsum(n), n) + np.arange(n.sum())
+
+
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a table: a row per shard of about SHARD_BYTES of text."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stage(rows.mapInArrow(_index, "n_docs long, n_words long, terms array<long>, dfs array<long>, blob binary"))
+    return stage(rows.mapInArrow(_index, "shard string, n_docs long, n_words long, terms array<long>, dfs array<long>, blob binary"))
+
+
+def _searcher(mean: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell: its shards, which are held, then its queries, which pass by."""
+        cell, held = None, []
+        for batch in batches:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))]
+            terms, idf = batch.column("terms"), batch.column("idf")
+            for i, (own, query) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("query").to_pylist(), strict=True)):
+                if own != cell:
+                    cell, held = own, []
+                if query is None:
+                    held.append(Shard(terms[i].values.to_numpy(), batch.column("blob")[i].as_py(), mean))
+                    continue
+                asked, weight = terms[i].values.to_numpy(), idf[i].values.to_numpy()
+                for shard in held:
+                    known, at = shard.known(asked)
+                    if len(at):
+                        found, score = shard.best(at, weight[known], k)
+                        out.append((np.full(len(found), query), shard.ids[found], shard.no_id[found] > 0, score))
+            query, doc, none, score = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc, mask=none), pa.array(score)], ["query", "doc_id", "score"])
+
+    return run
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = None, query_id: str = "query_id", text: str = "text") -> DataFrame:
@@ -179,14 +223,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None
     Words are those of ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A query's terms are its distinct words, or with
     ``terms`` those of the largest tf * idf among them that another document has too (ties by term hash). Numbers of
     documents, document frequencies and the mean length are those of the whole corpus, so a score doesn't depend on
-    the sharding, and a shard's k best hold all that can be in the merged k best. Queries are broadcast in blocks
-    of QUERY_BLOCK, whose size doesn't grow with the data. Ties go to the smaller id, null ids last. Queries
-    without a known term, null and empty texts have no rows; repeated query rows are searched one by one.
+    the sharding, and a shard's k best hold all that can be in the merged k best.
+
+    Every query meets every shard in one of the cells of a grid: up to SHARDS_PER_CELL shards by a part of the
+    queries. A task holds a cell's shards while the queries stream past, so its memory is bounded whatever the number of
+    queries; nothing is broadcast. Where the shards alone keep all cores busy, as with much data, the queries are one
+    part and the index is read and sent once; the queries are sent once for each row of cells. Ties
+    go to the smaller id, null ids last. Queries without a known term, null and empty texts have no rows; repeated query
+    rows are searched one by one; other columns of the queries are dropped, whatever their names.
     """
     spark = index.sparkSession
     ship(spark)
-    sums = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("w")).first()
-    n, mean = sums["n"] or 0, max(1.0, (sums["w"] or 0) / max(1, sums["n"] or 0))
+    sums = index.agg(F.sum("n_docs").alias("n"), F.sum("n_words").alias("w"), F.count(F.lit(1)).alias("shards")).first()
+    n, mean, shards = sums["n"] or 0, max(1.0, (sums["w"] or 0) / max(1, sums["n"] or 0)), sums["shards"]
     asked = stage(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("text")).withColumn("query", F.monotonically_increasing_id()))
     words = stage(asked.select("query", "text").mapInArrow(_query_terms, "query long, term long, tf long"))
     known = index.select(F.explode(F.arrays_zip("terms", "dfs")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.dfs").alias("df"))
@@ -196,40 +245,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None
         salient = Window.partitionBy("query").orderBy(F.desc(F.col("tf") * F.col("idf")), "term")
         weighed = weighed.where("df > 1").withColumn("k", F.row_number().over(salient)).where(F.col("k") <= terms)
     ready = weighed.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
-    ready = stage(ready.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(asked.count() // QUERY_BLOCK + 1))))
-
-    def searcher(block: Queries):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shared.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    shard = Shard(batch.column("terms")[i].values.to_numpy(), batch.column("blob")[i].as_py(), mean)
-                    at = np.searchsorted(shard.terms, q.term)
-                    held = at < len(shard.terms)
-                    held[held] = shard.terms[at[held]] == q.term[held]
-                    out = []
-                    for j in np.unique(np.searchsorted(q.at, held.nonzero()[0], "right") - 1).tolist():
-                        part = slice(q.at[j], q.at[j + 1])
-                        own = held[part]
-                        found, score = shard.best(shard.order[at[part][own]], q.idf[part][own], k)
-                        out.append((np.full(len(found), q.query[j]), found, score))
-                    query, found, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                    yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(shard.ids[found], mask=shard.no_id[found] > 0), pa.array(score)], ["query", "doc_id", "score"])
-
-        return run
-
-    parts = []
-    for b in sorted(r.block for r in ready.select("block").distinct().collect()):
-        got = ready.where(F.col("block") == b).orderBy("query").select("query", "terms").toArrow().combine_chunks()
-        listed = got.column("terms").combine_chunks()
-        at, flat = np.append(0, np.cumsum(listed.value_lengths().to_numpy())), listed.flatten()
-        block = Queries(got.column("query").to_numpy(), at, flat.field("term").to_numpy(), flat.field("idf").to_numpy())
-        parts.append(index.select("terms", "blob").mapInArrow(searcher(block), "query long, doc_id long, score double"))
-    found = parts[0] if parts else spark.createDataFrame([], "query long, doc_id long, score double")
-    for p in parts[1:]:
-        found = found.unionByName(p)
+
+    cores = spark.sparkContext.defaultParallelism
+    per_cell = max(1, min(SHARDS_PER_CELL, shards // (4 * cores)))
+    high = -(-shards // per_cell)
+    wide = max(1, -(-2 * cores // max(1, high)))
+    numbered = index.select("shard", (F.floor((F.row_number().over(Window.orderBy("shard")) - 1) / per_cell) * wide).alias("cell"))  # a row per shard
+    held = index.join(numbered, "shard").select(F.explode(F.sequence("cell", F.col("cell") + F.lit(wide - 1))).alias("cell"), F.lit(None).cast("long").alias("query"), "terms", F.lit(None).cast("array<double>").alias("idf"), "blob")
+    passing = ready.select(
+        F.explode(F.sequence(F.pmod(F.xxhash64("query"), F.lit(wide)), F.lit(high * wide - 1).cast("long"), F.lit(wide).cast("long"))).alias("cell"),
+        "query", F.col("terms.term").alias("terms"), F.col("terms.idf").alias("idf"), F.lit(None).cast("binary").alias("blob"),
+    )
+    cells = held.unionByName(passing if high else passing.limit(0)).repartition(max(1, high * wide), "cell").sortWithinPartitions("cell", F.col("query").asc_nulls_first())
+    found = cells.mapInArrow(_searcher(mean, k), "query long, doc_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return top.join(asked.select("query", "query_id"), "query").select("query_id", "rank", "doc_id", "score")
