@@ -179,12 +179,28 @@ def test_forest_among_copies_finds_as_many_as_asked(spark):
 
 
 @pytest.mark.parametrize("copies", [5, 50, 150])
-def test_forest_candidates_are_counted(copies):
+def test_forest_candidates_are_as_many_as_wanted(copies):
     rng = np.random.default_rng(copies)
     vectors = rng.standard_normal((200, 16))
     vectors[:copies] = vectors[0]
-    for least in (21, 130, 200, 250):
-        assert min(len(set(c)) for c in ann.Forest(vectors).candidates(vectors[::7], least)) >= min(least, 200)
+    for wanted in (21, 130, 200):
+        assert {len(set(c.tolist())) for c in ann.Forest(vectors).candidates(vectors[::7], wanted)} == {wanted}
+
+
+def test_forest_candidates_are_those_met_most_often():
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((300, 16))
+    forest = ann.Forest(vectors)
+    norms = (vectors**2).sum(axis=1)
+    keys = ann.hashes(np.hstack([vectors, np.sqrt(norms.max() - norms)[:, None]])).T
+    asked = ann.hashes(np.hstack([vectors[:20], np.zeros((20, 1))])).T
+    for q, got in enumerate(forest.candidates(vectors[:20], 60)):
+        common = np.array([[16 - int(a ^ b).bit_length() for a, b in zip(row.tolist(), asked[q].tolist(), strict=True)] for row in keys])
+        for stop in range(16, 0, -1):
+            met = np.maximum(common - stop + 1, 0).sum(axis=1)
+            if (common >= stop).sum() >= ann.PART * 60 * ann.TREES and np.count_nonzero(met) >= 60:
+                break
+        assert sorted(got.tolist()) == sorted(np.lexsort((np.arange(300), -met))[:60].tolist())
 
 
 def test_forest_awkward(spark):
@@ -200,6 +216,6 @@ def test_forest_blocks_and_shards(spark, sf, monkeypatch):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     whole = sorted(map(tuple, ann.nearest(table, share=1.0).collect()))
     monkeypatch.setattr(ann, "SHARD_ROWS", 40)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
     cut = sorted(map(tuple, ann.nearest(table, share=1.0).collect()))
     assert [w[:3] for w in whole] == [c[:3] for c in cut]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices, stage, utf8
+from .common import ship, slices, spread, stage, utf8
 from .shingles import _runs_of, word_hashes
 from .substring_dedup import packed, unpacked
 
@@ -180,11 +180,6 @@ class Shard:
         return found[best], score[best]
 
 
-def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers start[i] to start[i] + n[i] - 1, for all i end to end."""
-    return np.repeat(start + n - np.cumsum(n), n) + np.arange(n.sum())
-
-
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index as a table: a row per shard of about SHARD_BYTES of text."""
     ship(docs.sparkSession)
