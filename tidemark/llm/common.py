@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
@@ -43,9 +46,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) an own temporary folder."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, an own temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -61,9 +66,13 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> int:
-    """Delete the tables that ``stage`` wrote in this application, when no result that reads them is needed any more."""
-    own = [path for app, path in _staged if app == spark.sparkContext.applicationId]
+def drop_staged(spark: SparkSession, after: int = 0, keep: Collection[str] = ()) -> int:
+    """Delete the tables that ``stage`` wrote in this application, when no result that reads them is needed any more.
+
+    With ``after`` the first tables stay, and those in ``keep`` too.
+    """
+    own = [path for app, path in _staged if app == spark.sparkContext.applicationId][after:]
+    own = [path for path in own if path not in keep]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in own:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,6 +81,36 @@ def drop_staged(spark: SparkSession) -> int:
     return len(own)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is staged inside is deleted at the end, but for what the yielded function stages."""
+    before = sum(app == spark.sparkContext.applicationId for app, _ in _staged)
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = stage(df)
+        kept.append(_staged[-1][1])
+        return out
+
+    yield keep
+    drop_staged(spark, before, kept)
+
+
+def key_of(df: DataFrame, columns: list[str], *salt: int) -> Column:
+    """A hash of a row over the named columns; maps, which have no order, are left out."""
+    return F.xxhash64(*map(F.lit, salt), *[F.col(f"`{c}`") for c in columns if df.schema[c].dataType.typeName() != "map"])
+
+
+def whole(df: DataFrame, columns: list[str]) -> Column:
+    """The named columns as one struct called doc: beside it an operator's own columns clash with none."""
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(1))).alias("doc")
+
+
+def parts(columns: list[str]) -> list[Column]:
+    """The columns of the struct that ``whole`` made."""
+    return [F.col("doc").getField(c).alias(c) for c in columns]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its n + 1 offsets, without a copy of the bytes; nulls are empty."""
     if pa.types.is_large_string(column.type):

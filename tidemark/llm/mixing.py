@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, stage
+from .common import WORDS, key_of, parts, stage, whole
 
-BUCKETS = 1024
+#: Rows of a hash bucket by plan: what is ordered at most of a source, in one task.
+BUCKET_ROWS = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -49,44 +50,50 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", weights: Se
     equal its target, rounded, and no document exceeds ``max_epochs`` times its size.
 
     The hash order needs no sort of a source: sizes are summed by (source, hash bucket) first, and only the bucket in
-    which the rest is met is ordered, a BUCKETS-th of the source. Null and empty texts have size 0 and are taken 0
-    times; the null source is a source of its own, and last; rows are kept one to one, repeated rows too (which of several
-    equal rows crosses is open, what they sum up to isn't). Columns of the result's names are replaced.
+    which the rest is met is ordered, about BUCKET_ROWS rows of a source of any size. Null and empty texts have size 0 and
+    are taken 0 times; the null source is a source of its own, and last; rows are kept one to one, repeated rows too (which
+    of several equal rows crosses is open, what they sum up to isn't). Columns of the result's names are replaced, all
+    others pass through, whatever their names.
     """
-    made = ("size", "source_size", "target", "taken", "_h", "_b")
-    kept = [c for c in docs.columns if c not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], word_count(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept if docs.schema[c].dataType.typeName() != "map"]).alias("_h"))
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
-    sums = stage(rows.groupBy(F.col(source).alias("source"), "_b").agg(F.sum("size").alias("n")))
+    made = ("size", "source_size", "target", "taken")
+    kept = [c for c in docs.columns if c.lower() not in made]
+    buckets = docs.count() // BUCKET_ROWS + 1
+    rows = docs.select(whole(docs, kept), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key_of(docs, kept, seed).alias("h"))
+    rows = rows.withColumn("b", F.pmod("h", F.lit(buckets)))
+    sums = stage(rows.groupBy("source", "b").agg(F.sum("size").alias("n")))
     per_source = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
-    per_source = per_source.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target")) / F.col("source_size"))).otherwise(0).cast("long"))
-    per_source = per_source.withColumn("_rest", F.round("target").cast("long") - F.col("_epochs") * F.col("source_size"))
-    running = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target")) / F.col("source_size"))).otherwise(0).cast("long")
+    per_source = per_source.withColumn("epochs", epochs).withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "s")
+    running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
     crossing = (
-        sums.withColumn("_to", F.sum("n").over(running))
-        .join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .where(F.col("_to") > F.col("_rest"))
+        sums.withColumn("to", F.sum("n").over(running))
+        .join(per_source, F.col("source").eqNullSafe(F.col("s")))
+        .where(F.col("to") > F.col("rest"))
         .groupBy("source")
-        .agg(F.min_by(F.struct("_b", (F.col("_to") - F.col("n")).alias("before")), "_b").alias("_x"))
-        .select(F.col("source").alias("_s2"), F.col("_x._b").alias("_at"), F.col("_x.before").alias("_before"))
+        .agg(F.min_by(F.struct("b", (F.col("to") - F.col("n")).alias("before")), "b").alias("x"))
     )
-    plan = stage(per_source.join(crossing, F.col("source").eqNullSafe(F.col("_s2")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_epochs", "_rest", F.coalesce("_at", F.lit(BUCKETS)).alias("_at"), F.coalesce("_before", F.lit(0)).alias("_before")))
-    rows = rows.join(plan, F.col(source).eqNullSafe(F.col("_s")), "left")
-    whole = rows.where("_b != _at").withColumn("_more", F.when(F.col("_b") < F.col("_at"), F.col("size")).otherwise(0))
-    within = Window.partitionBy("_s").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    last = rows.where("_b = _at").withColumn("_sum", F.sum("size").over(within)).withColumn("_more", F.least("size", F.greatest(F.lit(0), F.col("_rest") - F.col("_before") - F.col("_sum") + F.col("size")))).drop("_sum")
-    both = whole.unionByName(last)
-    return both.withColumn("taken", F.col("_epochs") * F.col("size") + F.col("_more")).drop("_h", "_b", "_s", "_epochs", "_rest", "_at", "_before", "_more")
+    plan = stage(
+        per_source.join(crossing, F.col("source").eqNullSafe(F.col("s")), "left").select(
+            "s", "source_size", "target", "epochs", "rest", F.coalesce("x.b", F.lit(buckets)).alias("at"), F.coalesce("x.before", F.lit(0)).alias("before")
+        )
+    )
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s")), "left")
+    apart = rows.where("b != at").withColumn("more", F.when(F.col("b") < F.col("at"), F.col("size")).otherwise(0))
+    within = Window.partitionBy("s").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.where("b = at").withColumn("sum", F.sum("size").over(within)).withColumn("more", F.least("size", F.greatest(F.lit(0), F.col("rest") - F.col("before") - F.col("sum") + F.col("size")))).drop("sum")
+    taken = (F.col("epochs") * F.col("size") + F.col("more")).alias("taken")
+    return apart.unionByName(last).select(*parts(kept), "size", "source_size", "target", taken)
 
 
 def repeat_taken(mixed: DataFrame, text: str = "text") -> DataFrame:
     """The mix as documents: a row for each whole repetition, and one with the leading words of a fractional one."""
-    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    part = F.col("taken") - whole * F.col("size")
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    part = F.col("taken") - times * F.col("size")
     words = F.regexp_extract_all(F.col(text), F.lit(rf"\G[\x20\x09-\x0D]*{WORDS}"), F.lit(0))
     cut = F.array_join(F.slice(words, F.lit(1), part.cast("int")), "")
-    texts = F.concat(F.array_repeat(F.col(text), whole), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    return mixed.withColumn("_texts", texts).withColumn(text, F.explode("_texts")).drop("_texts")
+    texts = F.concat(F.array_repeat(F.col(text), times), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    copies = mixed.select(whole(mixed, mixed.columns), F.explode(texts).alias("copy"))
+    return copies.select(*[F.col("copy").alias(c) if c == text else p for c, p in zip(mixed.columns, parts(mixed.columns), strict=True)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
