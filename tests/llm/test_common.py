@@ -29,3 +29,28 @@ def test_slices_cover_a_batch_in_order():
     parts = list(common.slices(batch, "text", 100))
     assert [i for p in parts for i in p.column("i").to_pylist()] == list(range(len(texts)))
     assert all(p.num_rows == 1 or sum(len(t or "") for t in p.column("text").to_pylist()) <= 100 for p in parts)
+
+
+def test_scratch_keeps_what_it_is_told_to(spark):
+    outer = common.stage(spark.range(3))
+    with common.scratch(spark) as keep:
+        inner = common.stage(spark.range(4))
+        kept = keep(inner.selectExpr("id + 1 AS id"))
+    assert outer.count() == 3 and sorted(r.id for r in kept.collect()) == [1, 2, 3, 4]
+    with pytest.raises(Exception):  # noqa: B017  the files are gone
+        spark.read.schema(inner.schema).parquet(*[f.rsplit("/", 1)[0] for f in inner.inputFiles()][:1]).count()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())

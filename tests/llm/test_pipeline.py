@@ -38,6 +38,27 @@ def test_one_document_of_each_group_stays(spark, sf, documents, texts):
     assert all(sum(kept[i] for i in g) == 1 for g in groups.values())
 
 
+def test_the_same_rows_go_whatever_the_partitions(spark, sf, documents, tmp_path):
+    """What is read again under other partitions between the actions doesn't number its rows anew."""
+    documents.repartition(9).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect())
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        left = corpus_pipeline.near_duplicates(spark, docs, sf)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        assert sorted(r.doc_id for r in left.collect()) == want
+        groups = collections.defaultdict(set)
+        for i, (_, component) in brute_components([(r.doc_id, r.text) for r in docs.collect()]).items():
+            groups[component].add(i)
+        kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+        assert all(len(g & kept) == 1 for g in groups.values())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_secrets_go_and_no_document_does(spark, sf, documents):
     done = corpus_pipeline.secrets(spark, documents, sf).collect()
     assert len(done) == documents.count()

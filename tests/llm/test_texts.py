@@ -63,6 +63,58 @@ def test_secrets_awkward(spark):
     assert secret_scan.scan(awkward.table(spark, [])).count() == 0
 
 
+CLASHING = "_s _s2 _rest _at _epochs _before _b _h _more _x _to _cap Size s b h n at rest epochs before more x to sum source_size target taken doc key row rules gram grams shard rule asked t f at out spans _f _row _row2 _rules _held _texts copy"
+
+
+def clashing(df, *own):
+    """``df`` with a column of every name that the operators use inside."""
+    names = [n for n in dict.fromkeys(CLASHING.split()) if n.lower() not in {c.lower() for c in [*df.columns, *own]}]
+    return df.select("*", *[F.lit(f"own {n}").alias(n) for n in names]), names
+
+
+def test_names_inside_clash_with_no_column(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for run, made in ((mixing.mix, ("size", "source_size", "target", "taken")), (secret_scan.scan, ("spans",)), (lambda d: secret_scan.redact(secret_scan.scan(d)), ("spans",)), (lambda d: mixing.repeat_taken(mixing.mix(d)), ("size", "source_size", "target", "taken"))):
+        many, names = clashing(docs, *made)
+        got, plain = run(many), run(docs)
+        assert set(got.columns) == set(plain.columns) | set(names)
+        rows = got.collect()
+        assert all(r[n] == f"own {n}" for r in rows for n in names)
+        assert sum(len(r.text or "") for r in rows) > 0 and abs(len(rows) - plain.count()) <= 3
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    extra = "_url _host _path _rules _salt _best _key _own _b _at _kind _step _depth _l1 h n hot copies copy salt spread doc best rules label".split()
+    many = pages.select("*", *[F.lit(f"own {n}").alias(n) for n in extra])
+    plain = {r.page_id: tuple(r)[1:] for r in url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()}
+    for most in (url_filter.BROADCAST_RULES, 0):
+        rows = url_filter.filter_urls(many, rules, broadcast_rules=most).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == plain and len(rows) == len(plain)
+        assert all(r[n] == f"own {n}" for r in rows for n in extra)
+
+
+def test_hot_hosts_are_dealt_over_copies(spark):
+    urls = [(i, f"http://www.example.com/en/{i % 9}") for i in range(400)] + [(1000 + i, f"http://h{i}.net/de/{i}") for i in range(60)] + [(2000 + i, "no url") for i in range(300)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    got = [sorted(map(tuple, url_filter.filter_urls(pages, rules, broadcast_rules=n).select("page_id", "host", "path", F.coalesce("rule", F.lit("-")), "verdict").collect())) for n in (0, 1000)]
+    assert got[0] == got[1] and len(got[0]) == 760 and {g[4] for g in got[0]} == {"allow", "block"}
+
+
+def test_secret_candidates_come_from_intersected_lists(spark, texts):
+    rows = [(i, t) for i, t in enumerate(CASES)] + [(1000 + i, t) for i, t in texts]
+    docs = spark.createDataFrame(rows, "row long, text string")
+    queries = [secret_scan.trigram_query(r.pattern) for r in secret_scan.RULES]
+    grams = sorted(set().union(*map(secret_scan.grams_of, queries)))
+
+    def holds(q, low):
+        return q[1] in low if q[0] == "gram" else (all if q[0] == "and" else any)(holds(x, low) for x in q[1:])
+
+    want = {i: [k for k, q in enumerate(queries) if q != secret_scan.TRUE and holds(q, (t or "").lower())] for i, t in rows}
+    for shards in (1, 7):
+        got = {r.row: sorted(r.rules) for r in secret_scan.candidates(secret_scan.inverted_index(docs, "row", "text", grams, shards), queries).collect()}
+        assert got == {i: k for i, k in want.items() if k}
+
+
 def test_urls_awkward(spark):
     urls = [None, "", "nothing", "https://", "HTTP://A.Example.COM/en/7?x", "http://example.com/en/71/y", "http://com/en/", "http://com.evil/en/", "http://notcom/en/", "http://x.net/de/9", "http://example.net/de/8#z", "//a.com/en/", "a://b.org?es/", "a://b.org/es/://c.com/en/", "http://x.com:80/en/", "http://x..com/en/", "http://x.com./en/", "http://x.com/En/"]
     pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
@@ -107,7 +159,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) document
 
 
 def test_main_text():
-    assert html_extract.extract(PAGE) == "Head & line First, with bold <text> and more words, here Second line é end. item one item two cell a cell b code here"
+    assert html_extract.extract(PAGE) == "Head & line First, with bold <text> and more words, here Second line é end. item one item two One Two cell a cell b code here"
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<p></p>") == ""
     assert html_extract.extract("plain text, no markup") == "plain text, no markup"
     assert html_extract.extract("<article><p>One</p><section><p>Two</p></section></article><div class=sidebar><p>x, y, z</p></div>") == "One Two"
@@ -118,6 +170,105 @@ def test_main_text():
     assert html_extract.extract("<p>a < b and <b c='>'>d</b> <unclosed") != ""
 
 
+WORDS = "all of the words, that are, in use, here and there: some more, and a few".split()
+
+
+def random_page(rng):
+    """A well-formed page without article or main: nested containers of paragraphs, lists and links, some of them named."""
+
+    def some(least, most):
+        return " ".join(rng.choice(WORDS, size=rng.integers(least, most)))
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "p", "ul", "links", "h2", "box", "box"]) if depth < 4 else "p"
+        if kind == "box":
+            name = rng.choice(["", "", "", ' class="sidebar"', ' id="comments"', ' class="text has-sidebar"'])
+            return f"<div{name}>{''.join(block(depth + 1) for _ in range(rng.integers(1, 5)))}</div>"
+        if kind in ("ul", "links"):
+            item = "<a href='/'>{}</a>" if kind == "links" else "{}"
+            return "<ul>" + "".join(f"<li>{item.format(some(1, 6))}</li>" for _ in range(rng.integers(1, 5))) + "</ul>"
+        return f"<{kind}>{some(3, 60)}</{kind}>"
+
+    return "<body>" + "".join(block(0) for _ in range(rng.integers(1, 6))) + f"<footer><p>{some(3, 9)}</p></footer></body>"
+
+
+def plain_text(page):
+    """The scoring and choice of ``extract`` once more, over a parsed tree and by its statement."""
+    import xml.etree.ElementTree as ET
+
+    root = ET.fromstring(page)
+    up = {c: e for e in root.iter() for c in e}
+    above = lambda e: [e] if e is root else [e, *above(up[e])]
+    named = lambda e: any(x.get("class") == "sidebar" or x.get("id") == "comments" for x in [e])
+    dropped = lambda e: any(x.tag == "footer" for x in above(e))
+    text = lambda e: "".join(e.itertext())
+    share = lambda e: sum(len(text(a)) for a in e.iter("a")) / max(1, len(text(e)))
+    live = [e for e in root.iter() if not dropped(e) and text(e) and e.tag != "a"]
+    score = dict.fromkeys(live, 0.0)
+    for e in live:
+        if e.tag in ("p", "h2", "li"):
+            gained = (1 + text(e).count(",") + min(len(text(e)) / 100, 3)) * 0.2 ** sum(map(named, above(e)))
+            for part, a in zip((1, 1 / 2, 1 / 3, 1 / 4, 1 / 5), above(e)[1:], strict=False):
+                score[a] += gained * part
+    total = {e: sum(len(text(x)) for x in e.iter() if x.tag in ("p", "h2", "li") and not dropped(x)) for e in live}
+    score = {e: v * (1 - share(e) * len(text(e)) / max(1, total[e])) for e, v in score.items()}
+    best = max(live, key=lambda e: score[e])
+    way, chain = above(best), [best]
+    for a in way[1:]:
+        if a is way[1] or score[chain[-1]] >= 0.5 * score[best]:
+            chain.append(a)
+        else:
+            break
+    taken = {best}
+    for a in chain[1:]:
+        for c in a:
+            if c in score and c not in way and (c.tag in ("h2", "p") and share(c) < 0.5 or score[c] >= max(1, 0.2 * score[best])):
+                taken.add(c)
+    out = []
+    for e in live:
+        menu = best is root and any(share(x) >= 0.8 and x.tag in ("ul", "div") for x in above(e)[:-1])
+        if e.tag in ("p", "h2", "li") and taken & set(above(e)) and not menu and not any(named(x) and x not in way for x in above(e)):
+            out.append(text(e))
+    return " ".join(out)
+
+
+def test_scoring_decides_where_no_element_says_article():
+    rng = np.random.default_rng(8)
+    pages = [random_page(rng) for _ in range(400)]
+    got = [html_extract.extract(p) for p in pages]
+    assert got == [plain_text(p) for p in pages]
+    assert sum(0 < len(g) < 0.8 * len(re.sub("<[^>]*>", "", p)) for g, p in zip(got, pages, strict=True)) > 100
+
+
+def test_altered_scoring_alters_the_text(monkeypatch):
+    rng = np.random.default_rng(9)
+    pages = [random_page(rng) for _ in range(100)]
+    before = [html_extract.extract(p) for p in pages]
+    monkeypatch.setattr(html_extract, "SHARES", (0.1, 0.2, 5.0))
+    assert sum(a != html_extract.extract(p) for a, p in zip(before, pages, strict=True)) > 10
+
+
+def test_main_text_without_an_article_element():
+    words = "This is running text, of some length, with commas, as articles have it. "
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(9)) + "</ul>"
+    body = f"<h1>Title</h1><p>{words * 3}</p><h2>Part</h2><p>{words * 2}</p><ul><li><a href=1>First source</a><li><a href=2>Second source</a></ul>"
+    page = f'<div id="top">{menu}</div><div class="wrap"><div class="body">{body}</div><div class="right">{menu}<p>More</p></div></div><div class="comment-list"><p>{words * 2}</p><p>{words}</p></div>'
+    want = " ".join(f"Title {words * 3} Part {words * 2} First source Second source".split())
+    assert html_extract.extract(page) == want
+    assert html_extract.extract(page.replace('class="body"', "")) == want
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<div>" * 60_000 + "</p></span>" * 40_000, "<a " * 330_000, "<div>" * 60_000 + "<li>" * 60_000, "<u><div>" + "<i>" * 100_000 + "</u>" * 100_000, '<a "' * 250_000 + ">", "<p>x<div>" * 80_000, "<p " + "a" * 1_000_000 + ">x", "<!--" * 250_000, "<a x='\">" * 100_000])
+def test_long_odd_pages_take_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    half = html_extract.extract(page[: len(page) // 4])
+    middle = time.process_time()
+    whole = html_extract.extract(page)
+    assert len(half) <= len(whole) and time.process_time() - middle < 12 * max(middle - begin, 0.05)
+
+
 def test_articles_of_pages(spark, sf):
     import html
 
@@ -152,6 +303,48 @@ def test_language_counts_are_plain_counts():
     assert all(np.array_equal(a, b) for a, b in zip(found, low, strict=True))
 
 
+def test_languages_are_those_of_plain_naive_bayes(spark, sf):
+    """Counts, smoothing and posteriors over again, one n-gram at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.text, r.lang) for r in docs.collect() if r.text is not None]
+    model = language_id.fit(docs)
+
+    def grams(text):
+        low = text.lower() + "\n"
+        for i in range(len(low)):
+            value = 0
+            for k, c in enumerate((low[i:] + "\n\n\n")[:3]):
+                value = (value + ord(c)) * int(language_id._MULTIPLIERS[k]) % (1 << 64)
+                yield k, ((value ^ (value >> 29)) * int(language_id._MULTIPLIERS[0]) % (1 << 64)) >> (64 - language_id.BITS)
+
+    short = [(t[:120], x) for t, x in rows if x is not None][:60]
+    own = spark.createDataFrame(short, "text string, lang string")
+    counts = collections.defaultdict(collections.Counter)
+    for t, x in short:
+        # At a text's end the last n-grams reach over it: into the next text of its language, or line feeds at the end.
+        counts[x].update((k, b) for k, b in grams(t) if k == 0)
+    fitted = language_id.fit(own)
+    assert fitted.languages == tuple(sorted(counts)) and set(fitted.languages) <= set(model.languages)
+    for i, lang in enumerate(fitted.languages):
+        total = sum(counts[lang].values()) + language_id.SMOOTH * (1 << language_id.BITS)
+        want = np.full(1 << language_id.BITS, np.log(language_id.SMOOTH / total))
+        for (_, b), n in counts[lang].items():
+            want[b] = np.log((n + language_id.SMOOTH) / total)
+        assert np.allclose(fitted.logs[i][: 1 << language_id.BITS], want, atol=1e-4)
+    for text, _ in rows[:40]:
+        sums = np.zeros(len(model.languages))
+        for k, b in grams(text):
+            sums += model.logs[:, (k << language_id.BITS) + b].astype(float)
+        (lang,), (score,) = language_id.predict(model, [text])
+        assert lang == model.languages[int(sums.argmax())] and np.isclose(score, 1 / np.exp(sums - sums.max()).sum(), atol=1e-6)
+
+
+def test_language_columns_clash(spark):
+    docs = awkward.table(spark).selectExpr("*", "'x' AS lang_pred", "9.0 AS Score", "1 AS bucket", "'m' AS model")
+    got = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert all(r.bucket == 1 and r.model == "m" and r.lang_pred != "x" and 0 <= r.score <= 1 for r in got)
+
+
 def test_languages_awkward(spark):
     model = language_id.fit(awkward.table(spark))
     got = language_id.identify(awkward.table(spark), model).select("doc_id", "lang_pred", "score", "label").collect()

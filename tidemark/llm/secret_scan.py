@@ -15,8 +15,12 @@ except ImportError:  # before Python 3.11
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import key_of, parts, stage, whole
+
 #: Strings that a part of a pattern may stand for while they are still listed one by one.
 MOST_STRINGS = 64
+#: Rows of a shard of the index by plan, and candidates up to which they are broadcast (a key and some small numbers each).
+SHARD_ROWS, BROADCAST_ROWS = 8192, 250_000
 
 
 @dataclass(frozen=True)
@@ -117,21 +121,36 @@ def grams_of(query: tuple) -> set[str]:
     return {query[1]} if query[0] == "gram" else set().union(*(grams_of(q) for q in query[1:])) if query != TRUE else set()
 
 
-def _holds(query: tuple, found: Column) -> Column:
+def _rows(query: tuple, found: Column) -> Column:
+    """The rows that satisfy a trigram query; ``found`` is a shard's index, a map from trigram to sorted rows."""
+    none = F.array().cast("array<bigint>")
     if query[0] == "gram":
-        return F.array_contains(found, query[1])
-    parts = [_holds(q, found) for q in query[1:]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out & p if query[0] == "and" else out | p
+        return F.coalesce(F.try_element_at(found, F.lit(query[1])), none)
+    held = [_rows(q, found) for q in query[1:]]
+    out = held[0]
+    for x in held[1:]:
+        out = F.array_intersect(out, x) if query[0] == "and" else F.array_union(out, x)
     return out
 
 
-def postings(docs: DataFrame, row: str, text: str, grams: list[str]) -> DataFrame:
-    """The inverted index over the trigrams that queries can ask for: a row (gram, row) for each text that holds it."""
-    low = docs.select(F.col(row), F.lower(F.col(text)).alias("_low"))
-    held = F.filter(F.array(*map(F.lit, grams)).cast("array<string>"), lambda g: F.contains(F.col("_low"), g))
-    return low.select(F.explode(held).alias("gram"), F.col(row))
+def inverted_index(docs: DataFrame, row: str, text: str, grams: list[str], shards: int) -> DataFrame:
+    """The index over the trigrams that queries can ask for: a row (shard, grams) with a map from trigram to posting list.
+
+    A text's trigrams are read off in one pass. Rows are dealt into shards by their key, so a frequent trigram has a
+    bounded list in each shard instead of a long one.
+    """
+    pattern = "(?=(" + "|".join(map(re.escape, grams)) + "))"
+    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(pattern), F.lit(1)))
+    read = docs.select(F.col(row).alias("row"), F.explode(held).alias("gram"))
+    lists = read.groupBy(F.pmod("row", F.lit(shards)).alias("shard"), "gram").agg(F.sort_array(F.collect_set("row")).alias("rows"))
+    return lists.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("grams"))
+
+
+def candidates(index: DataFrame, queries: list[tuple]) -> DataFrame:
+    """Rows (row, rules): which of the trigram queries a row satisfies, from intersected and merged posting lists."""
+    listed = [F.struct(F.lit(i).alias("rule"), _rows(q, F.col("grams")).alias("rows")) for i, q in enumerate(queries) if q != TRUE]
+    each = index.select(F.explode(F.array(*listed)).alias("x")).select("x.rule", F.explode("x.rows").alias("row"))
+    return each.groupBy("row").agg(F.collect_list("rule").alias("rules"))
 
 
 def spans_of(text: Column, kind: str, rule: Rule, order: int) -> Column:
@@ -173,26 +192,32 @@ def _bounded(rule: Rule) -> Rule:
 def scan(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with column spans: array of (s, o, kind, e) by start, then rule order; code points, end exclusive.
 
-    Each pattern gives a Boolean trigram query. The texts' postings for the trigrams in these queries are intersected
-    into candidates, and a rule's pattern runs over its candidates alone; rules without a mandatory trigram run
-    over every text. Postings and candidates are keyed by a hash of the whole row, so a collision only adds a
-    candidate and repeated rows each get their spans. Null and empty texts have no spans, rows are kept one to
-    one, and a column named spans is replaced. Extra columns pass through.
+    Each pattern gives a Boolean trigram query. An inverted index, in shards of about SHARD_ROWS rows, lists the rows of
+    each trigram in these queries; its lists are intersected and merged into candidates, and a rule's pattern runs over
+    its candidates alone; rules without a mandatory trigram run over every text. Only row keys and trigrams travel,
+    and candidates come back to the texts by broadcast, as long as there are at most BROADCAST_ROWS of them, else by a
+    join on the key. The key is a hash of the whole row, so a collision only adds a candidate and repeated rows each
+    get their spans. Null and empty texts have no spans, rows are kept one to one, and a column named spans is replaced.
+    Extra columns pass through, whatever their names.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted(set().union(*map(grams_of, queries)))
-    keyed = docs.drop("spans", "_row").withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in ("spans", "_row") and not docs.schema[c].dataType.typeName() == "map"]))
-    held = postings(keyed, "_row", text, grams).groupBy("_row").agg(F.collect_set("gram").alias("_held"))
-    picked = F.array_compact(F.array(*[F.when(_holds(q, F.col("_held")), F.lit(i)) for i, q in enumerate(queries) if q != TRUE]))
-    candidates = held.select(F.col("_row").alias("_row2"), picked.alias("_rules")).where(F.size("_rules") > 0)
-    joined = keyed.join(candidates, F.col("_row") == F.col("_row2"), "left")
+    kept = [c for c in docs.columns if c.lower() != "spans"]
+    keyed = docs.select(whole(docs, kept), F.col(text).alias("text"), key_of(docs, kept).alias("key"))
+    asked = F.array().cast("array<int>")
+    if grams:
+        index = inverted_index(keyed, "key", "text", grams, docs.count() // SHARD_ROWS + 1)
+        found = stage(candidates(index, queries))
+        found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+        keyed = keyed.join(found, F.col("key") == F.col("row"), "left")
+        asked = F.coalesce("rules", asked)
     none = F.array().cast("array<struct<s:int,o:int,kind:string,e:int>>")
-    found = []
+    spans = []
     for i, (rule, query) in enumerate(zip(rules, queries, strict=True)):
         own = _bounded(rule)
-        asked = F.col(text).rlike(own.pattern) if query == TRUE else F.array_contains(F.coalesce("_rules", F.array().cast("array<int>")), i)
-        found.append(F.coalesce(F.when(asked, spans_of(F.col(text), rule.kind, own, i)), none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*found))).drop("_row", "_row2", "_rules")
+        due = F.col("text").rlike(own.pattern) if query == TRUE else F.array_contains(asked, i)
+        spans.append(F.coalesce(F.when(due, spans_of(F.col("text"), rule.kind, own, i)), none))
+    return keyed.select(*parts(kept), F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -206,8 +231,10 @@ def redact(scanned: DataFrame, text: str = "text", mark: str = "[SECRET]") -> Da
             F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring(t, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)).alias("out")),
         ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))),
     )
-    done = scanned.withColumn("_f", F.when(F.size("spans") > 0, folded))
-    return done.withColumn(text, F.when(F.col("_f").isNull(), t).otherwise(F.concat("_f.out", F.expr(f"substring(`{text}`, _f.at + 1)")))).drop("_f", "spans")
+    kept = [c for c in scanned.columns if c != "spans"]
+    done = scanned.select(whole(scanned, kept), F.col(text).alias("t"), F.when(F.size("spans") > 0, folded).alias("f"))
+    clean = F.when(F.col("f").isNull(), F.col("t")).otherwise(F.concat("f.out", F.substring(F.col("t"), F.col("f.at") + 1, F.length("t"))))
+    return done.select(*[clean.alias(c) if c == text else p for c, p in zip(kept, parts(kept), strict=True)])
 
 
 def digest(spans: Column) -> Column:
