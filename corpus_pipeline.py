@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import jaccard_join, language_id, mixing, packing, secret_scan
-from tidemark.llm.common import read_table, stage
+from tidemark.llm.common import read_table, scratch, stage
 
 #: Posterior probability from which a predicted language counts.
 LEAST_SCORE = 0.5
@@ -35,8 +35,12 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies stays, the first in the table's order; ids may repeat or be null."""
-    rows = _wrapped(docs, "text").withColumn("row", F.monotonically_increasing_id())
+    """One row of each group of near copies stays, the first in the table's order; ids may repeat or be null.
+
+    Rows get their numbers once, in a table that both sides read: a second numbering could differ, as it follows how
+    files are dealt over partitions.
+    """
+    rows = stage(_wrapped(docs, "text").withColumn("row", F.monotonically_increasing_id()))
     groups = jaccard_join.components(rows.select("row", "text"), doc_id="row")
     copies = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("row"))
     return _unwrapped(rows.join(copies, "row", "left_anti"), docs)
@@ -80,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage kept in the shared folder goes as soon as its result is written there."""
     docs = read_table(spark, sf_dir, "documents")
     for _, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = keep(step(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
