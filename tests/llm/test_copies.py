@@ -1,8 +1,10 @@
 """Near copies and repeated substrings against brute force."""
 
+import bisect
 import collections
 import hashlib
 import re
+import time
 
 import awkward
 import numpy as np
@@ -56,7 +58,7 @@ def near_copies(seed=1, groups=12):
     return list(enumerate(map(str, rng.permutation(out))))
 
 
-@pytest.mark.parametrize("options", [{}, {"block_shingles": 300}, {"cluster_nodes": 2}])
+@pytest.mark.parametrize("options", [{}, {"block_shingles": 300}, {"cluster_nodes": 2}, {"cluster_nodes": 2, "flush_keys": 500}])
 def test_components_are_the_brute_force_ones(spark, options):
     texts = near_copies()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.components(spark.createDataFrame(texts, "doc_id long, text string"), **options).collect()}
@@ -101,6 +103,39 @@ def test_linked_sets_share_a_key():
     assert tried > 1000
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word
+
+
+@pytest.mark.parametrize("n", [1024, 1 << 17])
+def test_words_that_fool_polynomials_are_not_linked(spark, n):
+    word = thue_morse(n)
+    texts = [(1, word), (2, word.translate({97: "b", 98: "a"})), (3, word + " " + word), (4, word)]
+    got = {r.doc_id: r.component_id for r in J.components(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1}
+
+
+def test_a_link_by_equal_hashes_alone_is_refused():
+    """Where hashes tell too few words apart, the words themselves do; equal sets of hashes are another matter."""
+    base = [f"w{i}" for i in range(60)]
+    a, b = " ".join(base), " ".join([f"v{i}" for i in range(60)])
+    assert J.linked_words(a, a + " end") and not J.linked_words(a, b)
+    sets = [np.arange(50, dtype=np.uint64), np.arange(51, dtype=np.uint64)]
+    nodes, other = np.array([1, 2]), np.zeros(2, bool)
+    assert J.block_links(nodes, sets, other) == [(1, 2)]
+    assert J.block_links(nodes, sets, other, lambda i, j: J.linked_words([a, b][i], [a, b][j])) == []
+
+
+def test_a_key_that_many_share_is_sent_once_a_batch():
+    key = np.array([5, 5, 5, 9, 5, 7, 9])
+    node = np.array([3, 1, 2, 4, 2, 8, 4])
+    rows = J._combined([(key[:4], node[:4]), (key[4:], node[4:])]).to_pylist()
+    assert sorted((r["key"], r["node"], r["hub"] or 0) for r in rows) == [(5, 1, 0), (5, 2, 1), (5, 3, 1), (7, 8, 0), (9, 4, 0)]
+
+
 def test_threshold_is_inclusive(spark):
     common = [f"c{i}" for i in range(84)]  # 80 shingles
     texts = [(1, " ".join(common)), (2, " ".join(common + [f"e{i}" for i in range(20)])), (3, " ".join(common + [f"f{i}" for i in range(21)]))]
@@ -137,7 +172,7 @@ def removed(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.h) for r in df.withColumn("h", F.sha2("kept", 256)).collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_suffixes": 40, "doc_bucket_bytes": 3000}, {"bucket_suffixes": 9, "doc_bucket_bytes": 700}])
+@pytest.mark.parametrize("options", [{}, {"bucket_suffixes": 40, "doc_bucket_bytes": 3000}, {"bucket_suffixes": 9, "doc_bucket_bytes": 700}, {"segment": 37}, {"bucket_suffixes": 15, "segment": 200}])
 def test_repeats_are_the_brute_force_ones(spark, options):
     rng = np.random.default_rng(7)
     passages = ["".join(rng.choice(list("abcdef é"), size=n)) for n in (60, 99, 100, 101, 180, 400)]
@@ -173,6 +208,33 @@ def test_same_row_twice_is_one_document(spark):
     assert got[0] == got[1] == (3, 0) and got[2][1] > 100
 
 
+def test_buckets_of_hot_grams_follow_all_tokens():
+    rng = np.random.default_rng(3)
+    n = 200_000
+    s = {"h": rng.integers(0, 3, n).astype(np.uint64), "c": rng.integers(0, 4, n).astype(np.uint64), "d": rng.integers(0, 1000, n), "t": rng.integers(0, 2, n), "a": rng.integers(0, 50, n)}
+    keys = sorted(zip(*(s[k][:3000].tolist() for k in D.TOKENS), strict=True))[::5]
+    splitters = {k: np.array([x[i] for x in keys], s[k].dtype) for i, k in enumerate(D.TOKENS)}
+    begin = time.process_time()
+    got = D.bucket_of(splitters, s)
+    assert time.process_time() - begin < 3
+    for i in rng.integers(0, n, 300).tolist():
+        assert got[i] == bisect.bisect_right(keys, tuple(int(s[k][i]) for k in D.TOKENS))
+
+
+def test_strings_that_fool_polynomials_are_kept(spark):
+    word = thue_morse(2048)
+    texts = [(1, word), (2, word.translate({97: "b", 98: "a"})), (3, "".join(word[i : i + 64] + word[i : i + 64].translate({97: "b", 98: "a"}) for i in range(0, 512, 64)))]
+    assert removed(D.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"))) == brute_removal(texts)
+
+
+def test_a_long_text_is_read_in_pieces(spark):
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdefgh "), size=40_000))
+    texts = [(1, long[5000:5300]), (2, long + long[100:900]), (3, "x" + long[20_000:31_000]), (4, long)]
+    for segment in (1000, 7777, D.SEGMENT):
+        assert removed(D.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"), segment=segment)) == brute_removal(texts)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     columns = [rng.integers(0, 5, 5000), rng.integers(0, 7, 5000), rng.integers(0, 1000, 5000)]

@@ -79,10 +79,12 @@ def test_cells_hold_every_string_once(texts):
 
     data = np.frombuffer(b"".join(texts), np.uint8)
     s = Slice(data, np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64))
-    text, begin, last, anchor = s.cells()
+    text, begin, last, anchor, gram = s.cells()
     starts = sorted(x for a, b in zip(begin.tolist(), last.tolist(), strict=True) for x in range(a, b + 1))
     assert starts == sorted(int(s.at[i]) + k for i, t in enumerate(texts) for k in range(len(t) - LENGTH + 1))
-    grams = s.hashes(np.arange(max(0, len(data) - GRAM + 1)), np.arange(max(0, len(data) - GRAM + 1)) + GRAM)
+    grams = s.grams()
+    assert np.array_equal(gram, grams[anchor])
+    assert len(set(grams.tolist())) == len({data[i : i + GRAM].tobytes() for i in range(len(data) - GRAM + 1)})
     for a, b, x in zip(begin.tolist(), last.tolist(), anchor.tolist(), strict=True):
         for start in range(a, b + 1):
             inside = grams[start : start + LENGTH - GRAM + 1]

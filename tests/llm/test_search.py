@@ -49,11 +49,11 @@ def found(df):
 
 
 def test_bm25_of_whole_texts_over_many_shards(spark, documents, texts, monkeypatch):
-    monkeypatch.setattr(bm25, "SHARD_BYTES", 30_000)
     monkeypatch.setattr(bm25, "SHARDS_PER_CELL", 3)
-    monkeypatch.setattr(bm25, "WINDOW", 8)
     asked = [(i, t) for i, t in texts if i % 10 == 0]
-    got = found(bm25.search(bm25.build(documents), spark.createDataFrame(asked, "query_id long, text string"), k=7))
+    index = bm25.build(documents, shard_bytes=5_000)
+    assert index.count() > 20
+    got = found(bm25.search(index, spark.createDataFrame(asked, "query_id long, text string"), k=7))
     assert got == brute(texts, asked, 7)
 
 

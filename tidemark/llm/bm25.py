@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ WINDOW, FIRST = 512, 4096
 SEEK, MOST_SEEKS = 8, 1 << 20
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], shard_bytes: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -31,7 +32,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, bounds = word_hashes(data, at)
             held.append((batch.column("doc_id"), words, np.diff(bounds)))
             size += len(data)
-            if size >= SHARD_BYTES:
+            if size >= shard_bytes:
                 yield _shard(held)
                 held, size = [], 0
     if held:
@@ -180,11 +181,11 @@ class Shard:
         return found[best], score[best]
 
 
-def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table: a row per shard of about SHARD_BYTES of text."""
+def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The index as a table: a row per shard of about ``shard_bytes`` of text."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stage(rows.mapInArrow(_index, "shard string, n_docs long, n_words long, terms array<long>, dfs array<long>, blob binary"))
+    return stage(rows.mapInArrow(partial(_index, shard_bytes=shard_bytes), "shard string, n_docs long, n_words long, terms array<long>, dfs array<long>, blob binary"))
 
 
 def _searcher(mean: float, k: int):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, slices, stage
-from .shingles import mix, shingle_sets
+from .shingles import _runs_of, mix, plain_shingles, shingle_sets
 
 WORDS_PER_SHINGLE = 5
 #: The threshold as a ratio: 100 * intersection >= 80 * union.
@@ -23,6 +23,8 @@ SPARE = 0.18
 SEEDS = 8
 #: Nodes that a task remembers so that copies' sketches aren't sent again.
 REMEMBERED = 200_000
+#: Keys that a task combines before it sends them.
+FLUSH_KEYS = 1 << 20
 #: Nodes up to which a cluster of candidates is compared block by block, and shingles of a block's nodes.
 CLUSTER_NODES, BLOCK_SHINGLES = 32_768, 1_000_000
 #: Candidate documents up to which their ids are broadcast to pick their texts; beyond it the texts are joined by shuffle.
@@ -99,6 +101,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return OF * common >= LINK * (len(a) + len(b) - common)
 
 
+def linked_words(a: str, b: str) -> bool:
+    """Whether two texts link by their words themselves; asked of pairs that link by hashes."""
+    x, y = plain_shingles(a, WORDS_PER_SHINGLE), plain_shingles(b, WORDS_PER_SHINGLE)
+    common = len(x & y)
+    return OF * common >= LINK * (len(x) + len(y) - common)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for whole in batches:
         for batch in slices(whole, "text"):
@@ -110,18 +119,39 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], flush: int = FLUSH_KEYS) -> Iterator[pa.RecordBatch]:
+    """Keys with their nodes, where a key's several nodes in a batch of ``flush`` keys are told apart already.
+
+    The smallest of these is their hub, and it alone goes on with the key (hub null); so a key that a large part of all
+    documents share reaches its one task once per batch.
+    """
     seen: set[int] = set()
+    held, n = [], 0
     for _, sets in _sets(batches):
-        keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for s in sets:
             if not len(s) or (node := node_of(s)) in seen:
                 continue
             if len(seen) < REMEMBERED:
                 seen.add(node)
-            keys.append(sketch_keys(s))
-            nodes.append(np.full(len(keys[-1]), node, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+            keys = sketch_keys(s)
+            held.append((keys.view(np.int64), np.full(len(keys), node, np.int64)))
+            n += len(keys)
+        if n >= flush:
+            yield _combined(held)
+            held, n = [], 0
+    if held:
+        yield _combined(held)
+
+
+def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = _runs_of(key, node)
+    key, node = key[new], node[new]
+    (first,) = _runs_of(key).nonzero()
+    hub = np.repeat(node[first], np.diff(np.append(first, len(key))))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(hub, mask=hub == node)], ["key", "node", "hub"])
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +170,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, hub in enumerate(hubs):
                 if hub != last:
                     last, kept = hub, shingle_sets(texts.slice(i, 1), WORDS_PER_SHINGLE)[0]
-                keep.append(linked(kept, sets[i]))
+                keep.append(linked(kept, sets[i]) and linked_words(texts[i].as_py(), batch.column("text")[i].as_py()))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -153,12 +183,13 @@ def bit_sketches(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def block_links(nodes: np.ndarray, sets: list[np.ndarray], other: np.ndarray) -> list[tuple[int, int]]:
+def block_links(nodes: np.ndarray, sets: list[np.ndarray], other: np.ndarray, sure: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
     """Links between nodes that join all that are linked within the block, or between its two sides.
 
     ``other`` tells the sides of a pair of blocks apart; with one side alone, all its pairs count. A pair is verified
     on its sets if its sizes allow a link, its sketches differ in no more bits than a link can, and other
-    links haven't joined it yet; so a group of copies yields a link per member, not per pair.
+    links haven't joined it yet; so a group of copies yields a link per member, not per pair. ``sure`` is asked last,
+    with the pair's places.
     """
     size = np.array([len(x) for x in sets], np.int64)
     order = np.lexsort((nodes, size))
@@ -184,7 +215,7 @@ def block_links(nodes: np.ndarray, sets: list[np.ndarray], other: np.ndarray) ->
         found = near.nonzero()[0]
         for j in (found[np.argsort(apart[found], kind="stable")] + i + 1).tolist():
             a, b = root(i), root(j)
-            if a != b and linked(sets[i], sets[j]):
+            if a != b and linked(sets[i], sets[j]) and sure(int(order[i]), int(order[j])):
                 parent[max(a, b)] = min(a, b)
                 out.append((int(nodes[i]), int(nodes[j])))
     return out
@@ -233,20 +264,21 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each pair of blocks; rows come sorted by cluster and pair, so that one pair at a time is held."""
-    key, held = None, ([], [], [])
+    key, held = None, ([], [], [], [])
 
     def done() -> pa.RecordBatch:
-        found = block_links(np.array(held[0], np.int64), held[1], np.array(held[2], bool)) if len(held[0]) > 1 else []
+        sure = lambda i, j: linked_words(held[3][i].as_py(), held[3][j].as_py())
+        found = block_links(np.array(held[0], np.int64), held[1], np.array(held[2], bool), sure) if len(held[0]) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch, sets in _sets(batches):
-        rows = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y", "node", "side")), sets, strict=True)
-        for cluster, x, y, node, side, tokens in rows:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("cluster", "x", "y", "node", "side")), sets, batch.column("text"), strict=True)
+        for cluster, x, y, node, side, tokens, text in rows:
             if (cluster, x, y) != key:
                 if held[0]:
                     yield done()
-                key, held = (cluster, x, y), ([], [], [])
-            for part, value in zip(held, (node, tokens, side), strict=True):
+                key, held = (cluster, x, y), ([], [], [], [])
+            for part, value in zip(held, (node, tokens, side, text), strict=True):
                 part.append(value)
     if held[0]:
         yield done()
@@ -294,7 +326,7 @@ def _dealt(placed: DataFrame, texts: DataFrame, block_shingles: int, *more: str)
     return pairs.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cluster_nodes: int = CLUSTER_NODES, block_shingles: int = BLOCK_SHINGLES, count_links: bool = False) -> DataFrame:
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", cluster_nodes: int = CLUSTER_NODES, block_shingles: int = BLOCK_SHINGLES, count_links: bool = False, flush_keys: int = FLUSH_KEYS) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable over links, itself included).
 
     Documents with equal shingle sets are one node. Nodes send the keys of their sketches (see ``sketch_keys``); nodes
@@ -302,8 +334,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     inside clusters. A cluster is cut into blocks of about ``block_shingles`` shingles by size of set, and each pair of
     blocks is compared by bit sketches and verified on the sets (see ``block_links``), a bounded task of its own.
     Clusters of more than ``cluster_nodes`` nodes, where such pairs would become many, go key by key instead (see
-    ``_by_key``). No pair is left out on either way. Sets, links and labels stay in tables; only
-    counts come to the driver.
+    ``_by_key``). No pair is left out on either way. Links between texts are confirmed on the words themselves; equal sets
+    are told by 64-bit hashes. Sets, links and labels stay in tables; only counts come to the driver.
 
     With ``count_links`` the column n_links tells how many pairs of rows of the component are linked, copies included;
     every pair that the sketches allow is then verified, block by block in clusters of any size.
@@ -318,8 +350,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
     smallest = table.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
 
     in_key = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    keys = rows.select("text").mapInArrow(_keys, "key long, node long").withColumn("hub", F.first("node").over(in_key)).where("hub != node")
-    shared = stage(keys)
+    keys = rows.select("text").mapInArrow(partial(_keys, flush=flush_keys), "key long, node long, hub long")
+    shared = stage(keys.withColumn("hub", F.coalesce("hub", F.first("node").over(in_key))).where("hub != node"))
     stars = stage(shared.groupBy("hub", "node").agg(F.count(F.lit(1)).alias("n")))
     involved = stage(stars.select("node").unionByName(stars.select(F.col("hub").alias("node"))).distinct().join(smallest, "node"))
     picked = involved.select("node", "doc_id")
@@ -355,7 +387,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", clus
 
 
 def _by_key(shared: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """``labels`` after all links between nodes of a key; ``shared`` has (key, hub, node), the hub a key's smallest node.
+    """``labels`` after all links between nodes of a key; ``shared`` has (key, hub, node), hubs smaller nodes of the key.
 
     Each node is verified against one hub, then against its other hubs as long as they are in other components; for
     keys whose nodes still lie in several components the pairs across these are verified. Pairs in one component
@@ -380,21 +412,21 @@ def _by_key(shared: DataFrame, texts: DataFrame, labels: DataFrame) -> DataFrame
     steps: list[Callable[[], DataFrame]] = [
         lambda: first,
         lambda: across(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(first, ["a", "b"], "left_anti")),
-        lambda: across(_cross(shared, stars, labels)),
+        lambda: _cross(shared, labels),
     ]
     for pairs in steps:
         labels = merge_labels(labels, verified(pairs()))
     return labels
 
 
-def _cross(shared: DataFrame, stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of nodes of a key in different components, for keys with a node outside its hub's component; hubs are done."""
-    label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"_{side}"))
-    apart = stars.join(label("hub"), "hub").join(label("node"), "node").where("_hub != _node").select("hub", "node", "_node")
-    outside = stage(shared.join(apart, ["hub", "node"]).select("key", F.col("node").alias("b"), F.col("_node").alias("_b")).distinct())
-    others = shared.join(outside.select("key").distinct(), "key", "left_semi").select("key", F.col("node").alias("a")).join(label("a"), "a")
-    pairs = others.join(outside, "key").where("_a != _b and a != b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _cross(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of nodes of a key that lie in different components."""
+    members = shared.select("key", "node").unionByName(shared.select("key", F.col("hub").alias("node"))).distinct()
+    named = members.join(labels, "node")
+    mixed = stage(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"))
+    open_ = stage(named.join(mixed, "key"))
+    a, b = (open_.select("key", F.col("node").alias(x), F.col("label").alias(f"_{x}")) for x in "ab")
+    return a.join(b, "key").where("_a != _b and a < b").select("a", "b").distinct()
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -9,15 +11,14 @@ from .common import utf8
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _PLACE = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_OF = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Multipliers of a word's bytes by place: the low and the high part of the place each have theirs.
+_LOW_PLACES = _rng.integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,15 +28,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the step and of its inverse modulo 2 ** 64, for at least ``n`` places."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_STEP, _BACK)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[k] = out
-    return _powers[0], _powers[1]
+def _factors(place: np.ndarray) -> np.ndarray:
+    """An odd multiplier for each place, without a pattern between places."""
+    if not len(place) or place.max() < len(_LOW_PLACES):
+        return _LOW_PLACES[place]
+    return _LOW_PLACES[place & (len(_LOW_PLACES) - 1)] * (mix((place >> 16).astype(np.uint64)) | np.uint64(1))
 
 
 def _runs_of(*columns: np.ndarray) -> np.ndarray:
@@ -47,7 +44,11 @@ def _runs_of(*columns: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z lower-cased) of the texts data[at[i]:at[i+1]], and each text's first word's index."""
+    """Hashes of all words (A-Z lower-cased) of the texts data[at[i]:at[i+1]], and each text's first word's index.
+
+    A word's hash is the sum of a random number per byte value times one per place. As the multipliers aren't the
+    powers of one number, no arrangement of letters makes the sums equal whatever the numbers are.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -60,10 +61,11 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     bounds = np.searchsorted(starts, at)
     if not len(starts):
         return np.zeros(0, np.uint64), bounds
-    up, down = _power(n)
-    value = _BYTE_OF[data]
-    value *= up[:n]
-    return mix(np.add.reduceat(value, starts) * down[starts]), bounds
+    value = _BYTE_OF[data[starts[0] :]]
+    place = np.arange(starts[0], n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    place[value == 0] = 0  # behind the word
+    value *= _factors(place)
+    return mix(np.add.reduceat(value, starts - starts[0])), bounds
 
 
 def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
@@ -85,3 +87,13 @@ def shingle_sets(column: pa.Array, k: int = 5) -> list[np.ndarray]:
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_FOLD = {i: i + 32 for i in range(65, 91)}
+
+
+def plain_shingles(text: str, k: int = 5) -> frozenset[tuple[str, ...]]:
+    """The shingles themselves, for what hashes can't be trusted with."""
+    words = _WORD.findall(text.translate(_FOLD))
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)] if words else [])

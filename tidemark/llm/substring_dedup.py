@@ -6,21 +6,24 @@ place, and it suffices to sort suffixes at anchors: about 1 of 30. The starts wi
 "cell"; the cell's bytes are all that its strings hold. A suffix's leading tokens are the hash of its gram, then the hash
 of its cell with the anchor's place in it, then the document and place.
 
-How they are sorted. Sampled splitters over all these tokens deal the suffixes into buckets of a bounded size, whatever
-one gram's or one cell's share is; each bucket is sorted by multikey quicksort, and what a bucket can't know of
-its first and last suffix is settled by comparing across the bucket boundaries.
+How they are sorted. Splitters, sampled in proportion to the data over all these tokens, deal the suffixes into buckets of
+a bounded size, whatever one gram's or one cell's share is; each bucket is sorted by multikey quicksort. What a bucket
+can't know of its first and last gram is settled by comparing the buckets that have the same gram.
 
 What follows. All suffixes of a cell but the first are repeats with all their strings. Cells alone under their gram are
 unique. What remains are first cells that share a gram with another cell, mostly at the ends of a repeat: for these the
 strings are compared one by one, first inside a bucket of documents, then one for each bucket and string.
+
+Hashes are taken over words of eight bytes: each word is mixed by a bijection, and the words' sum under a random odd
+multiplier each is mixed again. Cells are equal if gram and cell agree in 128 bits, strings if both their hashes do.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 from collections.abc import Iterator
 from itertools import pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -29,18 +32,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, ship, slices, stage, utf8
-from .shingles import _BYTE, _power, mix
+from .common import SLICE_BYTES, ship, slices, spread, stage, utf8
 from .shingles import _runs_of as _runs
+from .shingles import mix
 
 LENGTH, GRAM = 100, 40
-#: Suffixes of a bucket, keys that the splitters are chosen from, and bytes of a bucket of documents.
-BUCKET_SUFFIXES, SAMPLE_KEYS, DOC_BUCKET_BYTES = 500_000, 100_000, 8 << 20
+#: Suffixes of a bucket by plan, keys per bucket that the splitters are chosen from and at least, and bytes of a bucket of documents.
+BUCKET_SUFFIXES, SAMPLE_KEYS, LEAST_KEYS, DOC_BUCKET_BYTES = 500_000, 16, 4000, 8 << 20
+#: Bytes of a longer text that are looked at together.
+SEGMENT = SLICE_BYTES
 #: Suffixes, or bytes, that a task gathers before it sends them to their buckets.
 FLUSH_SUFFIXES, FLUSH_BYTES = 1_000_000, 16 << 20
 REPEATED, MIXED = 1, 2
 #: Stands for a null id.
 NO_ID = (1 << 63) - 1
+_FACTORS = np.random.default_rng(20240311).integers(0, 1 << 63, (3, 64), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def packed(**arrays: np.ndarray) -> bytes:
@@ -58,25 +64,41 @@ def unpacked(blob: bytes) -> dict[str, np.ndarray]:
 
 
 class Slice:
-    """Texts laid end to end, with the hash of any range of bytes at hand."""
+    """Texts laid end to end, with the hash of any gram or string at hand."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.data, self.at, n = data, at, len(data)
-        up, self.down = _power(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=self.sums[1:])
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        self.data, self.at = data, at
+        words = data.astype(np.uint64)
+        for k in (1, 2, 4):
+            words[:-k] |= words[k:] << np.uint64(8 * k)
+        words *= np.uint64(0x9FB21C651E98DF25)
+        words ^= words >> np.uint64(32)
+        words *= np.uint64(0xD6E8FEB86659FD93)
+        self.words = words
+
+    def grams(self, size: int = GRAM) -> np.ndarray:
+        """The hash of every ``size`` bytes, for any multiple of eight."""
+        n = max(0, len(self.data) - size + 1)
+        out = np.zeros(n, np.uint64)
+        for k, factor in zip(range(0, size, 8), _FACTORS[0], strict=False):
+            out += self.words[k : k + n] * factor
+        return mix(out)
+
+    def strings(self, start: np.ndarray, family: int, size: int = LENGTH) -> np.ndarray:
+        """The hash of the ``size`` bytes from each start, under one of two families of multipliers."""
+        out = np.zeros(len(start), np.uint64)
+        for k, factor in zip([*range(0, size - 7, 8), *([size - 8] if size % 8 else [])], _FACTORS[family], strict=False):
+            out += self.words[start + k] * factor
+        return mix(out)
 
     def cells(self, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-        """For every cell: text, first and last start, anchor; places in the slice."""
+        """For every cell: text, first and last start, anchor, and the hash of the gram there; places in the slice."""
         n, wide = len(self.data), length - gram + 1
         long = np.diff(self.at) >= length
         first, stop = self.at[:-1][long], self.at[1:][long] - length + 1
         if not len(first):
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        grams = mix((self.sums[gram:] - self.sums[:-gram]) * self.down[: n - gram + 1])
+            return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(0, np.uint64)
+        grams = self.grams(gram)
         starts = n - length + 1
         rows = np.concatenate([grams, np.full(-len(grams) % wide, ~np.uint64(0))]).reshape(-1, wide)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
@@ -99,7 +121,7 @@ class Slice:
         begin[0], begin[1:] = 0, last[:-1] + 1
         fresh = np.concatenate(([True], text[1:] != text[:-1]))
         begin[fresh] = self.at[text[fresh]]
-        return text, begin, last, anchor
+        return text, begin, last, anchor, grams[anchor]
 
 
 def text_hash(text: np.ndarray) -> int:
@@ -107,20 +129,46 @@ def text_hash(text: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(text.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Tokens of the suffixes of a slice of texts."""
+def pieces_of(data: np.ndarray, at: np.ndarray, segment: int) -> Iterator[tuple[np.ndarray, int, Slice]]:
+    """Slices with their texts' places in the list and where in these they begin.
+
+    A text of more than ``segment`` starts of strings is cut into pieces of so many, which overlap by a string but one byte,
+    so that every string begins in one piece. The cells at a cut are other than elsewhere; their strings are compared
+    one by one, as they share their gram with the whole cells.
+    """
+    n = np.diff(at)
+    long = n > segment + LENGTH - 1
+    (rows,) = (~long).nonzero()
+    if not long.any():
+        yield rows, 0, Slice(data, at)
+        return
+    if len(rows):
+        yield rows, 0, Slice(data[np.repeat(~long, n)], np.concatenate(([0], np.cumsum(n[rows]))))
+    for i in long.nonzero()[0].tolist():
+        for base in range(0, int(n[i]) - LENGTH + 1, segment):
+            part = data[at[i] + base : min(at[i + 1], at[i] + base + segment + LENGTH - 1)]
+            yield np.array([i]), base, Slice(part, np.array([0, len(part)]))
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch], segment: int = SEGMENT) -> Iterator[dict[str, np.ndarray]]:
+    """Tokens of the suffixes of a slice of texts; a cell's place is that of its first start."""
     for whole in batches:
         for batch in slices(whole, "text"):
             data, at = utf8(batch.column("text"))
-            s = Slice(data, at)
-            text, begin, last, anchor = s.cells()
-            if not len(text):
-                continue
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            used, index = np.unique(text, return_inverse=True)
-            own = np.array([text_hash(data[at[i] : at[i + 1]]) for i in used], np.int64)
-            shape = mix(((anchor - begin) * 1024 + (last - begin)).astype(np.uint64))
-            yield {"h": s.hashes(anchor, anchor + GRAM), "c": mix(s.hashes(begin, last + LENGTH) + shape), "d": ids[used][index], "t": own[index], "a": (anchor - at[text]).astype(np.int64)}
+            hashed: dict[int, int] = {}
+            for rows, base, s in pieces_of(data, at, segment):
+                text, begin, last, anchor, gram = s.cells()
+                if not len(text):
+                    continue
+                used, index = np.unique(rows[text], return_inverse=True)
+                for i in used.tolist():
+                    if i not in hashed:
+                        hashed[i] = text_hash(data[at[i] : at[i + 1]])
+                own = np.array([hashed[i] for i in used.tolist()], np.int64)
+                shape = mix(((anchor - begin) * 1024 + (last - begin)).astype(np.uint64))
+                cell = mix(s.strings(begin, 1) + mix(s.strings(last, 1) + shape))
+                yield {"h": gram, "c": cell, "d": ids[used][index], "t": own[index], "a": begin - s.at[text] + base}
 
 
 def multikey_order(columns: list[np.ndarray], small: int = 1 << 14) -> np.ndarray:
@@ -142,14 +190,31 @@ def multikey_order(columns: list[np.ndarray], small: int = 1 << 14) -> np.ndarra
 TOKENS = ("h", "c", "d", "t", "a")
 
 
-def bucket_of(splitters: list[tuple[int, ...]], s: dict[str, np.ndarray]) -> np.ndarray:
-    """How many splitters are at or before each suffix."""
-    heads = np.array([x[0] for x in splitters], np.uint64)
-    low, high = np.searchsorted(heads, s["h"], "left"), np.searchsorted(heads, s["h"], "right")
-    for i in (low != high).nonzero()[0]:  # the gram of a splitter: the further tokens decide
-        key = tuple(int(s[k][i]) for k in TOKENS)
-        high[i] = low[i] + sum(x <= key for x in splitters[low[i] : high[i]])
-    return high
+def bucket_of(splitters: dict[str, np.ndarray], s: dict[str, np.ndarray]) -> np.ndarray:
+    """How many splitters are at or before each suffix; splitters are sorted by all tokens."""
+    low, high = np.searchsorted(splitters["h"], s["h"], "left"), np.searchsorted(splitters["h"], s["h"], "right")
+    (open_,) = (low != high).nonzero()  # the gram of a splitter: the further tokens decide
+    while len(open_):
+        mid = (low[open_] + high[open_]) // 2
+        before, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
+        for k in TOKENS[1:]:
+            x, y = splitters[k][mid], s[k][open_]
+            before |= equal & (x < y)
+            equal &= x == y
+        before |= equal
+        low[open_[before]], high[open_[~before]] = mid[before] + 1, mid[~before]
+        open_ = open_[low[open_] != high[open_]]
+    return low
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint32 if a.max(initial=0) >> 16 else np.uint16)
+
+
+def _pairs(d: np.ndarray, t: np.ndarray) -> dict[str, np.ndarray]:
+    """Documents, each once, and their places."""
+    listed, index = np.unique(np.stack([d, t], axis=1), axis=0, return_inverse=True)
+    return {"i": index.ravel().astype(np.uint32), "d": listed[:, 0].copy(), "t": listed[:, 1].copy()}
 
 
 def doc_bucket(d: np.ndarray, t: np.ndarray, buckets: int) -> np.ndarray:
@@ -158,17 +223,23 @@ def doc_bucket(d: np.ndarray, t: np.ndarray, buckets: int) -> np.ndarray:
 
 def _by_place(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Every place and the rows that have it."""
+    if not len(place):
+        return
     order = np.argsort(place, kind="stable")
     for i, j in pairwise([*_runs(place[order]).nonzero()[0].tolist(), len(order)]):
         yield int(place[order[i]]), order[i:j]
 
 
+def _verdict_blobs(d: np.ndarray, t: np.ndarray, a: np.ndarray, f: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    return [(0, p, packed(d=d[m], t=t[m], a=a[m], f=f[m])) for p, m in _by_place(doc_bucket(d, t, buckets))]
+
+
 def _sorted_bucket(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Verdicts of a bucket of suffixes, by bucket of documents (kind 0), and what its bounds leave open (kind 1)."""
+    """Verdicts of a bucket of suffixes, by bucket of documents (kind 0), and by gram what its first and last one leave open (kind 1)."""
     parts = [unpacked(b) for b in group["blob"]]
     s = {}
     for k in TOKENS:
-        s[k] = np.concatenate([p[k][p["i"]] if k in "dt" else p[k] for p in parts])
+        s[k] = np.concatenate([p[k][p["i"]] if k in "dt" else p[k] for p in parts]).astype(np.uint64 if k in "hc" else np.int64)
     order = multikey_order([s[k] for k in TOKENS])
     s = {k: v[order] for k, v in s.items()}
     new_gram, new_cell = _runs(s["h"]), _runs(s["h"], s["c"])
@@ -177,51 +248,41 @@ def _sorted_bucket(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
     gram = np.cumsum(new_gram) - 1
     several = np.bincount(gram, weights=new_cell)[gram] > 1
     flag = np.where(~same, REPEATED, np.where(several, MIXED, 0)).astype(np.int8)
-    end = len(gram) - 1
-    first_cell = start == 0
-    row = lambda i: [int(s[k][i]) for k in TOKENS]
-    lead = int(start[gram == gram[end]].min())  # first suffix of the last gram's run
-    edge = {"first": row(0), "last": row(end), "lead": row(lead), "one_gram": bool(gram[end] == 0), "first_several": bool(several[0]), "last_several": bool(several[end])}
-    flag[first_cell & same] = 0  # the first suffix and its repeated rows: settled across the bounds
-    flag[(start == lead) & same & ~several] = 0
+    (leads,) = new_gram.nonzero()
+    ends = np.append(leads[1:], len(gram)) - 1
+    out = []
+    for i in {0, len(leads) - 1}:
+        lead, end = leads[i], ends[i]
+        flag[(start == lead) & same] = 0  # settled across the bounds, if the gram goes on there or not
+        edge = packed(b=np.array([group["bucket"].iloc[0], several[lead]], np.int64), c=s["c"][[lead, end]], p=np.array([s[k][lead] for k in "dta"], np.int64))
+        out.append((1, int(s["h"][[lead]].view(np.int64)[0]), edge))
     sure = flag > 0
-    place = doc_bucket(s["d"][sure], s["t"][sure], buckets)
-    out = [(0, p, packed(**{k: v[sure][m] for k, v in (("d", s["d"]), ("t", s["t"]), ("a", s["a"]), ("f", flag))})) for p, m in _by_place(place)]
-    out.append((1, int(group["bucket"].iloc[0]), json.dumps(edge).encode()))
-    return pd.DataFrame(out, columns=["kind", "place", "blob"])
+    return pd.DataFrame(_verdict_blobs(s["d"][sure], s["t"][sure], s["a"][sure], flag[sure], buckets) + out, columns=["kind", "place", "blob"])
 
 
-def across_bounds(edges: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Verdicts (d, t, a, flag) that need the neighbouring buckets; ``edges`` in the buckets' order, empty buckets left out."""
-    out = []
-    for k, e in enumerate(edges):
-        before = edges[k - 1]["last"][:2] if k else [None, None]
-        first = e["first"]
-        spread = before[0] == first[0] and before[1] != first[1]
-        if before == first[:2]:
-            out.append((*first[2:], REPEATED))
-        elif spread or e["first_several"] or e["one_gram"] and _goes_on(edges, k, first):
-            out.append((*first[2:], MIXED))
-        lead = e["lead"]
-        if not e["one_gram"] and not e["last_several"] and _goes_on(edges, k, lead):
-            out.append((*lead[2:], MIXED))
-    return out
+def _settled(group: pd.DataFrame, buckets: int) -> pd.DataFrame:
+    """Verdicts on the first suffix that each bucket has of one gram: a repeat if its cell goes on from the bucket before,
+    mixed if the gram has another cell in any bucket."""
+    edges = sorted((unpacked(b) for b in group["blob"]), key=lambda e: int(e["b"][0]))
+    several = any(e["b"][1] for e in edges) or len({int(c) for e in edges for c in e["c"]}) > 1
+    flags = [REPEATED if k and edges[k - 1]["c"][1] == e["c"][0] else MIXED if several else 0 for k, e in enumerate(edges)]
+    d, t, a = np.stack([e["p"] for e in edges], axis=1)
+    f = np.array(flags, np.int8)
+    return pd.DataFrame(_verdict_blobs(d[f > 0], t[f > 0], a[f > 0], f[f > 0], buckets), columns=["kind", "place", "blob"])
+
 
+class Piece(NamedTuple):
+    """Texts of a bucket of documents, or a part of a long one: ids, text hashes, where the part begins, and the whole long text."""
 
-def _goes_on(edges: list[dict], k: int, row: list[int]) -> bool:
-    """Whether buckets after ``k`` hold another cell under the gram of ``row``."""
-    for e in edges[k + 1 :]:
-        if e["first"][0] != row[0]:
-            return False
-        if e["first"][1] != row[1] or e["first_several"]:
-            return True
-        if not e["one_gram"]:
-            return False
-    return False
+    ids: np.ndarray
+    own: np.ndarray
+    base: int
+    slice: Slice
+    whole: np.ndarray | None
 
 
-def _texts_of(blobs, asked) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
-    """Ids, text hashes and texts of a bucket's documents in ``asked`` (pairs of id and hash), some texts at a time."""
+def _texts_of(blobs, asked, segment: int) -> Iterator[Piece]:
+    """A bucket's documents in ``asked`` (pairs of id and hash), some texts at a time."""
     for blob in blobs:
         p = unpacked(blob)
         at = np.cumsum(p["n"]) - p["n"]
@@ -231,7 +292,11 @@ def _texts_of(blobs, asked) -> Iterator[tuple[np.ndarray, np.ndarray, Slice]]:
         while begin < len(own):
             end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, "right")) - 1)
             part = own[begin:end]
-            yield p["d"][part], p["t"][part], Slice(np.concatenate([p["x"][at[k] : at[k] + p["n"][k]] for k in part]), ends[begin : end + 1] - ends[begin])
+            data = np.concatenate([p["x"][at[k] : at[k] + p["n"][k]] for k in part]) if len(part) > 1 else p["x"][at[part[0]] : at[part[0]] + p["n"][part[0]]]
+            bounds = ends[begin : end + 1] - ends[begin]
+            for rows, base, s in pieces_of(data, bounds, segment):
+                long = p["n"][part[rows[0]]] > len(s.data) if len(rows) == 1 else False
+                yield Piece(p["d"][part[rows]], p["t"][part[rows]], base, s, data[bounds[rows[0]] : bounds[rows[0] + 1]] if long else None)
             begin = end
 
 
@@ -257,58 +322,67 @@ def _verdicts(blobs) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     return {(int(d[i]), int(t[i])): (a[i:j], f[i:j]) for i, j in pairwise(bounds)}
 
 
-def _judged(s: Slice, ids: np.ndarray, own: np.ndarray, verdicts: dict) -> tuple[np.ndarray, ...]:
-    """Cells of a slice with a verdict: text, first and last start, flag."""
-    text, begin, last, anchor = s.cells()
+def _judged(piece: Piece, verdicts: dict) -> tuple[np.ndarray, ...]:
+    """Cells of a piece with a verdict: text, first and last start, flag."""
+    s = piece.slice
+    text, begin, last, _, _ = s.cells()
     flag = np.zeros(len(text), np.int8)
-    bounds = np.searchsorted(text, np.arange(len(ids) + 1))
-    for i, (d, t) in enumerate(zip(ids.tolist(), own.tolist(), strict=True)):
+    bounds = np.searchsorted(text, np.arange(len(piece.ids) + 1))
+    for i, (d, t) in enumerate(zip(piece.ids.tolist(), piece.own.tolist(), strict=True)):
         found = verdicts.get((d, t))
         if found is not None and bounds[i] < bounds[i + 1]:
             part = slice(bounds[i], bounds[i + 1])
-            k = np.searchsorted(anchor[part] - s.at[i], found[0])
-            flag[part][k] = found[1]
+            place = begin[part] - s.at[i] + piece.base
+            low, high = np.searchsorted(found[0], [place[0], place[-1] + 1])
+            flag[part][np.searchsorted(place, found[0][low:high])] = found[1][low:high]
     return text, begin, last, flag
 
 
 def _strings(s: Slice, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
     """All starts of some cells."""
-    n = last - begin + 1
-    return np.repeat(last + 1 - np.cumsum(n), n) + np.arange(n.sum())
+    return spread(begin, last - begin + 1)
 
 
-def _mixed_strings(texts, verdicts: dict) -> tuple[np.ndarray, ...]:
-    """Hash, document and place of all strings of the mixed cells of a bucket of documents."""
-    found = []
-    for ids, own, s in _texts_of(texts, {k for k, (_, flag) in verdicts.items() if (flag == MIXED).any()}):
-        text, begin, last, flag = _judged(s, ids, own, verdicts)
-        m = flag == MIXED
+def _first_strings(texts, verdicts: dict, segment: int) -> dict[str, np.ndarray]:
+    """The first place of each string of the mixed cells in a bucket of documents: hashes w and x, document d and t, place a."""
+    found = [tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))]
+    for piece in _texts_of(texts, {k for k, (_, flag) in verdicts.items() if (flag == MIXED).any()}, segment):
+        text, begin, last, flag = _judged(piece, verdicts)
+        m, s = flag == MIXED, piece.slice
         at = _strings(s, begin[m], last[m])
         doc = np.repeat(text[m], (last - begin + 1)[m])
-        found.append((s.hashes(at, at + LENGTH), ids[doc], own[doc], at - s.at[doc]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
-
-
-def _first_strings(texts, verdicts: dict) -> tuple[np.ndarray, ...]:
-    """The first place of each string of the mixed cells in a bucket of documents."""
-    w, d, t, a = _mixed_strings(texts, verdicts)
-    order = np.lexsort((a, t, d, w))
-    w, d, t, a = w[order], d[order], t[order], a[order]
-    new = _runs(w)
-    return w[new], d[new], t[new], a[new]
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_suffixes: int = BUCKET_SUFFIXES, doc_bucket_bytes: int = DOC_BUCKET_BYTES) -> DataFrame:
+        found.append((s.strings(at, 1), s.strings(at, 2), piece.ids[doc], piece.own[doc], at - s.at[doc] + piece.base))
+    w, x, d, t, a = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((a, t, d, x, w))
+    order = order[_runs(w[order], x[order])]
+    return {"w": w[order], "x": x[order], "d": d[order], "t": t[order], "a": a[order]}
+
+
+def _in(w: np.ndarray, x: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs of hashes are among the listed pairs."""
+    order = np.lexsort(listed[::-1])
+    lw, lx = listed[0][order], listed[1][order]
+    low, high = np.searchsorted(lw, w, "left"), np.searchsorted(lw, w, "right")
+    found = np.zeros(len(w), bool)
+    for k in range(int((high - low).max(initial=0))):
+        (there,) = (low + k < high).nonzero()
+        found[there] |= lx[low[there] + k] == x[there]
+    return found
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_suffixes: int = BUCKET_SUFFIXES, doc_bucket_bytes: int = DOC_BUCKET_BYTES, segment: int = SEGMENT) -> DataFrame:
     """A row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes, binary).
 
     Every byte that a LENGTH-byte string covers which also starts earlier (smaller doc_id, or earlier in the same
     document) is removed; strings are judged on the input and don't cross documents. Null and empty texts are
     empty. Null ids come after all others. Rows with the same id but different texts are ordered by a hash of
     the text; rows with the same id and text are the same document listed again, not a copy, and each gets the
-    same result. Strings are compared by 64-bit hashes (cells by 128 bits). Other columns are dropped.
+    same result. Strings are compared by 128 bits of hashes. A long text is looked at in pieces of ``segment`` bytes, so
+    that a task holds some bytes per byte of it, not some words. Other columns are dropped.
 
     What is dealt out are compressed blocks: suffix tokens by sampled splitters, texts and verdicts by bucket of documents.
-    The driver holds the splitters and a line per bucket of suffixes.
+    The driver holds SAMPLE_KEYS sampled keys of 40 bytes for a bucket of ``bucket_suffixes`` suffixes, which is to grow with
+    the executors' memory (a bucket takes some 100 bytes a suffix).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -317,23 +391,31 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     suffixes = size // 25 + 1
     buckets, doc_buckets = suffixes // bucket_suffixes + 1, size // doc_bucket_bytes + 1
 
-    # Some documents' suffixes are looked at, ten times as many as are kept, and of these a share drawn by hash.
-    looked = min(1.0, 10 * SAMPLE_KEYS / suffixes)
-    kept = min(1.0, SAMPLE_KEYS / suffixes / looked)
+    # Some documents' suffixes are looked at, forty times as many as are kept, and of these a share drawn by hash.
+    keys = max(LEAST_KEYS, SAMPLE_KEYS * buckets)
+    looked = min(1.0, 40 * keys / suffixes)
+    kept = min(1.0, keys / suffixes / looked)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in _suffixes(batches):
+        for s in _suffixes(batches, segment):
             pick = mix(s["c"] ^ mix(s["d"].view(np.uint64) ^ mix(s["a"].view(np.uint64)))) < np.uint64(kept * (2**64 - 2**12))
             yield pa.RecordBatch.from_arrays([pa.array(s[k][pick].view(np.int64)) for k in TOKENS], list(TOKENS))
 
-    splitters: list[tuple[int, ...]] = []
-    if buckets > 1:
-        keys = sorted((r.h % (1 << 64), r.c % (1 << 64), r.d, r.t, r.a) for r in (rows if looked == 1 else rows.sample(looked, 11)).mapInArrow(sample, ", ".join(f"{k} long" for k in TOKENS)).collect())
-        splitters = sorted({keys[len(keys) * i // buckets] for i in range(1, buckets)}) if keys else []
+    def chosen() -> dict[str, np.ndarray]:
+        if buckets > 1:
+            found = (rows if looked == 1 else rows.sample(looked, 11)).mapInArrow(sample, ", ".join(f"{k} long" for k in TOKENS)).toArrow()
+        if buckets == 1 or not found.num_rows:
+            return {k: np.zeros(0, np.uint64 if k in "hc" else np.int64) for k in TOKENS}
+        s = {k: found.column(k).to_numpy().view(np.uint64 if k in "hc" else np.int64) for k in TOKENS}
+        order = np.lexsort([s[k] for k in TOKENS[::-1]])[np.unique(found.num_rows * np.arange(1, buckets) // buckets)]
+        order = order[_runs(*(s[k][order] for k in TOKENS))]
+        return {k: v[order] for k, v in s.items()}
+
+    splitters = spark.sparkContext.broadcast(chosen())
 
     def deal_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for s in _suffixes(batches):
+        for s in _suffixes(batches, segment):
             held.append(s)
             n += len(s["h"])
             if n >= FLUSH_SUFFIXES:
@@ -344,15 +426,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def send(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         s = {k: np.concatenate([x[k] for x in held]) for k in TOKENS}
-        bucket = bucket_of(splitters, s)
-        order = np.lexsort((s["h"], bucket))
-        bounds = np.searchsorted(bucket[order], np.arange(len(splitters) + 2))
-        for b, (i, j) in enumerate(pairwise(bounds.tolist())):
-            if i < j:
-                m = order[i:j]
-                pairs, index = np.unique(np.stack([s["d"][m], s["t"][m]], axis=1), axis=0, return_inverse=True)
-                blob = packed(h=s["h"][m], c=s["c"][m], i=index.ravel().astype(np.uint32), a=s["a"][m].astype(np.uint32 if s["a"][m].max() >> 16 else np.uint16), d=pairs[:, 0].copy(), t=pairs[:, 1].copy())
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([blob], pa.binary())})
+        for b, m in _by_place(bucket_of(splitters.value, s)):
+            m = m[np.argsort(s["h"][m], kind="stable")]
+            blob = packed(h=s["h"][m], c=s["c"][m], a=_narrow(s["a"][m]), **_pairs(s["d"][m], s["t"][m]))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([b], pa.int64()), "blob": pa.array([blob], pa.binary())})
 
     def deal_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -377,63 +454,68 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     block = "kind int, place long, blob binary"
     judged = stage(rows.mapInArrow(deal_suffixes, "bucket long, blob binary").groupBy("bucket").applyInPandas(lambda g: _sorted_bucket(g, doc_buckets), block))
-    edges = [json.loads(r.blob) for r in judged.where("kind = 1").orderBy("place").select("blob").collect()]
-    settled = [(0, int(doc_bucket(np.array([d]), np.array([t]), doc_buckets)[0]), packed(d=np.array([d], np.int64), t=np.array([t], np.int64), a=np.array([a], np.int64), f=np.array([f], np.int8))) for d, t, a, f in across_bounds(edges)]
-    verdicts = judged.where("kind = 0").unionByName(spark.createDataFrame(settled, block))
+    settled = judged.where("kind = 1").groupBy("place").applyInPandas(lambda g: _settled(g, doc_buckets), block)
+    verdicts = judged.where("kind = 0").unionByName(settled)
     texts = rows.mapInArrow(deal_texts, "place long, blob binary")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        w, d, t, a = _first_strings(left["blob"], _verdicts(right["blob"])) if len(left) and len(right) else (np.zeros(0, np.uint64),) * 4
-        if not len(w):
-            return pd.DataFrame({"part": [], "blob": []}).astype({"part": "int64", "blob": object})
-        part = (w >> np.uint64(32)) * np.uint64(doc_buckets) >> np.uint64(32)
-        bounds = np.searchsorted(part, np.arange(doc_buckets + 1))
-        out = []
-        for b, (i, j) in enumerate(pairwise(bounds.tolist())):
-            if i < j:
-                pairs, index = np.unique(np.stack([d[i:j], t[i:j]], axis=1), axis=0, return_inverse=True)
-                out.append((b, packed(w=w[i:j], i=index.ravel().astype(np.uint32), a=a[i:j].astype(np.uint32 if a[i:j].max() >> 16 else np.uint16), d=pairs[:, 0].copy(), t=pairs[:, 1].copy(), p=np.array([left["place"].iloc[0]], np.int64))))
+        f = _first_strings(left["blob"], _verdicts(right["blob"]) if len(left) else {}, segment)
+        part = ((f["w"] >> np.uint64(32)) * np.uint64(doc_buckets) >> np.uint64(32)).astype(np.int64)
+        own = np.array([left["place"].iloc[0] if len(left) else 0], np.int64)
+        out = [(b, packed(w=f["w"][m], x=f["x"][m], a=_narrow(f["a"][m]), p=own, **_pairs(f["d"][m], f["t"][m]))) for b, m in _by_place(part)]
         return pd.DataFrame(out, columns=["part", "blob"])
 
     def not_first(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [unpacked(b) for b in group["blob"]]
-        w, a, place = (np.concatenate(x) for x in ([p["w"] for p in parts], [p["a"].astype(np.int64) for p in parts], [np.full(len(p["w"]), p["p"][0]) for p in parts]))
-        d, t = (np.concatenate([p[k][p["i"]] for p in parts]) for k in "dt")
-        order = np.lexsort((a, t, d, w))
-        late = order[~_runs(w[order])]
-        return pd.DataFrame([(2, p, packed(w=np.sort(w[late][m]))) for p, m in _by_place(place[late])], columns=["kind", "place", "blob"])
+        found = [unpacked(b) for b in group["blob"]]
+        w, x, a = (np.concatenate([p[k] for p in found]) for k in "wxa")
+        d, t = (np.concatenate([p[k][p["i"]] for p in found]) for k in "dt")
+        place = np.concatenate([np.full(len(p["w"]), p["p"][0]) for p in found])
+        order = np.lexsort((a, t, d, x, w))
+        late = order[~_runs(w[order], x[order])]
+        return pd.DataFrame([(2, p, packed(w=w[late][m], x=x[late][m])) for p, m in _by_place(place[late])], columns=["kind", "place", "blob"])
 
     late = texts.groupBy("place").cogroup(verdicts.groupBy("place")).applyInPandas(compare, "part long, blob binary").groupBy("part").applyInPandas(not_first, block)
 
     def finish(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
+
+        def judged_text(d: int, text: np.ndarray, gone: np.ndarray) -> None:
+            spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if len(gone) else 0
+            out.append((d, len(text), int(gone.sum()), spans, text[~gone].tobytes()))
+
         if len(left):
             known = _verdicts(right["blob"][right["kind"] == 0])
-            w, d, t, a = _first_strings(left["blob"], known)
-            gone = [unpacked(b)["w"] for b in right["blob"][right["kind"] == 2]]
-            stays = ~np.isin(w, np.concatenate(gone)) if gone else np.ones(len(w), bool)
-            firsts: dict[tuple[int, int], np.ndarray] = {}
-            order = np.lexsort((a, t, d))[stays[np.lexsort((a, t, d))]]
-            d, t, a = d[order], t[order], a[order]
-            for i, j in pairwise([*_runs(d, t).nonzero()[0].tolist(), len(d)]):
-                firsts[int(d[i]), int(t[i])] = a[i:j]
+            f = _first_strings(left["blob"], known, segment)
+            late = [unpacked(b) for b in right["blob"][right["kind"] == 2]]
+            stays = ~_in(f["w"], f["x"], tuple(np.concatenate([p[k] for p in late]) for k in "wx")) if late else np.ones(len(f["w"]), bool)
+            order = np.lexsort((f["a"], f["t"], f["d"]))
+            d, t, a = (f[k][order[stays[order]]] for k in "dta")
+            firsts = {(int(d[i]), int(t[i])): a[i:j] for i, j in pairwise([*_runs(d, t).nonzero()[0].tolist(), len(d)])} if len(d) else {}
             out += [(d, len(x), 0, 0, x.tobytes()) for d, x in _other_texts(left["blob"], known)]
-            for ids, own, s in _texts_of(left["blob"], known):
-                text, begin, last, flag = _judged(s, ids, own, known)
+            gone = None
+            for piece in _texts_of(left["blob"], known, segment):
+                s = piece.slice
+                text, begin, last, flag = _judged(piece, known)
                 covered = np.zeros(len(s.data) + 1, np.int64)
                 starts = _strings(s, begin[flag > 0], last[flag > 0])
                 np.add.at(covered, starts, 1)
                 np.add.at(covered, starts + LENGTH, -1)
-                for i, key in enumerate(zip(ids.tolist(), own.tolist(), strict=True)):
+                for i, key in enumerate(zip(piece.ids.tolist(), piece.own.tolist(), strict=True)):
                     if key in firsts:
-                        at = firsts[key] + s.at[i]
+                        at = firsts[key] - piece.base
+                        at = at[(at >= 0) & (at <= s.at[i + 1] - s.at[i] - LENGTH)] + s.at[i]
                         np.add.at(covered, at, -1)
                         np.add.at(covered, at + LENGTH, 1)
                 removed = np.cumsum(covered[:-1]) > 0
-                for i, (x, y) in enumerate(pairwise(s.at.tolist())):
-                    cut = removed[x:y]
-                    spans = int(cut[0]) + int(np.count_nonzero(cut[1:] & ~cut[:-1])) if len(cut) else 0
-                    out.append((int(ids[i]), y - x, int(cut.sum()), spans, s.data[x:y][~cut].tobytes()))
+                if piece.whole is None:
+                    for i, (x, y) in enumerate(pairwise(s.at.tolist())):
+                        judged_text(int(piece.ids[i]), s.data[x:y], removed[x:y])
+                    continue
+                if not piece.base:
+                    gone = np.zeros(len(piece.whole), bool)
+                gone[piece.base : piece.base + len(s.data)] |= removed
+                if piece.base + len(s.data) == len(piece.whole):
+                    judged_text(int(piece.ids[0]), piece.whole, gone)
         return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     done = texts.groupBy("place").cogroup(verdicts.unionByName(late).groupBy("place")).applyInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
