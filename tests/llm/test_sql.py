@@ -13,17 +13,27 @@ def test_equals_sql(spark, sf, oracle, name):
     assert rows(df.columns, df.collect()) == rows(said.columns, said.fetchall())
 
 
-def test_guard(monkeypatch):
-    """The entry point works without this subpackage."""
-    import importlib
+def test_guard(tmp_path):
+    """The entry point works without this subpackage and the pipeline, and doesn't hide what fails in them."""
+    import os
+    import shutil
+    import subprocess
     import sys
 
-    import __spark_entry__
-
-    for name in [n for n in sys.modules if n.startswith("tidemark.llm") or n == "corpus_pipeline"]:
-        monkeypatch.delitem(sys.modules, name)
-    monkeypatch.setitem(sys.modules, "tidemark.llm", None)
-    again = importlib.reload(__spark_entry__)
-    assert "robust_interval" in again.queries() and "op6_url_filter" not in again.queries()
-    monkeypatch.undo()
-    assert "op6_url_filter" in importlib.reload(__spark_entry__).queries()
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    ask = "import __spark_entry__ as e; q = e.queries(); print('robust_interval' in q, 'op6_url_filter' in q, 'pipeline' in q, 'op6_url_filter' in e.oracle_sql())"
+
+    def run(*left_out, broken=False):
+        place = tmp_path / f"copy-{len(left_out)}-{broken}"
+        shutil.copytree(os.path.join(root, "tidemark"), place / "tidemark", ignore=shutil.ignore_patterns("__pycache__", *left_out))
+        for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+            if name not in left_out:
+                shutil.copy(os.path.join(root, name), place)
+        if broken:
+            (place / "tidemark" / "llm" / "mixing.py").write_text("import no_such_module\n")
+        return subprocess.run([sys.executable, "-c", ask], cwd=place, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+
+    assert run().stdout.split() == ["True"] * 4
+    assert run("llm", "corpus_pipeline.py").stdout.split() == ["True", "False", "False", "False"]
+    assert run("llm").stdout.split() == ["True", "False", "False", "False"]
+    assert "no_such_module" in run(broken=True).stderr
