@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices, spread, stage, utf8
+from .common import SLICE_BYTES, ship, slices, spread, stage, utf8
 from .shingles import _runs_of, word_hashes
 from .substring_dedup import packed, unpacked
 
@@ -27,7 +27,7 @@ SEEK, MOST_SEEKS = 12, 1 << 20
 def _index(batches: Iterator[pa.RecordBatch], shard_bytes: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", min(SLICE_BYTES, shard_bytes)):
             data, at = utf8(batch.column("text"))
             words, bounds = word_hashes(data, at)
             held.append((batch.column("doc_id"), words, np.diff(bounds)))
