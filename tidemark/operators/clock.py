@@ -189,13 +189,34 @@ def hermite(knots: DataFrame, probes: DataFrame, at: str = "t") -> DataFrame:
     )
 
 
-def warp_quality(knots: DataFrame, samples: int = 8, min_speed: float = 0.5, max_speed: float = 2.0, max_rate: float = 0.8) -> DataFrame:
-    """Per series the least and largest speed and rate of log speed over samples of every section, and issue codes."""
-    sections = knots.withColumn("_x1", F.lead("x").over(_by_idx())).where("_x1 is not null")
-    at = sections.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select("series", (F.col("x") + (F.col("_x1") - F.col("x")) * F.col("_k") / samples).alias("t"))
-    rates = hermite(knots, at).withColumn("rate", F.abs(F.col("acceleration") / F.nullif("speed", F.lit(0.0))))
+def warp_quality(knots: DataFrame, step: float = 0.005, samples: int = 8, min_speed: float = 0.5, max_speed: float = 2.0, max_rate: float = 0.8) -> DataFrame:
+    """Per series the least and largest speed and rate of log speed of the map, where each is, and issue codes.
+
+    Every section between knots is looked at every ``step`` of x, and at ``samples`` places at least, and the
+    last knot too; so a spike in a long section doesn't hide. A row is a section, and its samples stay in it.
+    """
+    shaped = knot_slopes(knots)
+    ahead = {c: F.lead(c).over(_by_idx()) for c in ("x", "y", "slope")}
+    sections = shaped.select("series", "idx", "x", "y", "slope", *[v.alias(f"_{c}") for c, v in ahead.items()], (F.lead("x", 2).over(_by_idx()).isNull()).alias("_last")).where("_x is not null")
+    h = F.col("_x") - F.col("x")
+    sections = sections.withColumn("_h", h).withColumn("_n", F.greatest(F.lit(samples).cast("long"), F.ceil(h / step)))
+
+    def rates(k: Column) -> Column:
+        u = k / F.col("_n")
+        speed = (6 * u * u - 6 * u) / F.col("_h") * (F.col("y") - F.col("_y")) + (3 * u * u - 4 * u + 1) * F.col("slope") + (3 * u * u - 2 * u) * F.col("_slope")
+        bend = (12 * u - 6) / (F.col("_h") * F.col("_h")) * (F.col("y") - F.col("_y")) + ((6 * u - 4) * F.col("slope") + (6 * u - 2) * F.col("_slope")) / F.col("_h")
+        return F.struct(speed.alias("speed"), F.abs(bend / F.nullif(speed, F.lit(0.0))).alias("rate"), (-(F.col("x") + F.col("_h") * u)).alias("before"))
+
+    looked = sections.withColumn("_s", F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - F.when(F.col("_last"), 0).otherwise(1)), rates))
+    worst = looked.select(
+        "series",
+        F.array_min(F.transform("_s", lambda s: F.struct(s["speed"].alias("v"), (-s["before"]).alias("t")))).alias("low"),
+        F.array_max(F.transform("_s", lambda s: F.struct(s["speed"].alias("v"), s["before"].alias("t")))).alias("high"),
+        F.array_max(F.transform("_s", lambda s: F.struct(s["rate"].alias("v"), s["before"].alias("t")))).alias("rate"),
+    )
     slack = 1e-6
-    found = rates.groupBy("series").agg(F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed"), F.max("rate").alias("max_rate"))
+    found = worst.groupBy("series").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("rate").alias("rate"))
+    found = found.select("series", F.col("low.v").alias("min_speed"), F.col("high.v").alias("max_speed"), F.col("rate.v").alias("max_rate"), F.col("low.t").alias("min_speed_at"), (-F.col("high.t")).alias("max_speed_at"), (-F.col("rate.t")).alias("max_rate_at"))
     codes = F.array_compact(
         F.array(
             F.when(F.col("min_speed") <= 0, F.lit("NOT_MONOTONE")),

@@ -126,16 +126,6 @@ def bar_conflicts(clock: DataFrame, spans: DataFrame, limit: float) -> DataFrame
     return met.groupBy("series", "bar").agg(F.bool_or(inside & (F.col("strength") >= limit)).alias("conflict"))
 
 
-def bar_usability(clock: DataFrame, pulses: int, least: float, conflict: float) -> DataFrame:
-    """Per bar the codes that speak against it, and whether there are none."""
-    spans = bar_spans(clock, pulses)
-    met = range_join(clock.select("series", "idx", "strength"), spans, "idx", "start_idx", "end_idx", ["series"], 16)
-    inside = (F.col("idx") > F.col("start_idx")) & (F.col("idx") < F.col("end_idx"))
-    found = met.groupBy("series", "bar").agg(F.min("strength").alias("low"), F.bool_or(inside & (F.col("strength") >= conflict)).alias("conflict"), F.count(F.lit(1)).alias("n"))
-    codes = F.array_compact(F.array(F.when(F.col("low") < least, F.lit("LOW_POSTERIOR")), F.when(F.col("conflict"), F.lit("CONFLICTING_DOWNBEAT")), F.when(F.col("n") < pulses + 1, F.lit("INCOMPLETE_BAR"))))
-    return found.select("series", "bar", F.array_join(codes, ",").alias("codes"), (F.size(codes) == 0).alias("usable"))
-
-
 def bar_issues(boundaries: DataFrame, bars: DataFrame, removed: DataFrame, pulse: DataFrame | None = None, acoustic: DataFrame | None = None, least: float = 0.9, weak: float = 0.5) -> DataFrame:
     """Per bar all of the seven codes that speak against it, and whether there are none.
 
@@ -178,14 +168,6 @@ def coverage_runs(usable: DataFrame) -> DataFrame:
     return kept.groupBy("series", "_g").agg(F.min("bar").alias("first_bar"), (F.max("bar") + 1).alias("end_bar")).drop("_g")
 
 
-def sparse_tail(usable: DataFrame, most: int = 8) -> DataFrame:
-    """Unusable bars at a series' end that its last usable bar may speak for: at most ``most``."""
-    back = Window.partitionBy("series").orderBy(F.desc("bar"))
-    run = F.max(F.when(F.col("usable"), 1).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, 0))
-    tail = usable.withColumn("_seen", run).groupBy("series").agg(F.count_if(F.col("_seen") == 0).alias("tail"), F.max(F.when(F.col("usable"), F.col("bar"))).alias("anchor_bar"))
-    return tail.withColumn("inherits", F.col("anchor_bar").isNotNull() & F.col("tail").between(1, most))
-
-
 def inherited_tail(clock: DataFrame, bars: DataFrame, selections: DataFrame, most: int = 8, drift: float = 0.1) -> DataFrame:
     """Whether the bar before a selection's weak tail may speak for it: series, from_bar, to_bar, tail, anchor_bar, inherits.
 

@@ -11,9 +11,10 @@ from .clock import against_reference, local_period
 from .sequence import nearest, range_join
 
 
-def snap(x: Column, tolerance: float = 1e-6) -> Column:
-    """A frame count: the whole number next to x if it is within the tolerance, else x rounded down."""
-    return F.when(F.abs(x - F.rint(x)) <= tolerance, F.rint(x)).otherwise(F.floor(x)).cast("long")
+def snap(x: Column, units: float = 4.0) -> Column:
+    """A frame count: the whole number next to x if it is within that many rounding units of x, else x rounded down."""
+    slack = units * 2.220446049250313e-16 * F.greatest(F.lit(1.0), F.abs(x))
+    return F.when(F.abs(x - F.rint(x)) <= slack, F.rint(x)).otherwise(F.floor(x)).cast("long")
 
 
 def sigmoid(logit: Column) -> Column:
@@ -94,28 +95,54 @@ def repair_gate(counts: DataFrame, most: float = 0.25) -> DataFrame:
     return counts.withColumn("accepted", share <= most).withColumn("warning", F.when(share > most, "EXCESS_REPAIRS").when(F.col("repairs") > 0, "REPAIRED"))
 
 
-def preferred(candidates: DataFrame, asked: DataFrame, tolerance: float = 0.055) -> DataFrame:
-    """The best supported candidate near the asked tempo, else the asked tempo itself without support."""
+def preferred(candidates: DataFrame, asked: DataFrame, tolerance: float = 0.055, least: float = 0.03) -> DataFrame:
+    """The best supported candidate near the asked tempo, else the asked tempo with its own support.
+
+    asked: series, wanted, and optionally support, that of the wanted tempo itself (0 without). A pulse with less than
+    ``least`` support is none: bpm and support are 0.
+    """
+    own = F.col("support") if "support" in asked.columns else F.lit(0.0)
+    asked = asked.select("series", "wanted", own.alias("_own"))
     near = candidates.join(asked, "series").where(F.abs(F.ln(F.col("bpm") / F.col("wanted"))) < tolerance)
     best = near.groupBy("series").agg(F.max(F.struct("support", "bpm")).alias("_b"))
-    return asked.join(best, "series", "left").select("series", F.coalesce("_b.bpm", F.col("wanted").cast("double")).alias("bpm"), F.coalesce("_b.support", F.lit(0.0)).alias("support"))
+    found = asked.join(best, "series", "left").select("series", F.coalesce("_b.bpm", F.col("wanted").cast("double")).alias("bpm"), F.coalesce("_b.support", "_own").alias("support"))
+    weak = F.col("support") < least
+    return found.select("series", F.when(weak, 0.0).otherwise(F.col("bpm")).alias("bpm"), F.when(weak, 0.0).otherwise(F.col("support")).alias("support"))
+
 
+def detection_summary(candidates: DataFrame, strengths: DataFrame, share: float = 0.82, apart: float = 0.07, full: float = 0.35) -> DataFrame:
+    """First-ranked tempo with its confidence as a tempo and as beats, and whether another one rivals it.
 
-def detection_summary(candidates: DataFrame, share: float = 0.82, apart: float = 0.07) -> DataFrame:
-    """First-ranked tempo, and whether a rival of nearly its rank is more than 7 % away. candidates: series, rank, bpm, ranked."""
+    candidates: series, rank, bpm, support, ranked. strengths: series, strength, the evidence at each tracked beat. A
+    rival is more than ``apart`` away in log tempo and ranked at ``share`` of the first at least. Beats are as sure as
+    the tempo, less where the upper median of their strengths is under ``full``. Scores, not probabilities.
+    """
     first = candidates.where("rank = 1").select("series", F.col("bpm").alias("_bpm"), F.col("ranked").alias("_top"), F.col("support").alias("_s"))
-    rival = (F.col("ranked") >= share * F.col("_top")) & (F.abs(F.col("bpm") / F.col("_bpm") - 1) > apart)
-    return candidates.join(first, "series").groupBy("series", "_bpm", "_s").agg(F.bool_or(rival).alias("ambiguous")).select("series", F.col("_bpm").alias("bpm"), F.col("_s").alias("support"), "ambiguous")
+    rival = (F.col("ranked") >= share * F.col("_top")) & (F.abs(F.ln(F.col("bpm") / F.col("_bpm"))) > apart)
+    found = candidates.join(first, "series").groupBy("series", "_bpm", "_s").agg(F.bool_or(rival).alias("ambiguous"))
+    order = Window.partitionBy("series").orderBy("strength")
+    middle = strengths.withColumn("_k", F.row_number().over(order) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("series"))).where(F.col("_k") == F.floor(F.col("_n") / 2))
+    held = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    sure = held(F.col("_s"))
+    beats = held(sure * F.least(F.lit(1.0), F.coalesce("strength", F.lit(0.0)) / full))
+    return found.join(middle.select("series", "strength"), "series", "left").select("series", F.col("_bpm").alias("bpm"), sure.alias("tempo_confidence"), beats.alias("beat_confidence"), "ambiguous")
 
 
 def warnings(summary: DataFrame) -> DataFrame:
-    """The rules a summary (series, n_beats, bpm, mean_strength) breaks, as codes."""
+    """What a user is to be told of a detection, as codes in a fixed order.
+
+    summary: series, constrained (a tempo was asked for), tempo_confidence, ambiguous, beat_confidence, n_beats, observed (the
+    clock comes from an external detector), n_downbeats.
+    """
     codes = F.array_compact(
         F.array(
-            F.when(F.col("n_beats") < 8, F.lit("FEW_BEATS")),
-            F.when(F.col("bpm").isNull(), F.lit("NO_TEMPO")),
-            F.when(F.col("mean_strength") < 0.5, F.lit("WEAK_BEATS")),
-            F.when(F.col("bpm") > 240, F.lit("TEMPO_OUT_OF_RANGE")),
+            F.when(F.col("constrained"), F.lit("PULSE_CONSTRAINED")),
+            F.when(F.col("tempo_confidence") < 0.2, F.lit("UNRELIABLE_GRID")),
+            F.when(F.col("ambiguous"), F.lit("AMBIGUOUS_TEMPO")),
+            F.when(F.col("beat_confidence") < 0.35, F.lit("WEAK_BEATS")),
+            F.when(F.col("n_beats") < 12, F.lit("FEW_BEATS")),
+            F.when(F.col("observed"), F.lit("UNCALIBRATED_DETECTOR")),
+            F.when(F.col("n_downbeats") > 0, F.lit("DETECTED_DOWNBEATS")).otherwise("NO_DOWNBEATS"),
         )
     )
     return summary.withColumn("warnings", F.array_join(codes, ",")).withColumn("n_warnings", F.size(codes))
@@ -156,10 +183,13 @@ def paired_coverage(plans: DataFrame) -> DataFrame:
 
 
 def tempo_release(t: Column, start: Column, speed: Column, seconds: float = 2.0) -> Column:
-    """Source seconds since ``start`` while the speed eases to 1 by a smooth cubic over ``seconds``, then runs at 1."""
-    u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (t - start) / seconds))
-    eased = seconds * (speed * u + (1 - speed) * (u * u * u - u * u * u * u / 2))
-    return F.when(t <= start, (t - start) * speed).otherwise(eased + F.greatest(F.lit(0.0), t - start - seconds))
+    """Source seconds since ``start`` while the speed goes back to 1 within ``seconds``, and 1 from there on.
+
+    The speed's distance from 1 falls as the square of the time left, so speed and position have no jump at either end.
+    """
+    dt, extra = t - start, speed - 1.0
+    eased = extra * (dt - dt * dt / seconds + dt * dt * dt / (3.0 * seconds * seconds))
+    return F.when(dt <= 0, dt * speed).when(dt >= seconds, dt + extra * seconds / 3.0).otherwise(dt + eased)
 
 
 def schedule_audit(anchors: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:
@@ -209,19 +239,6 @@ def length_preference(bars: Column) -> Column:
     return out
 
 
-def pair_evidence(levels: DataFrame) -> DataFrame:
-    """Level mismatch of a pair (pair, out_db, in_db at several points) and the penalty of 0.5 per dB beyond 2."""
-    mismatch = F.avg(F.abs(F.col("out_db") - F.col("in_db")))
-    return levels.groupBy("pair").agg(mismatch.alias("mismatch_db")).withColumn("penalty", 0.5 * F.greatest(F.lit(0.0), F.col("mismatch_db") - 2.0))
-
-
-def affinity(key_fits: Column, tempo_a: Column, tempo_b: Column, level_a: Column, level_b: Column) -> Column:
-    """How well two tracks mix as wholes, from 0 to 1: key, tempo and loudness."""
-    tempo = F.greatest(F.lit(0.0), 1 - F.abs(F.ln(tempo_a / tempo_b)) / 0.25)
-    level = F.greatest(F.lit(0.0), 1 - F.abs(level_a - level_b) / 12.0)
-    return 0.4 * F.when(key_fits, 1.0).otherwise(0.0) + 0.4 * tempo + 0.2 * level
-
-
 def finite(x: Column) -> Column:
     """Whether a number is there and finite."""
     return F.coalesce(F.abs(x) < float("inf"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import clock_queries, evidence_queries, join_queries, kernel_queries, repair_queries, selection_queries, signal_queries  # noqa: F401  they register themselves
+from . import clock_queries, evidence_queries, guard_queries, join_queries, kernel_queries, repair_queries, selection_queries, signal_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL, Query
 
 

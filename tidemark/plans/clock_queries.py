@@ -197,14 +197,14 @@ def hermite_map(spark, sf):
     "warp_quality",
     """SELECT series, round(min(speed), 6) AS min_speed, round(max(speed), 6) AS max_speed, round(max(rate), 6) AS max_rate,
     concat_ws(',', CASE WHEN min(speed) <= 0 THEN 'NOT_MONOTONE' END, CASE WHEN min(speed) < 0.5 - 1e-6 THEN 'SPEED_TOO_LOW' END, CASE WHEN max(speed) > 2.0 + 1e-6 THEN 'SPEED_TOO_HIGH' END, CASE WHEN max(rate) > 0.8 + 1e-6 THEN 'ABRUPT_TEMPO' END) AS issues
-    FROM (SELECT series, speed, abs(acc / nullif(speed, 0.0)) AS rate FROM (SELECT series, (6*u*u - 6*u) * y0 + (3*u*u - 4*u + 1) * m0 + (6*u - 6*u*u) * y1 + (3*u*u - 2*u) * m1 AS speed, (12*u - 6) * y0 + (6*u - 4) * m0 + (6 - 12*u) * y1 + (6*u - 2) * m1 AS acc
-    FROM (SELECT *, unnest([0.0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])::DOUBLE AS u FROM seg WHERE x1 IS NOT NULL))) GROUP BY series""",
+    FROM (SELECT series, speed, abs(acc / nullif(speed, 0.0)) AS rate FROM (SELECT series, (6*u*u - 6*u) / h * (y0 - y1) + (3*u*u - 4*u + 1) * m0 + (3*u*u - 2*u) * m1 AS speed, (12*u - 6) / (h*h) * (y0 - y1) + ((6*u - 4) * m0 + (6*u - 2) * m1) / h AS acc
+    FROM (SELECT *, unnest(range(0, n + (x1 = max(x1) OVER (PARTITION BY series))::INT))::DOUBLE / n AS u FROM (SELECT *, x1 - x0 AS h, greatest(8, ceil((x1 - x0) / 0.05::DOUBLE))::BIGINT AS n FROM seg WHERE x1 IS NOT NULL)))) GROUP BY series""",
     T.CLOCK_SQL,
     KNOTS,
     SLOPES,
 )
 def warp_quality(spark, sf):
-    found = C.warp_quality(_knots(spark, sf))
+    found = C.warp_quality(_knots(spark, sf), 0.05)
     return found.select("series", *[F.round(c, 6).alias(c) for c in ("min_speed", "max_speed", "max_rate")], "issues")
 
 

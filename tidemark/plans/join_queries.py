@@ -172,7 +172,6 @@ def cue_change(spark, sf):
 
 
 SPANS = "spans AS (SELECT series, bar, bar * 4 AS s, bar * 4 + 4 AS e FROM (SELECT series, unnest(range(0, last // 4)) AS bar FROM (SELECT series, max(idx) AS last FROM clock GROUP BY series) WHERE last >= 4))"
-USABLE = "usable AS (SELECT p.series, p.bar, min(strength) < 1.5 AS low, bool_or(idx > s AND idx < e AND strength >= 200) AS conflict, count(*) < 5 AS short FROM spans p JOIN clock c ON c.series = p.series AND c.idx BETWEEN s AND e GROUP BY p.series, p.bar)"
 
 
 @register("bar_min", "SELECT p.series, p.bar, min(strength) AS least, count(*) AS n FROM spans p JOIN clock c ON c.series = p.series AND c.idx BETWEEN s AND e GROUP BY p.series, p.bar", T.CLOCK_SQL, SPANS)
@@ -181,35 +180,14 @@ def bar_min(spark, sf):
     return P.bar_minimum(clock, P.bar_spans(clock, 4))
 
 
-@register("bar_conflicts", "SELECT series, bar, conflict FROM usable", T.CLOCK_SQL, SPANS, USABLE)
+@register("bar_conflicts", "SELECT p.series, p.bar, bool_or(idx > s AND idx < e AND strength >= 200) AS conflict FROM spans p JOIN clock c ON c.series = p.series AND c.idx BETWEEN s AND e GROUP BY p.series, p.bar", T.CLOCK_SQL, SPANS)
 def bar_conflicts(spark, sf):
     clock = T.clock(spark, sf)
     return P.bar_conflicts(clock, P.bar_spans(clock, 4), 200.0)
 
 
-@register("bar_usability", "SELECT series, bar, concat_ws(',', CASE WHEN low THEN 'LOW_POSTERIOR' END, CASE WHEN conflict THEN 'CONFLICTING_DOWNBEAT' END, CASE WHEN short THEN 'INCOMPLETE_BAR' END) AS codes, NOT (low OR conflict OR short) AS usable FROM usable", T.CLOCK_SQL, SPANS, USABLE)
-def bar_usability(spark, sf):
-    return P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0)
-
-
-@register("transition_coverage", "SELECT series, min(bar) AS first_bar, max(bar) + 1 AS end_bar FROM (SELECT *, bar - row_number() OVER (PARTITION BY series ORDER BY bar) AS g FROM usable WHERE NOT (low OR conflict OR short)) GROUP BY series, g", T.CLOCK_SQL, SPANS, USABLE)
-def transition_coverage(spark, sf):
-    return P.coverage_runs(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
-
-
 @register(
     "sparse_tail",
-    "SELECT series, count(*) FILTER (bar > coalesce(anchor_bar, -1)) AS tail, anchor_bar, anchor_bar IS NOT NULL AND count(*) FILTER (bar > coalesce(anchor_bar, -1)) BETWEEN 1 AND 8 AS inherits FROM usable JOIN (SELECT series, max(bar) FILTER (NOT (low OR conflict OR short)) AS anchor_bar FROM usable GROUP BY series) USING (series) GROUP BY series, anchor_bar",
-    T.CLOCK_SQL,
-    SPANS,
-    USABLE,
-)
-def sparse_tail(spark, sf):
-    return P.sparse_tail(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
-
-
-@register(
-    "inherited_tail",
     "SELECT series, from_bar, to_bar, CASE WHEN weak IS NULL THEN 0 ELSE to_bar - weak END AS tail, CASE WHEN inherits THEN weak - 1 END AS anchor_bar, inherits FROM (SELECT s.*, coalesce(weak >= 1 AND to_bar - weak <= 8 AND a.acoustic = '' AND a.codes = '' AND (SELECT bool_and(t.acoustic <> '' AND t.codes = '' AND (SELECT bool_and(p.period / a.mean <= 1.1 AND p.period / a.mean >= 0.9) FROM beat p WHERE p.series = t.series AND p.idx BETWEEN t.s AND t.e - 1)) FROM b t WHERE t.series = s.series AND t.bar >= weak), false) AS inherits FROM sel s LEFT JOIN b a ON a.series = s.series AND a.bar = weak - 1)",
     T.CLOCK_SQL,
     SPANS,
@@ -217,7 +195,7 @@ def sparse_tail(spark, sf):
     "b AS (SELECT p.series, p.bar, s, e, CASE WHEN count(*) FILTER (strength < 50) >= 4 THEN 'INSUFFICIENT_LOCAL_ATTACKS' ELSE '' END AS acoustic, CASE WHEN min(strength) < 1.5 THEN 'UNCERTAIN_METER_PHASE' ELSE '' END AS codes, (SELECT avg(period) FROM beat q WHERE q.series = p.series AND q.idx BETWEEN s AND e - 1) AS mean FROM spans p JOIN clock c ON c.series = p.series AND c.idx BETWEEN s AND e GROUP BY p.series, p.bar, s, e)",
     "sel AS (SELECT series, greatest(max(bar) - 3, 0) AS from_bar, max(bar) + 1 AS to_bar, (SELECT min(bar) FROM b x WHERE x.series = b.series AND x.acoustic <> '' AND x.bar >= (SELECT greatest(max(bar) - 3, 0) FROM b y WHERE y.series = b.series)) AS weak FROM b GROUP BY series)",
 )
-def inherited_tail(spark, sf):
+def sparse_tail(spark, sf):
     """The last four bars of a near-regular clock; a bar is weak with four faint beats and uncertain with a very faint one."""
     clock = T.clock(spark, sf)
     steady = clock.select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * 7919 + F.col("series")) % 50_000).alias("us"))

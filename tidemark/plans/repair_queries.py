@@ -20,9 +20,9 @@ HOUR = T.HOUR_US
 CLICKS = JQ.CLICKS
 
 
-@register("frame_snap", "SELECT o_orderkey, CASE WHEN abs(x - round_even(x, 0)) <= 1e-6 THEN round_even(x, 0) ELSE floor(x) END::BIGINT AS frames FROM (SELECT o_orderkey, o_totalprice * 441.0::DOUBLE / 100.0::DOUBLE AS x FROM orders)")
+@register("frame_snap", "SELECT o_orderkey, CASE WHEN abs(x - round_even(x, 0)) <= 4 * 2.220446049250313e-16 * greatest(1.0::DOUBLE, abs(x)) THEN round_even(x, 0) ELSE floor(x) END::BIGINT AS frames FROM (SELECT o_orderkey, (o_totalprice::DOUBLE / 441.0::DOUBLE) * 441.0::DOUBLE AS x FROM orders)")
 def frame_snap(spark, sf):
-    return T.table(spark, sf, "orders").select("o_orderkey", R.snap(F.col("o_totalprice") * 441.0 / 100.0).alias("frames"))
+    return T.table(spark, sf, "orders").select("o_orderkey", R.snap(F.col("o_totalprice").cast("double") / 441.0 * 441.0).alias("frames"))
 
 
 @register("emissions", "SELECT event_id, round(greatest(-z, 0.0::DOUBLE) + ln(1 + exp(-abs(z))), 9) AS begins, round(greatest(z, 0.0::DOUBLE) + ln(1 + exp(-abs(z))), 9) AS inside, round(1.0 / (1.0 + exp(-z)), 9) AS score FROM (SELECT event_id, (value - 50.0) / 20.0 AS z FROM events)")
@@ -88,36 +88,49 @@ def repair_gate(spark, sf):
     return R.repair_gate(T.clock(spark, sf).groupBy("series").agg(F.count_if(F.col("strength") >= 100).alias("repairs"), F.count(F.lit(1)).alias("n")))
 
 
-@register("preferred_tempo", "SELECT s.series, coalesce(bpm, 100.0::DOUBLE) AS bpm, coalesce(support, 0.0::DOUBLE) AS support FROM (SELECT DISTINCT series FROM signal) s LEFT JOIN (SELECT series, bpm, support FROM top WHERE abs(ln(bpm / 100.0)) < 0.3 QUALIFY row_number() OVER (PARTITION BY series ORDER BY support DESC, bpm DESC) = 1) t USING (series)", *EQ.TEMPO)
+@register("preferred_tempo", "SELECT s.series, CASE WHEN support >= 0.03 THEN bpm ELSE 0.0 END::DOUBLE AS bpm, CASE WHEN support >= 0.03 THEN support ELSE 0.0 END::DOUBLE AS support FROM (SELECT DISTINCT series FROM signal) s LEFT JOIN (SELECT series, bpm, support FROM top WHERE abs(ln(bpm / 100.0)) < 0.3 QUALIFY row_number() OVER (PARTITION BY series ORDER BY support DESC, bpm DESC) = 1) t USING (series)", *EQ.TEMPO)
 def preferred_tempo(spark, sf):
     asked = T.signal(spark, sf).select("series").distinct().withColumn("wanted", F.lit(100.0))
     return R.preferred(EQ._tempo(spark, sf), asked, 0.3)
 
 
-@register(
-    "detection_summary",
-    "SELECT f.series, f.bpm, f.support, bool_or(t.ranked >= 0.82 * f.ranked AND abs(t.bpm / f.bpm - 1) > 0.07) AS ambiguous FROM tr f JOIN tr t USING (series) WHERE f.rank = 1 GROUP BY ALL",
+_TEMPI = (
     T.SIGNAL_SQL,
     SQ._acf(100),
     SQ.SUPPORT,
     "tr AS (SELECT series, round(bpm, 6) AS bpm, round(support, 6) AS support, round(support * (1.0 + 0.12 * ln(bpm / 40.0)), 6) AS ranked, row_number() OVER (PARTITION BY series ORDER BY support * (1.0 + 0.12 * ln(bpm / 40.0)) DESC, i) AS rank FROM scored)",
+    "mid AS (SELECT series, l[len(l) // 2 + 1] AS m, len(l) AS n FROM (SELECT series, list_sort(list(x / 2000.0::DOUBLE)) AS l FROM signal WHERE k % 5 = 0 GROUP BY series))",
+    "ds AS (SELECT series, bpm, least(1.0::DOUBLE, greatest(0.0::DOUBLE, support)) AS tempo_confidence, least(1.0::DOUBLE, greatest(0.0::DOUBLE, support)) * least(1.0::DOUBLE, greatest(0.0::DOUBLE, m / 0.35)) AS beat_confidence, ambiguous, n FROM (SELECT f.series, f.bpm, f.support, bool_or(t.ranked >= 0.82 * f.ranked AND abs(ln(t.bpm / f.bpm)) > 0.07) AS ambiguous FROM tr f JOIN tr t USING (series) WHERE f.rank = 1 GROUP BY ALL) JOIN mid USING (series))",
 )
-def detection_summary(spark, sf):
+
+
+def _summary(spark, sf):
+    """Every fifth sample stands for the evidence at a tracked beat."""
     found = S.tempo_top(S.candidates(SQ._support(spark, sf)), 0.05, 10_000)
-    return R.detection_summary(found.select("series", "rank", *[F.round(c, 6).alias(c) for c in ("bpm", "support", "ranked")]))
+    at_beats = T.signal(spark, sf).where("k % 5 = 0").select("series", (F.col("x") / 2000.0).alias("strength"))
+    return R.detection_summary(found.select("series", "rank", *[F.round(c, 6).alias(c) for c in ("bpm", "support", "ranked")]), at_beats), at_beats
+
+
+@register("detection_summary", "SELECT series, bpm, round(tempo_confidence, 6) AS tempo_confidence, round(beat_confidence, 6) AS beat_confidence, ambiguous FROM ds", *_TEMPI)
+def detection_summary(spark, sf):
+    found, _ = _summary(spark, sf)
+    return found.select("series", "bpm", F.round("tempo_confidence", 6).alias("tempo_confidence"), F.round("beat_confidence", 6).alias("beat_confidence"), "ambiguous")
 
 
 @register(
     "clock_warnings",
-    "SELECT series, concat_ws(',', CASE WHEN n_beats < 8 THEN 'FEW_BEATS' END, CASE WHEN bpm IS NULL THEN 'NO_TEMPO' END, CASE WHEN s < 0.5 THEN 'WEAK_BEATS' END, CASE WHEN bpm > 240 THEN 'TEMPO_OUT_OF_RANGE' END) AS warnings FROM (SELECT c.series, c.n_beats, 60.0 / interval_s * 3600 AS bpm, s FROM (SELECT series, count(*) AS n_beats, avg(strength) / 100 AS s FROM clock GROUP BY series) c LEFT JOIN robust USING (series))",
-    T.CLOCK_SQL,
-    CQ.ROBUST,
+    "SELECT series, wanted, concat_ws(',', CASE WHEN wanted > 0 THEN 'PULSE_CONSTRAINED' END, CASE WHEN tempo_confidence / part < 0.2 THEN 'UNRELIABLE_GRID' END, CASE WHEN ambiguous THEN 'AMBIGUOUS_TEMPO' END, CASE WHEN beat_confidence / part < 0.35 THEN 'WEAK_BEATS' END, CASE WHEN n // part < 12 THEN 'FEW_BEATS' END, CASE WHEN part = 2 THEN 'UNCALIBRATED_DETECTOR' END, CASE WHEN part >= 2 THEN 'DETECTED_DOWNBEATS' ELSE 'NO_DOWNBEATS' END) AS warnings FROM (SELECT *, part - 1 AS wanted FROM (SELECT *, unnest([1, 2, 4, 16]) AS part FROM ds))",
+    *_TEMPI,
 )
 def clock_warnings(spark, sf):
-    clock = T.clock(spark, sf)
-    base = clock.groupBy("series").agg(F.count(F.lit(1)).alias("n_beats"), (F.avg("strength") / 100).alias("mean_strength"))
-    tempo = C.robust_interval(clock).select("series", (60.0 / F.col("interval_s") * 3600).alias("bpm"))
-    return R.warnings(base.join(tempo, "series", "left")).select("series", "warnings")
+    """Every summary as it is and with its confidences and beats divided."""
+    found, beats = _summary(spark, sf)
+    found = found.join(beats.groupBy("series").agg(F.count(F.lit(1)).alias("n")), "series").withColumn("part", F.explode(F.array(*map(F.lit, (1, 2, 4, 16)))))
+    said = found.select(
+        "series", (F.col("part") - 1).alias("wanted"), (F.col("part") > 1).alias("constrained"), (F.col("tempo_confidence") / F.col("part")).alias("tempo_confidence"), "ambiguous",
+        (F.col("beat_confidence") / F.col("part")).alias("beat_confidence"), F.floor(F.col("n") / F.col("part")).alias("n_beats"), (F.col("part") == 2).alias("observed"), F.when(F.col("part") >= 2, 4).otherwise(0).alias("n_downbeats"),
+    )
+    return R.warnings(said).select("series", "wanted", "warnings")
 
 
 @register(
@@ -140,21 +153,17 @@ def annotated_bars(spark, sf):
     return R.annotated_bars(T.clock(spark, sf, "view"), T.clock(spark, sf, "click"), HOUR)
 
 
-@register("first_failure", "SELECT series, bar, CASE WHEN low THEN 'LOW_POSTERIOR' WHEN conflict THEN 'CONFLICTING_DOWNBEAT' ELSE 'INCOMPLETE_BAR' END AS reason FROM usable WHERE low OR conflict OR short QUALIFY row_number() OVER (PARTITION BY series ORDER BY bar) = 1", T.CLOCK_SQL, JQ.SPANS, JQ.USABLE)
-def first_failure(spark, sf):
-    return R.first_failure(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
-
-
-@register(
-    "bar_issues",
-    "SELECT series, bar, concat_ws(',', CASE WHEN NOT pulse THEN 'UNSUPPORTED_PULSE' END, CASE WHEN NOT acoustic THEN 'UNSUPPORTED_ACOUSTIC_PULSE' END, CASE WHEN edge THEN 'INCOMPLETE_OBSERVATION_WINDOW' END, CASE WHEN faint THEN 'WEAK_BOUNDARY_EVIDENCE' END, CASE WHEN conflict THEN 'CONFLICTING_DOWNBEAT_EVIDENCE' END, CASE WHEN bar % 7 = 3 THEN 'INSUFFICIENT_METER_EVIDENCE' END, CASE WHEN unsure THEN 'UNCERTAIN_METER_PHASE' END) AS codes, pulse AND acoustic AND NOT (edge OR faint OR conflict OR bar % 7 = 3 OR unsure) AS usable FROM "
+#: The seven codes of every bar of four beats, and whether there are none.
+ISSUES = (
+    "usable AS (" "SELECT series, bar, concat_ws(',', CASE WHEN NOT pulse THEN 'UNSUPPORTED_PULSE' END, CASE WHEN NOT acoustic THEN 'UNSUPPORTED_ACOUSTIC_PULSE' END, CASE WHEN edge THEN 'INCOMPLETE_OBSERVATION_WINDOW' END, CASE WHEN faint THEN 'WEAK_BOUNDARY_EVIDENCE' END, CASE WHEN conflict THEN 'CONFLICTING_DOWNBEAT_EVIDENCE' END, CASE WHEN bar % 7 = 3 THEN 'INSUFFICIENT_METER_EVIDENCE' END, CASE WHEN unsure THEN 'UNCERTAIN_METER_PHASE' END) AS codes, pulse AND acoustic AND NOT (edge OR faint OR conflict OR bar % 7 = 3 OR unsure) AS usable FROM "
     "(SELECT p.series, p.bar, s >= 8 AND e < 60 OR s >= 72 AND e < 400 AS pulse, NOT bool_or(c.idx < e AND (c.idx < 4 OR c.strength > 480 OR c.idx > s AND c.strength < 10 AND c.before < 10)) AND avg(CASE WHEN c.idx < e THEN (c.strength >= 10)::INT END) >= 0.5 AS acoustic, "
     "s < 2 OR e > last - 2 AS edge, bool_or(c.idx IN (s, e) AND c.strength < 6) AS faint, bool_or(c.idx > s AND c.idx < e AND c.idx % 4 = 1 AND c.strength >= 60 AND c.us > x.us AND c.us < y.us) AS conflict, bool_or(c.idx = s AND c.strength < 9) AS unsure FROM spans p "
-    "JOIN (SELECT *, lag(strength) OVER (PARTITION BY series ORDER BY idx) AS before, max(idx) OVER (PARTITION BY series) AS last FROM clock) c ON c.series = p.series AND c.idx BETWEEN s AND e JOIN clock x ON x.series = p.series AND x.idx = s JOIN clock y ON y.series = p.series AND y.idx = e GROUP BY p.series, p.bar, s, e, last)",
-    T.CLOCK_SQL,
-    JQ.SPANS,
+    "JOIN (SELECT *, lag(strength) OVER (PARTITION BY series ORDER BY idx) AS before, max(idx) OVER (PARTITION BY series) AS last FROM clock) c ON c.series = p.series AND c.idx BETWEEN s AND e JOIN clock x ON x.series = p.series AND x.idx = s JOIN clock y ON y.series = p.series AND y.idx = e GROUP BY p.series, p.bar, s, e, last)"
+    ")"
 )
-def bar_issues(spark, sf):
+
+
+def _issues(spark, sf):
     """Every fourth beat as a boundary, the beats after them as removed downbeats, and two accepted regions of beats."""
     from ..operators import evidence as E
 
@@ -168,9 +177,24 @@ def bar_issues(spark, sf):
     return P.bar_issues(bounds, bars, removed, pulse, E.assess_ranges(E.prefix_index(EQ._flags(spark, sf)), spans))
 
 
-@register("supported_runs", "SELECT series, bar, max(bar) OVER (PARTITION BY series, g) + 1 AS end_bar FROM (SELECT *, bar - row_number() OVER (PARTITION BY series ORDER BY bar) AS g FROM usable WHERE NOT (low OR conflict OR short))", T.CLOCK_SQL, JQ.SPANS, JQ.USABLE)
+@register("bar_usability", "SELECT series, bar, codes, usable FROM usable", T.CLOCK_SQL, JQ.SPANS, ISSUES)
+def bar_usability(spark, sf):
+    return _issues(spark, sf)
+
+
+@register("transition_coverage", "SELECT series, min(bar) AS first_bar, max(bar) + 1 AS end_bar FROM (SELECT *, bar - row_number() OVER (PARTITION BY series ORDER BY bar) AS g FROM usable WHERE usable) GROUP BY series, g", T.CLOCK_SQL, JQ.SPANS, ISSUES)
+def transition_coverage(spark, sf):
+    return P.coverage_runs(_issues(spark, sf))
+
+
+@register("first_failure", "SELECT series, bar, split_part(codes, ',', 1) AS reason FROM usable WHERE NOT usable QUALIFY row_number() OVER (PARTITION BY series ORDER BY bar) = 1", T.CLOCK_SQL, JQ.SPANS, ISSUES)
+def first_failure(spark, sf):
+    return R.first_failure(_issues(spark, sf))
+
+
+@register("supported_runs", "SELECT series, bar, max(bar) OVER (PARTITION BY series, g) + 1 AS end_bar FROM (SELECT *, bar - row_number() OVER (PARTITION BY series ORDER BY bar) AS g FROM usable WHERE usable)", T.CLOCK_SQL, JQ.SPANS, ISSUES)
 def supported_runs(spark, sf):
-    return R.supported_runs(P.bar_usability(T.clock(spark, sf), 4, 1.5, 200.0))
+    return R.supported_runs(_issues(spark, sf))
 
 
 _PLANS = "pl AS (SELECT o_orderkey AS plan_id, o_custkey % 97 AS first_beat, o_orderkey % 89 AS second_beat, 100 + o_custkey % 50 AS first_last, 120 + o_orderkey % 40 AS second_last, 1 + o_orderkey % 3 AS p, 1 + o_custkey % 2 AS q FROM orders)"
@@ -188,7 +212,7 @@ def paired_coverage(spark, sf):
 
 @register(
     "tempo_release",
-    "SELECT plan_id, t, round(CASE WHEN t <= 10 THEN (t - 10) * v ELSE 2.0 * (v * u + (1 - v) * (u * u * u - u * u * u * u / 2)) + greatest(0.0::DOUBLE, t - 12) END, 6) AS source_s FROM (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (t - 10) / 2.0)) AS u FROM (SELECT o_orderkey AS plan_id, 0.75::DOUBLE + (o_custkey % 100) / 200.0::DOUBLE AS v, unnest([9.5, 10.0, 10.7, 11.3, 12.0, 14.9])::DOUBLE AS t FROM orders))",
+    "SELECT plan_id, t, round(CASE WHEN t <= 10 THEN (t - 10) * v ELSE t - 10 + (v - 1) * 2.0 / 3.0 * (1 - greatest(0.0::DOUBLE, 1 - (t - 10) / 2.0) ** 3) END, 6) AS source_s FROM (SELECT o_orderkey AS plan_id, 0.75::DOUBLE + (o_custkey % 100) / 200.0::DOUBLE AS v, unnest([9.5, 10.0, 10.7, 11.3, 12.0, 14.9])::DOUBLE AS t FROM orders)",
 )
 def tempo_release(spark, sf):
     at = F.explode(F.array(*[F.lit(x) for x in (9.5, 10.0, 10.7, 11.3, 12.0, 14.9)]))
@@ -215,17 +239,21 @@ def fit_report(spark, sf):
 
 @register(
     "map_inverse",
-    "SELECT series, count(*) AS n, true AS exact FROM knots GROUP BY series HAVING count(*) > 1",
+    "SELECT series, idx, part, round(y0 + (y1 - y0) * part / 4, 9) AS y, true AS inside, true AS exact FROM (SELECT *, unnest([0, 1, 3]) AS part FROM (SELECT *, lead(y) OVER w AS y1, y AS y0 FROM knots WINDOW w AS (PARTITION BY series ORDER BY idx)) WHERE y1 > y0)",
     T.CLOCK_SQL,
-    "knots AS (SELECT series, idx FROM clock)",
+    CQ.KNOTS,
 )
 def map_inverse(spark, sf):
-    """The inverse of the map at its own knots: each knot's time comes back as its place."""
+    """At the knots and inside the sections: the place lies in its section, and the map takes it back to where it was asked."""
     knots = CQ._knots(spark, sf)
-    back = C.inverse(knots, knots.select("series", F.col("y")), 40)
-    last = knots.groupBy("series").agg(F.max("x").alias("last"), F.count(F.lit(1)).alias("n"))
-    near = F.min(F.abs(F.col("x") - F.rint("x")))
-    return back.groupBy("series").agg(near.alias("e"), F.max(F.abs(F.col("x") - F.rint("x"))).alias("worst")).join(last.where("n > 1"), "series").select("series", "n", (F.col("worst") < 1e-6).alias("exact"))
+    ahead = Window.partitionBy("series").orderBy("idx")
+    sections = knots.withColumn("y1", F.lead("y").over(ahead)).where("y1 > y")
+    asked = sections.withColumn("part", F.explode(F.array(*map(F.lit, (0, 1, 3))))).select("series", "idx", "part", F.col("x").alias("x0"), (F.col("y") + (F.col("y1") - F.col("y")) * F.col("part") / 4).alias("y"))
+    back = C.inverse(knots, asked.select("series", "y"), 48)
+    forth = C.hermite(knots, back.select("series", F.col("x").alias("t"))).select("series", F.col("t").alias("x"), F.col("y").alias("again"))
+    found = asked.join(back, ["series", "y"]).join(forth, ["series", "x"])
+    inside = F.col("x").between(F.col("x0") - 1e-9, F.col("x0") + 1 + 1e-9)
+    return found.select("series", "idx", "part", F.round("y", 9).alias("y"), inside.alias("inside"), (F.abs(F.col("again") - F.col("y")) < 1e-9).alias("exact"))
 
 
 @register(
@@ -252,21 +280,6 @@ def cue_score(spark, sf):
     return found.select("bar", R.length_preference(F.col("bar")).alias("preference"), "n")
 
 
-@register("pair_evidence", "SELECT pair, round(m, 6) AS mismatch_db, round(0.5 * greatest(0.0::DOUBLE, m - 2.0), 6) AS penalty FROM (SELECT l_orderkey AS pair, avg(abs(l_quantity - l_tax * 100)) AS m FROM lineitem GROUP BY l_orderkey)")
-def pair_evidence(spark, sf):
-    found = R.pair_evidence(T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair"), F.col("l_quantity").alias("out_db"), (F.col("l_tax") * 100).alias("in_db")))
-    return found.select("pair", F.round("mismatch_db", 6).alias("mismatch_db"), F.round("penalty", 6).alias("penalty"))
-
-
-@register(
-    "track_affinity",
-    "SELECT o_orderkey, round(0.4 * CASE WHEN ka = kb THEN 1.0 ELSE 0.0 END + 0.4 * greatest(0.0::DOUBLE, 1 - abs(ln(a / b)) / 0.25) + 0.2 * greatest(0.0::DOUBLE, 1 - abs(la - lb) / 12.0), 6) AS affinity FROM (SELECT o_orderkey, o_custkey % 5 AS ka, o_orderkey % 5 AS kb, 90.0::DOUBLE + o_custkey % 40 AS a, 90.0::DOUBLE + o_orderkey % 40 AS b, (o_custkey % 17)::DOUBLE AS la, (o_orderkey % 13)::DOUBLE AS lb FROM orders)",
-)
-def track_affinity(spark, sf):
-    c, k = F.col("o_custkey"), F.col("o_orderkey")
-    return T.table(spark, sf, "orders").select("o_orderkey", F.round(R.affinity(c % 5 == k % 5, 90.0 + c % 40, 90.0 + k % 40, (c % 17).cast("double"), (k % 13).cast("double")), 6).alias("affinity"))
-
-
 _KEYS = ("C major", "G major", "A minor", "F# minor", "D major", "Bb minor", "unknown")
 #: Pairs of the keys above that are related.
 _RELATED = {(x, x) for x in _KEYS[:6]} | {(x, y) for p in (("C major", "G major"), ("G major", "D major"), ("C major", "A minor"), ("D major", "B minor")) for x, y in (p, p[::-1]) if x in _KEYS and y in _KEYS}
@@ -274,11 +287,11 @@ _SONGS = "songs AS (SELECT o_orderkey, {keys}[1 + o_custkey % 7] AS ka, {keys}[1
 
 
 @register(
-    "song_affinity",
+    "track_affinity",
     f"SELECT o_orderkey, round(CASE WHEN (ka, kb) IN ({', '.join(map(str, sorted(_RELATED)))}) AND least(ca, cb) >= 0.12 AND t >= 0.8 AND h >= 0.5 AND r >= 0.5 THEN 0.3 * least(1.0::DOUBLE, least(ca, cb) / 0.16) + 0.25 * t + 0.25 * h + 0.2 * r ELSE 0 END, 6)::DOUBLE AS affinity FROM (SELECT *, greatest(0.0::DOUBLE, 1 - abs(ln(ta / tb)) / ln(1.04::DOUBLE)) AS t, greatest(0.0::DOUBLE, 1 - abs(ln(ha / hb)) / ln(1.25::DOUBLE)) AS h, greatest(0.0::DOUBLE, 1 - abs(ra - rb) / 6.0::DOUBLE) AS r FROM songs)",
     _SONGS,
 )
-def song_affinity(spark, sf):
+def track_affinity(spark, sf):
     def song(k):
         key = F.element_at(F.array(*map(F.lit, _KEYS)), (1 + k % 7).cast("int"))
         return F.struct(key.alias("key"), (0.1 + (k % 9) / 100).alias("key_confidence"), (120.0 + k % 3).alias("bpm"), (2000.0 + 37 * (k % 11)).alias("centroid_hz"), (-10.0 - k % 5).alias("rms_db"))
@@ -288,10 +301,10 @@ def song_affinity(spark, sf):
 
 
 @register(
-    "cue_evidence",
+    "pair_evidence",
     "SELECT o_orderkey AS pair, round(balance, 6) AS balance, round(bonus, 6) AS long_bonus, round(p + 0.5 + CASE n WHEN 8 THEN 0.65 WHEN 4 THEN 0.42 WHEN 16 THEN 0.15 WHEN 2 THEN -0.4 ELSE -0.25 END + bonus - 0.5 * greatest(0.0::DOUBLE, m - 2), 6) AS score FROM (SELECT *, CASE WHEN e >= -0.02 AND f >= -0.2 THEN CASE n WHEN 8 THEN 1.0 WHEN 16 THEN 5.5 WHEN 32 THEN 3.0 ELSE 0.0 END * p * balance ELSE 0.0 END::DOUBLE AS bonus FROM (SELECT *, greatest(0.0::DOUBLE, 1 - m / 6) AS balance FROM (SELECT o_orderkey, 2 << (o_custkey % 5)::INT AS n, (o_custkey % 7)::DOUBLE / 10 AS p, (o_custkey % 4)::DOUBLE / 50 - 0.03 AS e, (o_orderkey % 3)::DOUBLE / 5 - 0.25 AS f, coalesce(m, 6.0::DOUBLE) AS m FROM orders LEFT JOIN (SELECT l_orderkey, avg(abs(l_quantity - l_tax * 100))::DOUBLE / 5 AS m FROM lineitem GROUP BY l_orderkey HAVING count(*) = 4) ON l_orderkey = o_orderkey)))",
 )
-def cue_evidence(spark, sf):
+def pair_evidence(spark, sf):
     c = F.col("o_custkey")
     parts = T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pair"), F.pow(F.lit(2.0), 1 + c % 5).cast("int").alias("n_bars"), F.lit(0.5).alias("out_score"), ((c % 7) / 10).alias("in_score"), ((c % 4) / 50 - 0.03).alias("in_end_change"), ((F.col("o_orderkey") % 3) / 5 - 0.25).alias("in_build"), ((c % 7) / 10).alias("affinity"))
     levels = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pair"), (F.col("l_quantity") / 5).cast("double").alias("out_db"), (F.col("l_tax") * 20).cast("double").alias("in_db"))
@@ -338,10 +351,10 @@ def event_support(spark, sf):
 
 @register(
     "supported_bars",
-    "SELECT p.series, p.bar, coalesce(NOT (low OR conflict OR short) AND ok, false) AS usable FROM spans p JOIN usable u ON u.series = p.series AND u.bar = p.bar JOIN (SELECT p.series, p.bar, NOT (bool_or(missing) OR bool_or(nonrecurring) OR bool_or(q AND i > s) OR avg(active::INT::DOUBLE) < 0.5) AS ok FROM spans p JOIN (SELECT *, NOT active AND NOT coalesce(lag(active) OVER (PARTITION BY series ORDER BY i), true) AS q FROM fl) f ON f.series = p.series AND f.i BETWEEN s AND e - 1 GROUP BY p.series, p.bar) k ON k.series = p.series AND k.bar = p.bar",
+    "SELECT p.series, p.bar, coalesce(u.usable AND ok, false) AS usable FROM spans p JOIN usable u ON u.series = p.series AND u.bar = p.bar JOIN (SELECT p.series, p.bar, NOT (bool_or(missing) OR bool_or(nonrecurring) OR bool_or(q AND i > s) OR avg(active::INT::DOUBLE) < 0.5) AS ok FROM spans p JOIN (SELECT *, NOT active AND NOT coalesce(lag(active) OVER (PARTITION BY series ORDER BY i), true) AS q FROM fl) f ON f.series = p.series AND f.i BETWEEN s AND e - 1 GROUP BY p.series, p.bar) k ON k.series = p.series AND k.bar = p.bar",
     T.CLOCK_SQL,
     JQ.SPANS,
-    JQ.USABLE,
+    ISSUES,
     EQ._FLAGS,
 )
 def supported_bars(spark, sf):
@@ -350,7 +363,7 @@ def supported_bars(spark, sf):
     clock = T.clock(spark, sf)
     spans = P.bar_spans(clock, 4)
     assessed = E.assess_ranges(E.prefix_index(EQ._flags(spark, sf)), spans.select("series", F.col("start_idx").alias("start"), (F.col("end_idx") + 1).alias("end")))
-    bars = spans.join(P.bar_usability(clock, 4, 1.5, 200.0).select("series", "bar", "usable"), ["series", "bar"])
+    bars = spans.join(_issues(spark, sf).select("series", "bar", "usable"), ["series", "bar"])
     return R.bars_with_support(bars, assessed).select("series", "bar", "usable")
 
 
