@@ -19,7 +19,7 @@ K1, B = 1.2, 0.75
 #: Bytes of text that a shard indexes, and shards that a task holds at most.
 SHARD_BYTES, SHARDS_PER_CELL = 32 << 20, 4
 #: Documents of a window, and postings that are read before there is a floor.
-WINDOW, FIRST = 2048, 32_768
+WINDOW, FIRST = 4096, 65_536
 #: Postings that can be read in the time in which a cursor seeks a document, and seeks of a query at a time.
 SEEK, MOST_SEEKS = 12, 1 << 20
 
