@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark import api
-from tidemark.operators import planning
+from tidemark.kernels import beats, dsp
+from tidemark.operators import planning, repair
 
 SONG = "struct<key:string,key_confidence:double,bpm:double,centroid_hz:double,rms_db:double>"
 BASE = {"key": "C major", "key_confidence": 0.2, "bpm": 120.0, "centroid_hz": 2000.0, "rms_db": -10.0}
@@ -124,3 +126,100 @@ def test_conflicts_are_strictly_inside_and_strong(spark):
 def test_all_codes_of_one_bar(spark):
     got = issues(spark, weak=[0], clipped=[0], posterior={0: 0.0}, thin=[0], removed=[(2, 800_000, 1.0)], pulse=[(4, 25)], acoustic={0: False})
     assert got == {0: ",".join(CODES)}
+
+
+def test_tempo_release_ends_a_third_of_the_difference_ahead(spark):
+    at = [-1.0, 0.0, 0.5, 1.0, 1.9999, 2.0, 5.0]
+    rows = spark.createDataFrame([(t, v) for t in at for v in (0.8, 1.3)], "t double, v double")
+    got = {(r.t, r.v): r.s for r in rows.withColumn("s", repair.tempo_release(F.col("t") + 10.0, F.lit(10.0), F.col("v"))).collect()}
+    for v in (0.8, 1.3):
+        c = v - 1
+        assert got[-1.0, v] == pytest.approx(-v) and got[0.0, v] == 0
+        for dt in (0.5, 1.0, 1.9999):
+            steps = 20_000  # the speed is 1 + c (1 - dt / T)^2
+            want = sum((1 + c * (1 - (i + 0.5) * dt / steps / 2) ** 2) * dt / steps for i in range(steps))
+            assert got[dt, v] == pytest.approx(want, abs=1e-7)
+        assert got[2.0, v] == pytest.approx(2 + c * 2 / 3) and got[5.0, v] == pytest.approx(5 + c * 2 / 3)
+
+
+def test_rivals_are_told_by_log_tempo_and_confidence_by_the_beats(spark):
+    def summary(bpm, ranked, strengths, support=0.5):
+        tempi = [("s", 1, 100.0, support, 1.0), ("s", 2, bpm, 0.4, ranked)]
+        found = repair.detection_summary(spark.createDataFrame(tempi, "series string, rank int, bpm double, support double, ranked double"), spark.createDataFrame([("s", x) for x in strengths], "series string, strength double"))
+        (r,) = found.collect()
+        return r.ambiguous, round(r.tempo_confidence, 6), round(r.beat_confidence, 6)
+
+    assert summary(100 * math.exp(0.0701), 0.82, [0.1, 0.7, 0.2, 0.9]) == (True, 0.5, 0.5)
+    assert summary(100 * math.exp(0.0699), 0.99, [0.1, 0.07, 0.2]) == (False, 0.5, round(0.5 * 0.1 / 0.35, 6))
+    assert summary(100 * math.exp(-0.0701), 0.82, [0.0]) == (True, 0.5, 0)  # a slower one rivals from 6.8 %
+    assert summary(50.0, 0.8199, [1.0], support=1.4) == (False, 1, 1)
+
+
+def test_warnings(spark):
+    rows = [(1, False, 0.2, False, 0.35, 12, False, 3), (2, True, 0.19, True, 0.34, 11, True, 0), (3, False, 0.5, True, 0.9, 99, True, 1)]
+    found = repair.warnings(spark.createDataFrame(rows, "i int, constrained boolean, tempo_confidence double, ambiguous boolean, beat_confidence double, n_beats long, observed boolean, n_downbeats long"))
+    assert {r.i: r.warnings for r in found.collect()} == {
+        1: "DETECTED_DOWNBEATS",
+        2: "PULSE_CONSTRAINED,UNRELIABLE_GRID,AMBIGUOUS_TEMPO,WEAK_BEATS,FEW_BEATS,UNCALIBRATED_DETECTOR,NO_DOWNBEATS",
+        3: "AMBIGUOUS_TEMPO,UNCALIBRATED_DETECTOR,DETECTED_DOWNBEATS",
+    }
+
+
+def test_a_spike_in_a_long_section_is_seen_and_placed(spark):
+    # After a fast section the cubic over the long one is slowest at two thirds of it, between its eighths.
+    knots = [(0, 0.0, 0.0), (1, 100.0, 100.0), (2, 100.1, 100.3), (3, 200.0, 200.2), (4, 200.5, 200.7)]
+    table = spark.createDataFrame([("s", *k) for k in knots], "series string, idx long, x double, y double")
+    (fine,) = api.warp_quality(table).collect()
+    (coarse,) = api.warp_quality(table, step=1e9).collect()
+    assert fine.min_speed < coarse.min_speed - 0.002 and fine.max_speed >= coarse.max_speed
+    x = [k[1] for k in knots]
+    found = api.hermite(table, spark.createDataFrame([("s", float(t)) for t in (fine.max_speed_at, fine.min_speed_at, fine.max_rate_at, 200.5)], "series string, t double"))
+    speeds = {r.t: (r.speed, r.acceleration) for r in found.collect()}
+    assert speeds[fine.max_speed_at][0] == pytest.approx(fine.max_speed) and speeds[fine.min_speed_at][0] == pytest.approx(fine.min_speed)
+    assert abs(speeds[fine.max_rate_at][1] / speeds[fine.max_rate_at][0]) == pytest.approx(fine.max_rate) or fine.max_rate_at in x
+
+
+def test_wanted_tempi_without_support_are_none(spark):
+    found = spark.createDataFrame([("a", 100.0, 0.029), ("b", 101.0, 0.03), ("b", 99.0, 0.5)], "series string, bpm double, support double")
+    asked = spark.createDataFrame([("a", 100.0), ("b", 100.0), ("c", 100.0)], "series string, wanted double")
+    assert sorted((r.series, r.bpm, r.support) for r in repair.preferred(found, asked).collect()) == [("a", 0.0, 0.0), ("b", 99.0, 0.5), ("c", 0.0, 0.0)]
+    own = asked.withColumn("support", F.lit(0.2))
+    assert {r.series: r.bpm for r in repair.preferred(found, own).collect()}["c"] == 100.0
+
+
+def test_frame_counts_snap_within_rounding_only(spark):
+    values = [3.0, 2.9999999999999996, 2.999999999, 2.9999, 1e9 + 0.99999, 1e9 + 0.9999999]
+    got = [r.n for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(repair.snap(F.col("v")).alias("n")).collect()]
+    assert got == [3, 3, 2, 2, 10**9, 10**9 + 1]
+
+
+def clicks(bpm, rate=4000, seconds=24, weak=1.0):
+    """Decaying clicks, every other one by ``weak``."""
+    n = int(rate * seconds)
+    x, step = np.zeros(n), 60 / bpm
+    for k in range(int(seconds / step)):
+        at = int((0.2 + k * step) * rate)
+        tail = np.arange(min(n - at, rate // 20))
+        x[at : at + len(tail)] += (weak if k % 2 else 1.0) * np.exp(-tail / (rate * 0.008)) * np.sin(2 * np.pi * 700 * tail / rate)
+    return x
+
+
+@pytest.mark.parametrize(("bpm", "weak", "low", "high"), [(100, 1.0, 97, 206), (200, 0.25, 97, 103), (120, 1.0, 117, 246)])
+def test_octaves_move_between_candidates_only(bpm, weak, low, high):
+    x = clicks(bpm, weak=weak)
+    f = dsp.features(x, 4000)
+    found = beats.detect(f["flux"], x, 4000, f["hop"], f["window"])
+    near = [c for c in found.candidates if abs(math.log(c[0] / found.bpm)) < 0.04]
+    assert low < found.bpm < high and near  # the tempo is one of the candidates' own
+
+
+def test_refinement_weighs_by_the_whole_reach():
+    rate, hop, window = 4000, 32, 256
+    x = np.zeros(4000)
+    about = (40 * hop + 0.25 * window) / rate
+    for at, size in ((about - 0.004, 0.30), (about + 0.021, 0.52)):
+        k = int(at * rate)
+        x[k : k + 400] += size * np.exp(-np.arange(400) / 20)
+    (got,) = beats.refine(x, rate, np.array([40]), hop, window)
+    # 0.52 * exp(-0.5 * 0.84^2) = 0.37 beats 0.30; with half the reach it would be 0.13.
+    assert abs(got - (about + 0.021)) < 0.004

@@ -44,16 +44,14 @@ def nearest(probe: DataFrame, build: DataFrame, at: str, time: str, keys: list[s
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, keys: list[str], width: int, how: str = "inner") -> DataFrame:
     """Join points with start <= point <= end by time buckets of ``width``; pairs come once. ``how``: inner or left_semi."""
-    cut = lambda c: F.floor(c / width)
-    left = points.withColumn("_bucket", cut(F.col(at)))
-    right = ranges.withColumn("_bucket", F.explode(F.sequence(cut(F.col(start)), cut(F.col(end)))))
-    inside = (left[at] >= right[start]) & (left[at] <= right[end])
-    match = [left[k] == right[k] for k in [*keys, "_bucket"]]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    joined = left.join(right, condition & inside, how)
-    return joined.drop(left["_bucket"]) if how == "left_semi" else joined.drop(left["_bucket"], right["_bucket"], *[right[k] for k in keys])
+    cut = lambda c: F.floor(F.col(c) / width)
+    # Fresh names on both sides: the tables may come from one another.
+    left = points.withColumn("_point", F.col(at)).withColumn("_bucket", cut(at))
+    right = ranges.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in ranges.columns], F.col(start).alias("_low"), F.col(end).alias("_high"), F.explode(F.sequence(cut(start), cut(end))).alias("_r_bucket"))
+    match = (F.col("_point") >= F.col("_low")) & (F.col("_point") <= F.col("_high"))
+    for k in ["_bucket", *keys]:
+        match = match & (F.col(k) == F.col("_r_bucket" if k == "_bucket" else f"_r_{k}"))
+    return left.join(right, match, how).drop("_point", "_bucket", "_low", "_high", "_r_bucket", *[f"_r_{k}" for k in keys])
 
 
 def islands(df: DataFrame, keys: list[str], order: str, breaks: Column, name: str = "island") -> DataFrame:

@@ -1,15 +1,18 @@
 """Windowed features of sampled series (series, k, x) and spectral frames (series, frame, bins).
 
-Everything is a window, an equi-join or a grouped aggregate per series; lags are exploded into equi-joins, since a
-range self-join would become a nested loop.
+Windows, equi-joins and grouped aggregates per series; where every sample meets many lags, blocks of a series are
+transformed in Arrow groups, so that no sample is repeated for each lag.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _by_k(series: str = "series", k: str = "k") -> WindowSpec:
@@ -66,14 +69,33 @@ def gaussian(signal: DataFrame, sigma: float, value: str = "x") -> DataFrame:
     return signal.withColumn("smooth", out / total)
 
 
-def autocorrelation(signal: DataFrame, max_lag: int, value: str = "x") -> DataFrame:
-    """Autocorrelation of the centred series by its energy, unbiased by the number of products. Columns series, lag, r."""
-    whole = Window.partitionBy("series")
-    centred = signal.select("series", "k", (F.col(value) - F.avg(value).over(whole)).alias("c"), F.count(F.lit(1)).over(whole).alias("n"))
-    energy = centred.groupBy("series", "n").agg(F.greatest(F.sum(F.col("c") * F.col("c")), F.lit(1e-12)).alias("energy"))
-    ahead = centred.withColumn("lag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long")))).select("series", (F.col("k") + F.col("lag")).alias("k"), "lag", F.col("c").alias("d"))
-    sums = centred.join(ahead, ["series", "k"]).groupBy("series", "lag").agg(F.sum(F.col("c") * F.col("d")).alias("s"))
-    return sums.join(energy, "series").select("series", "lag", (F.col("s") / F.col("energy") * F.col("n") / F.greatest(F.lit(1), F.col("n") - F.col("lag"))).alias("r"))
+def autocorrelation(signal: DataFrame, max_lag: int, value: str = "x", block: int = 1 << 16) -> DataFrame:
+    """Autocorrelation of the centred series by its energy, unbiased by the number of products. Columns series, lag, r.
+
+    A series is cut into blocks with the next ``max_lag`` samples as a halo; each gives its sums of products at all lags by
+    one transform, and these are added up. So no sample meets its lags one by one, and a long series is many tasks.
+    """
+    from .kernel_ops import ship
+
+    ship(signal.sparkSession)
+    size = max(block, max_lag + 1)
+    stats = signal.groupBy("series").agg(F.avg(value).alias("_mean"), F.count(F.lit(1)).alias("n"), F.greatest(F.var_pop(value) * F.count(F.lit(1)), F.lit(1e-12)).alias("energy"))
+    home = F.floor(F.col("k") / size)
+    places = F.when((F.pmod("k", F.lit(size)) <= max_lag) & (home > 0), F.array(home - 1, home)).otherwise(F.array(home))
+    dealt = signal.join(stats, "series").select("series", F.explode(places).alias("block"), "k", (F.col(value) - F.col("_mean")).alias("c"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["k"].to_numpy() - int(pdf["block"].iloc[0]) * size
+        wide = np.zeros(max(int(at.max()), max_lag) + 1)
+        wide[at] = pdf["c"].to_numpy(float)
+        own = wide[:size]
+        n = 1 << int(len(wide) + len(own)).bit_length()
+        sums = np.fft.irfft(np.conj(np.fft.rfft(own, n)) * np.fft.rfft(wide, n), n)[: max_lag + 1]
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": np.arange(max_lag + 1), "s": sums})
+
+    schema = T.StructType([T.StructField("series", signal.schema["series"].dataType), T.StructField("lag", T.LongType()), T.StructField("s", T.DoubleType())])
+    sums = dealt.groupBy("series", "block").applyInPandas(run, schema).groupBy("series", "lag").agg(F.sum("s").alias("s"))
+    return sums.join(stats, "series").where(F.col("lag") < F.col("n")).select("series", "lag", (F.col("s") / F.col("energy") * F.col("n") / F.greatest(F.lit(1), F.col("n") - F.col("lag"))).alias("r"))
 
 
 def harmonic_support(correlation: DataFrame, low: float, high: float, step: float = 0.125) -> DataFrame:
@@ -197,10 +219,22 @@ def midi(frequency: Column) -> dict[str, Column]:
 
 
 def yin_difference(signal: DataFrame, window: int, max_lag: int) -> DataFrame:
-    """Raw squared difference of the first ``window`` samples and their copy at each lag, by the number of products."""
-    first = signal.where(F.col("k") < window)
-    ahead = first.withColumn("lag", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max_lag).cast("long")))).select("series", (F.col("k") - F.col("lag")).alias("k"), "lag", F.col("x").alias("y"))
-    return first.join(ahead, ["series", "k"]).groupBy("series", "lag").agg((F.sum((F.col("x") - F.col("y")) ** 2) / F.count(F.lit(1))).alias("d"))
+    """Mean squared difference of the first ``window`` samples and their copy at each lag. A group is a window's samples."""
+    from .kernel_ops import ship
+
+    ship(signal.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.full(window, np.nan)
+        x[pdf["k"].to_numpy()] = pdf["x"].to_numpy(float)
+        lags = np.arange(min(max_lag, window - 1) + 1)
+        sums = [np.square(x[lag:] - x[: window - lag]) for lag in lags.tolist()]
+        met = np.array([np.count_nonzero(~np.isnan(d)) for d in sums])
+        total = np.array([np.nansum(d) for d in sums])
+        return pd.DataFrame({"series": pdf["series"].iloc[0], "lag": lags[met > 0], "d": total[met > 0] / met[met > 0]})
+
+    schema = T.StructType([T.StructField("series", signal.schema["series"].dataType), T.StructField("lag", T.LongType()), T.StructField("d", T.DoubleType())])
+    return signal.where((F.col("k") >= 0) & (F.col("k") < window)).select("series", "k", "x").groupBy("series").applyInPandas(run, schema)
 
 
 def lerp(signal: DataFrame, probes: DataFrame) -> DataFrame:

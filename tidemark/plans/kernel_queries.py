@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import facade as FC
 from ..operators import kernel_ops as K
 from ..operators import signal as S
-from ..operators import transitions as TR
 from ..sources import tables as T
 from .clock_queries import _knots
 from .registry import register
@@ -76,15 +77,62 @@ def model_stitch(spark, sf):
     return K.infer(packed, K.energy_backend).join(S.stitch(S.chunks(sizes, 64, 6), 64, 6), ["series", "chunk", "frame"])
 
 
-@register("transition_plans")
-def transition_plans(spark, sf):
-    """Transitions from each customer to the next: orders are bars, their lines the pulses of a near-regular clock."""
+def _songs(spark, sf):
+    """Customers as songs, each paired with the next: orders are bars, their lines the pulses of a near-regular clock."""
     bars = T.bars(spark, sf)
     marked = bars.select("series", "bar", "pulses", (F.col("score") > 30_000).alias("usable"), (F.col("score") / 1e6).alias("score"))
     ends = bars.groupBy("series").agg(F.sum("pulses").alias("n"))
     clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * 400_000 + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
     pairs = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"))
-    return TR.plan(pairs, marked, clocks)
+    return pairs, marked, clocks
+
+
+@register("transition_plans")
+def transition_plans(spark, sf):
+    return FC.best_transition(*_songs(spark, sf))
+
+
+@register("exact_plans")
+def exact_plans(spark, sf):
+    return FC.auto_transition(*_songs(spark, sf), 2)
+
+
+@register(
+    "overlap_candidates",
+    "SELECT pair, position, a_bar, b_bar, n_bars, a_start_idx, a_end_idx FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY t(a_end_idx, a) - t(a_start_idx, a) DESC, b_bar, a_bar) AS position FROM (SELECT *, count(*) OVER rest AS n_bars, max(a_last) OVER rest AS a_end_idx FROM (SELECT *, a_bar - row_number() OVER (PARTITION BY pair, a_bar - b_bar ORDER BY a_bar) AS g FROM (SELECT a.series AS pair, a.series AS a, a.bar AS a_bar, b.bar AS b_bar, a.s AS a_start_idx, a.e AS a_last FROM ub a JOIN ub b ON b.series = a.series + 1 AND a.pulses = b.pulses)) WINDOW rest AS (PARTITION BY pair, a_bar - b_bar, g ORDER BY a_bar ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) WHERE n_bars >= 2) WHERE position <= 64".replace("t(a_end_idx, a)", "(a_end_idx * 400000 + (a_end_idx * a_end_idx * 7919 + a) % 20000)").replace("t(a_start_idx, a)", "(a_start_idx * 400000 + (a_start_idx * a_start_idx * 7919 + a) % 20000)"),
+    T.BARS_SQL,
+    "ub AS (SELECT * FROM (SELECT series, bar, pulses, score > 30000 AS ok, sum(pulses) OVER (PARTITION BY series ORDER BY bar)::BIGINT AS e, (sum(pulses) OVER (PARTITION BY series ORDER BY bar) - pulses)::BIGINT AS s FROM bars) WHERE ok)",
+)
+def overlap_candidates(spark, sf):
+    found = FC.overlap_candidates(*_songs(spark, sf), rate=1_000_000)
+    return found.select("pair", "position", "a_bar", "b_bar", "n_bars", "a_start_idx", "a_end_idx")
+
+
+@register("overlap_plans")
+def overlap_plans(spark, sf):
+    return FC.overlap(*_songs(spark, sf))
+
+
+def _declared(spark, sf):
+    """Every second pulse of a customer's clock as a main beat, four of them a bar; every fifth bar lacks its provider's support."""
+    pairs, _, clocks = _songs(spark, sf)
+    mains = clocks.where("idx % 2 = 0").withColumn("m", F.floor(F.col("idx") / 2)).withColumn("n", F.max("m").over(Window.partitionBy("series")))
+    declared = mains.where(F.col("m") <= F.floor(F.col("n") / 4) * 4).select("series", "m", F.col("idx").alias("canonical_idx"), (F.col("m") % 4 == 0).alias("boundary"), (F.col("m") % 20 != 16).alias("supported"))
+    safe = clocks.select("series").distinct().withColumn("safe", F.col("series") % 7 != 0)
+    regions = clocks.groupBy("series").agg(F.lit(0).cast("long").alias("from"), (F.floor(F.max("idx") / 2)).alias("to"))
+    return pairs, declared, clocks, safe, regions
+
+
+@register("declared_plans")
+def declared_plans(spark, sf):
+    pairs, *songs = _declared(spark, sf)
+    asked = pairs.select("*", (F.col("pair") % 3).alias("a_bar"), (F.col("pair") % 2).alias("b_bar"), F.lit(2).alias("n_bars"))
+    return FC.declared_transition(asked, *songs)
+
+
+@register("declared_auto_plans")
+def declared_auto_plans(spark, sf):
+    return FC.declared_auto_transition(*_declared(spark, sf), n_bars=2)
 
 
 @register("pulse_plans")
@@ -96,4 +144,4 @@ def pulse_plans(spark, sf):
     period = F.when(F.col("series") % 3 == 0, 800_000).otherwise(400_000)
     clocks = ends.withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).select("series", "idx", (F.col("idx") * period + (F.col("idx") * F.col("idx") * 7919 + F.col("series")) % 20_000).alias("us"))
     chosen = ends.select(F.col("series").alias("pair"), F.col("series").alias("a"), (F.col("series") + 1).alias("b"), F.lit(1).cast("long").alias("a_bar"), F.lit(0).cast("long").alias("b_bar"), F.lit(2).alias("n_bars"))
-    return TR.plan_pulses(chosen, marked, clocks)
+    return FC.transition(chosen, marked, clocks)
