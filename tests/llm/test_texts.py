@@ -437,6 +437,32 @@ def test_packing_places_every_piece(spark, sf):
         assert at <= 2048
 
 
+def test_ids_are_those_of_tokenizers(spark, sf):
+    """On every document of a larger table, and on every character that the faster library is given, alone and in company."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    plain, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = [r.text for r in spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect() if r.text]
+    admitted = [c for c in map(chr, range(0x3000)) if not packing.OTHER.search(c)]
+    assert len(admitted) > 200
+    neighbours = "a A1 '.\n\té"
+    texts += [f"{c}{n}{c}{c}{n}x {c}" for c in admitted for n in neighbours]
+    rng = np.random.default_rng(6)
+    texts += ["".join(rng.choice(admitted, size=int(n))) for n in rng.integers(1, 300, 3000)]
+    texts += ["'s 't 're 've 'm 'll 'd 'S ''s", " " * 50, "\n" * 30 + "x", packing.MARK, "a" + packing.MARK + "b", "x" * 3000, "ſs ſ 's"]
+    want = plain.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if encode(t) != w.ids] == []
+
+
+def test_copies_are_drawn_one_by_one(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'the same words in every row' AS text", "'en' AS lang")
+    model = language_id.fit(docs, rows=300)
+    counts = np.exp(model.logs[0][: 1 << language_id.BITS])
+    drawn = (counts.max() / counts.min() * language_id.SMOOTH - language_id.SMOOTH) / 6  # six spaces or e's a text
+    assert 150 < drawn < 600
+
+
 def test_sums_of_squares_are_greedy():
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 30, 200)

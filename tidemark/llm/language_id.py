@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, slices
+from .common import key_of, ship, slices
 
 #: Rows that the model is fitted on at most (in expectation), drawn by a hash of the row.
 FIT_ROWS = 20_000
@@ -73,14 +73,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
     """A model from the rows with text and language, at most about ``rows`` of them.
 
-    The share that is drawn depends on their number alone, and the draw on a hash of the text. What comes to the driver
-    is a count per language and bucket, whatever the size of ``docs``.
+    The share that is drawn depends on their number alone, and the draw on a hash of the whole row, so copies of a text
+    under other ids are drawn one by one. What comes to the driver is a count per language and bucket, whatever the
+    size of ``docs``.
     """
     ship(docs.sparkSession)
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), key_of(docs, docs.columns).alias("key"))
     share = rows / max(1, labelled.count())
     if share < 1:
-        labelled = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        labelled = labelled.where(F.pmod("key", F.lit(1 << 30)) < int(share * (1 << 30)))
+    labelled = labelled.drop("key")
     counted = labelled.repartition(FIT_TASKS).mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     languages = tuple(sorted(got["lang"].unique()))
