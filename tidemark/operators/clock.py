@@ -86,9 +86,18 @@ def canonical_agreement(clock: DataFrame, reference: DataFrame) -> DataFrame:
     return found.groupBy("series").agg(F.count(F.lit(1)).alias("measured"), F.count_if(near).alias("matched")).withColumn("agreement", F.col("matched") / F.col("measured"))
 
 
-def issues(clock: DataFrame) -> DataFrame:
-    """A row per violated rule: series, code, start_us, end_us."""
-    found = local_period(clock).withColumn("_before", F.lag("interval_us").over(_by_idx()))
+def issues(clock: DataFrame, duration_us: int | None = None) -> DataFrame:
+    """A row per violated rule: series, code, start_us, end_us, severity.
+
+    A clock whose times aren't finite, from 0 on, before ``duration_us`` and strictly increasing is invalid as a whole and
+    isn't looked at further. All these rules are errors; what repairs add (``repair.repair_gate``) are warnings.
+    """
+    zero = F.lit(0).cast("long")
+    before = F.lag("us").over(_by_idx())
+    odd = F.col("us").isNull() | (F.col("us") < 0) | (F.col("us") <= before) | F.isnan("strength") | (F.abs("strength") == float("inf")) | F.col("strength").isNull()
+    odd = F.coalesce(odd, F.lit(False)) | (F.col("us") >= duration_us if duration_us is not None else F.lit(False))
+    invalid = clock.withColumn("_odd", odd).where("_odd").select("series").distinct()
+    found = local_period(clock.join(invalid, "series", "left_anti")).withColumn("_before", F.lag("interval_us").over(_by_idx()))
     ratio = F.col("interval_us") / F.col("period_us")
     step = F.greatest(F.col("interval_us") / F.col("_before"), F.col("_before") / F.col("interval_us"))
     codes = F.array_compact(
@@ -100,13 +109,15 @@ def issues(clock: DataFrame) -> DataFrame:
     )
     rules = found.select("series", F.explode(codes).alias("code"), F.col("us").alias("start_us"), F.col("end_us"))
     few = clock.groupBy("series").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < MIN_BEATS)
-    zero = F.lit(0).cast("long")
-    return rules.unionByName(few.select("series", F.lit("INSUFFICIENT_BEATS").alias("code"), zero.alias("start_us"), zero.alias("end_us")))
+    whole = lambda rows, code: rows.select("series", F.lit(code).alias("code"), zero.alias("start_us"), zero.alias("end_us"))
+    return rules.unionByName(whole(few, "INSUFFICIENT_BEATS")).unionByName(whole(invalid, "INVALID_TIMESTAMPS")).withColumn("severity", F.lit("ERROR"))
 
 
-def usable(clock: DataFrame) -> DataFrame:
-    """Whether a clock has at least eight beats and no issue."""
-    bad = issues(clock).select("series").distinct().withColumn("bad", F.lit(True))
+def usable(clock: DataFrame, duration_us: int | None = None, additional: DataFrame | None = None) -> DataFrame:
+    """Whether a clock has at least eight beats and no error; ``additional`` (series, severity) adds issues of other audits."""
+    found = issues(clock, duration_us).select("series", "severity")
+    found = found if additional is None else found.unionByName(additional.select("series", "severity"))
+    bad = found.where("severity = 'ERROR'").select("series").distinct().withColumn("bad", F.lit(True))
     counts = clock.groupBy("series").agg(F.count(F.lit(1)).alias("n_beats"))
     return counts.join(bad, "series", "left").select("series", "n_beats", ((F.col("n_beats") >= MIN_BEATS) & F.col("bad").isNull()).alias("usable"))
 

@@ -62,14 +62,17 @@ def before_end(events: DataFrame, duration_us: int) -> DataFrame:
 
 
 def onset_agreement(clock: DataFrame, envelope: DataFrame, hop_us: int, reach_us: int, least: float) -> DataFrame:
-    """Share of the beats inside the envelope with a value of at least ``least`` in reach, and the share inside."""
+    """Share of the beats inside the envelope with a value of at least ``least`` in reach, and the share inside.
+
+    With less than 55 % of the beats inside, nothing is said of the rest: the agreement is 0.
+    """
     ends = envelope.groupBy("series").agg(F.max("k").alias("_last"))
     joined = clock.join(ends, "series", "left")
     covered = joined.withColumn("covered", F.coalesce((F.col("us") >= 0) & (F.col("us") <= F.col("_last") * hop_us), F.lit(False)))
     high = envelope.where(F.col("x") >= least).select("series", (F.col("k") * hop_us - reach_us).alias("_from"), (F.col("k") * hop_us + reach_us).alias("_to"))
     met = range_join(covered.where("covered").select("series", "idx", "us"), high, "us", "_from", "_to", ["series"], max(1, 4 * reach_us), "left_semi").groupBy("series").agg(F.count(F.lit(1)).alias("hits"))
     sums = covered.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if("covered").alias("inside"))
-    return sums.join(met, "series", "left").select("series", (F.col("inside") / F.col("n")).alias("coverage"), F.when(F.col("inside") > 0, F.coalesce("hits", F.lit(0)) / F.col("inside")).alias("agreement"))
+    return sums.join(met, "series", "left").select("series", (F.col("inside") / F.col("n")).alias("coverage"), F.when(F.col("inside") / F.col("n") >= 0.55, F.coalesce("hits", F.lit(0)) / F.col("inside")).otherwise(0.0).alias("agreement"))
 
 
 def cadence_agreement(clock: DataFrame, tolerance: float = 0.22) -> DataFrame:
@@ -90,8 +93,11 @@ def interpolable(clock: DataFrame, reference: DataFrame, supported: Column, reac
 
 
 def repair_gate(counts: DataFrame, most: float = 0.25) -> DataFrame:
-    """Whether a series' repairs (series, repairs, n) are few enough, with a warning where there are any."""
-    share = F.col("repairs") / F.col("n")
+    """Whether a series' repairs (series, repairs, removed, n) are few enough, with a warning where there are any.
+
+    Removed duplicates, which are among the repairs, don't count against the share: they add no beat.
+    """
+    share = (F.col("repairs") - F.col("removed")) / F.greatest(F.lit(1), F.col("n"))
     return counts.withColumn("accepted", share <= most).withColumn("warning", F.when(share > most, "EXCESS_REPAIRS").when(F.col("repairs") > 0, "REPAIRED"))
 
 
@@ -307,15 +313,17 @@ def validate_chunks(chunks: DataFrame, size: int) -> DataFrame:
 
 
 
-def with_halo(chunks: DataFrame, before: int, after: int) -> DataFrame:
-    """Chunks (series, start_frame, samples) with the last samples of the chunk before and the first of the next.
+def with_halo(chunks: DataFrame, before: int, after: int, size: int | None = None) -> DataFrame:
+    """Chunks (series, start_frame, samples) with the last ``before`` samples ahead of them and the first ``after`` behind.
 
-    ``lead_in`` says how many samples come from before. A halo longer than a chunk is cut to it.
+    ``lead_in`` says how many samples come from before. ``size`` is the chunks' size where a halo is longer than one, so
+    that it is put together from several.
     """
     w = Window.partitionBy("series").orderBy("start_frame")
-    ahead, behind = F.coalesce(F.lead("samples").over(w), F.array().cast("array<double>")), F.coalesce(F.lag("samples").over(w), F.array().cast("array<double>"))
+    reach = lambda n: -(-n // size) if size else 1
+    near = lambda a, b: F.flatten(F.collect_list("samples").over(w.rowsBetween(a, b)))
     held = chunks.withColumn("samples", F.transform("samples", lambda x: x.cast("double")))
-    both = held.withColumn("_a", ahead).withColumn("_b", behind)
+    both = held.withColumn("_b", near(-reach(before), -1)).withColumn("_a", near(1, reach(after)))
     tail = F.slice("_b", F.greatest(F.lit(1), F.size("_b") - before + 1), F.lit(max(before, 0)))
     return both.select("series", "start_frame", F.concat(tail, "samples", F.slice("_a", F.lit(1), F.lit(after))).alias("samples"), F.least(F.size("_b"), F.lit(before)).alias("lead_in"))
 
@@ -333,14 +341,17 @@ def bars_with_support(bars: DataFrame, assessed: DataFrame) -> DataFrame:
 
 
 def observations(clock: DataFrame, activations: DataFrame, hop_us: int, most_us: int) -> DataFrame:
-    """Largest activation (series, k, x) near each beat, at most a quarter of the way to its neighbours."""
+    """Largest activation (series, k, x) near each beat, at most a quarter of the way to its neighbours, and whether all
+    of that window lies inside the series' activations."""
     w = Window.partitionBy("series").orderBy("idx")
     gap = F.least(F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(1 << 62)), F.coalesce(F.lead("us").over(w) - F.col("us"), F.lit(1 << 62)))
     reach = clock.withColumn("_r", F.least(F.lit(most_us), F.floor(gap / 4))).select("series", "idx", (F.col("us") - F.col("_r")).alias("_from"), (F.col("us") + F.col("_r")).alias("_to"))
     at = activations.select("series", (F.col("k") * hop_us).alias("_us"), "x")
     met = range_join(at, reach, "_us", "_from", "_to", ["series"], max(1, 4 * most_us))
     found = met.groupBy("series", "idx").agg(F.max("x").alias("x"))
-    return clock.select("series", "idx").join(found, ["series", "idx"], "left").select("series", "idx", F.coalesce("x", F.lit(-1000.0)).alias("logit"))
+    ends = activations.groupBy("series").agg((F.min("k") * hop_us).alias("_first"), (F.max("k") * hop_us).alias("_last"))
+    whole = F.coalesce((F.col("_from") >= F.col("_first")) & (F.col("_to") <= F.col("_last")), F.lit(False))
+    return reach.join(found, ["series", "idx"], "left").join(ends, "series", "left").select("series", "idx", F.coalesce("x", F.lit(-1000.0)).alias("logit"), whole.alias("complete"))
 
 
 def phase_cost(a: Column, b: Column) -> Column:

@@ -189,7 +189,7 @@ def key_scores(chroma: DataFrame) -> DataFrame:
 
 
 def keys(chroma: DataFrame) -> DataFrame:
-    """The best key of each series, and how far it is above the best key that doesn't mix with it."""
+    """The best key of each series, and how far it is above the best key that doesn't mix with it; ``unknown`` without any spread."""
     scores = key_scores(chroma)
     order = Window.partitionBy("series").orderBy(F.desc("score"), "root", "minor")
     best = scores.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("series", F.col("root").alias("br"), F.col("minor").alias("bm"), F.col("score").alias("top"))
@@ -197,7 +197,9 @@ def keys(chroma: DataFrame) -> DataFrame:
     second = others.groupBy("series", "br", "bm", "top").agg(F.max("score").alias("other"))
     names = F.array(*map(F.lit, TONES))
     label = F.concat(F.get(names, F.col("br")), F.when(F.col("bm"), F.lit(" minor")).otherwise(F.lit(" major")))
-    return second.select("series", label.alias("key"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("top") - F.col("other"))).alias("confidence"))
+    flat = chroma.groupBy("series").agg((F.sqrt(F.var_pop("v") * F.count(F.lit(1))) < 1e-9).alias("_flat"))
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("top") - F.col("other")))
+    return flat.join(second, "series", "left").select("series", F.when(F.col("_flat"), "unknown").otherwise(label).alias("key"), F.when(F.col("_flat"), 0.0).otherwise(sure).alias("confidence"))
 
 
 def parse_key(label: Column) -> tuple[Column, Column]:

@@ -27,14 +27,22 @@ ROBUST = (
     "sr AS (SELECT series, n_beats, list_sort(list(span) FILTER (span IS NOT NULL)) AS l FROM sq GROUP BY series, n_beats), "
     "robust AS (SELECT series, n_beats, l[len(l) // 2 + 1] / CASE WHEN n_beats >= 9 THEN 8.0::DOUBLE ELSE 1.0::DOUBLE END / 1e6 AS interval_s FROM sr WHERE len(l) > 0)"
 )
-CODES = (
-    "lp AS (SELECT *, list_sort(list(interval_us) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING)) AS l, lag(interval_us) OVER (PARTITION BY series ORDER BY idx) AS before FROM iv), "
-    "lq AS (SELECT *, interval_us::DOUBLE / l[len(l) // 2 + 1] AS ratio FROM lp), "
-    "issues AS (SELECT series, 'DUPLICATE_OR_SUBDIVISION' AS code, us AS start_us, end_us FROM lq WHERE interval_us < 160000 "
-    "UNION ALL SELECT series, 'PULSE_LEVEL_DISCONTINUITY', us, end_us FROM lq WHERE ratio < 0.62 OR ratio > 1.48 "
-    "UNION ALL SELECT series, 'ABRUPT_PULSE_CHANGE', us, end_us FROM lq WHERE greatest(interval_us::DOUBLE / before, before::DOUBLE / interval_us) > 1.48 AND before IS NOT NULL "
-    "UNION ALL SELECT series, 'INSUFFICIENT_BEATS', 0, 0 FROM clock GROUP BY series HAVING count(*) < 8)"
-)
+def codes(duration_us: int | None = None) -> str:
+    late = f" OR us >= {duration_us}" if duration_us else ""
+    return (
+        f"inv AS (SELECT DISTINCT series FROM (SELECT *, lag(us) OVER (PARTITION BY series ORDER BY idx) AS before FROM clock) WHERE us < 0 OR us <= before{late}), "
+        "lp AS (SELECT *, list_sort(list(interval_us) OVER (PARTITION BY series ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING)) AS l, lag(interval_us) OVER (PARTITION BY series ORDER BY idx) AS before FROM iv WHERE series NOT IN (SELECT series FROM inv)), "
+        "lq AS (SELECT *, interval_us::DOUBLE / l[len(l) // 2 + 1] AS ratio FROM lp), "
+        "issues AS (SELECT *, 'ERROR' AS severity FROM (SELECT series, 'DUPLICATE_OR_SUBDIVISION' AS code, us AS start_us, end_us FROM lq WHERE interval_us < 160000 "
+        "UNION ALL SELECT series, 'PULSE_LEVEL_DISCONTINUITY', us, end_us FROM lq WHERE ratio < 0.62 OR ratio > 1.48 "
+        "UNION ALL SELECT series, 'ABRUPT_PULSE_CHANGE', us, end_us FROM lq WHERE greatest(interval_us::DOUBLE / before, before::DOUBLE / interval_us) > 1.48 AND before IS NOT NULL "
+        "UNION ALL SELECT series, 'INVALID_TIMESTAMPS', 0, 0 FROM inv "
+        "UNION ALL SELECT series, 'INSUFFICIENT_BEATS', 0, 0 FROM clock GROUP BY series HAVING count(*) < 8))"
+    )
+
+
+#: The recording's length in the queries: some clocks go on behind it.
+LENGTH_US = 2_584_000_000_000
 
 
 @register("clock_intervals", "SELECT series, idx, interval_us FROM iv", T.CLOCK_SQL, IV)
@@ -88,14 +96,14 @@ def measured_period(spark, sf):
     return C.measured_period(T.clock(spark, sf)).select("series", "idx", "period_us")
 
 
-@register("grid_issues", "SELECT * FROM issues", T.CLOCK_SQL, IV, CODES)
+@register("grid_issues", "SELECT * FROM issues", T.CLOCK_SQL, IV, codes(LENGTH_US))
 def grid_issues(spark, sf):
-    return C.issues(T.clock(spark, sf))
+    return C.issues(T.clock(spark, sf), LENGTH_US)
 
 
-@register("grid_usable", "SELECT series, count(*) AS n_beats, count(*) >= 8 AND series NOT IN (SELECT series FROM issues) AS usable FROM clock GROUP BY series", T.CLOCK_SQL, IV, CODES)
+@register("grid_usable", "SELECT series, count(*) AS n_beats, count(*) >= 8 AND series NOT IN (SELECT series FROM issues) AS usable FROM clock GROUP BY series", T.CLOCK_SQL, IV, codes(LENGTH_US))
 def grid_usable(spark, sf):
-    return C.usable(T.clock(spark, sf))
+    return C.usable(T.clock(spark, sf), LENGTH_US)
 
 
 REFERENCE = (T.CLOCK_SQL, T.REF_SQL, IV, RIV, REF_MEASURED, AGAINST)

@@ -107,7 +107,7 @@ def required_bars(spark, sf):
     "SELECT c.series, c.n_beats, coalesce(r.n, 0) AS repairs, coalesce(i.l, '') AS issues, i.l IS NULL AS usable FROM (SELECT series, count(*) AS n_beats FROM clock GROUP BY series) c LEFT JOIN (SELECT series, count(*) AS n FROM clock WHERE strength < 3 GROUP BY series) r ON r.series = c.series LEFT JOIN (SELECT series, string_agg(code || ':' || n, ',' ORDER BY code) AS l FROM (SELECT series, code, count(*) AS n FROM (SELECT series, code FROM issues UNION ALL SELECT series, 'REPAIRED' FROM clock WHERE strength < 3 AND idx % 2 = 0) GROUP BY series, code) GROUP BY series) i ON i.series = c.series",
     T.CLOCK_SQL,
     CQ.IV,
-    CQ.CODES,
+    CQ.codes(),
 )
 def reaudited_clock(spark, sf):
     """Faint beats count as repairs, every second of which gives an issue beside the audit's."""

@@ -58,7 +58,7 @@ ENVELOPE = f"envelope AS (SELECT c.series, s.k, s.x FROM (SELECT DISTINCT series
 
 @register(
     "onset_agreement",
-    f"SELECT series, inside::DOUBLE / n AS coverage, CASE WHEN inside > 0 THEN hits::DOUBLE / inside END AS agreement FROM (SELECT c.series, count(*) AS n, count(*) FILTER (us BETWEEN 0 AND {719 * HOUR}) AS inside, count(*) FILTER (us BETWEEN 0 AND {719 * HOUR} AND EXISTS (SELECT 1 FROM signal s WHERE s.series = 'click' AND s.x >= 250 AND c.us BETWEEN s.k * {HOUR} - {HOUR // 2} AND s.k * {HOUR} + {HOUR // 2})) AS hits FROM clicks c GROUP BY c.series)",
+    f"SELECT series, inside::DOUBLE / n AS coverage, CASE WHEN inside::DOUBLE / n >= 0.55 THEN hits::DOUBLE / inside ELSE 0.0 END AS agreement FROM (SELECT c.series, count(*) AS n, count(*) FILTER (us BETWEEN 0 AND {719 * HOUR}) AS inside, count(*) FILTER (us BETWEEN 0 AND {719 * HOUR} AND EXISTS (SELECT 1 FROM signal s WHERE s.series = 'click' AND s.x >= 250 AND c.us BETWEEN s.k * {HOUR} - {HOUR // 2} AND s.k * {HOUR} + {HOUR // 2})) AS hits FROM clicks c GROUP BY c.series)",
     CLICKS,
     T.SIGNAL_SQL,
 )
@@ -83,9 +83,10 @@ def quiet_interpolation(spark, sf):
     return R.interpolable(T.clock(spark, sf), T.clock(spark, sf, "view"), F.col("strength") >= 60)
 
 
-@register("repair_gate", "SELECT series, repairs, n, repairs::DOUBLE / n <= 0.25 AS accepted, CASE WHEN repairs::DOUBLE / n > 0.25 THEN 'EXCESS_REPAIRS' WHEN repairs > 0 THEN 'REPAIRED' END AS warning FROM (SELECT series, count(*) FILTER (strength >= 100) AS repairs, count(*) AS n FROM clock GROUP BY series)", T.CLOCK_SQL)
+@register("repair_gate", "SELECT series, repairs, removed, n, (repairs - removed)::DOUBLE / n <= 0.25 AS accepted, CASE WHEN (repairs - removed)::DOUBLE / n > 0.25 THEN 'EXCESS_REPAIRS' WHEN repairs > 0 THEN 'REPAIRED' END AS warning FROM (SELECT series, count(*) FILTER (strength >= 60) AS repairs, count(*) FILTER (strength >= 150) AS removed, count(*) AS n FROM clock GROUP BY series)", T.CLOCK_SQL)
 def repair_gate(spark, sf):
-    return R.repair_gate(T.clock(spark, sf).groupBy("series").agg(F.count_if(F.col("strength") >= 100).alias("repairs"), F.count(F.lit(1)).alias("n")))
+    counts = T.clock(spark, sf).groupBy("series").agg(F.count_if(F.col("strength") >= 60).alias("repairs"), F.count_if(F.col("strength") >= 150).alias("removed"), F.count(F.lit(1)).alias("n"))
+    return R.repair_gate(counts)
 
 
 @register("preferred_tempo", "SELECT s.series, CASE WHEN support >= 0.03 THEN bpm ELSE 0.0 END::DOUBLE AS bpm, CASE WHEN support >= 0.03 THEN support ELSE 0.0 END::DOUBLE AS support FROM (SELECT DISTINCT series FROM signal) s LEFT JOIN (SELECT series, bpm, support FROM top WHERE abs(ln(bpm / 100.0)) < 0.3 QUALIFY row_number() OVER (PARTITION BY series ORDER BY support DESC, bpm DESC) = 1) t USING (series)", *EQ.TEMPO)
@@ -328,12 +329,12 @@ def global_pair_order(spark, sf):
 
 @register(
     "chunk_halo",
-    "SELECT c.series, c.s AS start_frame, count(*) AS n, round(sum(x), 4) AS total, least(c.s, 3)::INT AS lead_in FROM (SELECT DISTINCT series, k // 48 * 48 AS s FROM signal) c JOIN signal g ON g.series = c.series AND g.k BETWEEN c.s - 3 AND c.s + 52 GROUP BY c.series, c.s",
+    "SELECT c.series, c.s AS start_frame, count(*) AS n, round(sum(x), 4) AS total, least(c.s, 100)::INT AS lead_in FROM (SELECT DISTINCT series, k // 48 * 48 AS s FROM signal) c JOIN signal g ON g.series = c.series AND g.k BETWEEN c.s - 100 AND c.s + 107 GROUP BY c.series, c.s",
     T.SIGNAL_SQL,
 )
 def chunk_halo(spark, sf):
     chunks = T.signal(spark, sf).groupBy("series", (F.floor(F.col("k") / 48) * 48).alias("start_frame")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("samples"))
-    found = R.with_halo(chunks, 3, 5)
+    found = R.with_halo(chunks, 100, 60, 48)
     return found.select("series", "start_frame", F.size("samples").cast("long").alias("n"), F.round(F.aggregate("samples", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), "lead_in")
 
 
@@ -369,7 +370,7 @@ def supported_bars(spark, sf):
 
 @register(
     "beat_observations",
-    f"SELECT c.series, c.idx, coalesce(max(s.x), -1000.0::DOUBLE) AS logit FROM (SELECT *, least({6 * HOUR}, floor(least(coalesce(us - lag(us) OVER w, 4611686018427387904), coalesce(lead(us) OVER w - us, 4611686018427387904)) / 4)::BIGINT) AS r FROM clicks WINDOW w AS (PARTITION BY series ORDER BY idx)) c LEFT JOIN (SELECT k * {HOUR} AS at_us, x FROM signal WHERE series = 'click') s ON s.at_us BETWEEN c.us - r AND c.us + r GROUP BY c.series, c.idx",
+    f"SELECT c.series, c.idx, coalesce(max(s.x), -1000.0::DOUBLE) AS logit, min(us) - min(r) >= 0 AND min(us) + min(r) <= {719 * HOUR} AS complete FROM (SELECT *, least({6 * HOUR}, floor(least(coalesce(us - lag(us) OVER w, 4611686018427387904), coalesce(lead(us) OVER w - us, 4611686018427387904)) / 4)::BIGINT) AS r FROM clicks WINDOW w AS (PARTITION BY series ORDER BY idx)) c LEFT JOIN (SELECT k * {HOUR} AS at_us, x FROM signal WHERE series = 'click') s ON s.at_us BETWEEN c.us - r AND c.us + r GROUP BY c.series, c.idx",
     CLICKS,
     T.SIGNAL_SQL,
 )
