@@ -47,6 +47,32 @@ def test_grids(spark, tmp_path, text, downbeats):
     assert audio.first_downbeat(rows).count() == downbeats
 
 
+def test_grids_of_several_shapes_are_read_together(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffseconds,score\n0.5,0.1\n\n0.25,\n")
+    (tmp_path / "b.tsv").write_text("beat\ttime\tdownbeat\n7\t1.5\ttrue\n9\t2.5\t\n")
+    (tmp_path / "c.csv").write_text("".join(f"{i / 4}\n" for i in range(500)))
+    (tmp_path / "d.csv").write_text("")
+    rows = {}
+    for r in audio.grid(spark, str(tmp_path)).collect():
+        rows.setdefault(r.series, []).append(tuple(r)[1:])
+    assert rows["a.csv"] == [(0, 0.5, 0.1, None), (1, 0.25, None, None)] and rows["b.tsv"] == [(7, 1.5, None, True), (9, 2.5, None, None)]
+    assert sorted(rows["c.csv"]) == [(i, i / 4, None, None) for i in range(500)] and set(rows) == {"a.csv", "b.tsv", "c.csv"}
+
+
+def test_kept_signals_are_measured_once_and_read_anywhere(spark, tmp_path):
+    x = np.random.default_rng(2).normal(size=1000)
+    chunks = [("s", i, x[i : i + 300].tolist()) for i in range(0, 1000, 300)]
+    path = f"{tmp_path}/stem"
+    stem = audio.kept(spark.createDataFrame(chunks, "series string, start_frame long, samples array<double>"), path)
+    again = audio.kept(spark.createDataFrame([], stem.schema), path)
+    assert again.count() == 4
+    asked = [("s", a, b) for a, b in ((0, 1000), (299, 301), (-50, 20), (990, 1400), (2000, 2010), (5, 5))] + [("t", 0, 3)]
+    got = {(r.series, r["from"], r["to"]): r.samples for r in audio.prepared_frames(again, spark.createDataFrame(asked, "series string, from long, to long"), 300).collect()}
+    wide = np.concatenate([np.zeros(50), x, np.zeros(2000)])
+    assert got == {("s", a, b): wide[a + 50 : b + 50].tolist() for s, a, b in asked if s == "s" and b > a} | {("t", 0, 3): [0.0] * 3}
+    assert audio.drop_kept(spark, path) and not audio.drop_kept(spark, path)
+
+
 def test_wav():
     body, clipped = audio.wav24(np.array([[0.0, 1.5], [-1.0, 0.5]]), 44100)
     assert clipped == 1 and body[:4] == b"RIFF" and struct.unpack("<I", body[40:44])[0] == 12

@@ -101,6 +101,26 @@ def require_bars(asked: DataFrame, bars: DataFrame, inherited: DataFrame, clock:
     return asked.join(first, "ask", "left").select(*asked.columns, F.col("_f.bar").alias("failed_bar"), F.col("_f._code").alias("declined"))
 
 
+def supported_regions(bars: DataFrame, clock: DataFrame, safe: DataFrame, regions: DataFrame, acoustic: DataFrame | None = None) -> DataFrame:
+    """Longest runs of bars that all hold, and hold together: series, first_bar, end_bar, start_idx, end_idx.
+
+    bars: series, bar, start_idx, end_idx, codes. A bar counts without codes and with its own pulse supported. Adjacent bars may
+    still lie in different accepted regions, or have rests on both sides of the bound between them: there a run ends.
+    """
+    rows = bars.where("codes = ''").withColumn("start", F.col("start_idx")).withColumn("end", F.col("end_idx") + 1)
+    fine = guard_ranges(rows.select("series", "start", "end"), clock, safe, regions, acoustic).where("declined is null").select("series", "start", "end").distinct()
+    order = Window.partitionBy("series").orderBy("bar")
+    sound = rows.join(fine, ["series", "start", "end"], "left_semi").withColumn("_before", F.lag("start_idx").over(order)).withColumn("_next", F.col("bar") - F.lag("bar").over(order) == 1)
+    joins = sound.where("_next")
+    whole = guard_ranges(joins.select("series", F.col("_before").alias("start"), "end"), clock, safe, regions)
+    bound = guard_ranges(joins.select("series", (F.col("start_idx") - 1).alias("start"), (F.col("start_idx") + 2).alias("end")), clock, safe, regions, acoustic)
+    apart = lambda rows: rows.where("declined is null").select("series", "start", "end").distinct()
+    held = joins.select("series", "bar", F.col("_before").alias("start"), "end", "start_idx").join(apart(whole), ["series", "start", "end"], "left_semi")
+    held = held.select("series", "bar", (F.col("start_idx") - 1).alias("start"), (F.col("start_idx") + 2).alias("end")).join(apart(bound), ["series", "start", "end"], "left_semi")
+    linked = sound.join(held.select("series", "bar", F.lit(0).alias("_new")), ["series", "bar"], "left").withColumn("_run", F.sum(F.coalesce("_new", F.lit(1))).over(order))
+    return linked.groupBy("series", "_run").agg(F.min("bar").alias("first_bar"), (F.max("bar") + 1).alias("end_bar"), F.min("start_idx").alias("start_idx"), F.max("end_idx").alias("end_idx")).drop("_run")
+
+
 def reaudited(clock: DataFrame, additional: DataFrame, repairs: DataFrame) -> DataFrame:
     """A repaired clock's report: beats, repairs, all issues of the new audit and the ``additional`` (series, code) as counts, and usable.
 

@@ -88,7 +88,7 @@ def ordered_scan(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def cue_change(blocks: DataFrame, probes: DataFrame, window: float, scale: float) -> DataFrame:
+def mean_change(blocks: DataFrame, probes: DataFrame, window: float, scale: Column) -> DataFrame:
     """Change of level at t: mean after minus mean before by ``scale``, held in -1 to 1; 0 with less than half a side covered.
 
     blocks: series, start, end, level, without overlap. Means come from prefix integrals met as of each time.
@@ -101,9 +101,25 @@ def cue_change(blocks: DataFrame, probes: DataFrame, window: float, scale: float
     part = F.greatest(F.lit(0.0), F.least(F.col("_at"), F.col("end")) - F.col("start"))
     sums = found.withColumn("_area", F.coalesce(F.col("_a") + part * F.col("level"), F.lit(0.0))).withColumn("_cover", F.coalesce(F.col("_c") + part, F.lit(0.0)))
     wide = sums.groupBy("series", "t").agg(*[F.max(F.when(F.col("_s") == s, F.col(c))).alias(f"{c}{i}") for i, s in enumerate((-1, 0, 1)) for c in ("_area", "_cover")])
+    mean = blocks.groupBy("series").agg((F.sum(area) / F.sum(F.col("end") - F.col("start"))).alias("mean"))
     before, after = F.col("_cover1") - F.col("_cover0"), F.col("_cover2") - F.col("_cover1")
-    mean = (F.col("_area2") - F.col("_area1")) / after - (F.col("_area1") - F.col("_area0")) / before
-    return wide.select("series", "t", F.when((before < window / 2) | (after < window / 2), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean / scale))).alias("change"))
+    rise = (F.col("_area2") - F.col("_area1")) / F.nullif(after, F.lit(0.0)) - (F.col("_area1") - F.col("_area0")) / F.nullif(before, F.lit(0.0))
+    known = (before >= window / 2) & (after >= window / 2) & (scale > 1e-9)
+    held = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), rise / F.nullif(scale, F.lit(0.0))))
+    return wide.join(mean, "series").select("series", "t", F.when(known, held).otherwise(0.0).alias("change"))
+
+
+def cue_change(blocks: DataFrame, probes: DataFrame, window: float, scale: float, activity: DataFrame | None = None) -> DataFrame:
+    """How much the music changes at t: 0.8 of the change of level by ``scale`` and 0.2 of that of activity by twice its mean.
+
+    blocks and activity: series, start, end, level. Silent or missing activity changes nothing.
+    """
+    loud = mean_change(blocks, probes, window, F.lit(float(scale)))
+    if activity is None:
+        return loud.withColumn("change", 0.8 * F.col("change"))
+    busy = mean_change(activity, probes, window, 2 * F.col("mean")).withColumnRenamed("change", "_busy")
+    both = loud.join(busy, ["series", "t"], "left")
+    return both.select("series", "t", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.8 * F.col("change") + 0.2 * F.coalesce("_busy", F.lit(0.0)))).alias("change"))
 
 
 def bar_spans(clock: DataFrame, pulses: int) -> DataFrame:

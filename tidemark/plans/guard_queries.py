@@ -102,6 +102,21 @@ def required_bars(spark, sf):
     return found.select("ask", "first_bar", "failed_bar", "declined")
 
 
+@register(
+    "supported_regions",
+    "SELECT series, min(bar) AS first_bar, max(bar) + 1 AS end_bar, min(s) AS start_idx, max(e) AS end_idx FROM (SELECT *, sum(CASE WHEN linked THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY bar) AS run FROM (SELECT *, coalesce(bar - prev = 1 AND (safe OR EXISTS (SELECT 1 FROM regions r WHERE r.series = b.series AND r.\"from\" <= ps AND e + 1 <= r.\"to\")) AND "
+    "(SELECT NOT (bool_or(missing) OR bool_or(nonrecurring) OR bool_or(q AND i > b.s - 1) OR avg(active::INT::DOUBLE) < 0.5) FROM fq f WHERE f.series = b.series AND f.i BETWEEN b.s - 1 AND b.s), false) AS linked FROM (SELECT *, lag(bar) OVER (PARTITION BY series ORDER BY bar) AS prev, lag(s) OVER (PARTITION BY series ORDER BY bar) AS ps FROM (SELECT p.series, p.bar, s, e, safe FROM spans p JOIN safe z ON z.series = p.series "
+    "WHERE p.bar % 5 <> 4 AND (safe OR EXISTS (SELECT 1 FROM regions r WHERE r.series = p.series AND r.\"from\" <= s AND e + 1 <= r.\"to\")) AND (SELECT NOT (bool_or(missing) OR bool_or(nonrecurring) OR bool_or(q AND i > p.s) OR avg(active::INT::DOUBLE) < 0.5) FROM fq f WHERE f.series = p.series AND f.i BETWEEN p.s AND p.e - 1))) b)) GROUP BY series, run",
+    *SONG,
+    JQ.SPANS,
+)
+def supported_regions(spark, sf):
+    """Every fifth bar has a code against it."""
+    clock, safe, regions = _song(spark, sf)
+    bars = P.bar_spans(clock, 4).withColumn("codes", F.when(F.col("bar") % 5 == 4, "UNCERTAIN_METER_PHASE").otherwise(""))
+    return G.supported_regions(bars, clock, safe, regions, E.prefix_index(EQ._flags(spark, sf)))
+
+
 @register(
     "reaudited_clock",
     "SELECT c.series, c.n_beats, coalesce(r.n, 0) AS repairs, coalesce(i.l, '') AS issues, i.l IS NULL AS usable FROM (SELECT series, count(*) AS n_beats FROM clock GROUP BY series) c LEFT JOIN (SELECT series, count(*) AS n FROM clock WHERE strength < 3 GROUP BY series) r ON r.series = c.series LEFT JOIN (SELECT series, string_agg(code || ':' || n, ',' ORDER BY code) AS l FROM (SELECT series, code, count(*) AS n FROM (SELECT series, code FROM issues UNION ALL SELECT series, 'REPAIRED' FROM clock WHERE strength < 3 AND idx % 2 = 0) GROUP BY series, code) GROUP BY series) i ON i.series = c.series",

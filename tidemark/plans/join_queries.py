@@ -155,20 +155,27 @@ def weighted_median(spark, sf):
     return Q.weighted_upper_median(blocks, ["series"], "level", "w", "start")
 
 
+_SIDES = ", ".join(
+    f'coalesce(sum(greatest(0.0::DOUBLE, least("end"::DOUBLE, {hi}) - greatest(start::DOUBLE, {lo})) * {w}), 0.0) AS {n}'
+    for n, lo, hi, w in (("cb", "t - 28", "t", "1"), ("ca", "t", "t + 28", "1"), ("ab", "t - 28", "t", "level"), ("aa", "t", "t + 28", "level"))
+)
+_CHANGE = "{name} AS (SELECT p.series, p.t, CASE WHEN cb < 14 OR ca < 14 THEN 0.0 ELSE greatest(-1.0, least(1.0, (aa / ca - ab / cb) / {scale})) END AS change FROM (SELECT p.series, p.t, " + _SIDES + " FROM probes p JOIN {table} b ON b.series = p.series GROUP BY p.series, p.t) p JOIN (SELECT series, sum((\"end\" - start) * level) / sum(\"end\" - start) AS mean FROM {table} GROUP BY series) m ON m.series = p.series)"
+
+
 @register(
     "cue_change",
-    "SELECT series, t, round(CASE WHEN cb < 14 OR ca < 14 THEN 0.0 ELSE greatest(-1.0, least(1.0, (aa / ca - ab / cb) / 6171.0)) END, 4) AS change FROM (SELECT p.series, p.t, "
-    + ", ".join(
-        f'coalesce(sum(greatest(0.0::DOUBLE, least("end"::DOUBLE, {hi}) - greatest(start::DOUBLE, {lo})) * {w}), 0.0) AS {n}'
-        for n, lo, hi, w in (("cb", "t - 28", "t", "1"), ("ca", "t", "t + 28", "1"), ("ab", "t - 28", "t", "level"), ("aa", "t", "t + 28", "level"))
-    )
-    + " FROM (SELECT series, t FROM (SELECT DISTINCT series FROM blocks) CROSS JOIN (SELECT (unnest(range(0, 300)) * 10 + 3)::DOUBLE AS t)) p JOIN blocks b ON b.series = p.series GROUP BY p.series, p.t)",
+    "SELECT a.series, a.t, round(0.8 * a.change + 0.2 * b.change, 4) AS change FROM loud a JOIN busy b ON b.series = a.series AND b.t = a.t",
     T.BLOCKS_SQL,
+    T.BLOCKS_SQL.replace("blocks AS", "quantities AS").replace("avg(l_extendedprice)", "avg(l_quantity)"),
+    "probes AS (SELECT series, t FROM (SELECT DISTINCT series FROM blocks) CROSS JOIN (SELECT (unnest(range(0, 300)) * 10 + 3)::DOUBLE AS t))",
+    _CHANGE.format(name="loud", scale="6171.0", table="blocks"),
+    _CHANGE.format(name="busy", scale="(2 * mean)", table="quantities"),
 )
 def cue_change(spark, sf):
+    """Weekly prices as level and weekly quantities as activity."""
     blocks = T.blocks(spark, sf)
     probes = blocks.select("series").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(299)))).select("series", (F.col("i") * 10 + 3).cast("double").alias("t"))
-    return P.cue_change(blocks, probes, 28.0, 6171.0).withColumn("change", F.round("change", 4))
+    return P.cue_change(blocks, probes, 28.0, 6171.0, T.blocks(spark, sf, "l_quantity")).withColumn("change", F.round("change", 4))
 
 
 SPANS = "spans AS (SELECT series, bar, bar * 4 AS s, bar * 4 + 4 AS e FROM (SELECT series, unnest(range(0, last // 4)) AS bar FROM (SELECT series, max(idx) AS last FROM clock GROUP BY series) WHERE last >= 4))"

@@ -49,31 +49,46 @@ def checked_content(spark: SparkSession, path: str, sha256: dict[str, str]) -> D
     return files.join(F.broadcast(pins), "series", "left").select("series", "bytes", "sha256", F.coalesce(F.col("sha256") == F.col("pinned"), F.lit(False)).alias("ok"))
 
 
+GRID = "series string, idx long, seconds double, strength double, downbeat boolean"
+
+
 def grid(spark: SparkSession, path: str) -> DataFrame:
-    """An event grid from delimited text: series, idx, seconds, strength, downbeat.
+    """Event grids from delimited text: series (file name), idx, seconds, strength, downbeat.
 
-    The delimiter (tab, semicolon or comma) and a header are told from the first line of the first file; without a
-    header the first column is seconds. Missing strengths and downbeats are null.
+    Each file tells its own delimiter (tab, semicolon or comma) and header by its first line; without a header the first
+    column is seconds. idx is the beat column, or else the place among the file's events, whatever way files are
+    dealt over tasks: a file, which holds a song's beats, is one row of the scan. Missing strengths and downbeats are
+    null, and lines without seconds are left out.
     """
-    first = spark.read.text(path).first()
-    line = first[0] if first else ""
-    sep = next((s for s in "\t;," if s in line), ",")
-    cells = next(csv.reader(io.StringIO(line), delimiter=sep), [])
-    named = any(c.strip() and not _number(c) for c in cells)
-    names = [c.strip().lower() for c in cells] if named else ["seconds", *[f"c{i}" for i in range(1, len(cells))]]
-    at = names.index("seconds") if "seconds" in names else next((i for i, n in enumerate(names) if n in ("time", "t", "start")), 0)
-    names[at : at + 1] = ["seconds"]
-    found = spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(path, sep=sep, header=named)
-    strength = next((n for n in ("strength", "model_score", "score") if n in names), None)
-    order = F.col("beat").cast("long") if "beat" in names else F.monotonically_increasing_id()
-    rows = found.where("seconds is not null").select(
-        F.element_at(F.split(F.input_file_name(), "/"), -1).alias("series"),
-        order.alias("idx"),
-        F.col("seconds").cast("double").alias("seconds"),
-        (F.col(strength).cast("double") if strength else F.lit(None).cast("double")).alias("strength"),
-        (F.col("downbeat").cast("boolean") if "downbeat" in names else F.lit(None).cast("boolean")).alias("downbeat"),
-    )
-    return rows
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("series"), F.col("value").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(series, *event) for series, text in zip(pdf["series"], pdf["text"], strict=True) for event in _events(text)]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in GRID.split(", ")], dtype=object)
+
+    return files.mapInPandas(run, GRID)
+
+
+def _events(text: str) -> Iterator[tuple[int, float, float | None, bool | None]]:
+    lines = text.lstrip("\ufeff").splitlines()
+    first = next((x for x in lines if x.strip()), "")
+    rows = [[c.strip() for c in row] for row in csv.reader(io.StringIO("\n".join(lines)), delimiter=next((s for s in "\t;," if s in first), ",")) if any(c.strip() for c in row)]
+    if not rows:
+        return
+    named = any(c and not _number(c) for c in rows[0])
+    names = [c.lower() for c in rows[0]] if named else ["seconds"]
+    at = next((names.index(n) for n in ("seconds", "time", "t", "start") if n in names), 0)
+    strength = next((names.index(n) for n in ("strength", "model_score", "score") if n in names), None)
+    beat, downbeat = (names.index(n) if n in names else None for n in ("beat", "downbeat"))
+    cell = lambda row, k: row[k] if k is not None and k < len(row) and row[k] else None
+    place = 0
+    for row in rows[named:]:
+        if (seconds := cell(row, at)) is None:
+            continue
+        said, score, number = cell(row, downbeat), cell(row, strength), cell(row, beat)
+        yield int(number) if number is not None else place, float(seconds), float(score) if score is not None else None, said.lower() in ("true", "1", "yes") if said is not None else None
+        place += 1
 
 
 def _number(cell: str) -> bool:
@@ -84,6 +99,40 @@ def _number(cell: str) -> bool:
     return True
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` measured once and kept at ``path`` for many queries: written if nothing is there yet, and read from there."""
+    spark = df.sparkSession
+    if not _place(spark, f"{path}/_SUCCESS")[1]:
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepared_frames(prepared: DataFrame, ranges: DataFrame, size: int) -> DataFrame:
+    """Samples of ranges of a kept signal: ``ranges`` (series, from, to) with samples, silence where the signal has none.
+
+    prepared: series, start_frame, samples, in chunks of ``size`` (the last one may be shorter). A range asks for its own chunks
+    alone, by an equi-join on their starts, so a read costs what it covers.
+    """
+    spans = ranges.select("series", "from", "to").distinct().where(F.col("to") > F.col("from"))
+    chunk = lambda c: F.floor(c / size)
+    asked = spans.withColumn("start_frame", F.explode(F.transform(F.sequence(chunk(F.col("from")), chunk(F.col("to") - 1)), lambda k: k * size)))
+    parts = asked.join(prepared.select("series", "start_frame", F.transform("samples", lambda x: x.cast("double")).alias("x")), ["series", "start_frame"], "left")
+    whole = F.concat(F.coalesce("x", F.array().cast("array<double>")), F.array_repeat(F.lit(0.0), F.lit(size) - F.coalesce(F.size("x"), F.lit(0))))
+    joined = parts.groupBy("series", "from", "to").agg(F.min("start_frame").alias("_first"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start_frame", whole.alias("w")))), lambda p: p["w"])).alias("_all"))
+    return joined.select("series", "from", "to", F.slice("_all", (F.col("from") - F.col("_first") + 1).cast("int"), (F.col("to") - F.col("from")).cast("int")).alias("samples"))
+
+
+def drop_kept(spark: SparkSession, path: str) -> bool:
+    """Delete what ``kept`` wrote; False if it is gone already, so that closing twice does no harm."""
+    place, there = _place(spark, path)
+    return bool(there and place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True))
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def first_downbeat(rows: DataFrame) -> DataFrame:
     return rows.where("downbeat").groupBy("series").agg(F.min_by("idx", "idx").alias("idx"), F.min("seconds").alias("seconds"))
 

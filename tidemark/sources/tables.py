@@ -50,12 +50,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("label").alias("series"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("bins"))
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly level blocks per line status: start and end in days, and the mean price as level."""
+def blocks(spark: SparkSession, sf_dir: str, of: str = "l_extendedprice") -> DataFrame:
+    """Weekly level blocks per line status: start and end in days, and the mean price (or other column) as level."""
     found = table(spark, sf_dir, "lineitem")
     day = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date"))
     week = F.floor(day / 7)
-    return found.groupBy(F.col("l_linestatus").alias("series"), week.alias("week")).agg(F.round(F.avg("l_extendedprice"), 2).alias("level")).select("series", (F.col("week") * 7).alias("start"), (F.col("week") * 7 + 7).alias("end"), "level")
+    return found.groupBy(F.col("l_linestatus").alias("series"), week.alias("week")).agg(F.round(F.avg(of), 2).alias("level")).select("series", (F.col("week") * 7).alias("start"), (F.col("week") * 7 + 7).alias("end"), "level")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
