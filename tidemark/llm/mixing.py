@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import WORDS, key_of, parts, stage, whole
 
 #: Rows of a hash bucket by plan: what is ordered at most of a source, in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4000
 
 
 def word_count(text: Column) -> Column:
