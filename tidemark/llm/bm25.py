@@ -18,6 +18,8 @@ from .substring_dedup import packed, unpacked
 K1, B = 1.2, 0.75
 #: Bytes of text that a shard indexes, and shards that a task holds at most.
 SHARD_BYTES, SHARDS_PER_CELL = 32 << 20, 4
+#: Shards up to which their numbers, some fifty bytes each, are broadcast to them; beyond it they are joined by shuffle.
+BROADCAST_SHARDS = 500_000
 #: Documents of a window, and postings that are read before there is a floor.
 WINDOW, FIRST = 4096, 65_536
 #: Postings that can be read in the time in which a cursor seeks a document, and seeks of a query at a time.
@@ -247,6 +249,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None
     high = -(-shards // per_cell)
     wide = max(1, -(-2 * cores // max(1, high)))
     numbered = index.select("shard", (F.floor((F.row_number().over(Window.orderBy("shard")) - 1) / per_cell) * wide).alias("cell"))  # a row per shard
+    numbered = F.broadcast(numbered) if shards <= BROADCAST_SHARDS else numbered
     held = index.join(numbered, "shard").select(F.explode(F.sequence("cell", F.col("cell") + F.lit(wide - 1))).alias("cell"), F.lit(None).cast("long").alias("query"), "terms", F.lit(None).cast("array<double>").alias("idf"), "blob")
     passing = ready.select(
         F.explode(F.sequence(F.pmod(F.xxhash64("query"), F.lit(wide)), F.lit(high * wide - 1).cast("long"), F.lit(wide).cast("long"))).alias("cell"),
