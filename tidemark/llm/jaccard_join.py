@@ -27,6 +27,8 @@ REMEMBERED = 200_000
 FLUSH_KEYS = 1 << 20
 #: Nodes up to which a cluster of candidates is compared block by block, and shingles of a block's nodes.
 CLUSTER_NODES, BLOCK_SHINGLES = 32_768, 1_000_000
+#: Blocks that a cluster is cut into where these aren't too small.
+BLOCKS = 4
 #: Candidate documents up to which their ids are broadcast to pick their texts; beyond it the texts are joined by shuffle.
 BROADCAST_IDS = 250_000
 
@@ -314,11 +316,15 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _dealt(placed: DataFrame, texts: DataFrame, block_shingles: int, *more: str) -> DataFrame:
     """The nodes (cluster, node, n and ``more``) with their texts for each pair of blocks of their cluster, sorted by these.
 
-    Blocks by size of set from a histogram of sizes; many sets of one size are dealt over blocks by hash.
+    Blocks by size of set from a histogram of sizes; many sets of one size are dealt over blocks by hash. A cluster of
+    a tenth of ``block_shingles`` and more is cut into several blocks, so that its pairs aren't one task's.
     """
     smaller = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy("cluster", "n").agg(F.sum("n").alias("_w")).withColumn("_low", F.floor(F.coalesce(F.sum("_w").over(smaller), F.lit(0)) / block_shingles))
-    own = F.col("_low") + F.pmod(F.xxhash64("node"), F.ceil(F.col("_w") / block_shingles))
+    sizes = placed.groupBy("cluster", "n").agg(F.sum("n").alias("_w"))
+    whole = F.sum("_w").over(Window.partitionBy("cluster"))
+    sizes = sizes.withColumn("_block", F.least(F.lit(float(block_shingles)), F.greatest(whole / BLOCKS, F.lit(block_shingles / 10))))
+    sizes = sizes.withColumn("_low", F.floor(F.coalesce(F.sum("_w").over(smaller), F.lit(0)) / F.col("_block")))
+    own = F.col("_low") + F.pmod(F.xxhash64("node"), F.ceil(F.col("_w") / F.col("_block")))
     placed = placed.join(sizes, ["cluster", "n"]).select("cluster", "node", "n", own.alias("block"), *more)
     last = placed.groupBy("cluster").agg(F.max("block").alias("last"))
     dealt = placed.join(last, "cluster").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
