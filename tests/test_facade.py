@@ -104,3 +104,23 @@ def test_declared_cues_are_early_in_and_late_out(spark):
     got = {r.pair: r for r in facade.declared_auto_transition(pairs_of(spark, (1, 2)), declared, clock, unsafe, weak, n_bars=4, budget=40).collect()}
     assert (got[1].b_bar, got[1].a_bar) == (3, 7)
     assert collections.Counter(r.declined for r in facade.declared_auto_transition(pairs_of(spark, (1, 2)), declared, clock, unsafe, weak, n_bars=4, budget=3).collect()) == {"SEARCH_LIMIT_REACHED": 1}
+
+
+def test_beat_overlaps_pair_all_shared_beats(spark):
+    sizes = {1: 60, 2: 50, 3: 40, 4: 40, 5: 60}
+    clock = spark.createDataFrame([(s, i, round((0.2 + (0.4 if s != 5 else 1.3) * i) * 1e6)) for s, n in sizes.items() for i in range(n)], "series long, idx long, us long")
+    flags = [(s, i, not (s == 4 and i in (20, 21)), i < 2 or i >= n - 3, False) for s, n in sizes.items() for i in range(n - 1)]
+    flags = spark.createDataFrame(flags, "series long, i long, active boolean, missing boolean, nonrecurring boolean")
+    safe = spark.createDataFrame([(s, s != 3) for s in sizes], "series long, safe boolean")
+    regions = regions_of(spark, (3, 0, 20), (3, 19, 40))
+    downbeats = spark.createDataFrame([(1, 200_000), (1, 1_850_000), (1, 2_300_000), (2, 1_400_000)], "series long, us long")
+    cues = {r.series: r.idx for r in facade.supported_cues(clock, downbeats, safe, regions, facade.prefix_index(flags)).collect()}
+    # 1's first downbeat lies where evidence is missing, its second is 50 ms from beat 4; 2's is on beat 3; the others have none.
+    assert cues == {1: 4, 2: 3, 3: 2, 4: 2, 5: 2}
+    pairs = spark.createDataFrame([(1, 1, 2, None, None), (2, 1, 3, None, None), (3, 1, 4, None, None), (4, 1, 5, None, None), (5, 1, 2, 56, 4), (6, 1, 2, 0, 4), (7, 2, 1, 40, 3)], "pair long, a long, b long, a_cue long, b_cue long")
+    got = {r.pair: r for r in facade.beat_overlap_plan(pairs, clock, safe, regions, flags, downbeats).collect()}
+    assert {k: r.declined for k, r in got.items()} == {1: None, 2: "UNSUPPORTED_SHARED_COVERAGE", 3: "UNSUPPORTED_SHARED_COVERAGE", 4: "CLOCK_REJECTED", 5: None, 6: "NO_SUPPORTED_CUE", 7: None}
+    # Beats 1 to 50 of the first meet 0 to 49 of the second; what isn't observed at either end goes.
+    assert tuple(got[1])[5:9] == (3, 48, 2, 47)
+    assert tuple(got[5])[3:9] == (56, 4, 54, 57, 2, 5) and tuple(got[7])[5:9] == (39, 47, 2, 10)
+    assert got[1].min_speed == pytest.approx(1) and not got[1].fitted

@@ -10,10 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evidence import prefix_index
 from .guards import guard_ranges, supported_lengths
 from .kernel_ops import ship
 from .planning import BAR_COUNTS, boundaries
 from .selection import declared_bars, declared_grid
+from .sequence import nearest
 from .transitions import MAX_FITS, MOST_PULSES, _fit, fit_candidates, plan, plan_pulses
 
 #: Fewest bars of an overlap.
@@ -172,3 +174,86 @@ def declared_auto_transition(pairs: DataFrame, declared: DataFrame, clock: DataF
     whole = pairs.join(seen, "pair", "left").join(accepted, "pair", "left")
     code = F.when(F.col("position").isNotNull(), F.lit(None).cast("string")).when(F.col("found") > budget, "SEARCH_LIMIT_REACHED").otherwise("NO_COMPATIBLE_SUPPORTED_RANGE")
     return whole.select("pair", "a", "b", "a_bar", "b_bar", "position", "fitted", "min_speed", "max_speed", "max_rate", "p95_s", "max_s", code.alias("declined"))
+
+
+def supported_cues(clock: DataFrame, downbeats: DataFrame, safe: DataFrame, regions: DataFrame, acoustic: DataFrame | None = None, within_us: int = 70_000) -> DataFrame:
+    """Where each series (series, idx) may be entered: its first downbeat with a beat in reach whose pulse is supported,
+    or else its first beat whose pulse is; null if none. A beat's pulse is that of its interval, the last beat's the last one."""
+    sizes = clock.groupBy("series").agg((F.max("idx") + 1).alias("_size"))
+    at = clock.join(sizes, "series").select("series", "idx", "us", F.least("idx", F.col("_size") - 2).alias("start")).withColumn("end", F.col("start") + 2)
+    fine = guard_ranges(at.select("series", "start", "end"), clock, safe, regions, acoustic).where("declined is null").select("series", "start", "end").distinct()
+    good = at.join(fine, ["series", "start", "end"], "left_semi")
+    met = nearest(downbeats.select("series", F.col("us").alias("_said")), clock.select("series", "us", F.col("idx").alias("near_idx")), "_said", "us", ["series"], ["near_idx"], within_us)
+    cued = met.where("near_idx is not null").join(good.select("series", F.col("idx").alias("near_idx")), ["series", "near_idx"], "left_semi").groupBy("series").agg(F.min_by("near_idx", "_said").alias("_cue"))
+    first = good.groupBy("series").agg(F.min("idx").alias("_first"))
+    return sizes.join(cued, "series", "left").join(first, "series", "left").select("series", F.coalesce("_cue", "_first").alias("idx"))
+
+
+SPAN = "pair long, a long, b long, a_cue long, b_cue long, a_start long, a_end long, b_start long, b_end long, fitted boolean, min_speed double, max_speed double, max_rate double, p95_s double, max_s double, declined string"
+
+
+def beat_overlap_plan(pairs: DataFrame, clock: DataFrame, safe: DataFrame, regions: DataFrame, flags: DataFrame, downbeats: DataFrame) -> DataFrame:
+    """Two clocks paired beat by beat through a cue of each, or the code that declines the pair.
+
+    pairs: pair, a, b, and optionally a_cue and b_cue, beats of theirs (null: ``supported_cues``). flags: series, i, active,
+    missing, nonrecurring, the acoustic evidence of every interval. All beats that both have are paired; their geometry must be
+    accepted throughout. Intervals at the ends without complete observation leave the matched span, which must keep
+    both cues, and needs supported pulse throughout: nothing inside is skipped.
+    """
+    ship(pairs.sparkSession)
+    acoustic = prefix_index(flags)
+    cues = supported_cues(clock, downbeats, safe, regions, acoustic)
+    sizes = clock.groupBy("series").agg((F.max("idx") + 1).alias("size"))
+    heard = flags.where("not missing").groupBy("series").agg(F.min("i").alias("low"), F.max("i").alias("high"))
+    found = pairs.select("pair", "a", "b", *[(F.col(f"{s}_cue") if f"{s}_cue" in pairs.columns else F.lit(None)).cast("long").alias(f"_{s}_cue") for s in "ab"])
+    for s in "ab":
+        own = cues.select(F.col("series").alias(s), F.col("idx").alias(f"_{s}_own")).join(sizes.select(F.col("series").alias(s), F.col("size").alias(f"_{s}_size")), s).join(heard.select(F.col("series").alias(s), F.col("low").alias(f"_{s}_low"), F.col("high").alias(f"_{s}_high")), s, "left")
+        found = found.join(own, s, "left").withColumn(f"{s}_cue", F.coalesce(f"_{s}_cue", f"_{s}_own"))
+    # A given cue counts only where its own interval is supported.
+    asked = found.select("pair", *[F.least(F.col(f"{s}_cue"), F.col(f"_{s}_size") - 2).alias(s) for s in "ab"], F.col("a").alias("_sa"), F.col("b").alias("_sb"))
+    entry = asked.select("pair", F.col("_sa").alias("series"), F.col("a").alias("start")).unionByName(asked.select("pair", F.col("_sb").alias("series"), F.col("b").alias("start"))).where("start is not null").withColumn("end", F.col("start") + 2)
+    bad = guard_ranges(entry, clock, safe, regions, acoustic).where("declined is not null").select("pair").distinct().withColumn("_no_cue", F.lit(True))
+    start = F.greatest(F.lit(0).cast("long"), F.col("a_cue") - F.col("b_cue"))
+    end = F.least(F.col("_a_size") - 1, F.col("a_cue") + F.col("_b_size") - 1 - F.col("b_cue"))
+    found = found.join(bad, "pair", "left").withColumn("a_from", start).withColumn("a_to", end)
+    found = found.withColumn("b_from", F.col("b_cue") + F.col("a_from") - F.col("a_cue")).withColumn("b_to", F.col("b_cue") + F.col("a_to") - F.col("a_cue"))
+    cut = lambda c: F.greatest(F.lit(0).cast("long"), c)
+    ahead = F.greatest(cut(F.col("_a_low") - F.col("a_from")), cut(F.col("_b_low") - F.col("b_from")))
+    behind = F.greatest(cut(F.col("a_to") - F.col("_a_high") - 1), cut(F.col("b_to") - F.col("_b_high") - 1))
+    found = found.withColumn("_ahead", ahead).withColumn("_behind", behind)
+    found = found.select("*", *[(F.col(f"{s}_from") + F.col("_ahead")).alias(f"{s}_start") for s in "ab"], *[(F.col(f"{s}_to") - F.col("_behind")).alias(f"{s}_end") for s in "ab"])
+
+    def refused(low: str, high: str, name: str, *index) -> DataFrame:
+        rows = None
+        for s in "ab":
+            part = found.select("pair", F.col(s).alias("series"), F.col(f"{s}_{low}").alias("start"), (F.col(f"{s}_{high}") + 1).alias("end")).where("start is not null and end - start >= 2")
+            rows = part if rows is None else rows.unionByName(part)
+        return guard_ranges(rows, clock, safe, regions, *index).where("declined is not null").select("pair").distinct().withColumn(name, F.lit(True))
+
+    coded = found.join(refused("from", "to", "_geometry"), "pair", "left").join(refused("start", "end", "_pulse", acoustic), "pair", "left")
+    inside = (F.col("a_end") > F.col("a_start")) & F.col("a_cue").between(F.col("a_start"), F.col("a_end"))
+    code = (
+        F.when(F.col("a_cue").isNull() | F.col("b_cue").isNull() | F.col("_no_cue").isNotNull(), "NO_SUPPORTED_CUE")
+        .when(F.col("a_to") <= F.col("a_from"), "INSUFFICIENT_SHARED_COVERAGE")
+        .when(F.col("_geometry").isNotNull() | F.col("_a_low").isNull() | F.col("_b_low").isNull(), "UNSUPPORTED_SHARED_COVERAGE")
+        .when(~inside, "INSUFFICIENT_SHARED_COVERAGE")
+        .when(F.col("_pulse").isNotNull(), "UNSUPPORTED_SHARED_COVERAGE")
+    )
+    coded = coded.withColumn("declined", code)
+    listed = clock.groupBy("series").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "us"))), lambda x: x["us"] / 1e6).alias("t"))
+    for s in "ab":
+        coded = coded.join(listed.select(F.col("series").alias(s), F.col("t").alias(f"_t{s}")), s, "left")
+    spans = coded.select("pair", "a", "b", "a_cue", "b_cue", *[f"{s}_{e}" for s in "ab" for e in ("start", "end")], "declined", *[F.when(F.col("declined").isNull(), F.slice(F.col(f"_t{s}"), (F.col(f"{s}_start") + 1).cast("int"), (F.col(f"{s}_end") - F.col(f"{s}_start") + 1).cast("int"))).alias(f"t{s}") for s in "ab"])
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                code, got = row.declined, (None,) * 6
+                if code is None:
+                    ok, fitted, rates, p95, most = _fit(np.asarray(row.ta, float), np.asarray(row.tb, float), None, ())
+                    code, got = (None, (fitted, *rates, p95, most)) if ok else ("CLOCK_REJECTED", got)
+                out.append((*[None if pd.isna(x) else x for x in row[1:10]], *got, code))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in SPAN.split(", ")], dtype=object)
+
+    return spans.mapInPandas(run, SPAN)
