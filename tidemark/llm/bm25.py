@@ -255,7 +255,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, terms: int | None
         F.explode(F.sequence(F.pmod(F.xxhash64("query"), F.lit(wide)), F.lit(high * wide - 1).cast("long"), F.lit(wide).cast("long"))).alias("cell"),
         "query", F.col("terms.term").alias("terms"), F.col("terms.idf").alias("idf"), F.lit(None).cast("binary").alias("blob"),
     )
-    cells = held.unionByName(passing if high else passing.limit(0)).repartition(max(1, high * wide), "cell").sortWithinPartitions("cell", F.col("query").asc_nulls_first())
+    cells = held.unionByName(passing if high else passing.limit(0)).repartitionById(max(1, high * wide), F.col("cell").cast("int")).sortWithinPartitions("cell", F.col("query").asc_nulls_first())
     found = cells.mapInArrow(_searcher(mean, k), "query long, doc_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
