@@ -161,7 +161,7 @@ def nearest(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     held = rows.select(F.explode(F.sequence(first, first + (wide - 1))).alias("cell"), F.lit(False).alias("asked"), "row", "id", "v")
     part = F.pmod(place, F.lit(wide)).cast("long")
     queries = rows.where(F.pmod("id", F.lit(every)) == 0).select(F.explode(F.sequence(part, F.lit(shards * wide - 1).cast("long"), F.lit(wide).cast("long"))).alias("cell"), F.lit(True).alias("asked"), "row", "id", "v")
-    cells = held.unionByName(queries).repartition(shards * wide, "cell").sortWithinPartitions("cell", "asked")
+    cells = held.unionByName(queries).repartitionById(shards * wide, F.col("cell").cast("int")).sortWithinPartitions("cell", "asked")
     found = cells.mapInArrow(_searcher(k, share), "qrow long, query_id long, vec_id long, score double")
     best = Window.partitionBy("qrow").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
