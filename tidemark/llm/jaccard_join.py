@@ -153,6 +153,8 @@ def _combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     key, node = key[new], node[new]
     (first,) = _runs_of(key).nonzero()
     hub = np.repeat(node[first], np.diff(np.append(first, len(key))))
+    order = np.argsort(node, kind="stable")  # a node's rows together compress far better
+    key, node, hub = key[order], node[order], hub[order]
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(hub, mask=hub == node)], ["key", "node", "hub"])
 
 
