@@ -40,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows get their numbers once, in a table that both sides read: a second numbering could differ, as it follows how
     files are dealt over partitions.
     """
-    rows = stage(_wrapped(docs, "text").withColumn("row", F.monotonically_increasing_id()))
-    groups = jaccard_join.components(rows.select("row", "text"), doc_id="row")
+    rows = stage(_wrapped(docs).withColumn("row", F.monotonically_increasing_id()))
+    groups = jaccard_join.components(rows.select("row", "doc.text"), doc_id="row")
     copies = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("row"))
     return _unwrapped(rows.join(copies, "row", "left_anti"), docs)
 
