@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evidence as E
 from ..operators import selection as X
 from ..operators.clock import measured_period
 from ..sources import tables as T
@@ -21,8 +20,10 @@ def reference_segments(spark, sf):
 
 @register("phase_ranges")
 def phase_ranges(spark, sf):
-    found = E.phases(T.clock(spark, sf), T.clock(spark, sf, "view"), 6 * 3600.0, 0.45)
-    return X.phase_ranges(found.withColumn("segment", F.lit(0)))
+    """Twenty events keep a phase, give or take a twentieth, before the next one; every fifty are a segment of the reference."""
+    i = F.col("idx")
+    held = (F.floor(i / 20) * 0.13 + (i * 7919 + F.col("series")) % 100 / 1000.0) % 1
+    return X.phase_ranges(T.clock(spark, sf).select("series", "idx", "us", held.alias("phase"), F.lit(0.08).alias("tolerance"), F.floor(i / 50).alias("segment")))
 
 
 _CANDIDATES = "cd AS (SELECT o_custkey AS series, 60.0::DOUBLE + o_orderkey % 100 AS bpm, (o_orderkey % 37) / 37.0::DOUBLE AS support, 60.0::DOUBLE + (o_orderkey + o_orderkey % 7) % 100 AS tracked_bpm, (50 + o_orderkey % 50) / 100.0::DOUBLE AS agreement, (o_orderkey % 11) / 11.0::DOUBLE AS consistency, (o_orderkey % 13) / 13.0::DOUBLE AS onset, (['DIRECT_ALIGNMENT', 'STABLE_OFFSET', 'REGIONAL_SUPPORT', 'INCOHERENT'])[1 + o_orderkey % 4] AS relation FROM orders)"
