@@ -272,6 +272,12 @@ def retained(events: DataFrame, kept: DataFrame, within_us: int) -> DataFrame:
     return range_join(events, spans, "us", "from_us", "to_us", ["series"], max(1, 4 * within_us), "left_semi")
 
 
+def same_clock(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Whether two clocks have the same times in the same order, series by series: evidence is bound to a clock by it."""
+    counted = a.select("series", "idx", "us").join(b.select("series", "idx", F.col("us").alias("_us")), ["series", "idx"], "full")
+    return counted.groupBy("series").agg(F.bool_and(F.col("us").eqNullSafe(F.col("_us"))).alias("same"))
+
+
 def clock_hash(clock: DataFrame) -> DataFrame:
     """A hash of a clock's times in order: evidence is bound to a clock by it."""
     times = F.transform(F.array_sort(F.collect_list(F.struct("idx", "us"))), lambda x: x["us"])

@@ -379,6 +379,26 @@ def relocations(clock: DataFrame, reference: DataFrame, candidates: DataFrame, s
     return met.where(good).select("series", "idx", "us", F.col("at_us").alias("moved_us"))
 
 
+def midpoint_relocations(clock: DataFrame, reference: DataFrame, candidates: DataFrame, strong: float = 0.65, lead: float = 0.08, support: float = 0.30) -> DataFrame:
+    """Weak beats of a lopsided pair of intervals, moved to an attack near their middle: series, idx, us, moved_us, strength.
+
+    candidates: series, idx, at_us, strength, support, the attack found near the middle of a beat's neighbours. The neighbours are
+    two reference periods apart; the attack lies within 0.15 periods of the middle, nearer to it than half of the beat's own
+    distance, and within 0.4 periods of the beat, and has ``support``. Neighbours are taken as they were before.
+    """
+    w = Window.partitionBy("series").orderBy("idx")
+    around = clock.withColumn("_l", F.lag("us").over(w)).withColumn("_r", F.lead("us").over(w)).withColumn("_m", (F.lag("strength").over(w) + F.lead("strength").over(w)) / 2)
+    before, after = F.col("us") - F.col("_l"), F.col("_r") - F.col("us")
+    weak = around.where((before > 0) & (after > 0)).where((F.greatest(before / after, after / before) > 1.48) & (F.col("strength") < strong) & (F.col("strength") + lead < F.col("_m"))).drop("strength")
+    periods = against_reference(clock, reference).select("series", "idx", F.col("ref_us").alias("_p")).where("_p is not null")
+    met = weak.join(periods, ["series", "idx"]).join(candidates.select("series", "idx", "at_us", F.col("strength").alias("_s"), "support"), ["series", "idx"])
+    middle = (F.col("_l") + F.col("_r")) / 2
+    off = F.abs(F.col("at_us") - middle)
+    whole = F.abs((F.col("_r") - F.col("_l")) / F.col("_p") - 2) <= 0.24
+    near = (off <= 0.15 * F.col("_p")) & (F.abs(F.col("at_us") - F.col("us")) <= 0.4 * F.col("_p")) & (off < 0.5 * F.abs(F.col("us") - middle))
+    return met.where(whole & near & (F.col("support") >= support)).select("series", "idx", "us", F.col("at_us").alias("moved_us"), F.least(F.lit(0.5), "_s").alias("strength"))
+
+
 def part_scores(parts: DataFrame) -> DataFrame:
     """Scores of a part as an exit and as an entry. parts: part, from_s, to_s, window_s, duration_s, entry, exit, quiet, build."""
     held = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))

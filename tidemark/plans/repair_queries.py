@@ -398,6 +398,29 @@ def weak_relocations(spark, sf):
     return R.relocations(clock, T.clock(spark, sf, "view"), middle, 65.0, 8.0)
 
 
+@register(
+    "midpoint_relocations",
+    "SELECT series, idx, us, v AS moved_us, round(least(0.5::DOUBLE, s), 6) AS strength FROM (SELECT c.*, ag.ref_us::DOUBLE AS p, (l + r) // 2 + (c.us * 7 + c.series) % 3600000000 - 1800000000 AS v, c.strength / 100.0::DOUBLE + 0.1 AS s FROM (SELECT *, lag(us) OVER w AS l, lead(us) OVER w AS r, (lag(strength) OVER w + lead(strength) OVER w) / 2 AS m FROM clock WINDOW w AS (PARTITION BY series ORDER BY idx)) c JOIN ag ON ag.series = c.series AND ag.idx = c.idx WHERE strength < 65 AND strength + 8 < m AND ag.ref_us IS NOT NULL) "
+    "WHERE greatest((us - l)::DOUBLE / (r - us), (r - us)::DOUBLE / (us - l)) > 1.48 AND abs((r - l) / p - 2) <= 0.24 AND abs(v - (l + r) / 2.0::DOUBLE) <= 0.15 * p AND abs(v - us) <= 0.4 * p AND abs(v - (l + r) / 2.0::DOUBLE) < 0.5 * abs(us - (l + r) / 2.0::DOUBLE) AND idx % 5 > 0",
+    *CQ.REFERENCE,
+)
+def midpoint_relocations(spark, sf):
+    """Attacks up to half an hour off the middle; every fifth has no support."""
+    clock = T.clock(spark, sf)
+    w = Window.partitionBy("series").orderBy("idx")
+    at = F.floor((F.lag("us").over(w) + F.lead("us").over(w)) / 2) + (F.col("us") * 7 + F.col("series")) % T.HOUR_US - T.HOUR_US // 2
+    near = clock.withColumn("at_us", at).where("at_us is not null").select("series", "idx", "at_us", (F.col("strength") / 100 + 0.1).alias("strength"), F.when(F.col("idx") % 5 > 0, 0.3).otherwise(0.29).alias("support"))
+    found = R.midpoint_relocations(clock, T.clock(spark, sf, "view"), near, 65.0, 8.0)
+    return found.withColumn("strength", F.round("strength", 6))
+
+
+@register("clock_identity", "SELECT series, series % 3 <> 0 OR max(idx) < 30 AS same FROM clock GROUP BY series", T.CLOCK_SQL)
+def clock_identity(spark, sf):
+    """Against a clock that differs by a microsecond in one beat of every third series."""
+    clock = T.clock(spark, sf)
+    return C.same_clock(clock, clock.withColumn("us", F.col("us") + F.when((F.col("series") % 3 == 0) & (F.col("idx") == 30), 1).otherwise(0)))
+
+
 _OWN = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, (t - f) / 16.0))"
 
 
