@@ -30,3 +30,8 @@ def test_asof_needs_one_exchange(spark, sf):
 
 def test_ranked_pairs_keep_a_budget_per_side(spark, sf):
     assert "WindowGroupLimit" in plan(catalog.queries()["ranked_pairs"](spark, sf))
+
+
+def test_no_row_is_repeated_for_each_shift(spark, sf):
+    text = plan(catalog.queries()["circular_xcorr"](spark, sf))
+    assert "Generate explode(" not in text and "MapInArrow" in text

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark import api
 from tidemark.kernels import beats, dsp
-from tidemark.operators import planning, repair
+from tidemark.operators import evidence, planning, repair
 
 SONG = "struct<key:string,key_confidence:double,bpm:double,centroid_hz:double,rms_db:double>"
 BASE = {"key": "C major", "key_confidence": 0.2, "bpm": 120.0, "centroid_hz": 2000.0, "rms_db": -10.0}
@@ -221,3 +221,10 @@ def test_refinement_weighs_by_the_whole_reach():
     (got,) = beats.refine(x, rate, np.array([40]), hop, window)
     # 0.52 * exp(-0.5 * 0.8^2) = 0.38 beats 0.30; with half the reach it would be 0.14.
     assert got == 1424 / rate
+
+
+def test_circular_correlation_of_profiles_with_gaps(spark):
+    rows = [("a", 0, 0, 0, 2.0), ("a", 0, 1, 31, 3.0), ("a", 1, 0, 5, 4.0), ("a", 1, 1, 30, None), ("a", 3, 0, 0, 1.0), ("b", 2, 0, 0, 1.0)]
+    found = evidence.circular_correlation(spark.createDataFrame(rows, "series string, i long, band int, bin int, v double"))
+    assert found.dtypes == [("series", "string"), ("i", "bigint"), ("shift", "int"), ("r", "double")]
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 1, None), ("a", 0, 27, 8.0)]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .clock import measured_period
 from .kernel_ops import ship
@@ -80,11 +83,44 @@ def profiles(frames: DataFrame) -> DataFrame:
     return shaped.select("series", "i", "band", (F.col("bin") % BINS).alias("bin"), F.when(F.col("contrast") >= MIN_CONTRAST, F.col("v") / F.col("_n")).otherwise(0.0).alias("v"), "contrast")
 
 
+def _dense(n: int, size: int, place: pa.ListArray, value: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of places and values as rows of ``size``: values added up, which places are there, and which have a value."""
+    at = np.repeat(np.arange(n), place.value_lengths().to_numpy()) * size + place.flatten().to_numpy()
+    flat = value.flatten()
+    known = flat.is_valid().to_numpy(zero_copy_only=False)
+    v = flat.to_numpy(zero_copy_only=False)[known]
+    return tuple(x.reshape(n, -1, BINS) for x in (np.bincount(at[known], v, n * size), np.bincount(at, minlength=n * size) > 0, np.bincount(at[known], minlength=n * size) > 0))
+
+
+def _correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for k in range(0, whole.num_rows, 1024):
+            part = whole.slice(k, 1024)
+            n = part.num_rows
+            size = (1 + max(int(part.column(c).flatten().to_numpy().max(initial=0)) for c in ("_pa", "_pb")) // BINS) * BINS
+            a, a_there, a_known = _dense(n, size, part.column("_pa"), part.column("_va"))
+            b, b_there, b_known = _dense(n, size, part.column("_pb"), part.column("_vb"))
+            r, met, sure = np.zeros((n, BINS)), np.zeros((n, BINS), bool), np.zeros((n, BINS), bool)
+            for shift in range(BINS):
+                both = a_known & np.roll(b_known, shift, 2)
+                r[:, shift] = np.where(both, a * np.roll(b, shift, 2), 0.0).sum((1, 2))
+                met[:, shift], sure[:, shift] = (a_there & np.roll(b_there, shift, 2)).any((1, 2)), both.any((1, 2))
+            row, shift = met.nonzero()
+            out = [part.column(c).take(pa.array(row)) for c in ("series", "i")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(shift.astype(np.int32)), pa.array(r[row, shift], mask=~sure[row, shift])], ["series", "i", "shift", "r"])
+
+
 def circular_correlation(found: DataFrame, apart: int = 1) -> DataFrame:
-    """Correlation of each profile with the one ``apart`` later, at every shift of the bins."""
-    shifts = found.withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))))
-    later = shifts.select("series", (F.col("i") - apart).alias("i"), "band", F.pmod(F.col("bin") + F.col("shift"), F.lit(BINS)).alias("bin"), "shift", F.col("v").alias("w"))
-    return found.join(later, ["series", "i", "band", "bin"]).groupBy("series", "i", "shift").agg(F.sum(F.col("v") * F.col("w")).alias("r"))
+    """Correlation of each profile with the one ``apart`` later, at every shift of the bins.
+
+    Two profiles meet as two arrays and are shifted in a batched function: no row is repeated for each shift.
+    """
+    ship(found.sparkSession)
+    place = (F.col("band") * BINS + F.col("bin")).cast("long").alias("p")
+    each = found.groupBy("series", "i").agg(F.collect_list(F.struct(place, F.col("v").cast("double").alias("v"))).alias("_l"))
+    side = lambda name: [F.col("_l.p").alias(f"_p{name}"), F.col("_l.v").alias(f"_v{name}")]
+    met = each.select("series", "i", *side("a")).join(each.select("series", (F.col("i") - apart).alias("i"), *side("b")), ["series", "i"])
+    return met.mapInArrow(_correlate, T.StructType([*met.select("series", "i").schema, T.StructField("shift", T.IntegerType()), T.StructField("r", T.DoubleType())]))
 
 
 def shift_table() -> np.ndarray:
