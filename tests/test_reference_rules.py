@@ -228,3 +228,16 @@ def test_circular_correlation_of_profiles_with_gaps(spark):
     found = evidence.circular_correlation(spark.createDataFrame(rows, "series string, i long, band int, bin int, v double"))
     assert found.dtypes == [("series", "string"), ("i", "bigint"), ("shift", "int"), ("r", "double")]
     assert sorted(map(tuple, found.collect())) == [("a", 0, 1, None), ("a", 0, 27, 8.0)]
+
+
+def shared(spark):
+    clock = spark.createDataFrame([(s, i, us) for s in (1, 2) for i, us in enumerate((-5, 8, 20, 31, 40 + 9 * s))], "series long, idx long, us long")
+    every = spark.createDataFrame([(0, 1.0), (1, 7.0), (2, 9.0), (3, 2.0), (4, 8.0)], "k long, x double")
+    return clock, every, every.crossJoin(spark.createDataFrame([(1,), (2,)], "series long"))
+
+
+def test_observations_with_activations_of_all_clocks(spark):
+    clock, every, each = shared(spark)
+    got = sorted(map(tuple, repair.observations(clock, every, 10, 3).collect()))
+    assert got == sorted(map(tuple, repair.observations(clock, each, 10, 3).collect()))
+    assert got[:5] == [(1, 0, -1000.0, False), (1, 1, 7.0, True), (1, 2, 9.0, True), (1, 3, 2.0, True), (1, 4, -1000.0, False)]

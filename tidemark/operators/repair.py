@@ -342,16 +342,19 @@ def bars_with_support(bars: DataFrame, assessed: DataFrame) -> DataFrame:
 
 def observations(clock: DataFrame, activations: DataFrame, hop_us: int, most_us: int) -> DataFrame:
     """Largest activation (series, k, x) near each beat, at most a quarter of the way to its neighbours, and whether all
-    of that window lies inside the series' activations."""
+    of that window lies inside the series' activations. Activations without a column series are those of every clock, and aren't repeated for each."""
+    keys = ["series"] if "series" in activations.columns else []
     w = Window.partitionBy("series").orderBy("idx")
     gap = F.least(F.coalesce(F.col("us") - F.lag("us").over(w), F.lit(1 << 62)), F.coalesce(F.lead("us").over(w) - F.col("us"), F.lit(1 << 62)))
     reach = clock.withColumn("_r", F.least(F.lit(most_us), F.floor(gap / 4))).select("series", "idx", (F.col("us") - F.col("_r")).alias("_from"), (F.col("us") + F.col("_r")).alias("_to"))
-    at = activations.select("series", (F.col("k") * hop_us).alias("_us"), "x")
-    met = range_join(at, reach, "_us", "_from", "_to", ["series"], max(1, 4 * most_us))
+    at = activations.select(*keys, (F.col("k") * hop_us).alias("_us"), "x")
+    met = range_join(at, reach, "_us", "_from", "_to", keys, max(1, 4 * most_us))
     found = met.groupBy("series", "idx").agg(F.max("x").alias("x"))
-    ends = activations.groupBy("series").agg((F.min("k") * hop_us).alias("_first"), (F.max("k") * hop_us).alias("_last"))
+    first, last = (F.min("k") * hop_us).alias("_first"), (F.max("k") * hop_us).alias("_last")
     whole = F.coalesce((F.col("_from") >= F.col("_first")) & (F.col("_to") <= F.col("_last")), F.lit(False))
-    return reach.join(found, ["series", "idx"], "left").join(ends, "series", "left").select("series", "idx", F.coalesce("x", F.lit(-1000.0)).alias("logit"), whole.alias("complete"))
+    rows = reach.join(found, ["series", "idx"], "left")
+    rows = rows.join(activations.groupBy("series").agg(first, last), "series", "left") if keys else rows.withColumn("_first", activations.agg(first).scalar()).withColumn("_last", activations.agg(last).scalar())
+    return rows.select("series", "idx", F.coalesce("x", F.lit(-1000.0)).alias("logit"), whole.alias("complete"))
 
 
 def phase_cost(a: Column, b: Column) -> Column:
