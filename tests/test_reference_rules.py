@@ -236,6 +236,13 @@ def shared(spark):
     return clock, every, every.crossJoin(spark.createDataFrame([(1,), (2,)], "series long"))
 
 
+def test_agreement_with_an_envelope_of_all_clocks(spark):
+    clock, every, each = shared(spark)
+    got = sorted(map(tuple, repair.onset_agreement(clock, every, 10, 2, 7.0).collect()))
+    assert got == [(1, 0.6, 2 / 3), (2, 0.6, 2 / 3)] == sorted(map(tuple, repair.onset_agreement(clock, each, 10, 2, 7.0).collect()))
+    assert {r.coverage for r in repair.onset_agreement(clock, every.limit(0), 10, 2, 7.0).collect()} == {0.0}
+
+
 def test_observations_with_activations_of_all_clocks(spark):
     clock, every, each = shared(spark)
     got = sorted(map(tuple, repair.observations(clock, every, 10, 3).collect()))

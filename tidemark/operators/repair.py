@@ -64,13 +64,17 @@ def before_end(events: DataFrame, duration_us: int) -> DataFrame:
 def onset_agreement(clock: DataFrame, envelope: DataFrame, hop_us: int, reach_us: int, least: float) -> DataFrame:
     """Share of the beats inside the envelope with a value of at least ``least`` in reach, and the share inside.
 
-    With less than 55 % of the beats inside, nothing is said of the rest: the agreement is 0.
+    With less than 55 % of the beats inside, nothing is said of the rest: the agreement is 0. An envelope without a column
+    series is that of every clock, and isn't repeated for each.
     """
-    ends = envelope.groupBy("series").agg(F.max("k").alias("_last"))
-    joined = clock.join(ends, "series", "left")
+    keys = ["series"] if "series" in envelope.columns else []
+    if keys:
+        joined = clock.join(envelope.groupBy("series").agg(F.max("k").alias("_last")), "series", "left")
+    else:
+        joined = clock.withColumn("_last", envelope.agg(F.max("k").alias("_last")).scalar())
     covered = joined.withColumn("covered", F.coalesce((F.col("us") >= 0) & (F.col("us") <= F.col("_last") * hop_us), F.lit(False)))
-    high = envelope.where(F.col("x") >= least).select("series", (F.col("k") * hop_us - reach_us).alias("_from"), (F.col("k") * hop_us + reach_us).alias("_to"))
-    met = range_join(covered.where("covered").select("series", "idx", "us"), high, "us", "_from", "_to", ["series"], max(1, 4 * reach_us), "left_semi").groupBy("series").agg(F.count(F.lit(1)).alias("hits"))
+    high = envelope.where(F.col("x") >= least).select(*keys, (F.col("k") * hop_us - reach_us).alias("_from"), (F.col("k") * hop_us + reach_us).alias("_to"))
+    met = range_join(covered.where("covered").select("series", "idx", "us"), high, "us", "_from", "_to", keys, max(1, 4 * reach_us), "left_semi").groupBy("series").agg(F.count(F.lit(1)).alias("hits"))
     sums = covered.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.count_if("covered").alias("inside"))
     return sums.join(met, "series", "left").select("series", (F.col("inside") / F.col("n")).alias("coverage"), F.when(F.col("inside") / F.col("n") >= 0.55, F.coalesce("hits", F.lit(0)) / F.col("inside")).otherwise(0.0).alias("agreement"))
 
