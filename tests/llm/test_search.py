@@ -103,6 +103,21 @@ def test_bm25_of_many_terms_is_exact(documents, monkeypatch, window):
         assert got.tolist() == want and np.array_equal(s, best)
 
 
+def test_bm25_product_of_frequent_terms_is_exact_and_reads_less(documents):
+    (row,) = bm25._index(iter(documents.select("doc_id", "text").toArrow().to_batches(max_chunksize=1 << 20)))
+    shard = bm25.Shard(row.column("terms")[0].values.to_numpy(), row.column("blob")[0].as_py(), 300.0)
+    df, rng, n = np.diff(shard.start), np.random.default_rng(5), len(shard.ids)
+    queries = [(t := np.sort(rng.choice(len(df), 300, replace=False, p=df / df.sum())), np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))) for _ in range(20)]
+    plain = [shard.best(t, w, 10) for t, w in queries]
+    read, shard.read = shard.read, 0
+    for (t, w), sums, (doc, score) in zip(queries, shard.products(queries), plain, strict=True):
+        for floor in (0.0, score[4], score[-1]):
+            got, own = shard.best(t, w, 10, sums, floor)
+            assert got[:5].tolist() == doc[:5].tolist() and own[:5].tolist() == score[:5].tolist()
+        assert not len(shard.best(t, w, 10, sums, 2 * score[0] + w.sum() * 3)[0])
+    assert shard.read < 3 * read
+
+
 def test_bm25_of_salient_terms(spark, documents, texts):
     asked = [(i, t) for i, t in texts if i % 10 == 0]
     got = found(bm25.search(bm25.build(documents), spark.createDataFrame(asked, "query_id long, text string"), k=10, terms=8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,9 @@ BROADCAST_SHARDS = 500_000
 WINDOW, FIRST = 4096, 65_536
 #: Postings that can be read in the time in which a cursor seeks a document, and seeks of a query at a time.
 SEEK, MOST_SEEKS = 12, 1 << 20
+#: Share of a shard's documents from which a term counts as frequent, frequent terms at most, queries from which their product pays,
+#: and sums of a product at a time. A product is in single precision: what it is off by is at most SLACK of a sum, for so many terms.
+FREQUENT, MOST_FREQUENT, FEWEST, PRODUCT, SLACK = 0.04, 1024, 8, 1 << 20, 1e-4
 
 
 def _index(batches: Iterator[pa.RecordBatch], shard_bytes: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
@@ -92,7 +95,7 @@ class Shard:
         self.order = np.argsort(terms)  # terms are sorted as unsigned, asked for as signed numbers
         self.terms = terms[self.order]
         self.ids, self.no_id, start = p["i"], p["o"], p["s"]
-        self.bits = max(1, int(len(self.ids)).bit_length())
+        self.start = start
         tf, doc = p["f"].astype(np.float64), p["d"].astype(np.int64)
         self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * p["n"][doc] / mean)) if len(tf) else tf
         window = doc // WINDOW
@@ -104,9 +107,49 @@ class Shard:
         self.block_window = window[at]
         self.block_top = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
         self.windows = -(-len(self.ids) // WINDOW)
-        self.key = (np.repeat(np.arange(len(terms)), np.diff(start)) << self.bits) | doc
+        self.doc, self.doc_key = doc, p["d"]
+        self.bits = max(1, int(len(self.ids)).bit_length())
         self.read = 0
 
+    @property
+    def key(self) -> np.ndarray:
+        """Each posting's term and document as one number, by which postings are ordered."""
+        return (np.repeat(np.arange(len(self.terms)), np.diff(self.start)) << self.bits) | self.doc
+
+    @cached_property
+    def frequent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The terms in many documents, each term's row among them or -1, and their impacts as a matrix of terms and documents."""
+        df = np.diff(self.start)
+        terms = (df >= max(1, FREQUENT * len(self.ids))).nonzero()[0]
+        terms = terms[np.argsort(-df[terms], kind="stable")[:MOST_FREQUENT]]
+        row = np.full(len(df), -1, np.int32)
+        row[terms] = np.arange(len(terms))
+        matrix = np.zeros((len(terms), len(self.ids)), np.float32)
+        for i, (a, b) in enumerate(zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True)):
+            matrix[i, self.doc[a:b]] = self.impact[a:b]
+        return terms, row, matrix
+
+    @cached_property
+    def top(self) -> np.ndarray:
+        """Each term's largest impact."""
+        return np.maximum.reduceat(self.block_top, self.block_of[:-1]) if len(self.block_top) else np.zeros(0)
+
+    @cached_property
+    def forward(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where documents begin; by document its terms and their impacts; and a place for each term's number in a query, -1 outside of it."""
+        order = np.argsort(self.doc_key, kind="stable")
+        begin = np.append(0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids))))
+        return begin, np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.start))[order], self.impact[order], np.full(len(self.terms), -1)
+
+    def products(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Per query (terms, idf) and document the sums over the frequent terms, as one product of matrices."""
+        _, row, matrix = self.frequent
+        asked = np.zeros((len(queries), len(matrix)), np.float32)
+        for i, (terms, idf) in enumerate(queries):
+            at = row[terms]
+            asked[i, at[at >= 0]] = idf[at >= 0]
+        return asked @ matrix
+
     def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the terms this shard has, and their positions in it."""
         at = np.searchsorted(self.terms, terms)
@@ -119,20 +162,36 @@ class Shard:
         n = self.block_at[blocks + 1] - self.block_at[blocks]
         at = spread(self.block_at[blocks], n)
         self.read += len(at)
-        doc, part = self.key[at] & ((1 << self.bits) - 1), self.impact[at] * np.repeat(weight, n)
+        doc, part = self.doc[at], self.impact[at] * np.repeat(weight, n)
         if only is not None:
             doc, part = doc[only[doc]], part[only[doc]]
         return np.bincount(doc, part, len(self.ids))
 
+    def _whole(self, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
+        """Per document the weighed impacts of all postings of some terms."""
+        ends = list(zip(self.start[terms].tolist(), self.start[terms + 1].tolist(), strict=True))
+        if not ends:
+            return np.zeros(len(self.ids))
+        part = np.concatenate([self.impact[a:b] for a, b in ends])
+        part *= np.repeat(idf, [b - a for a, b in ends])
+        self.read += len(part)
+        return np.bincount(np.concatenate([self.doc[a:b] for a, b in ends]), part, len(self.ids))
+
     def _scores(self, docs: np.ndarray, terms: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        """Scores of some documents, added up in the terms' order: cursors seek these documents in the terms' postings."""
-        asked = ((terms[:, None] << self.bits) | docs).ravel()
-        at = np.minimum(np.searchsorted(self.key, asked), len(self.key) - 1)
-        self.read += len(asked)
-        part = np.where(self.key[at] == asked, np.repeat(idf, len(docs)) * self.impact[at], 0.0)
-        return np.bincount(np.tile(np.arange(len(docs)), len(terms)), part, len(docs))
-
-    def best(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of some documents, added up in the terms' order: these documents' own postings are looked through."""
+        begin, term, impact, number = self.forward
+        n = begin[docs + 1] - begin[docs]
+        at = spread(begin[docs], n)
+        self.read += len(docs) * len(terms)
+        number[terms] = np.arange(len(terms))
+        asked = number[term[at]]
+        number[terms] = -1
+        (met,) = (asked >= 0).nonzero()
+        asked, part = asked[met], np.zeros((len(docs), len(terms)))
+        part[np.repeat(np.arange(len(docs)), n)[met], asked] = idf[asked] * impact[at[met]]
+        return np.bincount(np.repeat(np.arange(len(docs)), len(terms)), part.ravel(), len(docs))
+
+    def best(self, terms: np.ndarray, idf: np.ndarray, k: int, begun: np.ndarray | None = None, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Positions and scores of the ``k`` best documents for terms (positions in this shard), ties to smaller ids.
 
         Block-max WAND for many documents at a time. The floor is the k-th largest sum of what has been read. As long
@@ -141,8 +200,22 @@ class Shard:
         holds and whose sum and unread maxima reach the floor; as they grow fewer, their windows' other blocks are
         read, or, where that is less, cursors seek the documents themselves. All other blocks are skipped. The
         scores of the documents left are added up in the terms' order, whatever was skipped.
+
+        ``begun`` has the sums over the frequent terms (``products``), so that only blocks of the others are unread; ``floor`` is a
+        score that documents of other shards reach ``k`` times. Where it is beyond all that is left, nothing is read.
         """
         docs = len(self.ids)
+        all_terms, all_idf, slack = terms, idf, 1e-9
+        sums, floor = np.zeros(docs), floor * (1 - SLACK)
+        if begun is not None:
+            other = self.frequent[1][terms] < 0
+            terms, idf, slack, sums = terms[other], idf[other], SLACK, begun
+            if begun.max(initial=0) * (1 + slack) + (idf * self.top[terms]).sum() * (1 + slack) < floor:
+                return np.zeros(0, np.int64), np.zeros(0)
+            if (self.start[terms + 1] - self.start[terms]).sum() <= FIRST:  # what the first step would read
+                sums, terms, idf = sums + self._whole(terms, idf), terms[:0], idf[:0]
+                if docs > k and not (floor > 0 and np.count_nonzero(sums * (1 + slack) >= floor) <= 4 * k):
+                    floor = max(floor, np.partition(sums, docs - k)[docs - k] * (1 - slack))
         n = self.block_of[terms + 1] - self.block_of[terms]
         block, weight = spread(self.block_of[terms], n), np.repeat(idf, n)
         top = weight * self.block_top[block]
@@ -150,7 +223,7 @@ class Shard:
         block, weight, top = block[order], weight[order], top[order] * (1 + 1e-9)
         window, size = self.block_window[block], self.block_at[block + 1] - self.block_at[block]
         unread, left = np.ones(len(block), bool), np.bincount(window, top, self.windows)
-        sums, floor, step = np.zeros(docs), 0.0, FIRST
+        step = FIRST
 
         def advance(due: np.ndarray) -> None:
             nonlocal sums, floor, left, step
@@ -159,26 +232,29 @@ class Shard:
             unread[taken] = False
             left = np.bincount(window[unread], top[unread], self.windows)
             if docs > k:
-                floor = np.partition(sums, docs - k)[docs - k] * (1 - 1e-9)
+                floor = max(floor, np.partition(sums, docs - k)[docs - k] * (1 - slack))
             step *= 2
 
         while len(due := (unread & (left >= floor)[window]).nonzero()[0]):
             advance(due)
         while True:
-            (found,) = ((sums > 0) & (sums * (1 + 1e-9) + np.repeat(left, WINDOW)[:docs] >= floor)).nonzero()
+            bound = sums * (1 + slack)
+            (found,) = ((sums > 0) & ((bound + np.repeat(left, WINDOW)[:docs] if len(block) else bound) >= floor)).nonzero()
+            if not len(block):
+                break
             asked = np.zeros(self.windows, bool)
             asked[found // WINDOW] = True
             (due,) = (unread & asked[window]).nonzero()
             if len(found) * len(terms) <= size[due].sum() // SEEK or not len(due):
                 break
             advance(due)
-        if len(found) * len(terms) <= MOST_SEEKS:
-            score = self._scores(found, terms, idf)
+        if len(found) * len(all_terms) <= MOST_SEEKS and (self.forward[0][found + 1] - self.forward[0][found]).sum() <= MOST_SEEKS:
+            score = self._scores(found, all_terms, all_idf)
         else:
             inside = np.zeros(docs, bool)
             inside[found] = True
-            whole = spread(self.block_of[terms], n)
-            score = self._sums(whole, np.repeat(idf, n), inside)[found]
+            n = self.block_of[all_terms + 1] - self.block_of[all_terms]
+            score = self._sums(spread(self.block_of[all_terms], n), np.repeat(all_idf, n), inside)[found]
         best = np.lexsort((self.ids[found], self.no_id[found], -score))[:k]
         return found[best], score[best]
 
@@ -190,25 +266,38 @@ def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_byt
     return stage(rows.mapInArrow(partial(_index, shard_bytes=shard_bytes), "shard string, n_docs long, n_words long, terms array<long>, dfs array<long>, blob binary"))
 
 
+def _meet(held: list[Shard], queries: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What the held shards have for queries (query, terms, idf): query, doc_id, no id, score. A shard's scores raise the next one's floor."""
+    scores = [np.zeros(0)] * len(queries)
+    for shard in held:
+        met = [(i, at, idf[known]) for i, (_, terms, idf) in enumerate(queries) for known, at in [shard.known(terms)] if len(at)]
+        together = max(1, PRODUCT // max(1, len(shard.ids)))
+        for first in range(0, len(met), together):
+            some = met[first : first + together]
+            begun = shard.products([x[1:] for x in some]) if len(met) >= FEWEST else [None] * len(some)
+            for (i, at, idf), sums in zip(some, begun, strict=True):
+                floor = float(scores[i].min()) if len(scores[i]) == k else 0.0
+                found, score = shard.best(at, idf, k, sums, floor)
+                scores[i] = np.sort(np.append(scores[i], score))[-k:]
+                yield np.full(len(found), queries[i][0]), shard.ids[found], shard.no_id[found] > 0, score
+
+
 def _searcher(mean: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell: its shards, which are held, then its queries, which pass by."""
         cell, held = None, []
         for batch in batches:
-            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))]
+            out, due = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0))], []
             terms, idf = batch.column("terms"), batch.column("idf")
             for i, (own, query) in enumerate(zip(batch.column("cell").to_pylist(), batch.column("query").to_pylist(), strict=True)):
                 if own != cell:
+                    out, due = [*out, *_meet(held, due, k)], []
                     cell, held = own, []
                 if query is None:
                     held.append(Shard(terms[i].values.to_numpy(), batch.column("blob")[i].as_py(), mean))
-                    continue
-                asked, weight = terms[i].values.to_numpy(), idf[i].values.to_numpy()
-                for shard in held:
-                    known, at = shard.known(asked)
-                    if len(at):
-                        found, score = shard.best(at, weight[known], k)
-                        out.append((np.full(len(found), query), shard.ids[found], shard.no_id[found] > 0, score))
+                else:
+                    due.append((query, terms[i].values.to_numpy(), idf[i].values.to_numpy()))
+            out += _meet(held, due, k)
             query, doc, none, score = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(doc, mask=none), pa.array(score)], ["query", "doc_id", "score"])
 
