@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark import api
@@ -248,3 +249,15 @@ def test_observations_with_activations_of_all_clocks(spark):
     got = sorted(map(tuple, repair.observations(clock, every, 10, 3).collect()))
     assert got == sorted(map(tuple, repair.observations(clock, each, 10, 3).collect()))
     assert got[:5] == [(1, 0, -1000.0, False), (1, 1, 7.0, True), (1, 2, 9.0, True), (1, 3, 2.0, True), (1, 4, -1000.0, False)]
+
+
+def test_best_pairs_are_those_of_all_pairs(spark):
+    rng, up = np.random.default_rng(3), float(np.nextafter(1.0, 2.0))
+    values = [None, math.nan, math.inf, 0.1, 0.2, 0.3, 0.3, up, 1.0, 1.0, 1e16]
+    rows = [(str(n), s, values[v]) for n in range(12) for s, v in enumerate(rng.integers(0 if n < 4 else 3, len(values), 2 * n + 2))]
+    rows = spark.createDataFrame(rows, "signature string, series long, score double")
+    out, into = rows.where("series % 2 = 0"), rows.where("series % 2 = 1")
+    every = out.select("signature", F.col("series").alias("o"), F.col("score").alias("a")).join(into.select("signature", F.col("series").alias("i"), F.col("score").alias("b")), "signature")
+    order = Window.partitionBy("signature").orderBy(F.desc(F.col("a") + F.col("b")), "i", F.desc("o"))
+    want = every.withColumn("p", F.row_number().over(order)).where("p <= 3").select("signature", "o", "i", "p").collect()
+    assert sorted(map(tuple, planning.best_pairs(out, into, 3).collect())) == sorted(map(tuple, want))

@@ -65,6 +65,30 @@ def ranked_pairs(outgoing: DataFrame, incoming: DataFrame, budget: int) -> DataF
     return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget)
 
 
+def best_pairs(outgoing: DataFrame, incoming: DataFrame, k: int) -> DataFrame:
+    """Per signature the ``k`` pairs of series with the largest summed scores: signature, out_series, in_series, position.
+
+    Ties go to the smaller in_series, then to the larger out_series. outgoing, incoming: signature, series, score, a row per
+    series. A pair's sum is no larger than with one of its side's k largest scores, and smaller where the score is lower by more
+    than sums are rounded; so a side keeps those and what comes as near, of equal scores the first k in the order of ties, and
+    the first k of all, among which sums that are null, infinite or no number tie.
+    """
+
+    def side(rows: DataFrame, name: str, tie: Column) -> DataFrame:
+        first = lambda by: rows.withColumn("_r", F.row_number().over(Window.partitionBy("signature").orderBy(by))).where(F.col("_r") <= k)
+        least = first(F.desc_nulls_last("score")).groupBy("signature").agg(F.min("score").alias("_least"))
+        near = rows.join(least, "signature").join(slack, "signature", "left").where("score is null or _least is null or score >= _least - coalesce(_slack, 0.0D)")
+        equal = Window.partitionBy("signature", "score").orderBy(tie)
+        kept = near.withColumn("_r", F.row_number().over(equal)).where(F.col("_r") <= k).select("signature", "series", "score")
+        return kept.unionByName(first(tie).select("signature", "series", "score")).distinct().select("signature", F.col("series").alias(f"{name}_series"), F.col("score").alias(f"_{name}"))
+
+    finite = lambda rows: rows.select("signature", F.abs("score").alias("_s")).where("_s < double('Infinity')").groupBy("signature").agg(F.max("_s").alias("_s"))
+    slack = finite(outgoing).unionByName(finite(incoming)).groupBy("signature").agg((F.sum("_s") * 2.0**-50).alias("_slack"))
+    both = side(outgoing, "out", F.desc("series")).join(side(incoming, "in", F.asc("series")), "signature")
+    order = Window.partitionBy("signature").orderBy(F.desc(F.col("_out") + F.col("_in")), "in_series", F.desc("out_series"))
+    return both.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k).select("signature", "out_series", "in_series", "position")
+
+
 def fair_budgets(demands: DataFrame, maximum: int) -> DataFrame:
     """Max-min fair whole budgets of each series' demands (series, i, demand) under ``maximum``.
 
