@@ -35,3 +35,18 @@ def test_ranked_pairs_keep_a_budget_per_side(spark, sf):
 def test_no_row_is_repeated_for_each_shift(spark, sf):
     text = plan(catalog.queries()["circular_xcorr"](spark, sf))
     assert "Generate explode(" not in text and "MapInArrow" in text
+
+
+def test_bars_are_planned_once(spark, sf):
+    """What gives the asked bars is one subtree of the plan: 23 scans, not 391, which filled the driver's heap."""
+    assert plan(catalog.queries()["required_bars"](spark, sf)).count("FileScan") <= 40
+
+
+def test_exploded_bars_are_not_broadcast(spark, sf):
+    """Bars exploded from a row per series count as its size: they would be sent to the driver, whatever their number."""
+    lines = plan(catalog.queries()["required_bars"](spark, sf)).splitlines()
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = lines[k + 1 :]
+            ends = [i for i, x in enumerate(below) if any(w in x for w in ("Exchange", "Join", "Aggregate", "Window", "Scan"))]
+            assert not any("explode(sequence(0," in x for x in below[: ends[0]])

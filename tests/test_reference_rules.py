@@ -261,3 +261,28 @@ def test_best_pairs_are_those_of_all_pairs(spark):
     order = Window.partitionBy("signature").orderBy(F.desc(F.col("a") + F.col("b")), "i", F.desc("o"))
     want = every.withColumn("p", F.row_number().over(order)).where("p <= 3").select("signature", "o", "i", "p").collect()
     assert sorted(map(tuple, planning.best_pairs(out, into, 3).collect())) == sorted(map(tuple, want))
+
+
+def test_required_bars(spark):
+    rows = lambda data, schema: spark.createDataFrame(data, schema)
+    clock = rows([(s, i, i * 500_000, 1.0) for s in (1, 2) for i in range(41)], "series long, idx long, us long, strength double")
+    safe = rows([(1, False), (2, True)], "series long, safe boolean")
+    # Of two regions that overlap, the one that begins later ends first.
+    regions = rows([(1, 0, 21), (1, 2, 13), (1, 24, 33)], "series long, from long, to long")
+    quiet = {1: (5, 6, 29, 30), 2: ()}
+    flags = rows([(s, i, i not in quiet[s], False, False) for s in (1, 2) for i in range(41)], "series long, i long, active boolean, missing boolean, nonrecurring boolean")
+    codes = {(1, 4): "WEAK_BOUNDARY_EVIDENCE,UNCERTAIN_METER_PHASE", (2, 3): "UNSUPPORTED_ACOUSTIC_PULSE"}
+    bars = rows([(s, b, b * 4, b * 4 + 4, codes.get((s, b), "")) for s in (1, 2) for b in range(10)], "series long, bar long, start_idx long, end_idx long, codes string")
+    asked = rows(
+        # A rest in bar 1; bars 2 and 3 in the longer region; a faulty bar; bar 5 in no region; bar 7 inherited; a missing bar;
+        # a faulty bar as a whole, in part and inherited; one beat; a series without a clock.
+        [(1, 1, 0, 2, None), (2, 1, 2, 2, None), (3, 1, 4, 1, None), (4, 1, 5, 1, None), (5, 1, 6, 2, None), (6, 1, 6, 2, None), (7, 2, 8, 3, None), (8, 2, 3, 1, None), (9, 2, 3, 1, 14), (10, 2, 3, 1, None), (11, 2, 0, 1, 0), (12, 3, 0, 1, None)],
+        "ask long, series long, first_bar long, n_bars long, end_idx long",
+    )
+    inherited = rows([(5, 7), (10, 3)], "ask long, bar long")
+    found = api.require_bars(asked, bars, inherited, clock, safe, regions, evidence.prefix_index(flags))
+    acoustic, pulse = "UNSUPPORTED_ACOUSTIC_PULSE", "UNSUPPORTED_PULSE"
+    said = {1: (1, acoustic), 2: (None, None), 3: (4, "WEAK_BOUNDARY_EVIDENCE"), 4: (5, pulse), 5: (None, None), 6: (7, acoustic), 7: (10, "NO_SUCH_BAR"), 8: (3, acoustic), 9: (None, None), 10: (None, None), 11: (0, "OUT_OF_BOUNDS"), 12: (0, "NO_SUCH_BAR")}
+    assert {r.ask: (r.failed_bar, r.declined) for r in found.collect()} == said
+    plain = api.require_bars(asked.where("ask in (1, 4, 6)"), bars, inherited, clock, safe, regions)
+    assert {r.ask: r.declined for r in plain.collect()} == {1: None, 4: pulse, 6: None}

@@ -179,11 +179,17 @@ def prefix_index(intervals: DataFrame) -> DataFrame:
     return flags.select("series", "i", count(one("active")).alias("p_active"), count(one("missing")).alias("p_missing"), count(one("nonrecurring")).alias("p_nonrecurring"), count(F.col("_q")).alias("p_quiet"))
 
 
-def assess_ranges(index: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Range tests by differences of prefixes. ranges: series, start, end (one past the last boundary event)."""
-    at = lambda name, key: index.select("series", F.col("i").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("p_active", "p_missing", "p_nonrecurring", "p_quiet")])
-    asked = ranges.withColumn("_e", F.col("end") - 1).withColumn("_s1", F.col("start") + 1)
-    found = asked.join(at("s", "start"), ["series", "start"]).join(at("e", "_e"), ["series", "_e"]).join(at("n", "_s1").select("series", "_s1", "n_p_quiet"), ["series", "_s1"])
+def assess_rows(index: DataFrame, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` (series, start, end and others) with active_fraction, issues and supported by differences of prefixes.
+
+    With ``how`` left, rows stay that the index doesn't cover: their supported is null.
+    """
+    after = Window.partitionBy("series").orderBy("i")
+    begun = index.withColumn("n_p_quiet", F.when(F.lead("i").over(after) == F.col("i") + 1, F.lead("p_quiet").over(after)))
+    at = lambda rows, name, key: rows.select("series", F.col("i").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in ("p_active", "p_missing", "p_nonrecurring", "p_quiet")], *[c for c in rows.columns if c == "n_p_quiet"])
+    asked = rows.withColumn("_e", F.col("end") - 1)
+    # Ranges may be exploded and count as far fewer than they are, so they are sorted, not sent to the driver.
+    found = asked.join(at(begun.where("n_p_quiet is not null"), "s", "start").hint("merge"), ["series", "start"], how).join(at(index, "e", "_e").hint("merge"), ["series", "_e"], how)
     fraction = (F.col("e_p_active") - F.col("s_p_active")) / (F.col("_e") - F.col("start"))
     codes = F.array_compact(
         F.array(
@@ -192,7 +198,13 @@ def assess_ranges(index: DataFrame, ranges: DataFrame) -> DataFrame:
             F.when((F.col("e_p_quiet") > F.col("n_p_quiet")) | (fraction < 0.5), F.lit("INSUFFICIENT_LOCAL_ATTACKS")),
         )
     )
-    return found.select("series", "start", "end", fraction.alias("active_fraction"), F.array_join(codes, ",").alias("issues"), (F.size(codes) == 0).alias("supported"))
+    covered = F.col("s_p_active").isNotNull() & F.col("e_p_active").isNotNull()
+    return found.select(*rows.columns, fraction.alias("active_fraction"), F.array_join(codes, ",").alias("issues"), F.when(covered, F.size(codes) == 0).alias("supported"))
+
+
+def assess_ranges(index: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Range tests by differences of prefixes. ranges: series, start, end (one past the last boundary event)."""
+    return assess_rows(index, ranges).select("series", "start", "end", "active_fraction", "issues", "supported")
 
 
 def unsupported_runs(rows: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .clock import issues as clock_issues
-from .evidence import assess_ranges
-from .planning import BAR_COUNTS, contained
+from .evidence import assess_rows
+from .planning import BAR_COUNTS, contained, mark_contained
 from .repair import annotated_bars
 
 #: Beats of a time bucket in which ranges meet regions.
@@ -20,23 +20,31 @@ WIDTH = 64
 ACOUSTIC = "UNSUPPORTED_ACOUSTIC_PULSE"
 
 
+def _refused(rows: DataFrame, clock: DataFrame, safe: DataFrame, regions: DataFrame, acoustic: DataFrame | None = None, spared: Column | None = None) -> DataFrame:
+    """``rows`` (series, start, end and others) with declined, as of ``guard_ranges``; of ``spared`` rows no attacks are asked.
+
+    Every lookup is added to the rows where they stand: what gives the rows is planned once, however large its plan.
+    """
+    sizes = clock.groupBy("series").agg((F.max("idx") + 1).alias("_size"))
+    found = mark_contained(rows, regions, "_held").join(sizes, "series", "left").join(safe.select("series", F.col("safe").alias("_safe")), "series", "left")
+    inside = (F.col("start") >= 0) & (F.col("end") <= F.coalesce("_size", F.lit(0))) & (F.col("end") - F.col("start") >= 2)
+    found = found.withColumn("declined", F.when(~inside, "OUT_OF_BOUNDS").when(~F.coalesce("_safe", F.lit(False)) & ~F.col("_held"), "UNSUPPORTED_PULSE"))
+    if acoustic is not None:
+        wide = found.withColumn("_end", F.col("end")).withColumn("end", F.when(F.col("end") - F.col("start") >= 2, F.col("end")))
+        found = assess_rows(acoustic, wide, "left").withColumn("end", F.col("_end"))
+        unheard = ~F.coalesce("supported", F.lit(False))
+        found = found.withColumn("declined", F.when(F.col("declined").isNotNull(), F.col("declined")).when(unheard if spared is None else unheard & ~spared, ACOUSTIC))
+    return found.select(*rows.columns, "declined")
+
+
 def guard_ranges(asked: DataFrame, clock: DataFrame, safe: DataFrame, regions: DataFrame, acoustic: DataFrame | None = None) -> DataFrame:
     """``asked`` (series, start, end: one past the last beat) with declined: the code that refuses a range, null if none.
 
     A range has two beats of the clock at least; the whole clock is safe or one region holds the range; and, with
     ``acoustic`` (a prefix index), all its intervals have recurring attacks. Without it the guard is geometric alone.
     """
-    ranges = asked.select("series", "start", "end").distinct()
-    sizes = clock.groupBy("series").agg((F.max("idx") + 1).alias("_size"))
-    held = contained(ranges, regions, WIDTH).select("series", "start", "end", F.lit(True).alias("_held"))
-    found = ranges.join(sizes, "series", "left").join(safe.select("series", F.col("safe").alias("_safe")), "series", "left").join(held, ["series", "start", "end"], "left")
-    inside = (F.col("start") >= 0) & (F.col("end") <= F.coalesce("_size", F.lit(0))) & (F.col("end") - F.col("start") >= 2)
-    code = F.when(~inside, "OUT_OF_BOUNDS").when(~F.coalesce("_safe", F.lit(False)) & F.col("_held").isNull(), "UNSUPPORTED_PULSE")
-    if acoustic is not None:
-        heard = assess_ranges(acoustic, ranges.where(F.col("end") - F.col("start") >= 2)).select("series", "start", "end", F.col("supported").alias("_heard"))
-        found = found.join(heard, ["series", "start", "end"], "left")
-        code = code.when(~F.coalesce("_heard", F.lit(False)), ACOUSTIC)
-    return asked.join(found.select("series", "start", "end", code.alias("declined")), ["series", "start", "end"])
+    found = _refused(asked.select("series", "start", "end").distinct(), clock, safe, regions, acoustic)
+    return asked.join(found, ["series", "start", "end"])
 
 
 def matching_grid(guarded: DataFrame, clock: DataFrame) -> DataFrame:
@@ -86,18 +94,16 @@ def require_bars(asked: DataFrame, bars: DataFrame, inherited: DataFrame, clock:
     attacks as a whole; an inherited one may lack them altogether, but must lie in an accepted region.
     """
     each = asked.withColumn("bar", F.explode(F.sequence("first_bar", F.col("first_bar") + F.col("n_bars") - 1))).select("ask", "series", "bar", F.col("end_idx").alias("_used"))
-    met = each.join(bars.select("series", "bar", "start_idx", "end_idx", F.split("codes", ",").alias("_codes")), ["series", "bar"], "left")
-    met = met.join(inherited.select("ask", "bar", F.lit(True).alias("_inherited")), ["ask", "bar"], "left").withColumn("_inherited", F.coalesce("_inherited", F.lit(False)))
+    # What is exploded counts as its source's size: both sides are sorted, else a bar for each few beats would be sent to the driver.
+    met = each.join(bars.select("series", "bar", "start_idx", "end_idx", F.split("codes", ",").alias("_codes")).hint("merge"), ["series", "bar"], "left")
+    met = met.join(inherited.select("ask", "bar", F.lit(True).alias("_inherited")).hint("merge"), ["ask", "bar"], "left").withColumn("_inherited", F.coalesce("_inherited", F.lit(False)))
     used = F.least("end_idx", F.coalesce("_used", "end_idx"))
     placed = met.withColumn("start", F.col("start_idx")).withColumn("end", F.when(F.col("_inherited"), F.col("end_idx")).otherwise(used) + 1)
     whole = F.coalesce("_used", "end_idx") >= F.col("end_idx")
     faults = F.filter("_codes", lambda c: (c != "") & ((c != ACOUSTIC) | (~F.col("_inherited") & whole)))
-    heard = guard_ranges(placed.where("not _inherited").select("series", "start", "end"), clock, safe, regions, acoustic).distinct()
-    seen = guard_ranges(placed.where("_inherited").select("series", "start", "end"), clock, safe, regions).distinct()
-    guarded = heard.withColumn("_inherited", F.lit(False)).unionByName(seen.withColumn("_inherited", F.lit(True)))
-    found = placed.join(guarded, ["series", "start", "end", "_inherited"], "left")
-    code = F.when(F.col("start").isNull(), "NO_SUCH_BAR").when(F.size(faults) > 0, F.get(faults, F.lit(0))).otherwise(F.col("declined"))
-    first = found.withColumn("_code", code).where("_code is not null").groupBy("ask").agg(F.min(F.struct("bar", "_code")).alias("_f"))
+    placed = placed.withColumn("_fault", F.when(F.col("start").isNull(), "NO_SUCH_BAR").otherwise(F.get(faults, F.lit(0)))).select("ask", "series", "bar", "start", "end", "_inherited", "_fault")
+    found = _refused(placed, clock, safe, regions, acoustic, F.col("_inherited"))
+    first = found.withColumn("_code", F.coalesce("_fault", "declined")).where("_code is not null").groupBy("ask").agg(F.min(F.struct("bar", "_code")).alias("_f"))
     return asked.join(first, "ask", "left").select(*asked.columns, F.col("_f.bar").alias("failed_bar"), F.col("_f._code").alias("declined"))
 
 

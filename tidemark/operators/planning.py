@@ -177,16 +177,15 @@ def bar_issues(boundaries: DataFrame, bars: DataFrame, removed: DataFrame, pulse
     """
     order = Window.partitionBy("series").orderBy("boundary")
     ahead = {c: F.lead(c).over(order).alias(f"_{c}") for c in ("idx", "us", "score", "complete")}
-    spans = boundaries.select("series", F.col("boundary").alias("bar"), "idx", "us", "score", "complete", *ahead.values()).where("_idx is not null")
-    placed = spans.select("series", "bar", F.col("idx").alias("start"), (F.col("_idx") + 1).alias("end"))
+    spans = boundaries.select("series", F.col("boundary").alias("bar"), "idx", "us", "score", "complete", *ahead.values()).where("_idx is not null and series is not null and bar is not null")
     strong = removed.where(F.col("score") >= weak).select("series", F.col("idx").alias("_at"), F.col("us").alias("_at_us"))
     met = range_join(strong, spans.select("series", "bar", "idx", "us", "_idx", "_us"), "_at", "idx", "_idx", ["series"], 16)
     inside = (F.col("_at") > F.col("idx")) & (F.col("_at") < F.col("_idx")) & (F.col("_at_us") > F.col("us")) & (F.col("_at_us") < F.col("_us"))
     found = spans.join(met.where(inside).select("series", "bar", F.lit(True).alias("_conflict")).distinct(), ["series", "bar"], "left")
     found = found.join(bars.select("series", "bar", "posterior", "region"), ["series", "bar"], "left")
-    held = placed.join(contained(placed, pulse, 64).select("series", "bar", F.lit(True).alias("_pulse")), ["series", "bar"], "left") if pulse is not None else placed.withColumn("_pulse", F.lit(True))
-    heard = held.join(acoustic.select("series", "start", "end", F.col("supported").alias("_acoustic")), ["series", "start", "end"], "left") if acoustic is not None else held.withColumn("_acoustic", F.lit(True))
-    found = found.join(heard.select("series", "bar", "_pulse", "_acoustic"), ["series", "bar"])
+    found = found.withColumn("start", F.col("idx")).withColumn("end", F.col("_idx") + 1)
+    found = mark_contained(found, pulse, "_pulse") if pulse is not None else found.withColumn("_pulse", F.lit(True))
+    found = found.join(acoustic.select("series", "start", "end", F.col("supported").alias("_acoustic")), ["series", "start", "end"], "left") if acoustic is not None else found.withColumn("_acoustic", F.lit(True))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     faults = {
         "UNSUPPORTED_PULSE": no(F.col("_pulse")),
@@ -247,6 +246,17 @@ def contained(spans: DataFrame, regions: DataFrame, width: int) -> DataFrame:
     return ends.where(F.col("end") <= F.col("to")).drop("from", "to").distinct()
 
 
+def mark_contained(rows: DataFrame, regions: DataFrame, name: str) -> DataFrame:
+    """``rows`` (start, end and others) with ``name``: whether one region (from, to) holds them.
+
+    As ``contained``, but the rows are read once and meet no repeated regions: one holds a row if the furthest end of those
+    that begin by its start reaches its end.
+    """
+    reach = regions.where("from is not null").select("series", "from", F.max("to").over(Window.partitionBy("series").orderBy("from")).alias("_reach"))
+    found = asof(rows, reach, "start", "from", ["series"], ["_reach"])
+    return found.select(*rows.columns, F.coalesce((F.col("_reach") >= F.col("start")) & (F.col("_reach") >= F.col("end")), F.lit(False)).alias(name))
+
+
 def reason_counts(rows: DataFrame, keys: list[str], reason: str) -> DataFrame:
     """How often each reason occurs, and all of a key's counts as a map."""
     counts = rows.groupBy(*keys, reason).agg(F.count(F.lit(1)).alias("n"))

@@ -93,9 +93,11 @@ _USED = "used AS (SELECT p.series, p.bar, bar // 3 AS k, s, CASE WHEN bar % 3 =
 def required_bars(spark, sf):
     """Three bars at a time; of every second ask the last bar is used in part, and of every fourth the middle one is inherited."""
     clock, safe, regions = _song(spark, sf)
-    bars = P.bar_spans(clock, 4).join(RQ._issues(spark, sf), ["series", "bar"])
+    spans = P.bar_spans(clock, 4)
+    bars = spans.join(RQ._issues(spark, sf).hint("merge"), ["series", "bar"])
     k = F.floor(F.col("bar") / 3)
-    whole = bars.groupBy("series", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("end_idx").alias("last")).where("n = 3")
+    # Every bar has its issues' row, so the asks come from the spans alone.
+    whole = spans.where("series is not null").groupBy("series", k.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.max("end_idx").alias("last")).where("n = 3")
     asked = whole.select((F.col("series") * 1000 + F.col("k")).alias("ask"), "series", (F.col("k") * 3).alias("first_bar"), F.lit(3).alias("n_bars"), F.when(F.col("k") % 2 == 1, F.col("last") - 2).alias("end_idx"))
     inherited = whole.where("k % 4 = 0").select((F.col("series") * 1000 + F.col("k")).alias("ask"), (F.col("k") * 3 + 1).alias("bar"))
     found = G.require_bars(asked, bars, inherited, clock, safe, regions, E.prefix_index(EQ._flags(spark, sf)))
